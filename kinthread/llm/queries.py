@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinthread.llm import mixing, quality, simhash, urls
+from kinthread.llm import mixing, quality, secrets, simhash, urls
 from kinthread.llm.common import stored
 
 
@@ -24,6 +24,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sizes).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "position", F.length("value").alias("length"), F.sha2("value", 256).alias("finding_sha256"),
+        F.round("score", 6).alias("score"), "is_secret",
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -38,6 +45,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_mixing": op4_mixing,
+    "op5_secret_scans": op5_secret_scans,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
