@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinthread.llm import mixing, quality, secrets, simhash, urls
+from kinthread.llm import bpe, mixing, quality, secrets, simhash, tokenfiles, urls
 from kinthread.llm.common import stored
 
 
@@ -31,6 +31,20 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfiles.write_tables(table(spark, sf_dir, "documents"))
+    return tokenfiles.read_checksums(spark, path)
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents"))
+    return bpe.decode(encoded).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -46,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_mixing": op4_mixing,
     "op5_secret_scans": op5_secret_scans,
+    "op6_token_tables": op6_token_tables,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
