@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinthread.llm import bpe, mixing, quality, secrets, simhash, tokenfiles, urls
+from kinthread.llm import bpe, language, mixing, quality, secrets, simhash, tokenfiles, toxicity, urls
 from kinthread.llm.common import stored
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
@@ -36,6 +41,11 @@ def op6_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_checksums(spark, path)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"))
     return bpe.decode(encoded).select(
@@ -57,10 +67,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
     "op3_url_filters": op3_url_filters,
     "op4_mixing": op4_mixing,
     "op5_secret_scans": op5_secret_scans,
     "op6_token_tables": op6_token_tables,
+    "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
