@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinthread.llm.common import connected_components, stored
@@ -56,15 +56,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with the 64 bits of the fingerprint in a signed long; one row per row."""
+    """(doc_id, same, fp): one row per row; fp has the fingerprint's 64 bits in a signed long.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            values = np.array([fingerprint(t, shingle) for t in part["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "fp": values.view(np.int64)})
+    ``same`` is a hash of the text, by which rows of one doc_id are told apart.
+    """
+
+    @F.pandas_udf("long")
+    def of_text(text: pd.Series) -> pd.Series:
+        values = np.array([fingerprint(t if isinstance(t, str) else None, shingle) for t in text], dtype=np.uint64)
+        return pd.Series(values.view(np.int64))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("same"), of_text("text").alias("fp"))
 
 
 @functools.lru_cache(maxsize=8)
@@ -262,6 +264,24 @@ def links(nodes: DataFrame, count: int, threshold: int = THRESHOLD) -> DataFrame
     )
 
 
+def grouped(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, same, fp, component, component_id) of every row of ``docs``.
+
+    ``component`` is the smallest fingerprint of the row's group.
+    """
+    rows = stored(fingerprints(docs, shingle), "fingerprints")
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    count = nodes.count()
+    named = nodes.select("fp", "first", F.col("fp").alias("component"))
+    if count > 1:
+        groups = connected_components(links(nodes, count, threshold)).withColumnRenamed("node", "fp")
+        named = stored(
+            nodes.join(groups, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "named"
+        )
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return rows.join(named.join(least, "component").select("fp", "component", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, fp, component_id): groups of documents linked by their fingerprints.
 
@@ -269,20 +289,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     ``threshold`` differing bits. One row per input row: repeated rows and equal
     texts share a fingerprint and so a group; texts that are null or without a
     word have fingerprint zero and are linked like any other. A null doc_id
-    keeps its row and never becomes a component_id unless its group has no
-    other. An empty table gives an empty result. Only doc_id and text are read.
+    keeps its row; component_id is null only if its whole group has no id. An
+    empty table gives an empty result. Only doc_id and text are read.
     """
-    rows = stored(fingerprints(docs, shingle), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    count = nodes.count()
-    groups = connected_components(links(nodes, count, threshold)) if count > 1 else None
-    if groups is not None:
-        named = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(
-            "fp", "first", F.coalesce("component", "fp").alias("component")
-        )
-        named = stored(named, "named")
-        least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-        nodes = named.join(least, "component").select("fp", "component_id")
-    else:
-        nodes = nodes.select("fp", F.col("first").alias("component_id"))
-    return rows.join(nodes, "fp").select("doc_id", "fp", "component_id")
+    return grouped(docs, shingle, threshold).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that stand for their group of near duplicates, unchanged.
+
+    A group keeps one row: that of its smallest doc_id, null last; of rows that
+    share it the one with the smallest hash of the text; of equal rows one.
+    Columns of ``docs`` pass through.
+    """
+    keys = [F.coalesce("doc_id", F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_null"), F.col("same").alias("k_same")]
+    kept = (
+        grouped(docs, shingle, threshold).groupBy("component")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("best"))
+        .select("best.doc_id", "best.same").select(*keys)
+    )
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("same"))
+    rows = rows.select("row", *keys).join(kept, ["k_id", "k_null", "k_same"], "left_semi")
+    # equal rows stand beside each other already: no further shuffle
+    order = Window.partitionBy("k_id", "k_null", "k_same").orderBy(F.xxhash64("row"))
+    return rows.withColumn("turn", F.row_number().over(order)).where("turn = 1").select("row.*")

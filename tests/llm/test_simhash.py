@@ -109,3 +109,18 @@ def test_components_of_a_path_and_a_star(spark):
     edges = spark.createDataFrame(path, "u long, v long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100)}
+
+
+def test_one_of_each_keeps_one_row_of_every_group(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [
+        (7, text, "a", 1), (4, text + " x", "a", 1), (4, text + " x", "a", 1), (None, text, "a", 1),
+        (4, "another text of quite different words here", "b", 2), (9, None, "c", 3), (8, "", "c", 3),
+        (None, "no id at all in this one group of words", "d", 4), (2**60 + 1, "alone with a large id", "e", 5),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, k_id int")
+    got = sorted(map(tuple, simhash.one_of_each(docs).collect()), key=str)
+    assert got == sorted([
+        (4, text + " x", "a", 1), (4, "another text of quite different words here", "b", 2), (8, "", "c", 3),
+        (None, "no id at all in this one group of words", "d", 4), (2**60 + 1, "alone with a large id", "e", 5),
+    ], key=str)
