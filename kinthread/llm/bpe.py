@@ -36,8 +36,8 @@ from kinthread.llm.common import input_bytes
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The tokenizer's pattern with white space as Unicode has it, which the library means too.
 PATTERN = public_tokenizers.PATTERN
-#: UTF-8 bytes of text in a chunk, about.
-CHUNK_BYTES = 16 << 20
+#: Characters of text in a chunk, about.
+CHUNK_BYTES = 6 << 20
 #: Word entries (a word of a chunk) in one encoding group, about.
 GROUP_WORDS = 500_000
 #: Longer texts are split match by match instead of into one list.

@@ -56,9 +56,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes behind ``df``: file sizes for scans."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(docs: DataFrame) -> int:
+    """Bytes behind ``docs``: Catalyst's estimate (file sizes for scans), or else the texts' sum."""
+    found = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if found >= 1 << 50:  # no estimate
+        found = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return found
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
