@@ -91,32 +91,43 @@ def counted_grams(text) -> np.ndarray:
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, list[np.ndarray]], float]:
     """Feature sets by kind (P, U, N) and the class prior, from rows that aren't held out.
 
-    A kind with more rows than its bound gives those of the smallest hash of
-    doc_id: a filter on the hash keeps about as many, the driver cuts the rest.
+    Documents are chosen by id alone: of a kind with more than its bound those
+    whose id has the smallest hash (a filter on the hash keeps about as many,
+    the driver cuts the rest). Only then are the chosen texts read, by a
+    broadcast of the chosen ids, so texts are never shuffled.
     """
+    spark = docs.sparkSession
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("mark"))
-    rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(marks, "doc_id", "left")
+    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     kind = F.when(F.col("mark") == 1, "P").when(F.col("mark").isNull(), "U").otherwise("N")
-    rows = rows.select("text", kind.alias("kind"), F.xxhash64("doc_id").alias("order"))
-    found = {r.kind: r.n for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ids = ids.join(marks, "doc_id", "left").select("doc_id", kind.alias("kind"), F.xxhash64("doc_id").alias("place"))
+    found = {r.kind: r.n for r in ids.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     bounds = {"P": POSITIVE, "U": UNLABELLED, "N": NEGATIVE}
     keep = F.lit(False)
     for name, most in bounds.items():
         share = min(1.0, 1.2 * most / max(1, found.get(name, 0)))
-        keep = keep | ((F.col("kind") == name) & (F.col("order").cast("double") / 2.0**64 + 0.5 <= share))
+        keep = keep | ((F.col("kind") == name) & (F.col("place").cast("double") / 2.0**64 + 0.5 <= share))
+    place: dict[str, int] = {}
+    chosen = []
+    for r in sorted(ids.where(keep).collect(), key=lambda r: (r.kind, r.place)):  # about 1.2 of the bounds' sum
+        place[r.kind] = place.get(r.kind, 0) + 1
+        if place[r.kind] <= bounds[r.kind]:
+            chosen.append((r.doc_id, r.kind))
+    key = docs.schema["doc_id"].dataType.simpleString()
+    picked = spark.createDataFrame(chosen, f"doc_id {key}, kind string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield pd.DataFrame({
-                "kind": part["kind"], "order": part["order"],
-                "grams": [counted_grams(t).astype("<u4").tobytes() for t in part["text"]],
-            })
+            yield part[["doc_id", "kind"]].assign(grams=[counted_grams(t).astype("<u4").tobytes() for t in part["text"]])
 
-    got = rows.where(keep).mapInPandas(run, "kind string, order long, grams binary").toPandas()
-    got = got.sort_values(["kind", "order", "grams"])
+    got = (
+        docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+        .mapInPandas(run, f"doc_id {key}, kind string, grams binary")
+        .groupBy("doc_id", "kind").agg(F.min("grams").alias("grams")).toPandas().sort_values("doc_id")
+    )
     sets = {
-        name: [np.frombuffer(g, dtype="<u4") for g in got["grams"][got["kind"] == name][:most]]
-        for name, most in bounds.items()
+        name: [np.frombuffer(g, dtype="<u4") for g in got["grams"][got["kind"] == name]]
+        for name in bounds
     }
     labelled = found.get("P", 0) + found.get("N", 0)
     return sets, min(0.9, max(1e-3, found.get("P", 0) / labelled)) if labelled else 0.1
