@@ -112,7 +112,7 @@ def one_versus_one(x: np.ndarray, y: np.ndarray, size: int) -> OneVersusOne:
     weights = [
         svm(x[(y == i) | (y == j)], np.where(y[(y == i) | (y == j)] == i, 1.0, -1.0)) for i, j in pairs
     ]
-    return OneVersusOne(size, pairs, np.array(weights).reshape(len(pairs), -1))
+    return OneVersusOne(size, pairs, np.array(weights).reshape(len(pairs), x.shape[1] + 1))
 
 
 @dataclasses.dataclass
