@@ -16,6 +16,7 @@ binary search in the sparse index, then one block.
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import uuid
 import zlib
@@ -40,7 +41,7 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Input bytes of a shard, about.
 SHARD_BYTES = 16 << 20
 #: Distinct space-delimited pieces that a worker keeps with their ids.
-CACHE = 400_000
+CACHE = 600_000
 MAGIC = b"KINSST01"
 FOOTER = struct.Struct("<QQQQQB8s")
 ENTRY = struct.Struct("<HHI")
@@ -164,6 +165,22 @@ class TableReader:
 # --------------------------------------------------------------------- encoding
 
 
+_SPACES = re.compile("[\t\n\r\x0b\x0c]")
+#: A full stop or comma between a Latin letter and white space is a pre-token of its own
+#: (but not after the one letter whose lower case ends in a combining mark).
+_STOPS = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([.,])(?=\s)")
+#: What keeps a text from being lower-cased here: beyond Latin letters, whose
+#: lower case is one composed letter whatever stands beside it.
+_OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
+
+
+def byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(kept)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 @functools.lru_cache(maxsize=1)
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -171,32 +188,78 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> PieceEncoder:
+    """The worker's encoder; its pieces stay known from task to task."""
+    return PieceEncoder(path)
+
+
 class PieceEncoder:
-    """Encodes texts piece by piece (runs without ASCII white space), each distinct piece once.
+    """Encodes texts piece by piece (runs without ASCII white space), each new piece once.
 
     The vocabulary's pre-tokens never span white space and its normaliser works
     on both sides of it alone, so the ids of a text are those of its pieces.
+    A piece of Latin letters is one pre-token and goes to the merges directly;
+    all others take the whole way.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = load_tokenizer(path), {}
+        self.tokenizer, self.known = load_tokenizer(path), {"": b""}
+        self.merges = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+
+    def _plain(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.merges(piece)], dtype="<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces, many in one call; a token belongs to the piece that it begins in."""
+        rest = []
+        for piece in pieces:
+            if piece.isalpha() and piece.islower() and not _OTHER.search(piece):
+                self.known[piece] = self._plain(piece)
+            else:
+                rest.append(piece)
+        for at in range(0, len(rest), 512):
+            part = rest[at : at + 512]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(got.ids, dtype="<u4")
+            begins = np.fromiter((a for a, _ in got.offsets), dtype=np.int64, count=len(ids))
+            ends = np.cumsum([len(p) + 1 for p in part])
+            cuts = np.searchsorted(begins, ends)
+            data, low = ids.tobytes(), 0
+            for piece, cut in zip(part, cuts.tolist(), strict=True):
+                self.known[piece] = data[4 * low : 4 * cut]
+                low = cut
 
     def encode(self, text: str) -> np.ndarray:
-        pieces = text.split(" ") if text.isascii() and not any(c in text for c in "\t\n\r\x0b\x0c") else _SPACES.sub(" ", text).split(" ")
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(dict.fromkeys(pieces))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(got.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), dtype="<u4")
-
-
-import re  # noqa: E402
-
-_SPACES = re.compile("[\t\n\r\x0b\x0c]")
+        out = []
+        for part in segments(text):
+            part = _SPACES.sub(" ", _STOPS.sub(r" \1", part))
+            if "<|" not in part and not _OTHER.search(part):  # special tokens are told by case
+                part = part.lower()
+            pieces = part.split(" ")
+            distinct = dict.fromkeys(pieces)
+            if len(self.known) + len(distinct) > CACHE:
+                self.known = {"": b""}
+            new = [p for p in distinct if p not in self.known]
+            if new:
+                self._learn(new)
+            out.append(b"".join(map(self.known.__getitem__, pieces)))
+        return np.frombuffer(b"".join(out), dtype="<u4")
+
+
+def segments(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """``text`` in parts of about ``size`` characters, cut at spaces."""
+    at = 0
+    while len(text) - at > size:
+        cut = text.find(" ", at + size)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
 
 
 def write_tables(docs: DataFrame, path: str | None = None, vocabulary: str = VOCABULARY, end_id: int | None = END_ID) -> str:
@@ -213,8 +276,8 @@ def write_tables(docs: DataFrame, path: str | None = None, vocabulary: str = VOC
     shards = max(1, input_bytes(docs) // SHARD_BYTES)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = PieceEncoder(vocabulary)
-        width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        pieces = encoder(vocabulary)
+        width = 2 if pieces.tokenizer.get_vocab_size() <= 1 << 16 else 4
         files, folder = pafs.FileSystem.from_uri(path)
         files.create_dir(folder, recursive=True)
         shard = TaskContext.get().partitionId()
@@ -225,10 +288,10 @@ def write_tables(docs: DataFrame, path: str | None = None, vocabulary: str = VOC
                 if table is None:
                     out = files.open_output_stream(f"{folder}/{name}")
                     table = TableWriter(out, width)
-                ids = encoder.encode(text if isinstance(text, str) else "")
+                ids = pieces.encode(text if isinstance(text, str) else "")
                 if end_id is not None:
                     ids = np.append(ids, np.uint32(end_id))
-                table.add(key_of(None if pd.isna(doc_id) else int(doc_id)), ids)
+                table.add(key_of(None if doc_id is None else int(doc_id)), ids)
                 rows, total = rows + 1, total + len(ids)
         if table is not None:
             table.close()
@@ -238,6 +301,7 @@ def write_tables(docs: DataFrame, path: str | None = None, vocabulary: str = VOC
     manifest = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+        .select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas has no whole numbers beside nulls
         .mapInPandas(write, "shard int, file string, documents long, ids long")
     )
     manifest.write.parquet(f"{path}/manifest")
