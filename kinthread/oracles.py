@@ -52,7 +52,7 @@ g(n, ts, rs, won) AS (
   SELECT k.n, CASE WHEN ok THEN list_append(ts, k.tracker_id) ELSE ts END, CASE WHEN ok THEN list_append(rs, k.record_idx) ELSE rs END, ok
   FROM (SELECT r.*, g.ts, g.rs, NOT list_contains(g.ts, r.tracker_id) AND NOT list_contains(g.rs, r.record_idx) AS ok FROM g JOIN ranked r ON r.n = g.n + 1) k),
 matches AS (SELECT tracker_id, record_idx, score FROM g JOIN ranked USING (n) WHERE won)"""
-_MATCHES = BEST + " SELECT tracker_id, record_idx, round(score, 4) AS score FROM matches"
+_MATCHES = BEST + " SELECT tracker_id, record_idx, round(score, 5) AS score FROM matches"
 
 
 def _scored(weights, power: int = 1) -> str:
@@ -91,10 +91,10 @@ SELECT l AS left_idx, r AS right_idx, round(CAST(list_sum(v) / greatest(n, m) AS
     "score_average": _scored(None),
     "score_weighted": _scored((1.0, 2.0, 3.0)),
     "score_quadratic": _scored((1.0, 2.0, 3.0), 2),
-    "interest_filter": f"WITH {SCORES} SELECT tracker_id, record_idx, round(score, 4) AS score FROM scores",
-    "rank_records": f"WITH {SCORES} SELECT tracker_id, record_idx, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY tracker_id ORDER BY score DESC, record_idx) AS INTEGER) AS record_rank FROM scores",
-    "rank_trackers": f"WITH {SCORES} SELECT tracker_id, record_idx, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY record_idx ORDER BY score DESC, tracker_id) AS INTEGER) AS tracker_rank FROM scores",
-    "resolve_simple": f"WITH {SCORES} SELECT tracker_id, record_idx, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY tracker_id ORDER BY score DESC, record_idx) AS k FROM scores) WHERE k = 1",
+    "interest_filter": f"WITH {SCORES} SELECT tracker_id, record_idx, round(score, 5) AS score FROM scores",
+    "rank_records": f"WITH {SCORES} SELECT tracker_id, record_idx, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY tracker_id ORDER BY score DESC, record_idx) AS INTEGER) AS record_rank FROM scores",
+    "rank_trackers": f"WITH {SCORES} SELECT tracker_id, record_idx, round(score, 5) AS score, CAST(row_number() OVER (PARTITION BY record_idx ORDER BY score DESC, tracker_id) AS INTEGER) AS tracker_rank FROM scores",
+    "resolve_simple": f"WITH {SCORES} SELECT tracker_id, record_idx, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY tracker_id ORDER BY score DESC, record_idx) AS k FROM scores) WHERE k = 1",
     "resolve_best_match": _MATCHES,
     "resolve_mutual_best": _MATCHES,
     "new_trackers": BEST + " SELECT record_idx, name, code FROM frames WHERE frame_idx = 1 AND record_idx NOT IN (SELECT record_idx FROM matches)",

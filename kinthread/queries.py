@@ -190,7 +190,7 @@ QUADRATIC = RecordScorerConfig("weighted-quadratic", (1.0, 2.0, 3.0), 0.7)
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(F.col(n).cast("double"), 4) for n in names})
+    return df.withColumns({n: F.round(F.col(n).cast("double"), 5 if n == "score" else 4) for n in names})
 
 
 def interest_filter(spark, sf_dir):
@@ -450,7 +450,7 @@ def tracking_simple(spark, sf_dir):
 
 def tracking_diagnostics(spark, sf_dir):
     found = _tracked(spark, sf_dir)[0].diag_records
-    return found.select("tracker_id", "frame_idx", "record_idx", F.round(F.col("score").cast("double"), 4).alias("score"), F.size("distances").alias("n_features"))
+    return found.select("tracker_id", "frame_idx", "record_idx", F.round(F.col("score").cast("double"), 5).alias("score"), F.size("distances").alias("n_features"))
 
 
 def tracking_histograms(spark, sf_dir):
