@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -194,13 +194,12 @@ def similarities(metric: DistanceMetricConfig, left: Sequence[str], right: Seque
 def similarity_udf(metric: DistanceMetricConfig):
     """float column function of two string columns; null if either is null."""
 
-    @F.pandas_udf("float")
-    def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-        both = (left.notna() & right.notna()).to_numpy()
-        out = pd.Series([None] * len(left), dtype=object)
-        found = similarities(metric, left[both].tolist(), right[both].tolist())
-        out[both] = found
-        return out
+    @F.arrow_udf("float")
+    def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
+        pairs = list(zip(left.to_pylist(), right.to_pylist(), strict=True))
+        place = {p: i for i, p in enumerate(dict.fromkeys(p for p in pairs if None not in p))}
+        values = similarities(metric, [a for a, _ in place], [b for _, b in place]).tolist()
+        return pa.array([values[place[p]] if None not in p else None for p in pairs], pa.float32())
 
     return similarity
 

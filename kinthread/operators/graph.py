@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from kinthread.schema import RecordSchema
 
-_CHAIN = Window.partitionBy("tracker_id").orderBy("frame_idx")
+
+def _chain():
+    return Window.partitionBy("tracker_id").orderBy("frame_idx")
+
 
 
 @dataclasses.dataclass
@@ -99,7 +102,7 @@ def materialize(graph: TrackingGraph, records: DataFrame, schema: RecordSchema,
 def edges(chain_nodes: DataFrame) -> DataFrame:
     """(tracker_id, from_frame, from_record, to_frame, to_record) of successive nodes."""
     node = F.struct("frame_idx", "record_idx")
-    found = chain_nodes.withColumn("next", F.lead(node).over(_CHAIN)).where("next is not null")
+    found = chain_nodes.withColumn("next", F.lead(node).over(_chain())).where("next is not null")
     return found.select(
         "tracker_id", F.col("frame_idx").alias("from_frame"), F.col("record_idx").alias("from_record"),
         F.col("next.frame_idx").alias("to_frame"), F.col("next.record_idx").alias("to_record"),
@@ -109,9 +112,9 @@ def edges(chain_nodes: DataFrame) -> DataFrame:
 def with_positions(chain_nodes: DataFrame) -> DataFrame:
     """chain_nodes with pos (from 0) and whether the node comes in and goes out."""
     return chain_nodes.select(
-        "*", (F.row_number().over(_CHAIN) - 1).alias("pos"),
-        F.lag("frame_idx").over(_CHAIN).isNotNull().alias("comes_in"),
-        F.lead("frame_idx").over(_CHAIN).isNotNull().alias("goes_out"),
+        "*", (F.row_number().over(_chain()) - 1).alias("pos"),
+        F.lag("frame_idx").over(_chain()).isNotNull().alias("comes_in"),
+        F.lead("frame_idx").over(_chain()).isNotNull().alias("goes_out"),
     )
 
 

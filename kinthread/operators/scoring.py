@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,20 +37,19 @@ def pair_similarities(pairs: DataFrame, schema: RecordSchema, metric: DistanceMe
     names = schema.names
     multi = [f.dtype is ElementType.MultiStrings for f in schema.fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), PAIRS):
-                part = batch[at : at + PAIRS]
+            for at in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(at, PAIRS)
                 columns = [
-                    _feature(list(part[memory_name(i)]), list(part[name]), multi[i], metric) for i, name in enumerate(names)
+                    _feature(part[memory_name(i)].to_pylist(), part[name].to_pylist(), multi[i], metric) for i, name in enumerate(names)
                 ]
-                yield pd.DataFrame({
-                    "tracker_id": part["tracker_id"], "record_idx": part["record_idx"],
-                    "distances": list(map(list, zip(*columns, strict=True))),
-                })
+                # Arrow keeps NaN apart from null; pandas doesn't
+                distances = pa.array(list(map(list, zip(*columns, strict=True))), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part["tracker_id"], part["record_idx"], distances], ["tracker_id", "record_idx", "distances"])
 
     wanted = ["tracker_id", "record_idx", *(memory_name(i) for i in range(len(names))), *names]
-    return pairs.select(*wanted).mapInPandas(run, "tracker_id long, record_idx long, distances array<float>")
+    return pairs.select(*wanted).mapInArrow(run, "tracker_id long, record_idx long, distances array<float>")
 
 
 def _feature(memories, cells, multi: bool, metric: DistanceMetricConfig) -> list:
@@ -117,13 +116,14 @@ def near_words(words1: DataFrame, words2: DataFrame, least: float) -> DataFrame:
       B < n / least, so unless 2 (1 - least) n / least >= n + 1 they share one;
     * other words share a character as long as k < their graphemes, true if
       both have more graphemes than (1 - least) bytes;
-    * what is left, words of many bytes a grapheme, meets every word.
+    * what is left, words of many bytes a grapheme and the empty word, meets
+      every word.
     """
     ratio = 1 - least
 
     def described(words: DataFrame, v: str) -> DataFrame:
         graphemes = F.size(F.regexp_extract_all(v, F.lit(r"(\X)"), F.lit(1)))
-        return words.where(F.octet_length(v) > 0).select(
+        return words.select(
             v, (F.octet_length(v) == F.length(v)).alias("ascii"), (F.octet_length(v) * ratio >= graphemes).alias("wide")
         )
 
@@ -145,7 +145,7 @@ def near_words(words1: DataFrame, words2: DataFrame, least: float) -> DataFrame:
         .union(one.crossJoin(two.where("wide")).select("v1", "v2"))
     ).distinct()
     ascii_pair = (F.octet_length("v1") == F.length("v1")) & (F.octet_length("v2") == F.length("v2"))
-    size = F.greatest(F.octet_length("v1"), F.octet_length("v2"))
+    size = F.nullif(F.greatest(F.octet_length("v1"), F.octet_length("v2")), F.lit(0))
     return found.where(~ascii_pair | (1 - F.levenshtein("v1", "v2") / size > least - 1e-5))
 
 
