@@ -143,13 +143,19 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     n, m = len(positive), len(unlabelled)
 
     def split(sets):
-        every = np.concatenate([*sets, np.zeros(0, np.uint32)])
-        return every & np.uint32(size - 1), value(every >> np.uint32(BITS)), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        """(first text, grams, values, rows) of some texts at a time, which bounds the memory."""
+        for at in range(0, len(sets), 256):
+            part = sets[at : at + 256]
+            every = np.concatenate(part)
+            yield at, every & np.uint32(size - 1), value(every >> np.uint32(BITS)), np.repeat(np.arange(at, at + len(part)), [len(x) for x in part])
 
     def moments(sets):
-        ids, values, _ = split(sets)
-        mean = np.bincount(ids, weights=values, minlength=size) / len(sets)
-        return mean, np.bincount(ids, weights=values**2, minlength=size) / len(sets) - mean**2
+        total, squares = np.zeros(size), np.zeros(size)
+        for _, grams, values, _ in split(sets):
+            total += np.bincount(grams, weights=values, minlength=size)
+            squares += np.bincount(grams, weights=values**2, minlength=size)
+        mean = total / len(sets)
+        return mean, squares / len(sets) - mean**2
 
     (mean_p, var_p), (mean_u, var_u) = moments(positive), moments(unlabelled)
     z = (mean_p - mean_u) / np.sqrt((var_p + 0.25 / n) / n + (var_u + 0.25 / m) / m)
@@ -163,15 +169,16 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     place[ids] = np.arange(len(ids))
 
     def matrix(sets):
-        grams, values, rows = split(sets)
-        columns = place[grams]
-        words = np.bincount(rows, weights=(2.0**values - 1), minlength=len(sets)) / len(SIZES)
-        mine = columns >= 0
-        return (
-            np.concatenate([rows[mine], np.arange(len(sets))]),
-            np.concatenate([columns[mine], np.full(len(sets), len(ids))]),
-            np.concatenate([values[mine], size_value(words)]),
-        )
+        rows, columns = [np.arange(len(sets))], [np.full(len(sets), len(ids))]
+        words, found = np.zeros(len(sets)), []
+        for _, grams, counts, owner in split(sets):
+            words += np.bincount(owner, weights=2.0**counts - 1, minlength=len(sets))
+            mine = place[grams] >= 0
+            rows.append(owner[mine])
+            columns.append(place[grams[mine]])
+            found.append(counts[mine])
+        values = [size_value(words / len(SIZES)), *found]
+        return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
 
     def margins(rows, columns, values, count, weights, bias):
         return np.bincount(rows, weights=(weights * scale)[columns] * values, minlength=count) + bias
