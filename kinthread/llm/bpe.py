@@ -134,7 +134,7 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = np.fromiter(map(numbers.__getitem__, pretokens(text)), dtype=np.uint32)
             parts.append(found)
             counts.append(len(found))
-            ids.append(None if pd.isna(doc_id) else doc_id)
+            ids.append(doc_id)  # as text: pandas has no whole numbers beside nulls
             size += len(text)
             if size >= CHUNK_BYTES:
                 yield row()
@@ -148,9 +148,12 @@ def _group_of(words: list[bytes], groups: int) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words)) % np.uint32(groups)
 
 
-def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
+def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> DataFrame:
     """(doc_id, ids array<int>) of every row of ``docs``: its text's token ids, no special tokens.
 
+    ``with_decoded`` adds what ``decode`` makes of the ids, in the same worker,
+    so that ids don't travel to Python once more.
+
     Equal to encoding each match of the pattern by the ranks, as the library
     does. Null and empty texts have no ids; repeated rows and null doc_ids are
     kept as they are; only doc_id and text are read; texts are whole however
@@ -161,12 +164,12 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     name = f"kinthread_bpe_{uuid.uuid4().hex}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) >> 26)
     schema = T.StructType([
-        T.StructField("chunk", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)),
+        T.StructField("chunk", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.StringType())),
         T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("n_words", T.LongType()),
         T.StructField("words", T.BinaryType()), T.StructField("positions", T.BinaryType()),
     ])
     (
-        docs.select("doc_id", "text").mapInPandas(_chunks, schema)
+        docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_chunks, schema)
         .write.bucketBy(buckets, "chunk").format("parquet").option("compression", "uncompressed").saveAsTable(name)
     )
     atexit.register(_drop, spark, name)
@@ -213,7 +216,7 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     )
 
     def reassemble(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        doc_ids, texts = [], []
+        doc_ids, texts, decoded = [], [], []
         for row in left.itertuples():
             words = _unpack_words(row.words)
             group = _group_of(words, groups)
@@ -231,13 +234,19 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
                 at += count
                 doc_ids.append(doc_id)
                 texts.append(ids[_spans(begins[mine], lengths[mine])])
-        return pd.DataFrame({"doc_id": pd.Series(doc_ids, dtype=object), "ids": texts})
-
-    out = T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return (
+                if with_decoded:
+                    decoded.append(join_tokens(texts[-1], ranks))
+        out = {"doc_id": pd.Series(doc_ids, dtype=object), "ids": texts}
+        return pd.DataFrame(out | {"decoded": decoded} if with_decoded else out)
+
+    out = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    if with_decoded:
+        out = out.add("decoded", T.BinaryType())
+    rows = (
         chunks.select("chunk", "doc_ids", "counts", "words", "positions").groupBy("chunk")
         .cogroup(encoded.groupBy("chunk")).applyInPandas(reassemble, out)
     )
+    return rows.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def _spans(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -253,16 +262,21 @@ def _drop(spark, name: str) -> None:
         pass
 
 
+def join_tokens(ids: np.ndarray, ranks: str = RANKS) -> bytes:
+    """The bytes of token ids; an id outside the table is an error."""
+    table = token_bytes(ranks)
+    return b"".join([table[i] for i in ids.tolist()])
+
+
 def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     """``encoded`` with ``decoded`` binary: the bytes of its ``ids``, null for null ids.
 
     The ids meet the token-byte table, whose size the vocabulary file bounds
-    (50,256 rows), in the worker. An id outside the table is an error.
+    (50,256 rows), in the worker.
     """
 
     @F.pandas_udf("binary")
     def to_bytes(ids: pd.Series) -> pd.Series:
-        table = token_bytes(ranks)
-        return pd.Series([None if x is None else b"".join([table[i] for i in x.tolist()]) for x in ids], dtype=object)
+        return pd.Series([None if x is None else join_tokens(x, ranks) for x in ids], dtype=object)
 
     return encoded.withColumn("decoded", to_bytes("ids"))

@@ -31,6 +31,8 @@ def test_byte_bpe_equals_the_library_and_round_trips(spark, docs, monkeypatch):
     encoding = bpe.load_encoding(bpe.RANKS)
     expected = sorted((r.doc_id is None, r.doc_id or 0, encoding.encode_ordinary(r.text or "")) for r in docs.collect())
     assert sorted((r.doc_id is None, r.doc_id or 0, r.ids) for r in got) == expected
+    direct = bpe.encode(docs, with_decoded=True).collect()
+    assert sorted((str(r.doc_id), r.ids, bytes(r.decoded)) for r in direct) == sorted((str(r.doc_id), r.ids, bytes(r.decoded)) for r in got)
     texts = {(r.doc_id, hashlib.sha256((r.text or "").encode()).digest()) for r in docs.collect()}
     assert {(r.doc_id, hashlib.sha256(bytes(r.decoded)).digest()) for r in got} == texts
 
