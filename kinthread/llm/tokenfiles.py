@@ -344,7 +344,9 @@ def _read(spark: SparkSession, path: str, column: str, value) -> DataFrame:
                             rows, size = [], 0
                 yield _frame(rows, name)
 
-    return shards.select("file", "base", "shard").repartition("shard").select("file", "base").mapInPandas(
+    # a given number of partitions isn't coalesced, however few bytes name the files
+    files = max(1, manifest.count())
+    return shards.select("file", "base", "shard").repartition(files, "shard").select("file", "base").mapInPandas(
         read, f"doc_id long, start long, n_tokens long, {column}"
     )
 
