@@ -41,8 +41,8 @@ def value(counts: np.ndarray) -> np.ndarray:
 
 
 def size_value(words: np.ndarray) -> np.ndarray:
-    """The length feature: a long text has more of everything."""
-    return np.log2(1.0 + words) - 8
+    """The length feature: a text of more than some 250 words has more of everything."""
+    return np.maximum(np.log2(1.0 + words) - 8, 0.0)
 
 
 @dataclasses.dataclass
