@@ -1,61 +1,19 @@
-"""Helpers shared by the training-data operators: scratch tables, words, components."""
+"""Helpers shared by the training-data operators: words, sizes, components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinthread.runtime import scratch_path, shared_dir, stored
+
+__all__ = ["SPACE", "WORD", "connected_components", "input_bytes", "scratch_path", "shared_dir", "stored"]
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session has none (tests in local mode) a temporary folder of
-    this machine becomes the checkpoint folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="kinthread-checkpoints-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the session's Python ends."""
-    path = f"{shared_dir(spark)}/kinthread-{name}-{uuid.uuid4().hex}"
-
-    def remove():
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone already
-            pass
-
-    atexit.register(remove)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs the reread of its files only, and
-    whatever uses the table twice computes it once. Columnar and compressed, so
-    smaller than a checkpoint of rows.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def input_bytes(docs: DataFrame) -> int:
     """Bytes behind ``docs``: Catalyst's estimate (file sizes for scans), or else the texts' sum."""
     found = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -250,23 +250,23 @@ def forest(spark: SparkSession, seed: int = 11) -> list:
     return _forest(spark.sparkContext.applicationId, seed)
 
 
-def findings(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``findings``: array<struct<position, value, score, is_secret>>.
+def findings(docs: DataFrame, name: str = "findings") -> DataFrame:
+    """``docs`` with the column ``name``: array<struct<position, value, score, is_secret>>.
 
     Every candidate of every text, with the forest's share of votes; is_secret
     from one half. Null and empty texts have an empty array. One row per row,
-    whatever repeats; a column named findings is replaced. Texts are read whole.
+    whatever repeats; a column of that name is replaced. Texts are read whole.
     """
     trees = forest(docs.sparkSession)
     score = f"({' + '.join(tree_sql(t, 'f') for t in trees)}) / {len(trees)}"
     both = F.transform(candidates(F.col("text")), lambda c: F.struct(c["position"].alias("position"), c["value"].alias("value"), features(c).alias("f")))
-    out = docs.withColumn("findings", both)
-    out = out.withColumn("findings", F.expr(
-        "transform(findings, c -> struct(c.position AS position, c.value AS value, "
+    out = docs.withColumn(name, both)
+    out = out.withColumn(name, F.expr(
+        f"transform({name}, c -> struct(c.position AS position, c.value AS value, "
         f"transform(array(c.f), f -> {score})[0] AS score))"
     ))
-    return out.withColumn("findings", F.expr(
-        "transform(findings, c -> struct(c.position AS position, c.value AS value, c.score AS score, c.score >= 0.5D AS is_secret))"
+    return out.withColumn(name, F.expr(
+        f"transform({name}, c -> struct(c.position AS position, c.value AS value, c.score AS score, c.score >= 0.5D AS is_secret))"
     ))
 
 
@@ -280,14 +280,14 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
 
     Rows, other columns and texts without secrets stay as they are.
     """
-    columns = docs.columns
+    columns, name = docs.columns, "findings_to_mask"
+    values = F.transform(F.filter(name, lambda c: c["is_secret"]), lambda c: c["value"])
     hidden = F.aggregate(
-        F.array_sort(F.transform(F.filter("findings", lambda c: c["is_secret"]), lambda c: c["value"]), lambda a, b: F.length(b) - F.length(a)),
-        F.col("text"), lambda t, v: F.replace(t, v, F.lit(mask)),
+        F.array_sort(values, lambda a, b: F.length(b) - F.length(a)), F.col("text"), lambda t, v: F.replace(t, v, F.lit(mask)),
     )
-    out = findings(docs).withColumn("text", F.when(F.exists("findings", lambda c: c["is_secret"]), hidden).otherwise(F.col("text")))
+    changed = F.exists(name, lambda c: c["is_secret"])
+    out = findings(docs, name).withColumn("text", F.when(changed, hidden).otherwise(F.col("text")))
     if "n_chars" in columns:
-        kind = docs.schema["n_chars"].dataType
-        changed = F.exists("findings", lambda c: c["is_secret"])
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(changed, size).otherwise(F.col("n_chars")))
     return out.select(*columns)
