@@ -34,20 +34,22 @@ OPTI = DistanceMetricConfig()
 
 # ---------------------------------------------------------------------- fixtures
 
-#: Five noisy frames; valid in Spark and DuckDB.
+#: Five noisy frames of all suppliers; valid in Spark and DuckDB. A sixth of a frame's
+#: records have nothing in common with the entity's others: births and misses.
 FRAMES_SQL = """
 WITH f AS (SELECT 0 AS frame_idx UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4),
-base AS (SELECT f.frame_idx, p.p_partkey,
-  CASE (p.p_partkey + 2*f.frame_idx) % 5 WHEN 0 THEN substr(p.p_name,2) WHEN 1 THEN p.p_name || 'e'
-       WHEN 2 THEN replace(p.p_name,'e','a') ELSE p.p_name END AS name,
-  CASE WHEN (p.p_partkey + f.frame_idx) % 7 = 0 THEN NULL ELSE p.p_brand || '/' || p.p_type END AS origin,
-  CASE WHEN (p.p_partkey + 3*f.frame_idx) % 11 = 0
-       THEN replace(CAST(100000 + (p.p_partkey*7919) % 89989 AS VARCHAR(20)),'1','7')
-       ELSE CAST(100000 + (p.p_partkey*7919) % 89989 AS VARCHAR(20)) END AS code,
-  split(p.p_name,' ') AS members
-  FROM part p CROSS JOIN f WHERE p.p_partkey < 120 AND (p.p_partkey + f.frame_idx) % 6 <> 0)
-SELECT frame_idx, CAST(row_number() OVER (PARTITION BY frame_idx ORDER BY p_partkey) - 1 AS BIGINT) AS record_idx,
-       name, origin, code, members FROM base
+entity AS (SELECT s_suppkey AS k, n_name || '/' || r_name AS origin,
+  CAST(100000 + (s_suppkey * 7919) % 89989 AS VARCHAR(20)) AS code,
+  translate(CAST(100000 + (s_suppkey * 7919) % 899981 AS VARCHAR(20)), '0123456789', 'abehilnors') || ' ' ||
+  translate(CAST(CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS VARCHAR(20)), '0123456789', 'umtdrskaeo') AS name
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+base AS (SELECT frame_idx, k, (k + frame_idx) % 6 = 0 AS other,
+  CASE (k + 2 * frame_idx) % 5 WHEN 0 THEN substr(name, 2) WHEN 1 THEN name || 'e' WHEN 2 THEN replace(name, 'e', 'a') ELSE name END AS name,
+  CASE WHEN (k + frame_idx) % 7 = 0 THEN NULL ELSE origin END AS origin,
+  CASE WHEN (k + 3 * frame_idx) % 11 = 0 THEN replace(code, '1', '7') ELSE code END AS code, name AS clean FROM entity CROSS JOIN f)
+SELECT frame_idx, CAST(row_number() OVER (PARTITION BY frame_idx ORDER BY k) - 1 AS BIGINT) AS record_idx,
+  CASE WHEN other THEN reverse(name) ELSE name END AS name, CASE WHEN other THEN NULL ELSE origin END AS origin,
+  CASE WHEN other THEN reverse(code) ELSE code END AS code, split(CASE WHEN other THEN reverse(clean) ELSE clean END, ' ') AS members FROM base
 """
 EVENTS_SQL = """
 SELECT tracker_id, frame_idx, record_idx, value FROM (
@@ -65,22 +67,35 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def frames_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five frames, numbered by the frame operators."""
-    part = _read(spark, sf_dir, "part").where("p_partkey < 120")
+    """The five frames of FRAMES_SQL, numbered by the frame operators."""
+    key = F.col("s_suppkey")
+    digits = lambda n: n.cast("long").cast("string")
+    clean = F.concat(
+        F.translate(digits(F.lit(100000) + (key * 7919) % 899981), "0123456789", "abehilnors"), F.lit(" "),
+        F.translate(digits(F.round(F.abs("s_acctbal") * 100)), "0123456789", "umtdrskaeo"),
+    )
+    entity = (
+        _read(spark, sf_dir, "supplier")
+        .join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(key, clean.alias("clean"), F.concat("n_name", F.lit("/"), "r_name").alias("origin"), digits(F.lit(100000) + (key * 7919) % 89989).alias("code"))
+    )
     made = []
     for k in range(5):
-        key, name = F.col("p_partkey"), F.col("p_name")
-        turn = (key + 2 * k) % 5
-        code = (F.lit(100000) + (key * 7919) % 89989).cast("string")
-        made.append(part.where((key + k) % 6 != 0).select(
-            "p_partkey",
+        turn, other = (key + 2 * k) % 5, (key + k) % 6 == 0
+        name, code = F.col("clean"), F.col("code")
+        noisy = (
             F.when(turn == 0, F.substring(name, 2, 1 << 20)).when(turn == 1, F.concat(name, F.lit("e")))
-            .when(turn == 2, F.replace(name, F.lit("e"), F.lit("a"))).otherwise(name).alias("name"),
-            F.when((key + k) % 7 != 0, F.concat("p_brand", F.lit("/"), "p_type")).alias("origin"),
-            F.when((key + 3 * k) % 11 == 0, F.replace(code, F.lit("1"), F.lit("7"))).otherwise(code).alias("code"),
-            F.split(name, " ").alias("members"), "p_size",
+            .when(turn == 2, F.replace(name, F.lit("e"), F.lit("a"))).otherwise(name)
+        )
+        coded = F.when((key + 3 * k) % 11 == 0, F.replace(code, F.lit("1"), F.lit("7"))).otherwise(code)
+        made.append(entity.select(
+            "s_suppkey", F.when(other, F.reverse(noisy)).otherwise(noisy).alias("name"),
+            F.when(~other & ((key + k) % 7 != 0), F.col("origin")).alias("origin"),
+            F.when(other, F.reverse(coded)).otherwise(coded).alias("code"),
+            F.split(F.when(other, F.reverse(name)).otherwise(name), " ").alias("members"),
         ))
-    return R.records_of(made, SCHEMA, ["p_partkey"])
+    return R.records_of(made, SCHEMA, ["s_suppkey"])
 
 
 def events_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
