@@ -117,7 +117,7 @@ def conversation_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _read(spark, sf_dir, "part").select("p_name").distinct()
-    return words.select(F.col("p_name").alias("w1")).crossJoin(F.broadcast(words.select(F.col("p_name").alias("w2"))))
+    return words.select(F.col("p_name").alias("w1")).crossJoin(words.select(F.col("p_name").alias("w2")))
 
 
 def _frame(records: DataFrame, k: int) -> DataFrame:
@@ -184,7 +184,7 @@ def multi_similarity(spark, sf_dir):
     left = _frame(records, 0).select(F.col("record_idx").alias("left_idx"), F.col("members").alias("a"))
     right = _frame(records, 1).select(F.col("record_idx").alias("right_idx"), F.col("members").alias("b"))
     value = similarity.multi_similarity(F.col("a"), F.col("b"), similarity.native_levenshtein)
-    return left.crossJoin(F.broadcast(right)).select("left_idx", "right_idx", F.round(value.cast("double"), 5).alias("similarity"))
+    return left.crossJoin(right).select("left_idx", "right_idx", F.round(value.cast("double"), 5).alias("similarity"))
 
 
 def _scored(scorer: RecordScorerConfig):
@@ -194,7 +194,7 @@ def _scored(scorer: RecordScorerConfig):
         left = _frame(records, 0).select(F.col("record_idx").alias("left_idx"), *(F.col(n).alias(f"{n}_0") for n in STRINGS.names))
         right = _frame(records, 1).select(F.col("record_idx").alias("right_idx"), *STRINGS.names)
         sims = [similarity.native_levenshtein(F.col(f"{n}_0"), F.col(n)) for n in STRINGS.names]
-        pairs = left.crossJoin(F.broadcast(right))
+        pairs = left.crossJoin(right)
         return pairs.select("left_idx", "right_idx", F.round(score(scorer, sims).cast("double"), 4).alias("score"))
 
     return run
@@ -351,7 +351,7 @@ def tail_counts(spark, sf_dir):
 def _event_nodes(chains: DataFrame) -> DataFrame:
     """Nodes by day: a record per user, matched or not."""
     users, days = chains.select("tracker_id").distinct(), chains.select("frame_idx").distinct()
-    return days.crossJoin(F.broadcast(users)).select("frame_idx", F.col("tracker_id").alias("record_idx"))
+    return days.crossJoin(users).select("frame_idx", F.col("tracker_id").alias("record_idx"))
 
 
 def graph_ratios(spark, sf_dir):

@@ -19,7 +19,13 @@ from kinthread.schema import RecordSchema
 
 
 class StreamTracker:
-    """Feeds a Tracking run from micro-batches of (frame_idx, record_idx, features)."""
+    """Feeds a Tracking run from micro-batches of (frame_idx, record_idx, features).
+
+    The state's tables are stored in the shared folder, their handles live in
+    this object: lost executors don't matter, after a lost driver the stream
+    begins again with a fresh checkpoint. Rows of a frame that come after a
+    later frame has begun are late and dropped.
+    """
 
     def __init__(self, config: TrackingConfig, schema: RecordSchema):
         self.run, self.schema = Tracking(config, schema), schema
