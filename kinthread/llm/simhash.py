@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,25 +34,45 @@ HOMES = 128
 CELL = 1024
 #: At most so many anchors can be cut, so their list is small at any size.
 HOT_ANCHORS = 50_000
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Largest dimension of one component code; larger codes are direct sums.
 COMPONENT_BITS = 12
 
 
+def _runs(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of ``data``, about ``size`` bytes at a time."""
+    at = 0
+    while at < len(data):
+        space = _SPACE.search(data, at + size)
+        end = space.start() if space else len(data)
+        yield data[at:end].split()
+        at = end
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of ``text``: bit set if in over half the shingles' XXH64 (repeats count)."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = [b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)]
-    total = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(grams), 8192):  # bounded memory for very long texts
-        part = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams[at : at + 8192]], dtype="<u8")
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """SimHash of ``text``: bit set if in over half the shingles' XXH64 (repeats count).
+
+    A very long text is hashed a run of words at a time.
+    """
+    total, count, words = np.zeros(BITS, dtype=np.int64), 0, []
+
+    def add(grams: list[bytes]) -> None:
+        nonlocal total, count
+        hashes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype="<u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int64)
-    set_bits = (total * 2 > len(grams)).astype(np.uint8)
+        count += len(grams)
+
+    for run in _runs((text or "").encode("utf-8", "surrogatepass").lower()):
+        words = words[max(0, len(words) - shingle + 1) :] + run
+        grams = [b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)]
+        for at in range(0, len(grams), 8192):
+            add(grams[at : at + 8192])
+    if not count:
+        if not words:
+            return 0
+        add([b" ".join(words)])
+    set_bits = (total * 2 > count).astype(np.uint8)
     return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
 
 

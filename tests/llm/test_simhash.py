@@ -66,6 +66,9 @@ def test_empty_table(spark):
 def test_very_long_text_is_read_whole():
     text = " ".join(str(i) for i in range(30_000))
     assert simhash.fingerprint(text) == brute_fingerprint(text)
+    assert sum(simhash._runs(b"a b  c d e", 3), []) == [b"a", b"b", b"c", b"d", b"e"]
+    longer = " ".join(str(i) for i in range(200_000))
+    assert simhash.fingerprint(longer) == brute_fingerprint(longer)
     assert simhash.fingerprint(text + " tail tail tail") != simhash.fingerprint("tail tail tail")
 
 
