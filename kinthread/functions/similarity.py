@@ -60,7 +60,7 @@ def _by_length(left, right, compute, columns: int) -> np.ndarray:
 def _full(c: Coded) -> np.ndarray:
     """Levenshtein."""
     n, width = len(c.la), c.b.shape[1]
-    row = np.tile(np.arange(width + 1, dtype=np.int64), (n, 1)).T.copy()
+    row = np.tile(np.arange(width + 1, dtype=np.int32), (n, 1)).T.copy()
     out = np.take_along_axis(row, c.lb[None, :], 0)[0]
     for i in range(1, c.a.shape[1] + 1):
         new = np.empty_like(row)
@@ -76,11 +76,11 @@ def _full(c: Coded) -> np.ndarray:
 def _triangle(c: Coded) -> np.ndarray:
     """(edits, longest common run) of the programme below the diagonal; left words must not be shorter."""
     n, width = len(c.la), c.b.shape[1]
-    row = np.full((width + 1, n), FAR, dtype=np.int64)
-    run = np.zeros((width + 1, n), dtype=np.int64)
+    row = np.full((width + 1, n), FAR, dtype=np.int32)
+    run = np.zeros((width + 1, n), dtype=np.int32)
     row[0] = 0
-    longest = np.zeros(n, dtype=np.int64)
-    out = np.zeros(n, dtype=np.int64)  # both empty
+    longest = np.zeros(n, dtype=np.int32)
+    out = np.zeros(n, dtype=np.int32)  # both empty
     for i in range(1, c.a.shape[1] + 1):
         new, new_run = np.full_like(row, FAR), np.zeros_like(run)
         new[0] = i
@@ -98,7 +98,7 @@ def _triangle(c: Coded) -> np.ndarray:
 def _scripts(c: Coded) -> np.ndarray:
     """(substitutions, deletions, additions) on the script that prefers add, then del, then sub."""
     n, width = len(c.la), c.b.shape[1]
-    row = np.zeros((width + 1, 4, n), dtype=np.int64)  # cost, sub, del, add
+    row = np.zeros((width + 1, 4, n), dtype=np.int32)  # cost, sub, del, add
     row[:, 0] = row[:, 3] = np.arange(width + 1)[:, None]
     pick = np.arange(n)
     out = row[c.lb, :, pick]

@@ -17,7 +17,7 @@ from kinthread.schema import ElementType, RecordSchema
 #: Pairs up to which every tracker meets every record; beyond, pairs are blocked
 #: where the metric allows it without loss.
 ALL_PAIRS = 50_000_000
-#: Records that may be broadcast to the trackers.
+#: Records that may go to every task.
 BROADCAST_RECORDS = 200_000
 #: Rows of one batch of pairs.
 PAIRS = 8192
@@ -162,33 +162,130 @@ def blocked_pairs(trackers: DataFrame, records: DataFrame, schema: RecordSchema,
     return found.distinct()
 
 
-def candidate_pairs(
-    trackers: DataFrame, records: DataFrame, schema: RecordSchema, metric: DistanceMetricConfig,
-    scorer: RecordScorerConfig, threshold: float, all_pairs: int = ALL_PAIRS,
+class RecordSide:
+    """A frame's records for numpy: per feature its distinct words and which of them a record has."""
+
+    def __init__(self, columns: list[list], multi: list[bool]):
+        self.multi, self.words, self.flat, self.begins, self.lengths = multi, [], [], [], []
+        for cells, lists in zip(columns, multi, strict=True):
+            place: dict[str, int] = {}
+            rows = [[] if c is None else ([place.setdefault(w, len(place)) for w in (c if lists else [c])]) for c in cells]
+            lengths = np.array([-1 if c is None else len(r) for c, r in zip(cells, rows, strict=True)], dtype=np.int64)
+            self.words.append(list(place))
+            self.flat.append(np.array([i for r in rows for i in r], dtype=np.int64))
+            self.begins.append(np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0))
+            self.lengths.append(lengths)
+
+    def similarity(self, f: int, memories: list, metric: DistanceMetricConfig) -> tuple[np.ndarray, np.ndarray]:
+        """(similarities, present) of trackers x records for feature ``f``."""
+        lengths, flat, begins = self.lengths[f], self.flat[f], self.begins[f]
+        out = np.zeros((len(memories), len(lengths)), dtype=np.float32)
+        present = np.zeros(out.shape, dtype=bool)
+        place: dict[str, int] = {}
+        for memory in memories:
+            for element in memory or []:
+                for w in element:
+                    place.setdefault(w, len(place))
+        n = len(self.words[f])
+        if not place or not n and not self.multi[f]:
+            return out, present
+        table = similarities(metric, [w for w in place for _ in range(n)], self.words[f] * len(place)).reshape(len(place), n)
+        some = lengths > 0
+        # per memory word the best of each record's words
+        per_word = np.zeros((len(place), len(lengths)), dtype=np.float32)
+        if some.any():
+            per_word[:, some] = np.fmax.reduceat(table[:, flat], begins[some], axis=1)
+        for t, memory in enumerate(memories):
+            best = None
+            for element in memory or []:
+                if not len(element):
+                    continue
+                rows = [place[w] for w in element]
+                if self.multi[f]:
+                    total = np.zeros(len(lengths), dtype=np.float32)
+                    for r in rows:
+                        total += per_word[r]
+                    value = total / np.maximum(len(rows), lengths).astype(np.float32)
+                else:
+                    value = per_word[rows[0]]
+                best = value if best is None else np.fmax(best, value)
+            if best is not None:
+                out[t], present[t] = best, (lengths >= 0 if self.multi[f] else some)
+        return out, present
+
+
+def _may_score(scorer: RecordScorerConfig, sims: list[np.ndarray], present: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Pairs whose score is over the threshold or too near to tell in doubles."""
+    weights = [1.0] * len(sims) if scorer.record_scorer == "average" else list(scorer.weights)
+    power = 2 if scorer.record_scorer == "weighted-quadratic" else 1
+    top = sum(w * np.where(p, s.astype(np.float64) ** power, 0) for w, s, p in zip(weights, sims, present, strict=True))
+    if scorer.record_scorer == "average":
+        return top / len(sims) > threshold - 1e-4
+    under = np.maximum(sum(w * p for w, p in zip(weights, present, strict=True)), scorer.min_weight_ratio * sum(weights))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return top / under > threshold - 1e-4
+
+
+def nested_loop(
+    trackers: DataFrame, records: DataFrame, schema: RecordSchema, metric: DistanceMetricConfig, scorer: RecordScorerConfig, threshold: float,
 ) -> DataFrame:
-    """Tracker and record columns of every pair that may score over ``threshold``.
+    """(tracker_id, record_idx, distances) of all pairs that may score over ``threshold``.
 
-    Few pairs: all. Many, and a metric that plain edit distance bounds
-    (``lv``, ``lv_opti``) with a positive threshold and only strings (a list's
-    similarity is a mean of its words', so one of them is as similar): blocked.
+    ``records``, few enough (counted before), go to every task; a batch of
+    trackers computes its distinct words against the frame's once and gives out
+    only the pairs that count.
     """
-    n, m = trackers.count(), records.count()
-    bounded = metric.metric in ("lv", "lv_opti") and not metric.use_sigmoid
-    least = least_similarity(scorer, threshold)
-    if n * m > all_pairs and bounded and least > 0:
-        keys = blocked_pairs(trackers, records, schema, least)
-        return keys.join(trackers, "tracker_id").join(records, "record_idx")
-    right = F.broadcast(records) if m <= BROADCAST_RECORDS else records
-    return trackers.repartition(min(256, max(1, n * m // 20_000 + 1))).crossJoin(right)
+    names = schema.names
+    rows = records.select("record_idx", *names).orderBy("record_idx").collect()
+    multi = [f.dtype is ElementType.MultiStrings for f in schema.fields]
+    shared = records.sparkSession.sparkContext.broadcast((
+        np.array([r.record_idx for r in rows], dtype=np.int64), RecordSide([[r[n] for r in rows] for n in names], multi)
+    ))
+    step = max(1, min(512, (1 << 21) // max(1, len(rows))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, side = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                found = [side.similarity(i, part[memory_name(i)].to_pylist(), metric) for i in range(len(names))]
+                sims, present = [s for s, _ in found], [p for _, p in found]
+                t, r = np.nonzero(_may_score(scorer, sims, present, threshold))
+                values = np.stack([s[t, r] for s in sims], axis=1).reshape(-1)
+                missing = ~np.stack([p[t, r] for p in present], axis=1).reshape(-1)
+                distances = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(t) + 1) * len(names), pa.int32()), pa.array(values, pa.float32(), mask=missing)
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [part["tracker_id"].take(pa.array(t)), pa.array(ids[r]), distances], ["tracker_id", "record_idx", "distances"]
+                )
+
+    columns = ["tracker_id", *(memory_name(i) for i in range(len(names)))]
+    tasks = trackers.sparkSession.sparkContext.defaultParallelism
+    return trackers.select(*columns).repartition(tasks, "tracker_id").mapInArrow(run, "tracker_id long, record_idx long, distances array<float>")
 
 
 def score_pairs(
     trackers: DataFrame, records: DataFrame, schema: RecordSchema, metric: DistanceMetricConfig,
     scorer: RecordScorerConfig, threshold: float, all_pairs: int = ALL_PAIRS,
 ) -> DataFrame:
-    """(tracker_id, record_idx, score, distances) of all pairs that score over ``threshold``."""
-    pairs = candidate_pairs(trackers, records, schema, metric, scorer, threshold, all_pairs)
-    found = pair_similarities(pairs, schema, metric)
+    """(tracker_id, record_idx, score, distances) of all pairs that score over ``threshold``.
+
+    Few pairs, or a metric without a bound: all trackers meet all records. Many,
+    and a metric that plain edit distance bounds (``lv``, ``lv_opti``) with a
+    positive threshold: blocked. (A list's similarity is a mean of its words',
+    so one of them is as similar.)
+    """
+    n, m = trackers.count(), records.count()
+    least = least_similarity(scorer, threshold)
+    bounded = metric.metric in ("lv", "lv_opti") and not metric.use_sigmoid and least > 0
+    if n * m > all_pairs and bounded:
+        keys = blocked_pairs(trackers, records, schema, least)
+        found = pair_similarities(keys.join(trackers, "tracker_id").join(records, "record_idx"), schema, metric)
+    elif m <= BROADCAST_RECORDS:
+        found = nested_loop(trackers, records, schema, metric, scorer, threshold)
+    else:
+        found = pair_similarities(trackers.crossJoin(records), schema, metric)
     by_feature = [F.get("distances", i) for i in range(len(schema.fields))]
     return (
         found.withColumn("score", score(scorer, by_feature)).where(interesting(F.col("score"), threshold))
