@@ -63,3 +63,11 @@ def groups(texts: Sequence[bytes], most: int = 1 << 20) -> Iterator[tuple[int, i
         size += len(text)
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def word_starts_by_part(data: bytes, sizes: Sequence[int], bits: int, size: int = 1 << 22) -> Iterator[np.ndarray]:
+    """The hashes of ``word_starts`` for a folded text, about ``size`` bytes at a time."""
+    data += b" " * max(sizes)
+    for low in range(0, len(data), size):
+        at, grams = word_starts(data[low : low + size + max(sizes)] + b" " * max(sizes), sizes, bits)
+        yield grams[at < size]

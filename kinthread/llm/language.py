@@ -37,12 +37,12 @@ def profiles(texts) -> np.ndarray:
     for low, high in groups(ready, 1 << 18):
         sizes = np.array([len(x) for x in ready[low:high]])
         data = b"".join(ready[low:high])
-        owner = np.repeat(np.arange(high - low), sizes)
         if high - low == 1:
             for at in range(0, len(data), 1 << 20):  # a long text part by part
-                part = data[at : at + (1 << 20) + max(SIZES) - 1]
-                out[low] += np.bincount(gram_ids(part, SIZES, BITS), minlength=dim)
+                for n in SIZES:
+                    out[low] += np.bincount(gram_ids(data[at : at + (1 << 20) + n - 1], (n,), BITS), minlength=dim)
             continue
+        owner = np.repeat(np.arange(high - low), sizes)
         ids = gram_ids(data, SIZES, BITS)
         # a gram belongs to the text that it begins in; those across a border start in its last bytes
         who = np.concatenate([owner[: len(data) - n + 1] for n in SIZES])

@@ -166,6 +166,7 @@ class TableReader:
 
 
 _SPACES = re.compile("[\t\n\r\x0b\x0c]")
+_CUT = re.compile("[ \t\n\r\x0b\x0c]")
 #: A full stop or comma between a Latin letter and white space is a pre-token of its own
 #: (but not after the one letter whose lower case ends in a combining mark).
 _STOPS = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([.,])(?=\s)")
@@ -251,14 +252,14 @@ class PieceEncoder:
 
 
 def segments(text: str, size: int = 1 << 20) -> Iterator[str]:
-    """``text`` in parts of about ``size`` characters, cut at spaces."""
+    """``text`` in parts of about ``size`` characters, cut at white space."""
     at = 0
     while len(text) - at > size:
-        cut = text.find(" ", at + size)
-        if cut < 0:
+        space = _CUT.search(text, at + size)
+        if not space:
             break
-        yield text[at:cut]
-        at = cut + 1
+        yield text[at : space.start()] + " "  # what stands before white space still does
+        at = space.end()
     yield text[at:]
 
 

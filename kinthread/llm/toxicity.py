@@ -20,9 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinthread.llm.grams import folded, groups, word_starts
+from kinthread.llm.grams import folded, groups, word_starts, word_starts_by_part
 
 SIZES = (5, 6, 7)
+#: Bytes of a very long text that are hashed at once.
+PART = 1 << 22
 BITS = 20
 #: Documents that the classifier is fitted on, at most: toxic, unlabelled, and
 #: labelled harmless ones, which only set the prior and the decision threshold.
@@ -61,6 +63,9 @@ class Model:
         known[self.ids] = np.arange(1, len(self.ids) + 1)
         ready = [folded(t if isinstance(t, str) else "") + pad for t in texts]
         for low, high in groups(ready):
+            if high - low == 1:
+                out[low] += self._margin(ready[low], known)
+                continue
             at, grams = word_starts(b"".join(ready[low:high]), SIZES, BITS)
             owner = np.searchsorted(np.cumsum([len(x) for x in ready[low:high]]), at, side="right").astype(np.int64)
             out[low:high] += self.length * size_value(np.bincount(owner, minlength=high - low) / len(SIZES))
@@ -72,6 +77,15 @@ class Model:
                 out[low:high] += np.bincount(pairs // len(self.ids), weights=terms, minlength=high - low)
         return out
 
+    def _margin(self, text: bytes, known: np.ndarray) -> float:
+        """Of one text, a part at a time: what counts of a very long text is small."""
+        counts, words = np.zeros(len(self.ids)), 0.0
+        for grams in word_starts_by_part(text, SIZES, BITS, PART):
+            words += len(grams) / len(SIZES)
+            hit = known[grams]
+            counts += np.bincount(hit[hit > 0] - 1, minlength=len(self.ids))
+        return float(self.length * size_value(words) + (self.weights * value(counts)).sum())
+
     def scores(self, texts) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margins(texts), -50, 50)))
 
@@ -83,8 +97,15 @@ def held_out(doc_id):
 
 def counted_grams(text) -> np.ndarray:
     """The text's features as uint32: the gram in the low BITS, its count (at most 4095) above."""
-    _, grams = word_starts(folded(text if isinstance(text, str) else "") + b" " * max(SIZES), SIZES, BITS)
-    ids, counts = np.unique(grams, return_counts=True)
+    found = [
+        np.unique(grams, return_counts=True)
+        for grams in word_starts_by_part(folded(text if isinstance(text, str) else ""), SIZES, BITS, PART)
+    ]
+    ids, counts = found[0]
+    if len(found) > 1:
+        total = sum(np.bincount(i, weights=c, minlength=1 << BITS) for i, c in found).astype(np.int64)
+        ids = np.flatnonzero(total).astype(np.uint32)
+        counts = total[ids]
     return ids | (np.minimum(counts, 4095).astype(np.uint32) << np.uint32(BITS))
 
 

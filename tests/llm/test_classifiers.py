@@ -63,6 +63,17 @@ def test_profiles_of_long_texts_equal_those_of_parts(monkeypatch):
     assert grams.folded("  A\tB\n ") == b" a b "
 
 
+def test_parts_of_a_long_text_count_as_the_whole(monkeypatch):
+    rows, labels = toxic_corpus(2, 300)
+    texts, marks = dict(rows), dict(labels)
+    counted = {i: toxicity.counted_grams(t) for i, t in rows}
+    model = toxicity.fit([counted[i] for i, y in labels if y], list(counted.values()), 0.15)
+    long = " ".join(texts.values())
+    whole, features = model.margins(["a", long])[1], toxicity.counted_grams(long)
+    monkeypatch.setattr(toxicity, "PART", 64)
+    assert np.allclose(model.margins([long])[0], whole) and np.array_equal(toxicity.counted_grams(long), features)
+
+
 def toxic_corpus(seed=4, n=1500):
     rng = random.Random(seed)
     words = [f"{a}{b}" for a in ("tor", "lin", "mas", "pel", "rud", "sim") for b in ("a", "en", "ion", "ly", "est", "o", "ers")]

@@ -108,3 +108,12 @@ def test_cache_overflow_keeps_results(monkeypatch):
     for text in odd_texts():
         expected = encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
         assert encoder.encode(text or "").tolist() == expected
+
+
+def test_long_texts_are_cut_between_pieces():
+    text = "some Words, and. " * 50 + "\n" + "more<|endoftext|>\tİ. " * 40
+    cut = list(tokenfiles.segments(text, 37))
+    assert len(cut) > 20
+    encoder = tokenfiles.PieceEncoder(tokenfiles.VOCABULARY)
+    ids = np.concatenate([encoder.encode(part) for part in cut])
+    assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
