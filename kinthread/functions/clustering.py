@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 
 from kinthread.config import NormalizationConfig, DistanceMetricConfig
-from kinthread.functions.similarity import similarities
+from kinthread.functions.similarity import similarity_table
 from kinthread.functions.words import median_word
 
 
@@ -45,9 +45,7 @@ def average_linkage(matrix: np.ndarray, threshold: float) -> list[list[int]]:
 def similarity_matrix(words: Sequence[str], metric: DistanceMetricConfig) -> np.ndarray:
     """All ordered pairs; each distinct pair is computed once."""
     distinct = list(dict.fromkeys(words))
-    n = len(distinct)
-    left = [w for w in distinct for _ in range(n)]
-    values = similarities(metric, left, distinct * n).reshape(n, n)
+    values = similarity_table(metric, distinct, distinct)
     at = [distinct.index(w) for w in words]
     return values[np.ix_(at, at)]
 

@@ -16,43 +16,53 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kinthread.config import DistanceMetricConfig
-from kinthread.functions.words import graphemes
+from kinthread.functions.words import edit_script, graphemes
 
 #: Cells over the diagonal.
 FAR = 1 << 20
 #: Pairs of one dynamic programme.
 BATCH = 1 << 15
+#: Up to so many pairs plain Python is faster than numpy.
+FEW = 32
 
 
-class Coded:
-    """Words as padded matrices of grapheme numbers."""
+class Lexicon:
+    """Distinct words as one padded matrix of grapheme numbers."""
 
-    def __init__(self, left: Sequence[Sequence[str]], right: Sequence[Sequence[str]]):
+    def __init__(self, words: Sequence[Sequence[str]]):
+        self.words = words
+        self.lengths = np.array([len(w) for w in words], dtype=np.int64)
         numbers: dict[str, int] = {}
+        self.matrix = np.full((len(words), max(1, self.lengths.max(initial=0))), -1, dtype=np.int32)
+        for row, word in zip(self.matrix, words, strict=True):
+            row[: len(word)] = [numbers.setdefault(g, len(numbers)) for g in word]
+
 
-        def matrix(words):
-            sizes = np.array([len(w) for w in words], dtype=np.int64)
-            out = np.full((len(words), max(1, sizes.max(initial=0))), -1, dtype=np.int32)
-            for row, word in zip(out, words, strict=True):
-                for j, g in enumerate(word):
-                    row[j] = numbers.setdefault(g, len(numbers))
-            return out, sizes
+class Coded:
+    """Pairs of words as two matrices, cut to their longest words."""
 
-        self.a, self.la = matrix(left)
-        self.b, self.lb = matrix(right)
+    def __init__(self, lexicon: Lexicon, left: np.ndarray, right: np.ndarray):
+        self.la, self.lb = lexicon.lengths[left], lexicon.lengths[right]
+        self.a = lexicon.matrix[left, : max(1, self.la.max(initial=0))]
+        self.b = lexicon.matrix[right, : max(1, self.lb.max(initial=0))]
 
 
-def _by_length(left, right, compute, columns: int) -> np.ndarray:
+def _by_length(lexicon: Lexicon, left: np.ndarray, right: np.ndarray, compute, columns: int) -> np.ndarray:
     """``compute`` over batches of pairs of like lengths; int64 (pairs, columns)."""
+    if len(left) <= FEW:
+        one = {_full: _full_of_one, _triangle: _triangle_of_one, _scripts: _script_of_one}[compute]
+        found = [one(lexicon.words[a], lexicon.words[b]) for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+        return np.array(found, dtype=np.int64).reshape(len(left), columns)
     out = np.zeros((len(left), columns), dtype=np.int64)
-    longest = np.array([max(len(a), len(b)) for a, b in zip(left, right, strict=True)], dtype=np.int64)
+    longest = np.maximum(lexicon.lengths[left], lexicon.lengths[right])
     order = np.argsort(longest, kind="stable")
+    ranked = longest[order]
     at = 0
     while at < len(order):
         # up to half as long again, so that padding stays small
-        end = int(np.searchsorted(longest[order], max(8, longest[order[at]] * 3 // 2), side="right"))
+        end = int(np.searchsorted(ranked, max(8, ranked[at] * 3 // 2), side="right"))
         part = order[at : min(end, at + BATCH)]
-        out[part] = compute(Coded([left[i] for i in part], [right[i] for i in part])).reshape(len(part), columns)
+        out[part] = compute(Coded(lexicon, left[part], right[part])).reshape(len(part), columns)
         at += len(part)
     return out
 
@@ -121,76 +131,130 @@ def _scripts(c: Coded) -> np.ndarray:
     return out[:, 1:]
 
 
-def _longer_first(left, right):
-    swap = [len(a) < len(b) for a, b in zip(left, right, strict=True)]
-    return (
-        [b if s else a for a, b, s in zip(left, right, swap, strict=True)],
-        [a if s else b for a, b, s in zip(left, right, swap, strict=True)],
-    )
+def _full_of_one(a, b) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before if x == y else 1 + min(before, row[j], row[j - 1])
+    return row[-1]
+
+
+def _triangle_of_one(a, b) -> tuple[int, int]:
+    row, run, longest = [0] + [FAR] * len(b), [0] * (len(b) + 1), 0
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        before_run = 0
+        for j, y in enumerate(b[:i], 1):
+            here, here_run = row[j], run[j]
+            if x == y:
+                row[j], run[j] = before, before_run + 1
+                longest = max(longest, run[j])
+            else:
+                row[j], run[j] = 1 + min(before, here, row[j - 1]), 0
+            before, before_run = here, here_run
+    return row[-1], longest
+
+
+def _script_of_one(a, b) -> list[int]:
+    kinds = [kind for kind, _ in edit_script(a, b)]
+    return [kinds.count("sub"), kinds.count("del"), kinds.count("add")]
+
 
+def _triangles(lexicon: Lexicon, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(edits, longest run) with the longer word first; words of one length stay in order."""
+    swap = lexicon.lengths[left] < lexicon.lengths[right]
+    return _by_length(lexicon, np.where(swap, right, left), np.where(swap, left, right), _triangle, 2)
 
-def _pieces(word: Sequence[str], separator: str) -> list[list[str]]:
+
+def _pieces(word: Sequence[str], separator: str) -> list[Sequence[str]]:
     out: list[list[str]] = [[]]
     for g in word:
         if g == separator:
             out.append([])
         else:
             out[-1].append(g)
-    return [p for p in out if p]
+    return [tuple(p) for p in out if p]
 
 
-def edits(metric: DistanceMetricConfig, left: Sequence[str], right: Sequence[str]) -> np.ndarray:
-    """float32 edits of each pair, after the metric's weights."""
-    a, b = [graphemes(w) for w in left], [graphemes(w) for w in right]
+def _edits(metric: DistanceMetricConfig, lexicon: Lexicon, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """float32 edits of pairs of the lexicon's words, after the metric's weights."""
     if metric.metric == "lv":
-        return _by_length(a, b, _full, 1)[:, 0].astype(np.float32)
+        return _by_length(lexicon, left, right, _full, 1)[:, 0].astype(np.float32)
     if metric.metric == "lv_edit":
-        counts = _by_length(a, b, _scripts, 3).astype(np.float32)
+        counts = _by_length(lexicon, left, right, _scripts, 3).astype(np.float32)
         weights = np.array(metric.lv_edit_weights, dtype=np.float32)
         return counts[:, 0] * weights[0] + counts[:, 1] * weights[1] + counts[:, 2] * weights[2]
     if metric.metric == "lv_multiword":
-        return _multiword_edits(a, b, metric.lv_multiword_separator)
-    found = _by_length(*_longer_first(a, b), _triangle, 2).astype(np.float32)
+        return _multiword_edits(lexicon, left, right, metric.lv_multiword_separator)
+    found = _triangles(lexicon, left, right).astype(np.float32)
     if metric.metric == "lv_opti":
         return found[:, 0]
     return np.maximum(found[:, 0] - found[:, 1] * np.float32(metric.lv_substring_weight), np.float32(0))
 
 
-def _multiword_edits(a, b, separator: str) -> np.ndarray:
+def _multiword_edits(lexicon: Lexicon, left: np.ndarray, right: np.ndarray, separator: str) -> np.ndarray:
     """Per position where both have as many words (over one), scaled by the imperfect share and truncated."""
-    parts = [(_pieces(x, separator), _pieces(y, separator)) for x, y in zip(a, b, strict=True)]
-    by_part = [len(p) == len(q) > 1 for p, q in parts]
-    left = [w for (p, _), y in zip(parts, by_part, strict=True) if y for w in p]
-    right = [w for (_, q), y in zip(parts, by_part, strict=True) if y for w in q]
-    whole = [i for i, y in enumerate(by_part) if not y]
-    out = np.zeros(len(a), dtype=np.float32)
-    if whole:
-        out[whole] = _by_length(*_longer_first([a[i] for i in whole], [b[i] for i in whole]), _triangle, 2)[:, 0]
-    if left:
-        each = _by_length(*_longer_first(left, right), _triangle, 2)[:, 0]
-        at = 0
-        for i, y in enumerate(by_part):
-            if y:
-                n = len(parts[i][0])
-                mine = each[at : at + n]
-                at += n
-                factor = np.float32(1) - np.float32((mine == 0).sum()) / np.float32(n)
-                out[i] = int(np.float32(mine.sum()) * factor)
+    pieces = [_pieces(w, separator) for w in lexicon.words]
+    counts = np.array([len(p) for p in pieces], dtype=np.int64)
+    by_part = (counts[left] == counts[right]) & (counts[left] > 1)
+    out = np.zeros(len(left), dtype=np.float32)
+    whole = np.flatnonzero(~by_part)
+    if len(whole):
+        out[whole] = _triangles(lexicon, left[whole], right[whole])[:, 0]
+    mine = np.flatnonzero(by_part)
+    if len(mine):
+        place: dict[Sequence[str], int] = {}
+        numbers = [[place.setdefault(p, len(place)) for p in parts] for parts in pieces]
+        a = np.array([i for k in left[mine].tolist() for i in numbers[k]], dtype=np.int64)
+        b = np.array([i for k in right[mine].tolist() for i in numbers[k]], dtype=np.int64)
+        each = _triangles(Lexicon(list(place)), a, b)[:, 0]
+        n = counts[left[mine]]
+        begins = np.cumsum(n) - n
+        total, perfect = np.add.reduceat(each, begins), np.add.reduceat(each == 0, begins, dtype=np.int64)
+        factor = np.float32(1) - perfect.astype(np.float32) / n.astype(np.float32)
+        out[mine] = np.trunc(total.astype(np.float32) * factor)
     return out
 
 
-def similarities(metric: DistanceMetricConfig, left: Sequence[str], right: Sequence[str]) -> np.ndarray:
-    """float32 ``1 - edits / bytes of the longer word``; NaN for two empty words."""
-    if not len(left):
-        return np.zeros(0, dtype=np.float32)
-    size = np.array([max(len(a.encode()), len(b.encode())) for a, b in zip(left, right, strict=True)], dtype=np.float32)
+def _numbered(left: Sequence[str], right: Sequence[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    place: dict[str, int] = {}
+    a = np.array([place.setdefault(w, len(place)) for w in left], dtype=np.int64)
+    b = np.array([place.setdefault(w, len(place)) for w in right], dtype=np.int64)
+    return list(place), a, b
+
+
+def edits(metric: DistanceMetricConfig, left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """float32 edits of each pair, after the metric's weights."""
+    words, a, b = _numbered(left, right)
+    return _edits(metric, Lexicon([graphemes(w) for w in words]), a, b)
+
+
+def _similarities(metric: DistanceMetricConfig, words: Sequence[str], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    size = np.array([len(w.encode()) for w in words], dtype=np.float32)
+    size = np.maximum(size[left], size[right])
     with np.errstate(invalid="ignore", divide="ignore"):
-        out = np.float32(1) - edits(metric, left, right) / size
+        out = np.float32(1) - _edits(metric, Lexicon([graphemes(w) for w in words]), left, right) / size
         if metric.use_sigmoid:
             out = np.float32(1) / (np.float32(1) + np.exp(-(np.float32(8) * out - np.float32(4))))
     return out.astype(np.float32)
 
 
+def similarities(metric: DistanceMetricConfig, left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """float32 ``1 - edits / bytes of the longer word``; NaN for two empty words."""
+    if not len(left):
+        return np.zeros(0, dtype=np.float32)
+    return _similarities(metric, *_numbered(left, right))
+
+
+def similarity_table(metric: DistanceMetricConfig, left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """float32 similarities of all left words to all right words."""
+    if not len(left) or not len(right):
+        return np.zeros((len(left), len(right)), dtype=np.float32)
+    words, a, b = _numbered(left, right)
+    return _similarities(metric, words, np.repeat(a, len(b)), np.tile(b, len(a))).reshape(len(a), len(b))
+
+
 def similarity_udf(metric: DistanceMetricConfig):
     """float column function of two string columns; null if either is null."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinthread.config import DistanceMetricConfig, RecordScorerConfig
 from kinthread.functions.scorers import interesting, score
-from kinthread.functions.similarity import similarities
+from kinthread.functions.similarity import similarities, similarity_table
 from kinthread.schema import ElementType, RecordSchema
 
 #: Pairs up to which every tracker meets every record; beyond, pairs are blocked
@@ -186,10 +186,9 @@ class RecordSide:
             for element in memory or []:
                 for w in element:
                     place.setdefault(w, len(place))
-        n = len(self.words[f])
-        if not place or not n and not self.multi[f]:
+        if not place or not self.words[f] and not self.multi[f]:
             return out, present
-        table = similarities(metric, [w for w in place for _ in range(n)], self.words[f] * len(place)).reshape(len(place), n)
+        table = similarity_table(metric, list(place), self.words[f])
         some = lengths > 0
         # per memory word the best of each record's words
         per_word = np.zeros((len(place), len(lengths)), dtype=np.float32)

@@ -61,7 +61,8 @@ def test_batches_of_mixed_lengths_and_scripts():
     left, right = rng.choices(words_, k=150), rng.choices(words_, k=150)
     found = similarity.edits(LV, left, right)
     assert [plain_levenshtein(a, b) for a, b in zip(left, right, strict=True)] == found.tolist()
-    counts = similarity._by_length(left, right, similarity._scripts, 3)
+    names, a, b = similarity._numbered(left, right)
+    counts = similarity._by_length(similarity.Lexicon(names), a, b, similarity._scripts, 3)
     for a, b, c in zip(left, right, counts.tolist(), strict=True):
         if len(a) < 50 and len(b) < 50:
             script = words.edit_script(a, b)
@@ -69,6 +70,16 @@ def test_batches_of_mixed_lengths_and_scripts():
     assert (counts.sum(axis=1) == found).all()
 
 
+def test_few_pairs_are_as_many(monkeypatch):
+    rng = random.Random(5)
+    pool = ["".join(rng.choices("abc", k=rng.randint(0, 9))) for _ in range(60)]
+    left, right = rng.choices(pool, k=300), rng.choices(pool, k=300)
+    for metric in (LV, OPTI, SUBSTRING, MULTIWORD, DistanceMetricConfig("lv_edit", lv_edit_weights=(3, 2, 1))):
+        many = similarity.edits(metric, left, right)
+        few = [similarity.edits(metric, [a], [b])[0] for a, b in zip(left, right, strict=True)]
+        assert many.tolist() == few
+
+
 def test_similarity_is_by_bytes_over_graphemes():
     assert math.isnan(similarity.similarities(OPTI, [""], [""])[0])
     assert similarity.similarities(LV, ["école"], ["ecole"])[0] == pytest.approx(1 - 1 / 6)
