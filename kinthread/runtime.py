@@ -11,13 +11,22 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session; a cluster has no shared code folder."""
+    """Prepare a session, once: send this package to the executors, and bound Arrow batches.
+
+    A cluster has no shared code folder. Rows here are whole texts, and a batch
+    is held by the JVM and by Python at once: BATCH_ROWS rows instead of Spark's
+    default, unless the session sets another number.
+    """
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
+    if spark.conf.get(_BATCH_CONF) == "10000":
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
     here = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="kinthread-"), "kinthread.zip")
     with zipfile.ZipFile(path, "w") as out:
