@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from kinthread.config import NormalizationConfig, DistanceMetricConfig
 from kinthread.functions.similarity import similarity_table
@@ -55,6 +57,21 @@ def word_clusters(words: Sequence[str], metric: DistanceMetricConfig, threshold:
     return average_linkage(similarity_matrix(words, metric), threshold) if words else []
 
 
+def clusters_of_words(words: Sequence[str], metric: DistanceMetricConfig, threshold: float) -> list[list[str]]:
+    """Clusters as lists of the words themselves."""
+    return [[words[i] for i in cluster] for cluster in word_clusters(words, metric, threshold)]
+
+
+def word_clusters_udf(metric: DistanceMetricConfig, threshold: float):
+    """Column function: the clusters of an array of words, array<array<string>>."""
+
+    @F.arrow_udf("array<array<string>>")
+    def clusters(words: pa.Array) -> pa.Array:
+        return pa.array([None if w is None else clusters_of_words(w, metric, threshold) for w in words.to_pylist()], pa.list_(pa.list_(pa.string())))
+
+    return clusters
+
+
 def _medians(words: Sequence[str | None], rules: NormalizationConfig) -> tuple[list[str], list[int | None]]:
     """Median word of every cluster that is large enough, and each position's cluster."""
     place = [i for i, w in enumerate(words) if w is not None]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinthread.config import DistanceMetricConfig, MemoryConfig
@@ -115,3 +115,10 @@ def native_most_frequent(history: Column) -> Column:
         )
 
     return pick(F.array_distinct(history))
+
+
+def running_memory(chains: DataFrame, memory: MemoryConfig, column: str = "value") -> DataFrame:
+    """``chains`` (tracker_id, frame_idx, ...) with ``memory``: that of the non-null values before each row."""
+    before = Window.partitionBy("tracker_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)
+    history = F.collect_list(F.when(F.col(column).isNotNull(), F.array(column))).over(before)
+    return chains.withColumn("history", history).select(*chains.columns, memory_column(memory, F.col("history")).alias("memory"))

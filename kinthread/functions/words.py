@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Hashable, Iterable, Sequence
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -102,3 +103,28 @@ def median_word(words: Sequence[str]) -> str | None:
     same = [list(g) for g in split if len(g) == length]
     rows = same + [align(g, same[0]) for g in split if len(g) != length]
     return "".join(first_mode(r[i] for r in rows if r[i] is not None) for i in range(length))
+
+
+def edit_script_udf():
+    """Column function: the edit script from one string column to another, array<struct<kind, at>>."""
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("at", pa.int32())]))
+
+    @F.arrow_udf("array<struct<kind:string,at:int>>")
+    def script(source: pa.Array, target: pa.Array) -> pa.Array:
+        pairs = zip(source.to_pylist(), target.to_pylist(), strict=True)
+        return pa.array([
+            None if a is None or b is None else [{"kind": k, "at": i} for k, i in edit_script(graphemes(a), graphemes(b))]
+            for a, b in pairs
+        ], kind)
+
+    return script
+
+
+def median_word_udf():
+    """Column function: the median word of an array of words; nulls in it don't count."""
+
+    @F.arrow_udf("string")
+    def median(words: pa.Array) -> pa.Array:
+        return pa.array([None if w is None else median_word([x for x in w if x is not None]) for w in words.to_pylist()], pa.string())
+
+    return median

@@ -150,6 +150,11 @@ _LOOSE = _consistency("SELECT tracker_id, frame_idx, coalesce(value, '') AS v FR
 _LENGTHS = f"WITH {TALKS}, l AS (SELECT tracker_id, count(*) AS length, CAST(max(frame_idx) - min(frame_idx) + 1 AS INTEGER) AS lifespan FROM talks GROUP BY tracker_id)"
 
 ORACLES |= {
+    "running_mostfrequent": f"""WITH {EVENTS}, c AS (SELECT e.tracker_id, e.frame_idx, h.value, count(*) AS n FROM events_chains e JOIN events_chains h
+  ON h.tracker_id = e.tracker_id AND h.frame_idx < e.frame_idx AND h.value IS NOT NULL GROUP BY ALL),
+m AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY tracker_id, frame_idx ORDER BY n DESC) AS k FROM c) WHERE k = 1)
+SELECT tracker_id, frame_idx, coalesce(string_agg(m.value, ',' ORDER BY m.value), '') AS memory FROM events_chains e LEFT JOIN m USING (tracker_id, frame_idx) GROUP BY ALL""",
+    "edit_scripts": f"WITH {PAIRS} SELECT w1, w2, CAST(levenshtein(w1, w2) AS INTEGER) AS n_edits FROM pairs",
     "sim_lv_native": ORACLES["sim_lv"],
     "sim_lv_edit": ORACLES["sim_lv"],
     "blocked_scores": ORACLES["interest_filter"],

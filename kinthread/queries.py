@@ -14,7 +14,7 @@ from kinthread.config import (
     RecordScorerConfig,
     config,
 )
-from kinthread.functions import memories, similarity
+from kinthread.functions import clustering, memories, similarity, words
 from kinthread.functions.scorers import score
 from kinthread.operators import evaluation as E
 from kinthread.operators import frames as R
@@ -116,8 +116,8 @@ def conversation_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _read(spark, sf_dir, "part").select("p_name").distinct()
-    return words.select(F.col("p_name").alias("w1")).crossJoin(words.select(F.col("p_name").alias("w2")))
+    names = _read(spark, sf_dir, "part").select("p_name").distinct()
+    return names.select(F.col("p_name").alias("w1")).crossJoin(names.select(F.col("p_name").alias("w2")))
 
 
 def _frame(records: DataFrame, k: int) -> DataFrame:
@@ -300,6 +300,31 @@ def running_latest(spark, sf_dir):
     return events_chains(spark, sf_dir).select("tracker_id", "frame_idx", F.last("value", ignorenulls=True).over(before).alias("latest"))
 
 
+def running_mostfrequent(spark, sf_dir):
+    """The most frequent values before each node."""
+    found = memories.running_memory(events_chains(spark, sf_dir), MemoryConfig("mostfrequent"))
+    return found.select("tracker_id", "frame_idx", F.array_join(F.array_sort(F.flatten("memory")), ",").alias("memory"))
+
+
+def edit_scripts(spark, sf_dir):
+    """Sizes of the edit scripts between all words."""
+    script = words.edit_script_udf()("w1", "w2")
+    return word_pairs(spark, sf_dir).select("w1", "w2", F.size(script).alias("n_edits"))
+
+
+def median_words(spark, sf_dir):
+    """The median of every code's names over the frames."""
+    names = frames_table(spark, sf_dir).groupBy("code").agg(F.sort_array(F.collect_list(F.struct("frame_idx", "record_idx", "name"))).alias("h"))
+    return names.select("code", words.median_word_udf()(F.transform("h", lambda x: x["name"])).alias("median"))
+
+
+def word_clusters(spark, sf_dir):
+    """Clusters of every code's names."""
+    names = frames_table(spark, sf_dir).groupBy("code").agg(F.sort_array(F.collect_list("name")).alias("names"))
+    found = clustering.word_clusters_udf(OPTI, 0.6)("names")
+    return names.select("code", F.posexplode(found).alias("cluster", "members")).select("code", "cluster", F.array_join("members", ",").alias("members"))
+
+
 def fill_missing_clusters(spark, sf_dir):
     """Nulls take the last value to the left, or else the next to the right."""
     order = Window.partitionBy("tracker_id").orderBy("frame_idx")
@@ -521,6 +546,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "memory_conversations": _memory("mostfrequent", conversation_chains),
     "memory_median": memory_median, "memory_ls_median": _memory("ls-median"), "memory_mw_median": memory_mw_median,
     "memory_mw_mostfrequent": memory_mw_mostfrequent, "running_latest": running_latest,
+    "running_mostfrequent": running_mostfrequent, "edit_scripts": edit_scripts, "median_words": median_words,
+    "word_clusters": word_clusters,
     "fill_missing_clusters": fill_missing_clusters, "range_fill": range_fill, "streaks": streaks,
     "chain_edges": chain_edges, "chain_positions": chain_positions, "chain_lengths": chain_lengths,
     "chain_stats": chain_stats, "chains_at_least": chains_at_least, "first_chain_at_least": first_chain_at_least,
