@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinthread.config import (
@@ -12,6 +12,7 @@ from kinthread.config import (
     MemoryConfig,
     NormalizationConfig,
     RecordScorerConfig,
+    ResolverConfig,
     config,
 )
 from kinthread.functions import clustering, memories, similarity, words
@@ -483,8 +484,6 @@ def tracking_end_to_end(spark, sf_dir):
 
 
 def tracking_simple(spark, sf_dir):
-    from kinthread.config import ResolverConfig
-
     return _tracked(spark, sf_dir, resolver_config=ResolverConfig("simple"))[0].chain_nodes
 
 
