@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
 import zstandard
@@ -37,9 +38,9 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The tokenizer's pattern with white space as Unicode has it, which the library means too.
 PATTERN = public_tokenizers.PATTERN
 #: Characters of text in a chunk, about.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 #: Word entries (a word of a chunk) in one encoding group, about.
-GROUP_WORDS = 500_000
+GROUP_WORDS = 125_000
 #: Longer texts are split match by match instead of into one list.
 LONG_TEXT = 1 << 20
 
@@ -215,44 +216,54 @@ def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> D
         .groupBy("word_group").applyInPandas(encode_group, "word_group int, chunk long, lengths binary, ids binary")
     )
 
-    def reassemble(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        doc_ids, texts, decoded = [], [], []
-        for row in left.itertuples():
-            words = _unpack_words(row.words)
+    def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        """One chunk's documents; Arrow throughout, so that no id becomes an object."""
+        replies = list(zip(*(right[c].to_pylist() for c in ("word_group", "lengths", "ids")), strict=True))
+        tables = []
+        for row in left.to_pylist():
+            words = _unpack_words(row["words"])
             group = _group_of(words, groups)
             lengths, begins, flat, base = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
-            for reply in right.itertuples():
-                mine = np.flatnonzero(group == reply.word_group)
-                n = _unpack(reply.lengths).astype(np.int64)
+            for number, packed_lengths, packed_ids in replies:
+                mine = np.flatnonzero(group == number)
+                n = _unpack(packed_lengths).astype(np.int64)
                 lengths[mine], begins[mine] = n, base + np.cumsum(n) - n
-                flat.append(_unpack(reply.ids))
+                flat.append(_unpack(packed_ids))
                 base += len(flat[-1])
             ids = np.concatenate([*flat, np.zeros(0, np.uint32)]).astype(np.int32)
-            at, stream = 0, _unpack(row.positions).astype(np.int64)
-            for doc_id, count in zip(row.doc_ids, row.counts, strict=True):
-                mine = stream[at : at + count]
-                at += count
-                doc_ids.append(doc_id)
-                texts.append(ids[_spans(begins[mine], lengths[mine])])
-                if with_decoded:
-                    decoded.append(join_tokens(texts[-1], ranks))
-        out = {"doc_id": pd.Series(doc_ids, dtype=object), "ids": texts}
-        return pd.DataFrame(out | {"decoded": decoded} if with_decoded else out)
-
+            stream = _unpack(row["positions"])
+            n = lengths[stream]
+            ids = ids[_spans(begins[stream], n)]
+            # where each document's ids end: the ids up to its last pre-token
+            ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *row["counts"]])]
+            columns = {
+                "doc_id": pa.array(row["doc_ids"], pa.string()),
+                "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
+            }
+            if with_decoded:
+                spans = zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+                columns["decoded"] = pa.array([join_tokens(ids[a:b], ranks) for a, b in spans], pa.binary())
+            tables.append(pa.table(columns))
+        return pa.concat_tables(tables) if tables else nothing
+
+    kinds = [("doc_id", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())]
+    nothing = pa.schema(kinds if with_decoded else kinds[:2]).empty_table()
     out = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     if with_decoded:
         out = out.add("decoded", T.BinaryType())
     rows = (
         chunks.select("chunk", "doc_ids", "counts", "words", "positions").groupBy("chunk")
-        .cogroup(encoded.groupBy("chunk")).applyInPandas(reassemble, out)
+        .cogroup(encoded.groupBy("chunk")).applyInArrow(reassemble, out)
     )
     return rows.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def _spans(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices begins[i] .. begins[i] + lengths[i] - 1, one span after the other."""
+    """Indices begins[i] .. begins[i] + lengths[i] - 1, one span after the other; a chunk has far below 2**31."""
     ends = np.cumsum(lengths)
-    return np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.repeat((begins - (ends - lengths)).astype(np.int32), lengths)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def _drop(spark, name: str) -> None:
