@@ -194,9 +194,10 @@ def _scored(scorer: RecordScorerConfig):
         records = frames_table(spark, sf_dir)
         left = _frame(records, 0).select(F.col("record_idx").alias("left_idx"), *(F.col(n).alias(f"{n}_0") for n in STRINGS.names))
         right = _frame(records, 1).select(F.col("record_idx").alias("right_idx"), *STRINGS.names)
-        sims = [similarity.native_levenshtein(F.col(f"{n}_0"), F.col(n)) for n in STRINGS.names]
-        pairs = left.crossJoin(right)
-        return pairs.select("left_idx", "right_idx", F.round(score(scorer, sims).cast("double"), 4).alias("score"))
+        # columns of their own: a scorer uses each several times
+        sims = {f"sim_{n}": similarity.native_levenshtein(F.col(f"{n}_0"), F.col(n)) for n in STRINGS.names}
+        pairs = left.crossJoin(right).withColumns(sims)
+        return pairs.select("left_idx", "right_idx", F.round(score(scorer, [F.col(s) for s in sims]).cast("double"), 4).alias("score"))
 
     return run
 
