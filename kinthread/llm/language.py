@@ -55,15 +55,16 @@ def profiles(texts) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int = 150) -> np.ndarray:
     """Weights (with a bias at the end) of min decay/2 |w|^2 + mean max(0, 1 - y f)^2, by accelerated descent."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    balance = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = ahead = np.zeros(x.shape[1])
-    rate = 1 / (decay + 4.0)
+    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]).astype(np.float32)
+    y = y.astype(np.float32)
+    balance = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    w = ahead = np.zeros(x.shape[1], dtype=np.float32)
+    decay, rate = np.float32(decay), np.float32(1 / (decay + 4.0))
     for step in range(steps):
         slack = np.maximum(0, 1 - y * (x @ ahead))
-        gradient = decay * ahead - 2 * x.T @ (balance * y * slack)
+        gradient = decay * ahead - 2 * ((balance * y * slack) @ x)
         new = ahead - rate * gradient
-        ahead = new + step / (step + 3) * (new - w)
+        ahead = new + np.float32(step / (step + 3)) * (new - w)
         w = new
     return w
 
