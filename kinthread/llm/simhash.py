@@ -317,7 +317,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stand for their group of near duplicates, unchanged.
+    """The rows of ``docs`` that stand for their group of near duplicates, unchanged; see keep_first."""
+    return keep_first(docs, grouped(docs, shingle, threshold))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``component`` of ``groups`` (doc_id, same, component), unchanged.
 
     A group keeps one row: that of its smallest doc_id, null last; of rows that
     share it the one with the smallest hash of the text; of equal rows one.
@@ -325,7 +330,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESH
     """
     keys = [F.coalesce("doc_id", F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_null"), F.col("same").alias("k_same")]
     kept = (
-        grouped(docs, shingle, threshold).groupBy("component")
+        groups.groupBy("component")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("best"))
         .select("best.doc_id", "best.same").select(*keys)
     )
