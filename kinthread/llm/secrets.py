@@ -25,9 +25,18 @@ TREES, DEPTH, LEAF = 16, 7, 4
 MASK = "[SECRET]"
 
 # Words that mark what stands beside them.
-KEY_WORDS = "passw|pwd|secret|token|api.?key|access.?key|credential|auth|bearer|private|signature"
+KEY_WORDS = "passw|pwd|secret|token|api.?key|access.?key|credential|auth(?!ors?\\b)|bearer|private|signature"
 PLAIN_WORDS = "commit|sha1|sha256|md5|checksum|digest|hash|uuid|guid|isbn|order|invoice|phone|tel|call|card|iban|version|build|file|image|img|href|src|visit|mail|path|ticket|parcel|see"
+#: What links a key word to a value two words on.
+LINKS = "[=:]+>?|is|was|ist|war|est|es"
 KNOWN_STARTS = "AKIA|ASIA|ghp_|gho_|ghs_|sk-|sk_|xoxb-|xoxp-|AIza|glpat-|eyJ|SG_|npm_"
+_TAIL = r"[A-Za-z0-9_\-]{0,16}[\"'`\])]*"
+#: A value: all up to the closing quote, or else up to a space or separator, without a sentence's end.
+_VALUE = r"((?<=[\"'`])[^\s\"'`]+(?=[\"'`])|[^\s\"'`<>,;]*[^\s\"'`<>,;.:)\]}?])"
+KNOWN = rf"(?<![A-Za-z0-9])((?:{KNOWN_STARTS})[A-Za-z0-9_\-.+/]*[A-Za-z0-9_\-]={{0,2}})"
+ASSIGNED = rf"(?i)(?:{KEY_WORDS}){_TAIL}[=:]+>?[\"'`(]*{_VALUE}"
+KEY_BEFORE = rf"(?i)(?:{KEY_WORDS}){_TAIL}[=:]*>?[\"'`]*$"
+BESIDE = rf"^[\"'`(\[{{<=:]*{_VALUE}"
 # Dictionary for the coverage feature.
 DICTIONARY = (
     "about account action address after again application archive article authentication backup before between "
@@ -48,21 +57,23 @@ PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng
 
 FEATURES = [
     "length", "digits", "upper", "transitions", "hexadecimal", "only_digits", "dictionary", "pairs",
-    "slashes", "dashes", "uuid", "key_beside", "plain_beside", "assigned", "known", "address",
+    "slashes", "dashes", "uuid", "key_beside", "plain_beside", "assigned", "known", "address", "symbols",
 ]
 
 
 def candidates(text: Column) -> Column:
     """array<struct<position, value, word, before, after>> of a text column.
 
-    A candidate is a run of 12 or more token characters with a digit, inside a
-    word; position is the word's index; before holds the two words before it
-    and the word's part up to the run.
+    Candidates are runs of 12 or more token characters with a digit, inside a
+    word; whatever has a known start; and any value beside a key word, in the
+    same word behind = or :, as the next word, or as the one after a link, of
+    any length and any characters. position is the word's index; before holds
+    the two words before it and the word's part up to the value.
     """
 
     def of_words(w: Column) -> Column:
         def of_word(x: Column, i: Column) -> Column:
-            def of_run(v: Column) -> Column:
+            def of_value(v: Column) -> Column:
                 lead = F.call_function("substring_index", x, v, F.lit(1))
                 before = F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1), lead)
                 return F.struct(
@@ -70,8 +81,20 @@ def candidates(text: Column) -> Column:
                     F.lower(F.coalesce(F.get(w, i + 1), F.lit(""))).alias("after"),
                 )
 
-            runs = F.filter(F.array_distinct(F.regexp_extract_all(x, F.lit(CANDIDATE), F.lit(1))), lambda v: v.rlike("[0-9]"))
-            return F.when((F.octet_length(x) >= 12) & x.rlike("[0-9]"), F.transform(runs, of_run))
+            def every(pattern: str) -> Column:
+                return F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
+
+            none = F.array().cast("array<string>")
+            runs = (F.octet_length(x) >= 12) & x.rlike("[0-9]")
+            beside = F.coalesce(F.get(w, i - 1).rlike(KEY_BEFORE), F.lit(False)) | F.coalesce(
+                F.get(w, i - 1).rlike(f"^(?:{LINKS})$") & F.get(w, i - 2).rlike(KEY_BEFORE), F.lit(False)
+            )
+            values = F.array_distinct(F.concat(
+                F.when(runs, F.filter(every(CANDIDATE), lambda v: v.rlike("[0-9]"))).otherwise(none),
+                every(KNOWN), every(ASSIGNED), F.when(beside, every(BESIDE)).otherwise(none),
+            ))
+            some = F.filter(values, lambda v: v.rlike(r"[\p{L}\p{N}]"))
+            return F.when(runs | x.rlike(KNOWN) | x.rlike(ASSIGNED) | beside, F.transform(some, of_value))
 
         return F.flatten(F.filter(F.transform(w, of_word), lambda found: F.size(found) > 0))
 
@@ -105,8 +128,9 @@ def features(c: Column) -> Column:
         "uuid": flag(v.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")),
         "key_beside": flag(F.concat_ws(" ", before, c["after"]).rlike(KEY_WORDS)),
         "plain_beside": flag(before.rlike(PLAIN_WORDS)),
-        "assigned": flag(before.rlike("[=:][\"']?$|[\"'`]$|= ?[\"']?$")),
+        "assigned": flag(before.rlike("[=:] ?[\"']?$|[\"'`]$")),
         "known": flag(v.rlike(f"^(?:{KNOWN_STARTS})")),
+        "symbols": share("[^A-Za-z0-9]"),
         "address": flag(c["word"].rlike(r"@|://|\.(?:com|org|net|html?|png|jpe?g|pdf|py|js|css|txt)")),
     }
     return F.struct(*(values[name].cast("double").alias(name) for name in FEATURES))
@@ -117,6 +141,11 @@ def features(c: Column) -> Column:
 
 def labelled_findings(rows: int = LABELLED, seed: int = 5) -> list[tuple[int, str]]:
     """(label, sentence with one finding): 1 a live secret, 0 a false positive."""
+    return [(label, text) for label, text, _ in labelled_values(rows, seed)]
+
+
+def labelled_values(rows: int = LABELLED, seed: int = 5) -> list[tuple[int, str, str]]:
+    """labelled_findings with the secret itself, empty for a false positive."""
     rng = random.Random(seed)
     plain = "of the and to in on was that this with for is report found note value then page line".split()
     hexa = string.hexdigits[:16]
@@ -134,21 +163,34 @@ def labelled_findings(rows: int = LABELLED, seed: int = 5) -> list[tuple[int, st
     keys = ["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "client_secret", "auth_token", "private_key"]
 
     def secret():
-        kind = rng.randrange(8)
+        """(as written, value)"""
+        kind = rng.randrange(12)
         if kind == 0:
-            return rng.choice(["AKIA", "ASIA"]) + chars(string.ascii_uppercase + "234567", 16)
-        if kind == 1:
-            return rng.choice(["ghp_", "gho_"]) + chars(mixed, 36)
-        if kind == 2:
-            return rng.choice(["sk-", "sk_live_", "glpat-", "xoxb-"]) + chars(mixed, 20, 40)
-        if kind == 3:
-            return "AIza" + chars(mixed + "-_", 35)
-        value = rng.choice([chars(hexa, 14, 64), chars(mixed, 14, 44), chars(mixed + "+/", 24, 60) + rng.choice(["", "=", "=="])])
+            value = rng.choice(["AKIA", "ASIA"]) + chars(string.ascii_uppercase + "234567", 16)
+        elif kind == 1:
+            value = rng.choice(["ghp_", "gho_"]) + chars(mixed, 36)
+        elif kind == 2:
+            value = rng.choice(["sk-", "sk_live_", "glpat-", "xoxb-"]) + chars(mixed, 20, 40)
+        elif kind == 3:
+            value = "AIza" + chars(mixed + "-_", 34) + chars(mixed, 1)
+        if kind < 4:
+            return value, value
         key = rng.choice(keys)
-        return rng.choice([f"{key}={value}", f'{key} = "{value}"', f"{key}: {value}", f'"{key}":"{value}"', f"Bearer {value}", f"{key} {value}"])
+        forms = [f"{key}={{}}", f'{key} = "{{}}"', f"{key}: {{}}", f'"{key}":"{{}}"', "Bearer {}", f"{key} {{}}"]
+        if kind < 8:
+            value = rng.choice([chars(hexa, 14, 64), chars(mixed, 14, 44), chars(mixed + "+/", 24, 60) + rng.choice(["", "=", "=="])])
+        elif kind == 8:  # short
+            value = rng.choice([chars(mixed, 6, 11), rng.choice(DICTIONARY)[:6] + chars(string.digits, 2, 4), chars(string.ascii_lowercase, 2, 4) + chars(string.digits, 3, 5)])
+        elif kind == 9:  # symbols break its runs
+            value = chars(mixed, 2, 4) + "".join(rng.choice("!.@$#%&*^") + chars(mixed, 1, 5) for _ in range(rng.randint(1, 4))) + rng.choice(["", "!"])
+        elif kind == 10:  # a word with symbols and figures
+            value = rng.choice(DICTIONARY).title() + rng.choice("!.@$#") + chars(string.digits, 1, 4) + rng.choice(["", "!"])
+        else:  # letters only
+            value = chars(string.ascii_letters, 12, 44)
+        return rng.choice(forms).format(value), value
 
     def harmless():
-        kind = rng.randrange(14)
+        kind = rng.randrange(19)
         if kind == 0:
             return rng.choice(["commit ", "sha1 ", "sha256: ", "md5 ", "checksum ", "hash "]) + chars(hexa, rng.choice([32, 40, 64]))
         if kind == 1:
@@ -175,15 +217,24 @@ def labelled_findings(rows: int = LABELLED, seed: int = 5) -> list[tuple[int, st
             return "".join(w.title() for w in rng.choices(DICTIONARY, k=3)) + chars(string.digits, 1, 3)
         if kind == 12:
             return "image " + chars(hexa, 24, 40) + ".png"
+        key = rng.choice([*keys, "Authorization", "author", "signature"])
+        if kind == 14:
+            return f"{key} {rng.choice([*plain, *DICTIONARY, invented()])}"
+        if kind == 15:
+            return f"{key}{rng.choice([': ', '=', ' = ', ':'])}{rng.choice(['null', 'none', 'true', 'false', 'required', 'yes', 'no', '', rng.choice(DICTIONARY), invented(), invented().title()])}"
+        if kind == 16:
+            return f"{key} {rng.choice(['is', 'was'])} {rng.choice([*plain, *DICTIONARY, invented()])}"
+        if kind == 17:
+            return rng.choice(KNOWN_STARTS.split("|")) + rng.choice([chars(string.ascii_letters, 1, 6), named(DICTIONARY), invented()])
         return f"password-{rng.choice(DICTIONARY)}-{rng.choice(DICTIONARY)}{chars(string.digits, 1, 2)}"
 
     out = []
     for i in range(rows):
         label = i % 2
-        middle = secret() if label else harmless()
+        middle, value = secret() if label else (harmless(), "")
         around = [rng.choice([*plain, invented()]) for _ in range(8)]
         tail = rng.choice(["", "", ".", ",", ";"])
-        out.append((label, " ".join([*around[:4], middle + tail, *around[4:]])))
+        out.append((label, " ".join([*around[:4], middle + tail, *around[4:]]), value))
     return out
 
 
@@ -233,6 +284,13 @@ def labelled_features(spark: SparkSession, rows: list[tuple[int, str]]) -> tuple
     return np.array([list(f) for _, f in pairs]), np.array([label for label, _ in pairs])
 
 
+def recall(spark: SparkSession, rows: list[tuple[int, str, str]]) -> float:
+    """Share of all the secrets of ``rows`` (labelled_values) found whole, those without a candidate included."""
+    wanted = [(i, text, value) for i, (label, text, value) in enumerate(rows) if label]
+    table = findings(spark.createDataFrame(wanted, "doc_id long, text string, secret string"))
+    return table.where(F.exists("findings", lambda c: c["is_secret"] & (c["value"] == F.col("secret")))).count() / len(wanted)
+
+
 @functools.lru_cache(maxsize=4)
 def _forest(app: str, seed: int):
     spark = SparkSession.getActiveSession()
@@ -278,13 +336,20 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """``docs`` with every secret in the text masked and n_chars, if present, recounted.
 
-    Rows, other columns and texts without secrets stay as they are.
+    Rows, other columns and texts without secrets stay as they are. A value is
+    masked wherever it occurs; one of under 12 characters only where it is no
+    part of a longer word.
     """
     columns, name = docs.columns, "findings_to_mask"
     values = F.transform(F.filter(name, lambda c: c["is_secret"]), lambda c: c["value"])
-    hidden = F.aggregate(
-        F.array_sort(values, lambda a, b: F.length(b) - F.length(a)), F.col("text"), lambda t, v: F.replace(t, v, F.lit(mask)),
-    )
+    quoted = F.lit(mask.replace("\\", "\\\\").replace("$", "\\$"))
+
+    def masked(t: Column, v: Column) -> Column:
+        exact = F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+        alone = F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), exact, F.lit("\\E(?![A-Za-z0-9])"))
+        return F.when(F.length(v) < 12, F.regexp_replace(t, alone, quoted)).otherwise(F.replace(t, v, F.lit(mask)))
+
+    hidden = F.aggregate(F.array_sort(values, lambda a, b: F.length(b) - F.length(a)), F.col("text"), masked)
     changed = F.exists(name, lambda c: c["is_secret"])
     out = findings(docs, name).withColumn("text", F.when(changed, hidden).otherwise(F.col("text")))
     if "n_chars" in columns:
