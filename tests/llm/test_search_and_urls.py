@@ -16,12 +16,11 @@ def brute(rows, k=5):
         if vec_id is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
         ok.append((vec_id, tuple(math.floor(256 * float(np.float32(x))) for x in v)))
-    ok = list(dict.fromkeys(ok))
     out = []
-    for q, a in ok:
+    for at, (q, a) in enumerate(ok):
         if q % 50:
             continue
-        found = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), d) for d, b in ok if d != q and len(a) == len(b))
+        found = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), d) for i, (d, b) in enumerate(ok) if i != at and len(a) == len(b))
         out += [(q, i + 1, d, -s) for i, (s, d) in enumerate(found[:k])]
     return sorted(out)
 
@@ -55,19 +54,41 @@ def test_topk_of_few_and_none(spark):
     assert run(spark, [(0, [1.0]), (1, [2.0]), (50, [-1.0])]) == brute([(0, [1.0]), (1, [2.0]), (50, [-1.0])])
 
 
+def test_topk_takes_large_vectors_and_every_copy(spark, monkeypatch):
+    assert run(spark, [(0, [1.0]), (1, [600000.0]), (2, [3.0])]) == [(0, 1, 1, 256 * 256 * 600000), (0, 2, 2, 256 * 256 * 3)]
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0]), (0, [-1.0, 5.0]), (50, [0.5, -2.0**20]), (3, [2.0**19, -(2.0**21)])]
+    assert run(spark, rows) == brute(rows)
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    monkeypatch.setattr(topk, "SHARD", 16)
+    monkeypatch.setattr(topk, "TOGETHER", 1)
+    monkeypatch.setattr(topk, "EXTREMES", 2)
+    monkeypatch.setattr(topk, "ASKING", 3)
+    monkeypatch.setattr(topk, "TIMES", 3)
+    rng = random.Random(8)
+    rows = [(rng.randrange(0, 200, 10), [float(np.float32(rng.choice([1e-3, 1.0, 1e4, 1e6]) * rng.uniform(-1, 1))) for _ in range(6)]) for _ in range(60)]
+    rows += rows[:8] * 4
+    assert run(spark, rows) == brute(rows)
+    with pytest.raises(Exception, match="does not fit a long"):
+        run(spark, [(0, [1e12]), (1, [1e12])])
+    # a score that doesn't count may be of any size
+    assert run(spark, [(0, [1e12]), (1, [-1e12]), (2, [0.0])], k=1) == [(0, 1, 2, 0)]
+
+
 def test_blocks_are_pruned_and_large_components_stay_exact():
     rng = np.random.default_rng(1)
     centres = 100 * rng.normal(size=(8, 32))
     matrix = np.floor(centres[np.arange(4096) // 512] + 5 * rng.normal(size=(4096, 32))).astype(np.int64)
     shard = topk.Shard(np.arange(4096), matrix)
     best = [[] for _ in range(8)]
-    scored = topk.search_shard(shard, np.arange(0, 4096, 512), matrix[::512], 5, best)
+    scored = topk.search_shard(shard, matrix[::512].astype(np.float64), 5, best, np.arange(0, 4096, 512))
     assert scored < 8 * len(shard.first) / 2
     for i, b in zip(range(0, 4096, 512), best, strict=True):
         scores = matrix @ matrix[i]
-        assert b == sorted((-int(s), d) for d, s in enumerate(scores.tolist()) if d != i)[:5]
-    big = np.array([[2**26, 3], [2**26 - 1, 5]])
+        assert [c[:2] for c in b] == sorted((-int(s), d) for d, s in enumerate(scores.tolist()) if d != i)[:5]
+    big = np.array([[2.0**26, 3], [2.0**26 - 1, 5]])
     assert topk.products(big, big).tolist() == [[2**52 + 9, 2**52 - 2**26 + 15], [2**52 - 2**26 + 15, (2**26 - 1) ** 2 + 25]]
+    mixed = np.array([[2.0**60, 1], [3, -1], [-(2.0**900), 2.0**40]])
+    assert topk.products(mixed, mixed).tolist() == [[sum(int(x) * int(y) for x, y in zip(a, b, strict=True)) for b in mixed.tolist()] for a in mixed.tolist()]
 
 
 def slow_judge(url, rules, default="allow"):
