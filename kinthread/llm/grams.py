@@ -34,18 +34,28 @@ def gram_ids(data: bytes, sizes: Sequence[int], bits: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
 
 
+#: Bytes of letters and digits; beyond ASCII all bytes count as such.
+_LETTER = np.array([chr(i).isalnum() or i >= 0x80 for i in range(256)])
+#: First bytes of characters of scripts without spaces (U+3000 to U+D7FF, and from U+10000): each is a word of its own.
+_ALONE = np.array([0xE3 <= i <= 0xED or i >= 0xF0 for i in range(256)])
+
+
 def word_starts(data: bytes, sizes: Sequence[int], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the first ``size`` bytes from the space before each word, for all sizes.
+    """(position, hash) of the first ``size - 1`` bytes of each word, for all sizes.
 
-    ``data`` must end with max(sizes) spaces, so that no gram runs out of it.
+    A word begins at a letter or digit behind anything else, and at every
+    character of scripts without spaces. position is that of the byte before.
+    ``data`` must begin with a space and end with max(sizes) of them.
     """
     raw = np.frombuffer(data, dtype=np.uint8)
-    at = np.flatnonzero((raw[:-1] == 0x20) & (raw[1:] != 0x20))
+    letter = _LETTER[raw]
+    at = np.flatnonzero(letter[1:] & (~letter[:-1] | _ALONE[raw[1:]]))
     b = raw.astype(np.uint32)
-    h = np.zeros(len(at), dtype=np.uint32)
+    h = np.full(len(at), 0x20 * 0x01000193 & 0xFFFFFFFF, dtype=np.uint32)
     out = []
     for j in range(max(sizes)):
-        h = (h ^ b[at + j]) * np.uint32(0x01000193)
+        if j:
+            h = (h ^ b[at + j]) * np.uint32(0x01000193)
         if j + 1 in sizes:
             g = (h ^ np.uint32(j)) * np.uint32(0x9E3779B1)
             g ^= g >> np.uint32(15)
@@ -69,5 +79,6 @@ def word_starts_by_part(data: bytes, sizes: Sequence[int], bits: int, size: int
     """The hashes of ``word_starts`` for a folded text, about ``size`` bytes at a time."""
     data += b" " * max(sizes)
     for low in range(0, len(data), size):
+        # a part begins with the byte before its first position, as a whole text does
         at, grams = word_starts(data[low : low + size + max(sizes)] + b" " * max(sizes), sizes, bits)
         yield grams[at < size]

@@ -6,8 +6,9 @@ the class-prior-corrected risk
 
     pi * R_P+ + max(0, R_U- - pi * R_P-),
 
-whose negative part is stepped against when it falls below zero. Scoring runs
-over whole texts on the executors.
+whose negative part is stepped against when it falls below zero. Labelled
+harmless documents give the class prior and nothing else. Features are chosen
+on the executors; scoring runs there over whole texts.
 """
 
 from __future__ import annotations
@@ -20,15 +21,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinthread.llm.common import stored
 from kinthread.llm.grams import folded, groups, word_starts, word_starts_by_part
 
 SIZES = (5, 6, 7)
 #: Bytes of a very long text that are hashed at once.
 PART = 1 << 22
 BITS = 20
-#: Documents that the classifier is fitted on, at most: toxic, unlabelled, and
-#: labelled harmless ones, which only set the prior and the decision threshold.
+#: Documents that the classifier is fitted on, at most: toxic and unlabelled ones.
+#: Labelled harmless ones stand in for unlabelled ones only where there are none.
 POSITIVE, UNLABELLED, NEGATIVE = 2000, 5000, 2000
+#: Features of the classifier, at most.
+FEATURES = 4096
 #: Standard errors by which a feature's share must differ between toxic and unlabelled.
 LEAST_Z = 4.0
 #: Share of a feature's documents that must be toxic by the prior.
@@ -96,7 +100,7 @@ def held_out(doc_id):
 
 
 def counted_grams(text) -> np.ndarray:
-    """The text's features as uint32: the gram in the low BITS, its count (at most 4095) above."""
+    """The text's features as uint64: the gram in the low BITS, its count above."""
     found = [
         np.unique(grams, return_counts=True)
         for grams in word_starts_by_part(folded(text if isinstance(text, str) else ""), SIZES, BITS, PART)
@@ -104,13 +108,18 @@ def counted_grams(text) -> np.ndarray:
     ids, counts = found[0]
     if len(found) > 1:
         total = sum(np.bincount(i, weights=c, minlength=1 << BITS) for i, c in found).astype(np.int64)
-        ids = np.flatnonzero(total).astype(np.uint32)
+        ids = np.flatnonzero(total)
         counts = total[ids]
-    return ids | (np.minimum(counts, 4095).astype(np.uint32) << np.uint32(BITS))
+    return ids.astype(np.uint64) | (counts.astype(np.uint64) << np.uint64(BITS))
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, list[np.ndarray]], float]:
-    """Feature sets by kind (P, U, N) and the class prior, from rows that aren't held out.
+def _split(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, counts) of counted grams."""
+    return (grams & np.uint64((1 << BITS) - 1)).astype(np.int64), (grams >> np.uint64(BITS)).astype(np.int64)
+
+
+def chosen(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, int], float]:
+    """((doc_id, kind, grams) of the sample, its rows by kind P, U, N, and the class prior), from rows that aren't held out.
 
     Documents are chosen by id alone: of a kind with more than its bound those
     whose id has the smallest hash (a filter on the hash keeps about as many,
@@ -128,88 +137,106 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, list[np.ndarra
     for name, most in bounds.items():
         share = min(1.0, 1.2 * most / max(1, found.get(name, 0)))
         keep = keep | ((F.col("kind") == name) & (F.col("place").cast("double") / 2.0**64 + 0.5 <= share))
-    place: dict[str, int] = {}
-    chosen = []
+    sizes = dict.fromkeys(bounds, 0)
+    picked_ids = []
     for r in sorted(ids.where(keep).collect(), key=lambda r: (r.kind, r.place)):  # about 1.2 of the bounds' sum
-        place[r.kind] = place.get(r.kind, 0) + 1
-        if place[r.kind] <= bounds[r.kind]:
-            chosen.append((r.doc_id, r.kind))
+        if sizes[r.kind] < bounds[r.kind]:
+            sizes[r.kind] += 1
+            picked_ids.append((r.doc_id, r.kind))
     key = docs.schema["doc_id"].dataType.simpleString()
-    picked = spark.createDataFrame(chosen, f"doc_id {key}, kind string")
+    picked = spark.createDataFrame(picked_ids, f"doc_id {key}, kind string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield part[["doc_id", "kind"]].assign(grams=[counted_grams(t).astype("<u4").tobytes() for t in part["text"]])
+            yield part[["doc_id", "kind"]].assign(grams=[counted_grams(t).astype("<u8").tobytes() for t in part["text"]])
 
     got = (
         docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
         .mapInPandas(run, f"doc_id {key}, kind string, grams binary")
-        .groupBy("doc_id", "kind").agg(F.min("grams").alias("grams")).toPandas().sort_values("doc_id")
+        .groupBy("doc_id", "kind").agg(F.min("grams").alias("grams"))
     )
-    sets = {
-        name: [np.frombuffer(g, dtype="<u4") for g in got["grams"][got["kind"] == name]]
-        for name in bounds
-    }
     labelled = found.get("P", 0) + found.get("N", 0)
-    return sets, min(0.9, max(1e-3, found.get("P", 0) / labelled)) if labelled else 0.1
+    prior = min(0.9, max(1e-3, found.get("P", 0) / labelled)) if labelled else 0.1
+    return stored(got, "grams"), sizes, prior
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, negative: list[np.ndarray] = ()) -> Model:
-    """The classifier; without toxic or unlabelled documents one that calls nothing toxic."""
-    empty = Model(np.zeros(0, np.int64), np.zeros(0), 0.0, -10.0)
-    unlabelled = unlabelled or [*negative, *positive]
-    if not positive or not unlabelled:
-        return empty
-    size = 1 << BITS
-    n, m = len(positive), len(unlabelled)
+#: Values are summed in whole units of this, so that sums don't depend on their order.
+UNIT = 1 << 12
+
+
+def moments(sets) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the features' values, and of their squares, over some texts, in units."""
+    sums = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for grams in sets:
+        add_moments(sums, grams)
+    return sums
+
+
+def add_moments(sums: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> None:
+    ids, counts = _split(grams)
+    units = np.rint(value(counts) * UNIT)
+    sums[0][ids] += units
+    sums[1][ids] += units**2
 
-    def split(sets):
-        """(first text, grams, values, rows) of some texts at a time, which bounds the memory."""
-        for at in range(0, len(sets), 256):
-            part = sets[at : at + 256]
-            every = np.concatenate(part)
-            yield at, every & np.uint32(size - 1), value(every >> np.uint32(BITS)), np.repeat(np.arange(at, at + len(part)), [len(x) for x in part])
-
-    def moments(sets):
-        total, squares = np.zeros(size), np.zeros(size)
-        for _, grams, values, _ in split(sets):
-            total += np.bincount(grams, weights=values, minlength=size)
-            squares += np.bincount(grams, weights=values**2, minlength=size)
-        mean = total / len(sets)
-        return mean, squares / len(sets) - mean**2
-
-    (mean_p, var_p), (mean_u, var_u) = moments(positive), moments(unlabelled)
+
+def strengths(total_p, squares_p, total_u, squares_u, n: int, m: int):
+    """(z, log ratio) of features between n toxic and m unlabelled texts."""
+    mean_p, mean_u = total_p / UNIT / n, total_u / UNIT / m
+    var_p, var_u = squares_p / UNIT**2 / n - mean_p**2, squares_u / UNIT**2 / m - mean_u**2
     z = (mean_p - mean_u) / np.sqrt((var_p + 0.25 / n) / n + (var_u + 0.25 / m) / m)
-    ratio = np.log(mean_p + 1 / n) - np.log(mean_u + 1 / m + 1 / n)
-    # a feature of toxic texts alone is 1 / prior times as frequent in them as in unlabelled ones
-    ids = np.flatnonzero((z > min(LEAST_Z, 0.8 * z.max())) & (ratio > np.log(max(1.5, LEAST_SHARE / prior))))
-    if not len(ids):
-        return empty
-    scale = np.append(np.minimum(ratio[ids], np.log(1 / prior)), 1.0)
-    place = np.full(size, -1)
-    place[ids] = np.arange(len(ids))
-
-    def matrix(sets):
-        rows, columns = [np.arange(len(sets))], [np.full(len(sets), len(ids))]
-        words, found = np.zeros(len(sets)), []
-        for _, grams, counts, owner in split(sets):
-            words += np.bincount(owner, weights=2.0**counts - 1, minlength=len(sets))
-            mine = place[grams] >= 0
-            rows.append(owner[mine])
-            columns.append(place[grams[mine]])
-            found.append(counts[mine])
-        values = [size_value(words / len(SIZES)), *found]
-        return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
-
-    def margins(rows, columns, values, count, weights, bias):
-        return np.bincount(rows, weights=(weights * scale)[columns] * values, minlength=count) + bias
-
-    rows, columns, values = matrix([*positive, *unlabelled])
+    return z, np.log(mean_p + 1 / n) - np.log(mean_u + 1 / m + 1 / n)
+
+
+def telling(z: np.ndarray, ratio: np.ndarray, prior: float) -> np.ndarray:
+    """Places of the features to learn with, FEATURES at most: those of the largest z.
+
+    A feature of toxic texts alone is 1 / prior times as frequent in them as in
+    unlabelled ones.
+    """
+    if not len(z):
+        return np.zeros(0, dtype=np.int64)
+    found = np.flatnonzero((z > min(LEAST_Z, 0.8 * z.max())) & (ratio > np.log(max(1.5, LEAST_SHARE / prior))))
+    return np.sort(found[np.argsort(-z[found], kind="stable")[:FEATURES]])
+
+
+def cells(sets, ids: np.ndarray):
+    """(rows, columns, values) of texts' features ``ids``; the last column is the length."""
+    place = np.full(1 << BITS, -1, dtype=np.int32)
+    place[ids] = np.arange(len(ids), dtype=np.int32)
+    rows, columns, values = [], [], []
+    for row, grams in enumerate(sets):
+        own, counts = _split(grams)
+        mine = place[own] >= 0
+        rows.append(np.full(mine.sum() + 1, row, dtype=np.int32))
+        columns.append(np.append(place[own[mine]], np.int32(len(ids))))
+        values.append(np.append(value(counts[mine]), size_value(counts.sum() / len(SIZES))))
+    return tuple(np.concatenate(x) if x else np.zeros(0) for x in (rows, columns, values))
+
+
+def best_cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The margin that parts best: highest F1, which toxic and unlabelled texts tell by themselves at the prior.
+
+    With a recall R among the toxic and a share U of the unlabelled above the
+    cut, prior * R of all texts are hits, U are called toxic and prior are.
+    """
+    cuts = np.unique(np.concatenate([positive, unlabelled]))
+    cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
+    recall = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    called = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    f1 = 2 * prior * recall / (prior + called)
+    return float(np.mean(cuts[f1 >= f1.max() - 1e-12]))
+
+
+def learn(ids: np.ndarray, ratio: np.ndarray, matrix, n: int, m: int, prior: float) -> Model:
+    """The model over features ``ids`` from cells of n toxic and m unlabelled texts, in this order, by the non-negative risk."""
+    rows, columns, values = (np.asarray(x) for x in matrix)
+    rows, columns = rows.astype(np.int64), columns.astype(np.int64)
+    scale = np.append(np.minimum(ratio, np.log(1 / prior)), 1.0)
     known = np.arange(n + m) < n
     weights, bias = np.append(np.full(len(ids), 0.5), 0.0), float(np.log(prior / (1 - prior)))
     moment, square = np.zeros(len(ids) + 2), np.zeros(len(ids) + 2)
     for step in range(1, STEPS + 1):
-        margin = margins(rows, columns, values, n + m, weights, bias)
+        margin = np.bincount(rows, weights=(weights * scale)[columns] * values, minlength=n + m) + bias
         p = 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
         loss = np.logaddexp(0, margin)
         slope = np.where(known, prior * p / n, -p / m)
@@ -220,24 +247,92 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         square = 0.99 * square + 0.01 * gradient**2
         change = RATE * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         weights, bias = weights - change[:-1], bias - change[-1]
+    margin = np.bincount(rows, weights=(weights * scale)[columns] * values, minlength=n + m) + bias
+    bias -= best_cut(margin[:n], margin[n:], prior)
+    return Model(np.asarray(ids, dtype=np.int64), (weights * scale)[:-1], float(weights[-1]), bias)
+
 
-    # the decision threshold: best F1 over the labelled rows at the prior
-    if negative:
-        yes = margins(*matrix(positive), n, weights, bias)
-        no = margins(*matrix(negative), len(negative), weights, bias)
-        cuts = np.unique(np.concatenate([yes, no]))
-        cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
-        hits = prior * (1 - np.searchsorted(np.sort(yes), cuts) / n)
-        wrong = (1 - prior) * (1 - np.searchsorted(np.sort(no), cuts) / len(negative))
-        f1 = 2 * hits / (hits + wrong + prior)
-        bias -= float(np.mean(cuts[f1 >= f1.max() - 1e-12]))
-    return Model(ids, (weights * scale)[:-1], float(weights[-1]), bias)
+def nothing() -> Model:
+    """A model that calls nothing toxic."""
+    return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, -10.0)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
+    """The classifier from counted grams; without toxic or unlabelled documents one that calls nothing toxic."""
+    n, m = len(positive), len(unlabelled)
+    if not n or not m:
+        return nothing()
+    z, ratio = strengths(*moments(positive), *moments(unlabelled), n, m)
+    ids = telling(z, ratio, prior)
+    return learn(ids, ratio[ids], cells([*positive, *unlabelled], ids), n, m, prior) if len(ids) else nothing()
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """The classifier from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
-    sets, prior = sample(docs, labels)
-    return fit(sets["P"], sets["U"], prior, sets["N"])
+    """The classifier from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
+
+    Toxic rows are the positives, rows without a label the unlabelled ones (where
+    there is none, all that are labelled). Labelled harmless rows give the class
+    prior only. What the driver sees are the counts by kind, the chosen ids, and
+    of the chosen texts the cells of FEATURES features.
+    """
+    sample, sizes, prior = chosen(docs, labels)
+    n, m = sizes["P"], sizes["U"] or sizes["P"] + sizes["N"]
+    if not n or not m:
+        return nothing()
+    both = sizes["U"] == 0
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {kind: (np.zeros(1 << BITS), np.zeros(1 << BITS)) for kind in ("P", "U")}
+        for part in batches:
+            for kind, grams in zip(part["kind"], part["grams"], strict=True):
+                for name in (["P"] if kind == "P" else []) + (["U"] if kind == "U" or both else []):
+                    add_moments(sums[name], np.frombuffer(grams, dtype="<u8"))
+        some = np.flatnonzero(sums["P"][0] + sums["U"][0])
+        yield pd.DataFrame({"gram": some, **{f"{kind}{i}": s[some].astype(np.int64) for kind, pair in sums.items() for i, s in enumerate(pair)}})
+
+    columns = ["P0", "P1", "U0", "U1"]
+    sums = (
+        sample.select("kind", "grams").mapInPandas(summed, "gram long, P0 long, P1 long, U0 long, U1 long")
+        .groupBy("gram").agg(*(F.sum(c).alias(c) for c in columns))
+        # a feature has to be more frequent in toxic texts
+        .where(F.col("P0") * float(m) > F.col("U0") * float(n))
+    )
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            z, ratio = strengths(*(part[c].to_numpy(np.float64) for c in columns), n, m)
+            yield pd.DataFrame({"gram": part["gram"], "z": z, "ratio": ratio})
+
+    measures = stored(sums.mapInPandas(measured, "gram long, z double, ratio double"), "strengths")
+    top = measures.agg(F.max("z")).first()[0]
+    if top is None:
+        return nothing()
+    least = np.log(max(1.5, LEAST_SHARE / prior))
+    found = (
+        measures.where((F.col("z") > min(LEAST_Z, 0.8 * top)) & (F.col("ratio") > float(least)))
+        .orderBy(F.desc("z"), "gram").limit(FEATURES).toPandas().sort_values("gram")
+    )
+    if not len(found):
+        return nothing()
+    ids = found["gram"].to_numpy(np.int64)
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows, columns, values = cells([np.frombuffer(g, dtype="<u8") for g in part["grams"]], ids)
+            cuts = np.searchsorted(rows, np.arange(1, len(part)))
+            yield part[["doc_id", "kind"]].assign(
+                columns=[c.tobytes() for c in np.split(columns.astype("<i4"), cuts)], values=[v.tobytes() for v in np.split(values.astype("<f4"), cuts)]
+            )
+
+    key = docs.schema["doc_id"].dataType.simpleString()
+    wanted = sample if both else sample.where("kind <> 'N'")
+    got = wanted.mapInPandas(told, f"doc_id {key}, kind string, columns binary, values binary").toPandas().sort_values("doc_id")
+    positive, rest = got[got["kind"] == "P"], got if both else got[got["kind"] == "U"]
+    held = pd.concat([positive, rest])
+    columns, values = (b"".join(held[c]) for c in ("columns", "values"))
+    rows = np.repeat(np.arange(len(held)), [len(c) // 4 for c in held["columns"]])
+    matrix = rows, np.frombuffer(columns, dtype="<i4"), np.frombuffer(values, dtype="<f4").astype(np.float64)
+    return learn(ids, found["ratio"].to_numpy(), matrix, len(positive), len(rest), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

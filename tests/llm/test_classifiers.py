@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -127,12 +128,67 @@ def test_the_risk_is_non_negative_learning():
     texts, marks = dict(rows), dict(labels)
     positive = [toxicity.counted_grams(texts[i]) for i, y in labels if y]
     unlabelled = [toxicity.counted_grams(t) for i, t in rows if i not in marks]
-    negative = [toxicity.counted_grams(texts[i]) for i, y in labels if not y]
-    model = toxicity.fit(positive, unlabelled, 0.15, negative)
+    model = toxicity.fit(positive, unlabelled, 0.15)
     assert (model.scores([texts[i] for i, y in labels if y]) >= 0.5).mean() > 0.95
     assert (model.scores([texts[i] for i, y in labels if not y]) < 0.5).mean() > 0.98
 
 
+def test_training_on_the_executors_equals_training_here(spark):
+    """And its margins those of a brute-force count."""
+    rows, labels = toxic_corpus(5, 400)
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs.repartition(5), marks)
+    known = dict(labels)
+    free = sorted(i for i, _ in rows if not is_held(i))
+    texts = dict(rows)
+    positive = [toxicity.counted_grams(texts[i]) for i in free if known.get(i) == 1]
+    unlabelled = [toxicity.counted_grams(texts[i]) for i in free if i not in known]
+    prior = len(positive) / sum(i in known for i in free)
+    here = toxicity.fit(positive, unlabelled, prior)
+    assert np.array_equal(model.ids, here.ids) and np.allclose(model.weights, here.weights, atol=1e-4) and abs(model.bias - here.bias) < 1e-3
+    weight = dict(zip(model.ids.tolist(), model.weights.tolist(), strict=True))
+    for text in [*(t for _, t in rows[:40]), "", "Vilest! (scumbag) l'loserish 汚い言葉 vilest"]:
+        margin, words = brute_counts(text)
+        total = sum(weight.get(g, 0) * np.log2(1 + c) for g, c in margin.items())
+        assert abs(model.margins([text])[0] - (model.bias + model.length * float(toxicity.size_value(words)) + total)) < 1e-6
+
+
+def brute_counts(text):
+    """(count by gram, words): byte by byte."""
+    data, mask = grams.folded(text) + b" " * 8, 0xFFFFFFFF
+
+    def letter(b):
+        return b >= 0x80 or chr(b).isalnum()
+
+    counts, words = Counter(), 0
+    for s in range(1, len(data)):
+        if letter(data[s]) and (not letter(data[s - 1]) or 0xE3 <= data[s] <= 0xED or data[s] >= 0xF0):
+            words += 1
+            for n in toxicity.SIZES:
+                h = 0
+                for b in b" " + data[s : s + n - 1]:
+                    h = (h ^ b) * 0x01000193 & mask
+                g = (h ^ (n - 1)) * 0x9E3779B1 & mask
+                g ^= g >> 15
+                counts[(g * 0x85EBCA77 & mask) >> (32 - toxicity.BITS)] += 1
+    return counts, words
+
+
+def test_words_begin_behind_marks_and_in_scripts_without_spaces():
+    def starts(text):
+        at, _ = grams.word_starts(grams.folded(text) + b" " * 8, (5,), 20)
+        data = grams.folded(text) + b" " * 8
+        return [data[i + 1 :].split(b" ")[0].decode()[:3] for i in at.tolist()]
+
+    assert starts('Say "fool" l\'ami (x) #tag a-b') == ["say", "foo", "l'a", "ami", "x)", "tag", "a-b", "b"]
+    assert starts("汚い言葉 ééé") == ["汚い言", "い言葉", "言葉", "葉", "ééé"]
+
+
+def test_counts_have_no_limit():
+    low, high = toxicity.counted_grams("vilest " * 4095), toxicity.counted_grams("vilest " * 9000)
+    assert (toxicity._split(low)[0] == toxicity._split(high)[0]).all() and set(toxicity._split(high)[1].tolist()) == {9000}
+
+
 def test_secret_forest_on_unseen_findings(spark):
     trees = secrets.forest(spark)
     x, y = secrets.labelled_features(spark, secrets.labelled_findings(1200, seed=77))
