@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from kinthread.runtime import scratch_path, shared_dir, stored
 
-__all__ = ["SPACE", "WORD", "connected_components", "input_bytes", "scratch_path", "shared_dir", "stored"]
+__all__ = ["SALTS", "SPACE", "WORD", "connected_components", "input_bytes", "row_hash", "scratch_path", "shared_dir", "spread_join", "stored"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Parts that the rows of one key are split into where a key may hold most rows.
+SALTS = 64
 
 
 def input_bytes(docs: DataFrame) -> int:
@@ -22,6 +24,24 @@ def input_bytes(docs: DataFrame) -> int:
     return found
 
 
+def row_hash(df: DataFrame):
+    """A 64-bit hash of a row's columns, of any types (maps, which Spark doesn't hash, as JSON)."""
+    return F.xxhash64(*(
+        F.to_json(F.struct(name)) if "map<" in kind or "variant" in kind else F.col(name) for name, kind in df.dtypes
+    ))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` (with ``salt``) joined to ``table``, which has one row a ``key``, without a hot key.
+
+    A key's row is copied to the salts that occur with it in ``rows``, at most
+    SALTS, so no task gets all rows of a key. ``salt`` must be a stored column.
+    """
+    places = rows.select(F.col(key).alias("of"), F.col("salt").alias("at")).distinct()
+    spread = table.join(places, F.col(key) == F.col("of")).drop("of").withColumnRenamed("at", "salt")
+    return rows.join(spread, [key, "salt"], how)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (u, v): component is its smallest node.
 

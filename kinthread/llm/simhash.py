@@ -7,6 +7,11 @@ every anchor within r(f) + threshold. For two fingerprints at most ``threshold``
 bits apart, take the one with the smaller r as f: the other, g, lies within
 r(f) + threshold <= r(g) + threshold of f's home, so the two meet there. No link
 is lost, whatever the code; the code only decides how many anchors are visited.
+
+The visits grow with the code's dimension, so the code stops growing at MOST_BITS.
+In larger tables an anchor's fingerprints are cut once more: into threshold + 1
+blocks of bits, of which two that differ in at most ``threshold`` bits share one.
+They meet at (anchor, block, the block's bits), so visits stay below 50 at any size.
 """
 
 from __future__ import annotations
@@ -19,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinthread.llm.common import connected_components, stored
+from kinthread.llm.common import SALTS, connected_components, row_hash, spread_join, stored
 
 BITS = 64
 SHINGLE = 3
@@ -35,8 +40,8 @@ CELL = 1024
 #: At most so many anchors can be cut, so their list is small at any size.
 HOT_ANCHORS = 50_000
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
-#: Largest dimension of one component code; larger codes are direct sums.
-COMPONENT_BITS = 12
+#: Largest dimension of the code; with more homes an anchor than MOST_HOMES a code of CUT_BITS, whose anchors are cut.
+MOST_BITS, CUT_BITS, MOST_HOMES = 12, 9, 1024
 
 
 def _runs(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -58,9 +63,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
     def add(grams: list[bytes]) -> None:
         nonlocal total, count
-        hashes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
+        total += bit_counts(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype="<u8"))
         count += len(grams)
 
     for run in _runs((text or "").encode("utf-8", "surrogatepass").lower()):
@@ -72,8 +75,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         if not words:
             return 0
         add([b" ".join(words)])
-    set_bits = (total * 2 > count).astype(np.uint8)
-    return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
+    return majority(total, count)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit set."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def majority(total: np.ndarray, count: int) -> int:
+    """The fingerprint of ``count`` hashes with these bit counts."""
+    return int(np.packbits((total * 2 > count).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -91,63 +104,44 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 @functools.lru_cache(maxsize=8)
-def covering_code(dimension: int) -> tuple[tuple[int, np.ndarray], ...]:
-    """Component codes (width, codewords) of a code with 2**dimension anchors.
-
-    A direct sum of ceil(dimension / COMPONENT_BITS) random linear codes; of
-    eight seeded draws each component keeps the one whose words have the fewest
-    anchors within threshold of the nearest.
-    """
-    parts = max(1, math.ceil(dimension / COMPONENT_BITS))
+def covering_code(dimension: int) -> np.ndarray:
+    """The 2**dimension anchors: of eight seeded random linear codes that with the fewest anchors within threshold of the nearest."""
     rng = np.random.default_rng(2024)
-    out = []
-    for i in range(parts):
-        width = BITS // parts + (i < BITS % parts)
-        k = dimension // parts + (i < dimension % parts)
-        top = np.uint64(2**width - 1)
-        probe = rng.integers(0, 2**64, size=256, dtype=np.uint64) & top
-        best = None
-        for _ in range(8):
-            words = np.zeros(1, dtype=np.uint64)
-            for basis in rng.integers(1, 2**64, size=k, dtype=np.uint64) & top:
-                words = np.concatenate([words, words ^ basis])
-            d = np.bitwise_count(probe[:, None] ^ words[None, :]).astype(np.int16)
-            cost = (d <= d.min(axis=1)[:, None] + THRESHOLD).sum()
-            if best is None or cost < best[0]:
-                best = (cost, words)
-        out.append((width, best[1]))
-    return tuple(out)
-
-
-def anchors_of(fps: np.ndarray, dimension: int, threshold: int = THRESHOLD):
-    """(row, anchor, at_home): each fingerprint's anchors within r + threshold."""
-    rows = np.arange(len(fps), dtype=np.int64)
-    anchor = np.zeros(len(fps), dtype=np.int64)
-    excess = np.zeros(len(fps), dtype=np.int16)
-    home = np.ones(len(fps), dtype=bool)
-    shift = 0
-    for width, words in covering_code(dimension):
-        part = (fps >> np.uint64(shift)) & np.uint64(2**width - 1)
-        d = np.bitwise_count(part[:, None] ^ words[None, :])
-        over = d - d.min(axis=1)[:, None]
-        who, word = np.nonzero(over <= threshold)
-        first = np.zeros(len(who), dtype=bool)
-        nearest = over.argmin(axis=1)
-        first[:] = word == nearest[who]
-        more = over[who, word].astype(np.int16)
-        # join the anchors so far with this component's codewords, row by row
-        counts = np.bincount(who, minlength=len(fps))
-        begins = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        times = counts[rows]
-        left = np.repeat(np.arange(len(rows)), times)
-        right = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times) + begins[rows[left]]
-        total = excess[left] + more[right]
-        keep = total <= threshold
-        left, right = left[keep], right[keep]
-        rows, anchor = rows[left], anchor[left] * len(words) + word[right]
-        home, excess = home[left] & first[right], total[keep]
-        shift += width
-    return rows, anchor, home
+    probe = rng.integers(0, 2**64, size=256, dtype=np.uint64)
+    best = None
+    for _ in range(8):
+        words = np.zeros(1, dtype=np.uint64)
+        for basis in rng.integers(1, 2**64, size=dimension, dtype=np.uint64):
+            words = np.concatenate([words, words ^ basis])
+        d = np.bitwise_count(probe[:, None] ^ words[None, :]).astype(np.int16)
+        cost = (d <= d.min(axis=1)[:, None] + THRESHOLD).sum()
+        if best is None or cost < best[0]:
+            best = (cost, words)
+    return best[1]
+
+
+def plan(count: int) -> tuple[int, int]:
+    """(dimension of the code, bits of a block that anchors are cut by) for so many fingerprints."""
+    if count <= MOST_HOMES << MOST_BITS:
+        return min(MOST_BITS, max(4, round(math.log2(max(2, count) / HOMES)))), 0
+    return CUT_BITS, min(BITS // (THRESHOLD + 1), math.ceil(math.log2(count / (HOMES << CUT_BITS))))
+
+
+def anchors_of(fps: np.ndarray, dimension: int, threshold: int = THRESHOLD, width: int = 0):
+    """(row, anchor, at_home): each fingerprint's anchors within r + threshold, cut by blocks of ``width`` bits if any."""
+    words = covering_code(dimension)
+    d = np.bitwise_count(fps[:, None] ^ words[None, :])
+    over = d - d.min(axis=1)[:, None]
+    rows, anchor = np.nonzero(over <= threshold)
+    home = anchor == over.argmin(axis=1)[rows]
+    if not width:
+        return rows, anchor.astype(np.int64), home
+    # all blocks, whatever ``threshold`` is here: a cell's name must not depend on it
+    blocks = THRESHOLD + 1
+    block = np.tile(np.arange(blocks), len(rows))
+    rows, anchor, home = (np.repeat(x, blocks) for x in (rows, anchor, home))
+    value = (fps[rows] >> (block * (BITS // blocks)).astype(np.uint64)) & np.uint64(2**width - 1)
+    return rows, ((anchor * blocks + block) << width) + value.astype(np.int64), home
 
 
 class Forest:
@@ -221,18 +215,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def links(nodes: DataFrame, count: int, threshold: int = THRESHOLD) -> DataFrame:
     """(u, v) links between distinct fingerprints ``nodes`` (fp) that span every group.
 
-    The code grows with ``count`` so that an anchor keeps about HOMES homes.
-    Anchors of a dense group that are home to more than CELL (or to more than a
+    The code grows with ``count`` so that an anchor keeps about HOMES homes, up
+    to a limit; then anchors are cut (see plan). Links of more bits than
+    THRESHOLD would need other blocks. Anchors of a dense group that are home to more than CELL (or to more than a
     HOT_ANCHORS-th of all) are cut into a grid: a chunk of homes meets a chunk
     of members in each cell, so no task holds a whole group.
     """
-    dimension = min(4 * COMPONENT_BITS, max(4, round(math.log2(max(2, count) / HOMES))))
+    dimension, width = plan(count)
+    if threshold > THRESHOLD:
+        raise ValueError(f"links of more than {THRESHOLD} bits")
 
     def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             fps = part["fp"].to_numpy(np.int64).view(np.uint64)
             for at in range(0, len(fps), 1024):
-                _, anchor, home = anchors_of(fps[at : at + 1024], dimension, 0)
+                _, anchor, home = anchors_of(fps[at : at + 1024], dimension, 0, width)
                 yield pd.DataFrame({"anchor": anchor[home]})
 
     cell = max(CELL, count // HOT_ANCHORS)
@@ -250,7 +247,7 @@ def links(nodes: DataFrame, count: int, threshold: int = THRESHOLD) -> DataFrame
             everything = part["fp"].to_numpy(np.int64).view(np.uint64)
             for at in range(0, len(everything), 1024):
                 fps = everything[at : at + 1024]
-                rows, anchor, home = anchors_of(fps, dimension, threshold)
+                rows, anchor, home = anchors_of(fps, dimension, threshold, width)
                 side = np.ones(len(rows), dtype=np.int64)
                 if len(keys):
                     where = np.minimum(np.searchsorted(keys, anchor), len(keys) - 1)
@@ -290,7 +287,8 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD)
 
     ``component`` is the smallest fingerprint of the row's group.
     """
-    rows = stored(fingerprints(docs, shingle), "fingerprints")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt")
+    rows = stored(fingerprints(docs, shingle).select("*", salt), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     count = nodes.count()
     named = nodes.select("fp", "first", F.col("fp").alias("component"))
@@ -300,7 +298,10 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD)
             nodes.join(groups, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "named"
         )
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(least, "component").select("fp", "component", "component_id"), "fp")
+    # a fingerprint, or a group, may be that of most rows: copies of one text, or empty ones
+    found = named.select("fp", "component", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
+    found = spread_join(found, least, "component").select("fp", "component", "component_id")
+    return spread_join(rows, found, "fp").drop("salt")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -325,8 +326,9 @@ def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """One row of ``docs`` for each ``component`` of ``groups`` (doc_id, same, component), unchanged.
 
     A group keeps one row: that of its smallest doc_id, null last; of rows that
-    share it the one with the smallest hash of the text; of equal rows one.
-    Columns of ``docs`` pass through.
+    share it the one with the smallest hash of the text; of those the one with
+    the smallest hash of the row. Columns of ``docs``, of any types and names,
+    pass through. Rows of one id and text are cut to one before they travel.
     """
     keys = [F.coalesce("doc_id", F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_null"), F.col("same").alias("k_same")]
     kept = (
@@ -334,8 +336,6 @@ def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("best"))
         .select("best.doc_id", "best.same").select(*keys)
     )
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("same"))
-    rows = rows.select("row", *keys).join(kept, ["k_id", "k_null", "k_same"], "left_semi")
-    # equal rows stand beside each other already: no further shuffle
-    order = Window.partitionBy("k_id", "k_null", "k_same").orderBy(F.xxhash64("row"))
-    return rows.withColumn("turn", F.row_number().over(order)).where("turn = 1").select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("same"), row_hash(docs).alias("turn"))
+    rows = rows.select("row", "turn", *keys).groupBy("k_id", "k_null", "k_same").agg(F.min_by("row", "turn").alias("row"))
+    return rows.join(kept, ["k_id", "k_null", "k_same"], "left_semi").select("row.*")

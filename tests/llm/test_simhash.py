@@ -74,22 +74,41 @@ def test_very_long_text_is_read_whole():
 
 def test_every_link_meets_at_an_anchor_for_any_code():
     rng = np.random.default_rng(1)
-    for dimension in (4, 9, 14):
+    for dimension, width in ((4, 0), (9, 0), (11, 0), (4, 5), (9, 16)):
         a = rng.integers(0, 2**64, size=300, dtype=np.uint64)
         b = a.copy()
         for _ in range(3):
             b ^= np.uint64(1) << rng.integers(0, 64, size=300, dtype=np.uint64)
         seen = {}
         for name, fps in (("a", a), ("b", b)):
-            rows, anchor, home = simhash.anchors_of(fps, dimension)
+            rows, anchor, home = simhash.anchors_of(fps, dimension, width=width)
             for r, x, h in zip(rows.tolist(), anchor.tolist(), home.tolist(), strict=True):
                 seen.setdefault((name, r), {})[x] = h
         for i in range(300):
             left, right = seen["a", i], seen["b", i]
-            assert sum(left.values()) == 1
+            assert sum(left.values()) == (4 if width else 1)
             assert any((left[x] or right[x]) for x in left.keys() & right.keys())
 
 
+def test_visits_stay_bounded_at_any_size():
+    fps = np.random.default_rng(2).integers(0, 2**64, size=400, dtype=np.uint64)
+    visits = {}
+    for exponent in range(3, 12):
+        dimension, width = simhash.plan(10**exponent)
+        rows, _, _ = simhash.anchors_of(fps, dimension, width=width)
+        visits[exponent] = len(rows) / len(fps)
+    print(visits)
+    assert max(visits.values()) <= 50
+
+
+def test_cut_anchors_give_the_same_groups(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MOST_HOMES", 0)
+    monkeypatch.setattr(simhash, "HOMES", 1)
+    monkeypatch.setattr(simhash, "CUT_BITS", 4)
+    test_matches_brute_force_with_ties_nulls_and_copies(spark)
+    assert simhash.plan(100)[1] > 0
+
+
 def test_dense_group_spans_without_its_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 64)
     rng = random.Random(9)
@@ -107,6 +126,11 @@ def test_dense_group_spans_without_its_pairs(spark, monkeypatch):
     assert simhash.links(nodes, len(every)).count() < 60 * len(every)
 
 
+def test_one_of_each_takes_columns_of_any_type(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, 'a b' AS text, map('k', 1) AS m, 2 AS turn UNION ALL SELECT 1L, 'a b', map('k', 1), 2 UNION ALL SELECT 3L, 'a  b', NULL, 4")
+    assert [tuple(r) for r in simhash.one_of_each(docs).collect()] == [(1, "a b", {"k": 1}, 2)]
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 140)] + [(7, 7)]
     edges = spark.createDataFrame(path, "u long, v long")
