@@ -5,18 +5,18 @@
 2. The lists, not the occurrences, are dealt out by word. Where a word's entries
    meet it is encoded once, and each chunk gets its words' ids back.
 3. Every chunk reassembles its documents' ids by position.
+4. Decoding is a step of its own: ids meet the token-byte table.
 
-What is shuffled are the words of each chunk and their ids, in packed rows; the
-positions stay in a table bucketed by chunk and aren't moved. A word that is in
-every text has one entry a chunk, so it makes no hot key.
+What is shuffled are packed rows: the words of each chunk by group, their ids,
+and the positions. A word that is in every text has one entry a chunk, and past
+GROUP_WORDS entries a group is split by chunks, so no word makes a hot key and
+nothing grows faster than the texts.
 """
 
 from __future__ import annotations
 
-import atexit
 import base64
 import functools
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 import regex
 import tiktoken
 import zstandard
@@ -32,15 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinthread.llm.common import input_bytes
+from kinthread.llm.common import stored
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: The tokenizer's pattern with white space as Unicode has it, which the library means too.
 PATTERN = public_tokenizers.PATTERN
 #: Characters of text in a chunk, about.
-CHUNK_BYTES = 4 << 20
-#: Word entries (a word of a chunk) in one encoding group, about.
-GROUP_WORDS = 125_000
+CHUNK_BYTES = 12 << 20
+#: Groups that words are dealt to, and word entries (a word of a chunk) that meet in one, about.
+GROUPS, GROUP_WORDS = 64, 250_000
 #: Longer texts are split match by match instead of into one list.
 LONG_TEXT = 1 << 20
 
@@ -58,18 +58,67 @@ def load_encoding(path: str) -> tiktoken.Encoding:
 
 
 @functools.lru_cache(maxsize=2)
-def token_bytes(path: str) -> list[bytes | None]:
-    """The token-byte table: bytes by id."""
+def load_word_encoding(path: str) -> tiktoken.Encoding:
+    """Takes a whole text for one match: its merges alone."""
+    return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=load_ranks(path), special_tokens={})
+
+
+@functools.lru_cache(maxsize=2)
+def token_table(path: str) -> pa.Array:
+    """The token-byte table: bytes by id; null where there is no such token."""
     ranks = load_ranks(path)
     out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for token, number in ranks.items():
         out[number] = token
-    return out
+    return pa.array(out, pa.binary())
 
 
 @functools.lru_cache(maxsize=1)
-def _splitter() -> regex.Pattern:
-    return regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+def _splitters() -> tuple[regex.Pattern, regex.Pattern | None, regex.Pattern]:
+    """(pattern, characters it doesn't fit, pattern for texts with those).
+
+    The library has its own Unicode tables, older or newer than those of the
+    ``regex`` module. It tells its letters, digits and white space itself: an
+    encoding of single bytes whose pattern is the class gives back the members.
+    Texts without a character on which the two disagree are split by the
+    module's classes; the others by the library's, spelled out.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    single = {bytes([i]): i for i in range(256)}
+    classes, odd = {}, set()
+    for name, own in ((r"\p{L}", r"\p{L}"), (r"\p{N}", r"\p{N}"), (r"\s", r"\p{White_Space}")):
+        found = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)
+        members = set(bytes(found).decode())
+        odd |= members ^ set(regex.findall(own, every))
+        classes[name] = _ranges(members)
+    plain = PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+    spelled = PATTERN
+    for name, body in classes.items():
+        spelled = _spell(spelled, name, body)
+    spelled = spelled.replace(r"\S", f"[^{classes[r'\s']}]")
+    return regex.compile(plain), regex.compile(f"[{_ranges(odd)}]") if odd else None, regex.compile(spelled)
+
+
+def _spell(pattern: str, name: str, body: str) -> str:
+    """``pattern`` with the class ``name`` as its members, inside brackets and outside."""
+    out, at, inside = [], 0, False
+    while at < len(pattern):
+        if pattern.startswith(name, at):
+            out.append(body if inside else f"[{body}]")
+            at += len(name)
+            continue
+        step = 2 if pattern[at] == "\\" else 1
+        inside = {"[": True, "]": False}.get(pattern[at], inside) if step == 1 else inside
+        out.append(pattern[at : at + step])
+        at += step
+    return "".join(out)
+
+
+def _ranges(members: set[str]) -> str:
+    """The body of a character class."""
+    codes = np.array(sorted(map(ord, members)), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(codes) > 1) + 1
+    return "".join(f"\\U{p[0]:08x}-\\U{p[-1]:08x}" for p in np.split(codes, cuts) if len(p))
 
 
 class _Numbering(dict):
@@ -80,9 +129,12 @@ class _Numbering(dict):
 
 def pretokens(text: str):
     """The matches of the pattern, in order."""
+    pattern, odd, spelled = _splitters()
+    if odd is not None and not text.isascii() and odd.search(text):
+        pattern = spelled
     if len(text) <= LONG_TEXT:
-        return _splitter().findall(text)
-    return (m.group() for m in _splitter().finditer(text))
+        return pattern.findall(text)
+    return (m.group() for m in pattern.finditer(text))
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -145,54 +197,47 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield row()
 
 
-def _group_of(words: list[bytes], groups: int) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words)) % np.uint32(groups)
+def _group_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words)) % np.uint32(GROUPS)
 
 
 def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> DataFrame:
     """(doc_id, ids array<int>) of every row of ``docs``: its text's token ids, no special tokens.
 
-    ``with_decoded`` adds what ``decode`` makes of the ids, in the same worker,
-    so that ids don't travel to Python once more.
-
     Equal to encoding each match of the pattern by the ranks, as the library
-    does. Null and empty texts have no ids; repeated rows and null doc_ids are
-    kept as they are; only doc_id and text are read; texts are whole however
+    does, its Unicode tables included. Null and empty texts have no ids;
+    repeated rows and null doc_ids are kept as they are; only doc_id and text
+    are read, columns of other names change nothing; texts are whole however
     long. No rows, no result. ``ranks`` is a path that every executor has.
+    ``with_decoded`` adds the column of ``decode``.
+
+    Chunks are stored once in the shared folder; a lost executor costs rereads.
     """
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
-    name = f"kinthread_bpe_{uuid.uuid4().hex}"
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) >> 26)
     schema = T.StructType([
         T.StructField("chunk", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.StringType())),
         T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("n_words", T.LongType()),
         T.StructField("words", T.BinaryType()), T.StructField("positions", T.BinaryType()),
     ])
-    (
-        docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_chunks, schema)
-        .write.bucketBy(buckets, "chunk").format("parquet").option("compression", "uncompressed").saveAsTable(name)
-    )
-    atexit.register(_drop, spark, name)
-    chunks = spark.table(name)
+    chunks = stored(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_chunks, schema), "chunks")
     total = chunks.agg(F.sum("n_words")).first()[0] or 0
-    groups = max(1, -(-total // GROUP_WORDS), min(total // 1000, spark.sparkContext.defaultParallelism))
+    parts = max(1, -(-total // (GROUPS * GROUP_WORDS)))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for chunk, packed in zip(batch["chunk"], batch["words"], strict=True):
                 words = _unpack_words(packed)
-                group = _group_of(words, groups)
+                group = _group_of(words)
                 order = np.argsort(group, kind="stable")
                 cuts = np.flatnonzero(np.diff(group[order])) + 1
-                for part in np.split(order, cuts) if len(words) else []:
-                    yield pd.DataFrame({
-                        "word_group": [int(group[part[0]])], "chunk": [chunk],
-                        "words": [_pack_words([words[i] for i in part.tolist()])],
-                    })
+                dealt = np.split(order, cuts) if len(words) else []
+                yield pd.DataFrame({
+                    "word_group": [int(group[part[0]]) for part in dealt], "chunk": [chunk] * len(dealt),
+                    "words": [_pack_words([words[i] for i in part.tolist()]) for part in dealt],
+                }).astype({"word_group": "int32", "chunk": "int64"})
 
     def encode_group(part: pd.DataFrame) -> pd.DataFrame:
-        piece = load_encoding(ranks)._core_bpe.encode_single_piece
+        merge = load_word_encoding(ranks).encode_ordinary
         known: dict[bytes, tuple[int, int]] = {}
         flat: list[int] = []
         out = []
@@ -200,7 +245,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> D
             words = _unpack_words(packed)
             for word in words:
                 if word not in known:  # each distinct word once
-                    got = piece(word)
+                    got = merge(word.decode("utf-8"))
                     known[word] = (len(flat), len(got))
                     flat.extend(got)
             where = np.array([known[w] for w in words], dtype=np.int64).reshape(-1, 2)
@@ -213,8 +258,10 @@ def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> D
 
     encoded = (
         chunks.select("chunk", "words").mapInPandas(deal, "word_group int, chunk long, words binary")
-        .groupBy("word_group").applyInPandas(encode_group, "word_group int, chunk long, lengths binary, ids binary")
+        .groupBy("word_group", F.pmod(F.xxhash64("chunk"), F.lit(parts)).alias("part"))
+        .applyInPandas(encode_group, "word_group int, chunk long, lengths binary, ids binary")
     )
+    nothing = pa.schema([("doc_id", pa.string()), ("ids", pa.list_(pa.int32()))]).empty_table()
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         """One chunk's documents; Arrow throughout, so that no id becomes an object."""
@@ -222,7 +269,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> D
         tables = []
         for row in left.to_pylist():
             words = _unpack_words(row["words"])
-            group = _group_of(words, groups)
+            group = _group_of(words)
             lengths, begins, flat, base = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
             for number, packed_lengths, packed_ids in replies:
                 mine = np.flatnonzero(group == number)
@@ -236,26 +283,18 @@ def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> D
             ids = ids[_spans(begins[stream], n)]
             # where each document's ids end: the ids up to its last pre-token
             ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *row["counts"]])]
-            columns = {
+            tables.append(pa.table({
                 "doc_id": pa.array(row["doc_ids"], pa.string()),
                 "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
-            }
-            if with_decoded:
-                spans = zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
-                columns["decoded"] = pa.array([join_tokens(ids[a:b], ranks) for a, b in spans], pa.binary())
-            tables.append(pa.table(columns))
+            }))
         return pa.concat_tables(tables) if tables else nothing
 
-    kinds = [("doc_id", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())]
-    nothing = pa.schema(kinds if with_decoded else kinds[:2]).empty_table()
-    out = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    if with_decoded:
-        out = out.add("decoded", T.BinaryType())
     rows = (
         chunks.select("chunk", "doc_ids", "counts", "words", "positions").groupBy("chunk")
-        .cogroup(encoded.groupBy("chunk")).applyInArrow(reassemble, out)
+        .cogroup(encoded.groupBy("chunk")).applyInArrow(reassemble, "doc_id string, ids array<int>")
     )
-    return rows.withColumn("doc_id", F.col("doc_id").cast(kind))
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast(kind))
+    return decode(rows, ranks) if with_decoded else rows
 
 
 def _spans(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -266,28 +305,32 @@ def _spans(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _drop(spark, name: str) -> None:
-    try:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    except Exception:  # the session may be gone already
-        pass
-
-
-def join_tokens(ids: np.ndarray, ranks: str = RANKS) -> bytes:
-    """The bytes of token ids; an id outside the table is an error."""
-    table = token_bytes(ranks)
-    return b"".join([table[i] for i in ids.tolist()])
-
-
 def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     """``encoded`` with ``decoded`` binary: the bytes of its ``ids``, null for null ids.
 
-    The ids meet the token-byte table, whose size the vocabulary file bounds
-    (50,256 rows), in the worker.
+    A join with the token-byte table: the vocabulary file bounds it (50,256
+    rows), so every worker has it, and a batch's ids take their rows of it at
+    once; laid end to end those are the texts. Other columns pass through, but
+    for one named decoded. An id that is null or that no token has is an error.
     """
+    schema = T.StructType([f for f in encoded.schema.fields if f.name != "decoded"]).add("decoded", T.BinaryType())
+    columns = [f.name for f in schema.fields[:-1]]
 
-    @F.pandas_udf("binary")
-    def to_bytes(ids: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else join_tokens(x, ranks) for x in ids], dtype=object)
-
-    return encoded.withColumn("decoded", to_bytes("ids"))
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_table(ranks)
+        for batch in batches:
+            ids = batch["ids"]
+            ends = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy())])
+            found = table.take(pa.compute.list_flatten(ids))
+            if found.null_count:
+                raise ValueError("no such token")
+            found = found.cast(pa.large_binary())
+            offsets = np.frombuffer(found.buffers()[1], dtype=np.int64)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
+            size = int(offsets[-1] - offsets[0])
+            data = found.buffers()[2].slice(int(offsets[0]), size) if size else pa.py_buffer(b"")
+            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray((offsets - offsets[0])[ends])), data])
+            if ids.null_count:
+                texts = pa.compute.if_else(ids.is_valid(), texts, pa.scalar(None, pa.large_binary()))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), texts.cast(pa.binary())], [*columns, "decoded"])
+
+    return encoded.select(*columns).mapInArrow(joined, schema)

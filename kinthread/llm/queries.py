@@ -51,7 +51,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), with_decoded=True).select(
+    return bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -111,10 +111,10 @@ gram AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
   FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM gram) WHERE n > 1),
 cov AS (SELECT r, count(DISTINCT i + o) AS n FROM rep, (VALUES (0), (1), (2)) AS v(o) GROUP BY r),
-line AS (SELECT r, host, t, l, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS nl
-  FROM (SELECT r, host, t, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+line AS (SELECT r, doc_id, host, l, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS nl
+  FROM (SELECT r, doc_id, host, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM line GROUP BY r),
-freq AS (SELECT host, nl FROM line GROUP BY host, nl HAVING count(DISTINCT t) > 20),
+freq AS (SELECT host, nl FROM line GROUP BY host, nl HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'row ' || r)) > 20),
 rem AS (SELECT r, sum(len(string_split(nl, ' '))) AS n FROM line JOIN freq USING (host, nl) GROUP BY r),
 s AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,

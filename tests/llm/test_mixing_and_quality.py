@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 from fractions import Fraction
@@ -72,19 +73,79 @@ def test_mix_comes_near_its_targets_and_agrees_with_itself(spark, monkeypatch):
     assert copies[None] > 0 and max(Counter(r.doc_id for r in whole.collect() if r.doc_id != 5).values()) <= 3
 
 
-def test_taken_equals_a_brute_force_walk(spark):
-    """One shard a source: documents in seeded order, quota rounds, and a run of blocks."""
-    docs = spark.createDataFrame(rows_of(9, 200)[:200], DOCS)
-    got = mixing.mix(mixing.with_sizes(docs)).collect()
-    for s in {r.source for r in got}:
-        mine = [r for r in got if r.source == s]
-        total, size = sum(r.taken for r in mine), sum(r.size for r in mine)
-        if not size:
-            continue
-        base = total // size
-        extra = [r.taken - base * r.size for r in mine]
-        assert all(0 <= e <= r.size for e, r in zip(extra, mine, strict=True))
-        assert sum(0 < e < r.size for e, r in zip(extra, mine, strict=True)) <= 2  # only the run's two ends cut a document
+def test_taken_equals_a_brute_force_walk(spark, monkeypatch):
+    """Every document's words and copies, block by block, from the plans of its shard."""
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 40)
+    rows = rows_of(9, 400)
+    docs = spark.createDataFrame(rows, DOCS)
+    sized = mixing.with_sizes(docs).drop("target", "taken")
+    plans = [r.asDict() for r in mixing.planned(mixing._slim(sized, mixing.F.col("size"))).collect()]
+    wanted = Counter()
+    shards = {}
+    for p in plans:
+        shards.setdefault((p["m_source"], p["m_cell"], p["m_blocks"], p["m_step"], p["m_shift"]), []).append(p)
+    quotas = Counter()
+    for (source, cell, blocks, step, shift), parts in shards.items():
+        block, rounds, rest = parts[0]["m_block"], parts[0]["m_rounds"], parts[0]["m_rest"]
+        assert math.gcd(step, blocks) == 1 or blocks == 1
+        words, owners = [], []
+        for p in sorted(parts, key=lambda p: (p["m_begin"], p["m_size"])):
+            assert len(words) == p["m_begin"]
+            for _ in range(p["m_rows"]):
+                owners.append((p["m_id"], source, p["m_size"], len(words)))
+                words += [len(owners) - 1] * p["m_size"]
+        assert len(words) == cell
+        again = {b for b in range(blocks) if (b * step + shift) % blocks < rest}
+        assert len(again) == rest
+        quotas[source] += rounds * blocks + rest
+        once = Counter(owner for at, owner in enumerate(words) if at // block in again)
+        for n, (doc, src, size, begin) in enumerate(owners):
+            copies = rounds + ((begin + size // 2) // block in again) if size else 0
+            wanted[doc, src, size, rounds * size + once[n], copies] += 1
+    got = Counter((r.doc_id, r.source, r.size, r.taken, r.copies) for r in mixing.mix(mixing.with_sizes(docs)).collect())
+    assert got == wanted
+    # the sources' quotas are those of the seat-by-seat method
+    names = sorted({p["m_source"] for p in plans}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(p["m_size"] * p["m_rows"] for p in plans if p["m_source"] == s) for s in names]
+    block = plans[0]["m_block"]
+    expected = slow_sainte_lague([Fraction(float(t)) for t in mixing.targets(sizes)], round(sum(sizes) / block), [math.ceil(n / block * 3) for n in sizes])
+    assert [quotas[s] for s in names] == expected
+
+
+def source_sizes(docs):
+    F = mixing.F
+    return mixing.with_sizes(docs).groupBy(F.col("source").alias("m_source")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs"))
+
+
+def test_many_sources_and_ties(spark, monkeypatch):
+    """Targets and quotas over a table of sources equal those of lists; equal sizes tie everywhere."""
+    rng = random.Random(3)
+    for sizes in ([10] * 200, [rng.choice([0, 1, 7, 300, 10**5]) for _ in range(300)], [3, 10**9, 1, 0]):
+        table = spark.createDataFrame(list(enumerate(sizes)), "number long, size long")
+        found, total = mixing.with_targets(table)
+        rows = sorted(mixing.with_quotas(found, round(total / 7), 7).collect())
+        wanted = mixing.targets(sizes)
+        assert [r.target for r in rows] == pytest.approx([float(t) for t in wanted])
+        caps = [math.ceil(n / 7 * 3) for n in sizes]
+        assert [r.quota for r in rows] == mixing.sainte_lague([r.target for r in rows], round(total / 7), caps).tolist()
+    docs = spark.createDataFrame(rows_of(4, 300), DOCS)
+    by_list = sorted(map(str, mixing.shares(source_sizes(docs))[0].collect()))
+    monkeypatch.setattr(mixing, "CATALOGUE", 0)
+    assert sorted(map(str, mixing.shares(source_sizes(docs))[0].collect())) == by_list
+    named = mixing.numbered(spark.createDataFrame([(s,) for s in ["b", None, "a", "é", "Z", "zz"]], "s string").repartition(3), "n", mixing.F.col("s").asc_nulls_last())
+    assert sorted((r.n, r.s) for r in named.collect()) == [(0, "Z"), (1, "a"), (2, "b"), (3, "zz"), (4, "é"), (5, None)]
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    names = ["words", "cell_size", "source_no", "source_quota", "plan_source", "shards", "size", "until", "order_key", "order_tie", "shard", "copy", "m_id", "m_row", "k_id"]
+    rows = [(i, "w " * (10 + i % 50), "ab"[i % 2], *range(len(names))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and {tuple(r) for r in got} <= set(rows)
+    copies = Counter((r.doc_id, r.source) for r in mixing.mix(mixing.with_sizes(docs.drop("size"))).collect())
+    assert len(copies) == 60 and sum(copies.values()) == 65
 
 
 def test_mix_of_nothing(spark):
@@ -108,7 +169,7 @@ def slow_base(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
 
 
-def slow_quality(rows, limit):
+def slow_quality(rows, limit, distinct_texts=False):
     def norm(line):
         return " ".join("".join(" " if c in " \t\n\r\x0b\x0c" else c for c in line.lower()).split(" ")).strip() if line else line
 
@@ -116,10 +177,10 @@ def slow_quality(rows, limit):
         return " ".join(w for w in "".join(" " if c in "\t\n\r\x0b\x0c" else c for c in line.lower()).split(" ") if w)
 
     texts = {}
-    for _, text, host in rows:
+    for at, (doc_id, text, host) in enumerate(rows):
         for line in (text or "").split("\n"):
             if squeeze(line):
-                texts.setdefault((host, squeeze(line)), set()).add(text)
+                texts.setdefault((host, squeeze(line)), set()).add(text if distinct_texts else ("row", at) if doc_id is None else doc_id)
     out = []
     for doc_id, text, host in rows:
         base = slow_base(text)
@@ -140,10 +201,23 @@ def test_quality_equals_brute_force(spark):
         rng.shuffle(lines)
         rows.append((i, "\n".join(lines), rng.choice(["h1", "h2", None])))
     rows += [(900, None, "h1"), (901, "", "h1"), (902, "\n\n \n", None), (903, "one two three " * 40, "h1"), (904, "a b c d", "h1")]
+    rows += [(None, "\n".join([*shared[:2], *(f"own {i} {j}" for j in range(30))]), "h1") for i in range(9)]
     rows += [(905, " ".join(str(i) for i in range(30_000)) + " 5 6 7 8", "h2")] + [(77, rows[77][1], rows[77][2])] * 30
-    docs = spark.createDataFrame([(i, t, h, "x", 1) for i, t, h in rows], "doc_id long, text string, source string, host string, lines int").repartition(4)
+    docs = spark.createDataFrame([(i, t, h, "x", 1) for i, t, h in rows], "doc_id long, text string, source string, x string, lines int").repartition(4)
     got = sorted((tuple(r) for r in quality.judge(docs, line_docs=5).collect()), key=str)
     assert got == slow_quality(rows, 5)
+    got = sorted((tuple(r) for r in quality.judge(docs, line_docs=5, distinct_texts=True).collect()), key=str)
+    assert got == slow_quality(rows, 5, True)
+    # the real output: kept documents without the lines that go
+    words = {}
+    for r in slow_quality(rows, 5):
+        if r[-1]:
+            words.setdefault(r[0], []).append(r[1] - r[7])
+    cleaned = {}
+    for r in quality.clean(docs, line_docs=5).collect():
+        assert r.x == "x" and r.lines == 1
+        cleaned.setdefault(r.doc_id, []).append(slow_base(r.text)[0])
+    assert cleaned == words and quality.clean(docs).columns == docs.columns
 
 
 def test_quality_of_nothing(spark):
