@@ -22,9 +22,8 @@ from kinthread.llm.grams import folded, gram_ids, groups
 
 SIZES = (2, 3)
 BITS = 11
-#: Training documents of a language, at most, and languages, at most.
-PER_LANGUAGE = 600
-MOST_LANGUAGES = 1000
+#: Training documents of a language, at most, and of all together about (one of each language at least).
+PER_LANGUAGE, TOGETHER = 600, 24_000
 FOLDS = 5
 UNKNOWN = "und"
 
@@ -70,17 +69,21 @@ def svm(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int = 150) ->
 
 
 def families(centres: np.ndarray, count: int) -> list[list[int]]:
-    """Groups of rows: merge the most alike (mean cosine) until ``count`` are left."""
-    like = centres @ centres.T
-    parts = [[i] for i in range(len(centres))]
-    while len(parts) > count:
-        i, j = max(
-            itertools.combinations(range(len(parts)), 2),
-            key=lambda p: np.mean([like[a, b] for a in parts[p[0]] for b in parts[p[1]]]),
-        )
-        parts[i] = sorted(parts[i] + parts[j])
-        del parts[j]
-    return parts
+    """Groups of rows: merge the most alike (mean cosine) until ``count`` are left; of ties the first pair."""
+    total = centres @ centres.T  # sums over the pairs of two groups
+    sizes = np.ones(len(centres))
+    parts: list[list[int] | None] = [[i] for i in range(len(centres))]
+    mean = np.where(np.triu(np.ones(total.shape, dtype=bool), 1), total, -np.inf)
+    for _ in range(len(parts) - count):
+        i, j = divmod(int(mean.argmax()), len(parts))
+        parts[i], parts[j] = sorted(parts[i] + parts[j]), None
+        total[i] += total[j]
+        total[:, i] += total[:, j]
+        sizes[i] += sizes[j]
+        mean[j], mean[:, j] = -np.inf, -np.inf
+        for k in [k for k, part in enumerate(parts) if part is not None and k != i]:
+            mean[min(i, k), max(i, k)] = total[i, k] / (sizes[i] * sizes[k])
+    return [part for part in parts if part is not None]
 
 
 @dataclasses.dataclass
@@ -158,20 +161,21 @@ def held_out(doc_id):
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """The model from rows of ``docs`` (doc_id, text, lang) that aren't held out; None without any.
 
-    At most about ``per_language`` documents of a language, chosen by the hash
-    of doc_id, travel to the driver, as profiles.
+    At most about ``per_language`` documents of a language, and TOGETHER of all,
+    chosen by the hash of doc_id, travel to the driver, as profiles of 4 KB: some
+    100 MB however many languages there are.
     """
+    spark = docs.sparkSession
     rows = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
     if not found:
         return None
-    shares = F.create_map(*(F.lit(v) for r in found for v in (r.lang, min(1.0, 1.2 * per_language / r.n))))
+    per_language = max(1, min(per_language, TOGETHER // len(found)))
+    shares = spark.createDataFrame([(r.lang, min(1.0, (1.2 * per_language + 8) / r.n)) for r in found], "lang string, share double")
     place = F.xxhash64("doc_id")
-    chosen = rows.where(place.cast("double") / 2.0**64 + 0.5 <= F.get(F.array(shares[F.col("lang")]), 0))
+    chosen = rows.join(shares, "lang").where(place.cast("double") / 2.0**64 + 0.5 <= F.col("share"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
