@@ -17,6 +17,8 @@ RULES = [
 ]
 #: Hex digits of the digest that are joined on; the full digest confirms.
 PREFIX = 8
+#: Parts that rows of one url, or under one rule, are split into.
+SALTS = 16
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
@@ -52,15 +54,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     of equally long ones the longer host, then the larger text and verdict. No
     rule: null and ``default``.
 
-    Each distinct url becomes one expression per *shape* of the rules (labels of
+    Each distinct url (of a salt, so that a url of most rows is no hot key)
+    becomes one expression per *shape* of the rules (labels of
     the host, folders of the path), however long it is: its last labels and its
     first folders. Expressions meet rules on a short prefix of their SHA-256;
     the digest over host and whole rule path confirms. The shapes are all that
-    the driver sees of the rules. The rules are an ordinary join side: Spark
-    broadcasts them only if their size allows.
+    the driver sees of the rules. The rules are an ordinary join side, there for
+    every salt: Spark broadcasts them only if their size allows.
 
-    Null or malformed urls have empty host and path and fit no rule. Repeated
-    rows are judged each. Only page_id and url are read. An empty table, or
+    Null or malformed urls have empty host and path and fit no rule; null ones
+    pass by the joins. Repeated rows are judged each. Only page_id and url are read. An empty table, or
     no rules, is fine.
     """
     key = F.concat("host", _folder(F.col("path")))
@@ -83,8 +86,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     ) or [(1, 0)]
 
     host, path = host_and_path(F.col("url"))
-    urls = pages.select("url").where(F.col("url").isNotNull()).distinct()
-    urls = urls.select("url", host.alias("host"), path.alias("path"))
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt")
+    salted = pages.select("page_id", "url", salt)
+    urls = salted.where(F.col("url").isNotNull()).select("url", "salt").distinct()
+    urls = urls.select("url", "salt", host.alias("host"), path.alias("path"))
+    ready = ready.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     has_labels = F.size(F.split("host", r"\.", -1))
     has_folders = _slashes(F.col("path"))
     expressions = [
@@ -98,16 +104,19 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         for labels, folders in shapes
     ]
     spread = (
-        urls.select("url", "path", F.explode(F.array(*expressions)).alias("e")).where("e is not null")
-        .select("url", "path", "e.suffix", F.left(F.sha2(F.concat("e.suffix", "e.folder"), 256), F.lit(PREFIX)).alias("prefix"))
+        urls.select("url", "salt", "path", F.explode(F.array(*expressions)).alias("e")).where("e is not null")
+        .select("url", "salt", "path", "e.suffix", F.left(F.sha2(F.concat("e.suffix", "e.folder"), 256), F.lit(PREFIX)).alias("prefix"))
     )
-    fits = spread.join(ready, "prefix").where(
+    fits = spread.join(ready, ["prefix", "salt"]).where(
         F.sha2(F.concat("suffix", F.left("path", F.col("rule_path"))), 256) == F.col("digest")
     )
-    best = fits.groupBy("url").agg(
+    best = fits.groupBy("url", "salt").agg(
         F.max(F.struct(F.length("rule").alias("n"), "rule_host", "rule", "verdict")).alias("best")
-    ).select("url", "best.rule", "best.verdict")
-    return pages.select("page_id", "url").join(best, "url", "left").select(
+    ).select("url", "salt", "best.rule", "best.verdict")
+    with_url = salted.where(F.col("url").isNotNull()).join(best, ["url", "salt"], "left")
+    none = F.lit(None).cast("string")
+    without = salted.where(F.col("url").isNull()).select("url", "salt", "page_id", none.alias("rule"), none.alias("verdict"))
+    return with_url.select("url", "salt", "page_id", "rule", "verdict").union(without).select(
         "page_id", host.alias("host"), path.alias("path"), "rule",
         F.coalesce("verdict", F.lit(default)).alias("verdict"),
     )
