@@ -329,25 +329,33 @@ def findings(docs: DataFrame, name: str = "findings") -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, position, value, score, is_secret): a row per candidate; documents without have none."""
+    """(doc_id, position, value, score, is_secret): a row per candidate of every row of ``docs``.
+
+    Null, empty and other texts without a candidate have none. Repeated rows
+    and null doc_ids give their candidates each. A value twice in one word is
+    one candidate, in two words two. Texts are read whole, a word at a time.
+    Only doc_id and text are read, whatever other columns are called; no rows,
+    no result.
+    """
     return findings(docs.select("doc_id", "text")).select("doc_id", F.explode("findings").alias("e")).select("doc_id", "e.*")
 
 
 def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """``docs`` with every secret in the text masked and n_chars, if present, recounted.
 
-    Rows, other columns and texts without secrets stay as they are. A value is
-    masked wherever it occurs; one of under 12 characters only where it is no
-    part of a longer word.
+    Rows, other columns (of any names) and texts without secrets stay as they
+    are, null and empty ones too. A value is masked wherever it stands by
+    itself, never as a part of a longer run of letters and digits.
     """
-    columns, name = docs.columns, "findings_to_mask"
+    columns, name = docs.columns, "findings"
+    while name in columns:
+        name += "_"
     values = F.transform(F.filter(name, lambda c: c["is_secret"]), lambda c: c["value"])
     quoted = F.lit(mask.replace("\\", "\\\\").replace("$", "\\$"))
 
     def masked(t: Column, v: Column) -> Column:
         exact = F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-        alone = F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), exact, F.lit("\\E(?![A-Za-z0-9])"))
-        return F.when(F.length(v) < 12, F.regexp_replace(t, alone, quoted)).otherwise(F.replace(t, v, F.lit(mask)))
+        return F.regexp_replace(t, F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), exact, F.lit("\\E(?![A-Za-z0-9])")), quoted)
 
     hidden = F.aggregate(F.array_sort(values, lambda a, b: F.length(b) - F.length(a)), F.col("text"), masked)
     changed = F.exists(name, lambda c: c["is_secret"])
