@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinthread.config import NormalizationConfig, DistanceMetricConfig
@@ -120,3 +121,23 @@ def normalize_multi_words(cells: Sequence[Sequence[str] | None], rules: Normaliz
             low, high = spans.setdefault(c, [i, i])
             spans[c] = [min(low, i), max(high, i)]
     return [[medians[c] for c in range(len(medians)) if spans[c][0] <= i <= spans[c][1]] for i in range(len(cells))]
+
+
+def fill_missing(chains: DataFrame, column: str = "value") -> DataFrame:
+    """``chains`` (tracker_id, frame_idx, ...): a missing ``column`` takes the last to the left, or else the next to the right."""
+    order = Window.partitionBy("tracker_id").orderBy("frame_idx")
+    left = F.last(column, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    right = F.first(column, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    return chains.withColumn(column, F.coalesce(left, right))
+
+
+def fill_spans(chains: DataFrame, column: str = "value") -> DataFrame:
+    """(tracker_id, frame_idx, column): each value of a chain at all its nodes from the value's first to its last."""
+    nodes = chains.select("tracker_id", "frame_idx", column)
+    spans = (
+        nodes.where(F.col(column).isNotNull()).groupBy("tracker_id", column)
+        .agg(F.min("frame_idx").alias("low"), F.max("frame_idx").alias("high"))
+        .groupBy("tracker_id").agg(F.collect_list(F.struct(column, "low", "high")).alias("spans"))  # a chain's values, a frame each at most
+    )
+    each = nodes.select("tracker_id", "frame_idx").join(spans, "tracker_id").select("tracker_id", "frame_idx", F.explode("spans").alias("s"))
+    return each.where("frame_idx BETWEEN s.low AND s.high").select("tracker_id", "frame_idx", F.col("s")[column].alias(column))

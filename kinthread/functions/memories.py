@@ -122,3 +122,9 @@ def running_memory(chains: DataFrame, memory: MemoryConfig, column: str = "value
     before = Window.partitionBy("tracker_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)
     history = F.collect_list(F.when(F.col(column).isNotNull(), F.array(column))).over(before)
     return chains.withColumn("history", history).select(*chains.columns, memory_column(memory, F.col("history")).alias("memory"))
+
+
+def running_latest(chains: DataFrame, column: str = "value") -> DataFrame:
+    """``chains`` with ``latest``: the last non-null value before each row, the short-term half of the ls- memories."""
+    before = Window.partitionBy("tracker_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)
+    return chains.withColumn("latest", F.last(column, ignorenulls=True).over(before))

@@ -298,20 +298,3 @@ def multi_similarity(left: Column, right: Column, similarity) -> Column:
     total = F.aggregate(left, F.lit(0.0).cast("float"), lambda acc, word: (acc + best(word)).cast("float"))
     value = (total / F.greatest(F.size(left), F.size(right)).cast("float")).cast("float")
     return F.when(left.isNotNull() & right.isNotNull() & (F.size(left) > 0), value)
-
-
-def upper_bound(metric: DistanceMetricConfig, left: Column, right: Column) -> Column:
-    """What the similarity of two string columns cannot exceed, from their lengths; 1 where nothing is proven.
-
-    Edits are at least the difference in graphemes. Characters only bound
-    graphemes from above, so the bound is used for ASCII words and is 1 else.
-    """
-    a, b = F.length(left), F.length(right)
-    least = F.abs(a - b).cast("double")
-    if metric.metric == "lv_substring":
-        least = F.greatest(least - metric.lv_substring_weight * F.least(a, b), F.lit(0.0))
-    elif metric.metric not in ("lv", "lv_opti"):
-        return F.lit(1.0)
-    ascii_only = (F.octet_length(left) == a) & (F.octet_length(right) == b)
-    bound = F.when(ascii_only & (F.greatest(a, b) > 0), 1.0 - least / F.greatest(a, b)).otherwise(1.0)
-    return 1 / (1 + F.exp(-(8 * bound - 4))) if metric.use_sigmoid else bound

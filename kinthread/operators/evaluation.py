@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinthread.functions.similarity import native_levenshtein
+
 from kinthread.operators.graph import edges, with_positions
 
 
@@ -174,3 +176,36 @@ def group_results(results: DataFrame, key, columns: list[str], where=None) -> Da
     """Result rows grouped by an expression of their configuration, as lists of structs."""
     rows = results if where is None else results.where(where)
     return rows.groupBy(key.alias("key")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("results"))
+
+
+def value_counts(records: DataFrame, names: list[str]) -> DataFrame:
+    """(feature, value, n): distinct values of word features with their counts, in one pass over the records."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in names))).alias("e")
+    return records.select(each).select("e.*").where("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def column_similarity_sum(values: DataFrame, column: str, word: str, keys: list[str]) -> DataFrame:
+    """(keys, total): plain edit similarities of a column's values to one word, summed; each distinct value is compared once."""
+    counts = values.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
+    value = native_levenshtein(F.col(column), F.lit(word)).cast("double")
+    return counts.groupBy(*keys).agg(F.sum(value * F.col("n")).alias("total"))
+
+
+def consecutive_similarity_sums(records: DataFrame, column: str) -> DataFrame:
+    """(frame_idx, total, pairs, computations) of each frame and the next: similarities over all pairs of values, summed.
+
+    A pair of distinct values is computed once, however often it occurs, in
+    this pair of frames or another: ``computations`` are the distinct pairs that
+    no earlier frame had, the others are served from those.
+    """
+    counts = records.where(F.col(column).isNotNull()).groupBy("frame_idx", column).agg(F.count(F.lit(1)).alias("n"))
+    left = counts.select("frame_idx", F.col(column).alias("a"), F.col("n").alias("na"))
+    right = counts.select((F.col("frame_idx") - 1).alias("frame_idx"), F.col(column).alias("b"), F.col("n").alias("nb"))
+    pairs = left.join(right, "frame_idx").groupBy("a", "b").agg(
+        F.min("frame_idx").alias("first"), F.collect_list(F.struct("frame_idx", (F.col("na") * F.col("nb")).alias("n"))).alias("uses")
+    )
+    values = pairs.select("first", F.explode("uses").alias("u"), native_levenshtein(F.col("a"), F.col("b")).cast("double").alias("value"))
+    return values.groupBy("u.frame_idx").agg(
+        F.sum(F.col("value") * F.col("u.n")).alias("total"), F.sum("u.n").alias("pairs"),
+        F.count_if(F.col("first") == F.col("u.frame_idx")).alias("computations"),
+    )

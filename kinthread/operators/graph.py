@@ -136,6 +136,6 @@ def chains_at_least(chain_nodes: DataFrame, length: int, start: int | None = Non
 
 
 def sample_ids(chain_nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(tracker_id) of n chains, all if fewer: those of the smallest seeded hash."""
+    """(tracker_id) of n chains, all if fewer: those of the smallest seeded MD5."""
     ids = chain_nodes.select("tracker_id").distinct()
-    return ids.orderBy(F.xxhash64(F.lit(seed), F.col("tracker_id")), "tracker_id").limit(n)
+    return ids.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tracker_id").cast("string"))), "tracker_id").limit(n)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinthread.operators.scoring import rank_records, rank_trackers
+from kinthread.operators.scoring import rank_records
 from kinthread.runtime import stored
 
 #: Interesting pairs up to which the greedy matching runs on the driver.
@@ -18,9 +20,9 @@ def simple(scores: DataFrame) -> DataFrame:
 
 
 def greedy(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """One-to-one matching of (tracker, record, score): best score first, ties to smaller tracker, then record."""
+    """One-to-one matching of (tracker, record, score): best score first, then as ``tie`` has it, smaller tracker, record."""
     trackers, records, out = set(), set(), []
-    for t, r, s in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+    for t, r, s in sorted(pairs, key=lambda p: (-p[2], -tie_of(p[0], p[1]), p[0], p[1])):
         if t not in trackers and r not in records:
             trackers.add(t)
             records.add(r)
@@ -28,23 +30,37 @@ def greedy(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     return out
 
 
+def tie_of(tracker_id: int, record_idx: int) -> int:
+    return int(hashlib.md5(f"{tracker_id}:{record_idx}".encode()).hexdigest()[:12], 16)
+
+
 def mutual_best(scores: DataFrame) -> DataFrame:
-    """The greedy matching in rounds: pairs that are best for both sides are settled, the rest go on.
+    """A greedy matching in rounds: pairs that are best for both sides are settled, the rest go on.
 
-    Each round settles at least the best pair left; a round is two windows over
-    the pairs left and two anti-joins, stored so that lineage stays short.
+    Equal scores are ordered by a seeded hash of the pair, then by ids: in a
+    block of n equal scores, where an order by ids would settle one pair a
+    round, some O(log n) rounds are expected. A round is two aggregates over the
+    pairs left and two anti-joins, stored so that lineage stays short. The result
+    is ``greedy`` in the order (score, ``tie``, tracker, record).
     """
-    left = stored(scores.select("tracker_id", "record_idx", "score"), "pairs")
+    left = stored(scores.select("tracker_id", "record_idx", "score").withColumn("tie", tie(F.col("tracker_id"), F.col("record_idx"))), "pairs")
+    place = F.struct("score", "tie", (-F.col("tracker_id")).alias("t"), (-F.col("record_idx")).alias("r"))
     done = None
     while not left.isEmpty():
-        both = rank_trackers(rank_records(left))
-        won = stored(both.where("record_rank = 1 and tracker_rank = 1").select("tracker_id", "record_idx", "score"), "won")
+        by_tracker = left.groupBy("tracker_id").agg(F.max(place).alias("best")).select(F.struct("tracker_id", (-F.col("best.r")).alias("record_idx")).alias("pair"), "best.score")
+        by_record = left.groupBy("record_idx").agg(F.max(place).alias("best")).select(F.struct((-F.col("best.t")).alias("tracker_id"), "record_idx").alias("pair"))
+        won = stored(by_tracker.join(by_record, "pair", "left_semi").select("pair.tracker_id", "pair.record_idx", "score"), "won")
         done = won if done is None else done.union(won)
         left = stored(
             left.join(won.select("tracker_id"), "tracker_id", "left_anti").join(won.select("record_idx"), "record_idx", "left_anti")
-            .select("tracker_id", "record_idx", "score"), "pairs",
+            .select("tracker_id", "record_idx", "score", "tie"), "pairs",
         )
-    return left if done is None else done
+    return left.drop("tie") if done is None else done
+
+
+def tie(tracker_id: Column, record_idx: Column) -> Column:
+    """What orders pairs of equal scores, largest first: pseudo-random, so that neither side's order is that of the other's."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", tracker_id.cast("string"), record_idx.cast("string"))), 1, 12), 16, 10).cast("long")
 
 
 def best_match(scores: DataFrame, driver_pairs: int = DRIVER_PAIRS) -> DataFrame:
@@ -52,7 +68,7 @@ def best_match(scores: DataFrame, driver_pairs: int = DRIVER_PAIRS) -> DataFrame
 
     Few pairs, checked first, are matched on the driver in one sort; more in
     mutual-best rounds. Both give the greedy matching in the order (score
-    descending, tracker, record).
+    descending, tie descending, tracker, record).
     """
     pairs = scores.select("tracker_id", "record_idx", "score")
     found = pairs.limit(driver_pairs + 1).collect()
@@ -76,6 +92,24 @@ def unmatched_trackers(trackers: DataFrame, matches: DataFrame) -> DataFrame:
     return trackers.join(matches.select("tracker_id"), "tracker_id", "left_anti")
 
 
+def is_alive(limit_no_match_streak: int) -> Column:
+    """Whether a tracker has missed no more frames in a row than the limit."""
+    return F.col("streak") <= limit_no_match_streak
+
+
 def alive(trackers: DataFrame, limit_no_match_streak: int) -> DataFrame:
-    """Trackers that have missed no more frames in a row than the limit."""
-    return trackers.where(F.col("streak") <= limit_no_match_streak)
+    """Trackers that live on."""
+    return trackers.where(is_alive(limit_no_match_streak))
+
+
+def final_streaks(chain_nodes: DataFrame) -> DataFrame:
+    """(tracker_id, streak): frames that each chain has missed up to the last frame of all."""
+    ends = chain_nodes.groupBy("tracker_id").agg(F.max("frame_idx").alias("last"))
+    top = chain_nodes.agg(F.max("frame_idx").alias("top"))  # one row
+    return ends.crossJoin(F.broadcast(top)).select("tracker_id", (F.col("top") - F.col("last")).cast("int").alias("streak"))
+
+
+def missed_before(chain_nodes: DataFrame) -> DataFrame:
+    """(tracker_id, frame_idx, missed): frames missed between each node and the one before."""
+    before = F.lag("frame_idx").over(Window.partitionBy("tracker_id").orderBy("frame_idx"))
+    return chain_nodes.select("tracker_id", "frame_idx", F.coalesce(F.col("frame_idx") - before - 1, F.lit(0)).cast("int").alias("missed"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinthread.config import DistanceMetricConfig, RecordScorerConfig
 from kinthread.functions.scorers import interesting, score
 from kinthread.functions.similarity import similarities, similarity_table
+from kinthread.functions.words import grapheme_array, join_graphemes
+from kinthread.runtime import stored
 from kinthread.schema import ElementType, RecordSchema
 
 #: Pairs up to which every tracker meets every record; beyond, pairs are blocked
@@ -41,56 +45,76 @@ def pair_similarities(pairs: DataFrame, schema: RecordSchema, metric: DistanceMe
         for batch in batches:
             for at in range(0, batch.num_rows, PAIRS):
                 part = batch.slice(at, PAIRS)
-                columns = [
-                    _feature(part[memory_name(i)].to_pylist(), part[name].to_pylist(), multi[i], metric) for i, name in enumerate(names)
-                ]
-                # Arrow keeps NaN apart from null; pandas doesn't
-                distances = pa.array(list(map(list, zip(*columns, strict=True))), pa.list_(pa.float32()))
+                columns = [_feature(part[memory_name(i)], part[name], multi[i], metric) for i, name in enumerate(names)]
+                values = np.stack([v for v, _ in columns], axis=1).reshape(-1)
+                missing = ~np.stack([p for _, p in columns], axis=1).reshape(-1)
+                ends = pa.array(np.arange(part.num_rows + 1) * len(names), pa.int32())
+                distances = pa.ListArray.from_arrays(ends, pa.array(values, pa.float32(), mask=missing))
                 yield pa.RecordBatch.from_arrays([part["tracker_id"], part["record_idx"], distances], ["tracker_id", "record_idx", "distances"])
 
     wanted = ["tracker_id", "record_idx", *(memory_name(i) for i in range(len(names))), *names]
     return pairs.select(*wanted).mapInArrow(run, "tracker_id long, record_idx long, distances array<float>")
 
 
-def _feature(memories, cells, multi: bool, metric: DistanceMetricConfig) -> list:
-    """Best similarity per row for one feature."""
-    place: dict[tuple[str, str], int] = {}
-    rows = []
-    for memory, cell in zip(memories, cells, strict=True):
-        if cell is None or memory is None or not len(memory):
-            rows.append(None)
-            continue
-        right = list(cell) if multi else [cell]
-        rows.append([
-            ([[place.setdefault((w, v), len(place)) for v in right] for w in element], len(element), len(right))
-            for element in memory
-        ])
-    values = similarities(metric, [a for a, _ in place], [b for _, b in place])
-    out = []
-    for row in rows:
-        if row is None:
-            out.append(None)
-            continue
-        best = None
-        for words, left, right in row:
-            if multi:
-                if not left:
-                    continue
-                total = np.float32(0)
-                for ids in words:
-                    total += _best(values, ids) if ids else np.float32(0)
-                value = total / np.float32(max(left, right))
-            else:
-                value = values[words[0][0]]
-            best = value if best is None or np.isnan(best) or value > best else best
-        out.append(None if best is None else float(best))
+def _lists(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(lengths, 0 for null lists; the items) of a list column."""
+    return pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(values)
+
+
+def _inside(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, .. of each of so many."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _best_of(values: np.ndarray, lengths: np.ndarray, without: float) -> np.ndarray:
+    """Largest number of each run of values; ``without`` for a run of none."""
+    out = np.full(len(lengths), without, dtype=np.float32)
+    some = np.flatnonzero(lengths)
+    if len(some):
+        out[some] = np.fmax.reduceat(values, (np.cumsum(lengths) - lengths)[some])
     return out
 
 
-def _best(values: np.ndarray, ids: list[int]) -> np.float32:
-    found = values[ids]
-    numbers = found[~np.isnan(found)]
-    return numbers.max() if len(numbers) else np.float32("nan")
+def _feature(memory: pa.Array, cells: pa.Array, multi: bool, metric: DistanceMetricConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(best similarity, whether there is one) per row for one feature."""
+    elements, inner = _lists(memory)
+    elements = np.where(cells.is_valid().to_numpy(zero_copy_only=False), elements, 0)
+    if multi:
+        rights, right_words = _lists(cells)
+    else:
+        rights, right_words = cells.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), cells.drop_null()
+    words, left_words = _lists(inner)
+    # rows of elements, elements of words; those of null cells are left out
+    every = _lists(memory)[0]
+    row_of = np.repeat(np.arange(len(every)), every)
+    used = np.repeat(elements > 0, every)
+    word_used = np.repeat(used, words)
+    row_of, words = row_of[used], words[used]
+    left = pc.dictionary_encode(left_words.filter(pa.array(word_used)))
+    right = pc.dictionary_encode(right_words)
+    a = left.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    b = right.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # every left word meets the right words of its row
+    element_of = np.repeat(np.arange(len(words)), words)
+    row = row_of[element_of]
+    times = rights[row]
+    begins = np.cumsum(rights) - rights
+    pairs = np.repeat(a, times) * max(1, len(right.dictionary)) + b[np.repeat(begins[row], times) + _inside(times)]
+    distinct, place = np.unique(pairs, return_inverse=True)
+    lefts, others = left.dictionary.to_pylist(), right.dictionary.to_pylist()
+    n = max(1, len(others))
+    values = similarities(metric, [lefts[i] for i in (distinct // n).tolist()], [others[i] for i in (distinct % n).tolist()])
+    per_word = _best_of(values[place] if len(values) else values, times, 0.0)
+    total = np.zeros(len(words), dtype=np.float32)
+    at = _inside(words)
+    for turn in range(int(words.max(initial=0))):  # word after word, as sums in single precision go
+        mine = at == turn
+        total[element_of[mine]] += per_word[mine]
+    if multi:
+        total = total / np.maximum(np.maximum(words, rights[row_of]), 1).astype(np.float32)
+    kept = words > 0
+    counts = np.bincount(row_of[kept], minlength=len(every))
+    return _best_of(total[kept], counts, 0.0), counts > 0
 
 
 def least_similarity(scorer: RecordScorerConfig, threshold: float) -> float:
@@ -101,62 +125,106 @@ def least_similarity(scorer: RecordScorerConfig, threshold: float) -> float:
     return max(threshold, 0.0) ** 0.5 if scorer.record_scorer == "weighted-quadratic" else threshold
 
 
-def grams(column: str):
-    """Distinct two-character grams of a word, framed so that short words have some."""
-    text = F.concat(F.lit("\x01"), F.col(column), F.lit("\x02"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(text, i, F.lit(2))))
-
-
-def near_words(words1: DataFrame, words2: DataFrame, least: float) -> DataFrame:
-    """(v1, v2): every pair of words whose edit similarity exceeds ``least`` > 0, and some more.
-
-    With k edits, k < (1 - least) B for B bytes of the longer word:
+def edit_ratio(metric: DistanceMetricConfig, least: float) -> float | None:
+    """Words more similar than ``least`` have fewer edits than this share of the longer's bytes; None where no share below 1 is proven.
 
-    * ASCII words lose at most 2k of the n + 1 framed grams of the one, and
-      B < n / least, so unless 2 (1 - least) n / least >= n + 1 they share one;
-    * other words share a character as long as k < their graphemes, true if
-      both have more graphemes than (1 - least) bytes;
-    * what is left, words of many bytes a grapheme and the empty word, meets
-      every word.
+    ``lv_opti`` never has fewer edits than ``lv``; ``lv_edit`` weighs an edit by
+    its smallest weight at least; the sigmoid is monotone, so its bound is that
+    of the similarity that it maps there.
     """
+    if metric.use_sigmoid:
+        if not 0 < least < 1:
+            return None
+        least = (math.log(least / (1 - least)) + 4) / 8
     ratio = 1 - least
+    if metric.metric == "lv_edit":
+        smallest = min(metric.lv_edit_weights)
+        ratio = ratio / smallest if smallest > 0 else 1.0
+    elif metric.metric not in ("lv", "lv_opti"):
+        return None
+    return ratio if 0 < ratio < 1 else None
+
+
+def described(words: DataFrame, v: str, ratio: float) -> DataFrame:
+    """(v, g, b, n, k): a word's graphemes, bytes, number of graphemes, and the edits that a pair of so many bytes may have."""
+    g = F.when(F.octet_length(v) == F.length(v), F.filter(F.split(v, ""), lambda c: c != "")).otherwise(grapheme_array(F.col(v)))
+    return words.select(
+        v, g.alias("g"), F.octet_length(v).alias("b"), F.size(g).alias("n"), F.floor(F.octet_length(v) * ratio + 1e-6).cast("int").alias("k")
+    )
 
-    def described(words: DataFrame, v: str) -> DataFrame:
-        graphemes = F.size(F.regexp_extract_all(v, F.lit(r"(\X)"), F.lit(1)))
-        return words.select(
-            v, (F.octet_length(v) == F.length(v)).alias("ascii"), (F.octet_length(v) * ratio >= graphemes).alias("wide")
-        )
 
-    one, two = described(words1, "v1"), described(words2, "v2")
-    long = F.col("ascii") & (2 * ratio / least * F.length("v1") < F.length("v1") + 1)
+def segments(words: DataFrame, v: str) -> DataFrame:
+    """(v, b, n, i, segment): a word's graphemes cut into k + 1 even segments; words of fewer graphemes are left out."""
+    parts, i = F.col("k") + 1, F.col("i")
+    base, first_long = F.floor(F.col("n") / parts).cast("int"), parts - F.col("n") % parts
+    begin = i * base + F.greatest(i - first_long, F.lit(0))
+    size = base + F.when(i >= first_long, 1).otherwise(0)
+    each = words.where("n > k").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    return each.select(v, "b", "n", "i", join_graphemes(F.slice("g", begin + 1, size)).alias("segment"))
 
-    def meet(left: DataFrame, right: DataFrame, key) -> DataFrame:
-        left, right = left.select("v1", F.explode(key("v1")).alias("k")), right.select("v2", F.explode(key("v2")).alias("k"))
-        return left.join(right, "k").select("v1", "v2")
 
-    def letters(v: str):
-        return F.array_distinct(F.split(F.col(v), ""))
+def substrings(words: DataFrame, v: str, shapes: DataFrame, strict: bool) -> DataFrame:
+    """(v, b, n, i, segment): what of a word may be a segment of a word of each shape (b, n, k) that has at least its bytes.
+
+    If two words are at most k edits apart, some segment of the one stands in
+    the other, moved by no more than the edits left and right of it allow.
+    """
+    fits = (F.col("s.b") > F.col("w.b")) if strict else (F.col("s.b") >= F.col("w.b"))
+    pairs = words.alias("w").join(shapes.alias("s"), fits & (F.abs(F.col("s.n") - F.col("w.n")) <= F.col("s.k")))
+    pairs = pairs.select(
+        F.col(f"w.{v}").alias(v), "w.g", F.col("w.n").alias("own"), "s.b", "s.n", "s.k", F.explode(F.sequence(F.lit(0), F.col("s.k"))).alias("i"),
+    )
+    parts, i, k = F.col("k") + 1, F.col("i"), F.col("k")
+    base, first_long = F.floor(F.col("n") / parts).cast("int"), parts - F.col("n") % parts
+    begin = i * base + F.greatest(i - first_long, F.lit(0))
+    size = base + F.when(i >= first_long, 1).otherwise(0)
+    more = F.col("own") - F.col("n")
+    low = F.greatest(F.lit(0), begin - i, begin + more - (k - i))
+    high = F.least(F.col("own") - size, begin + i, begin + more + (k - i))
+    found = F.when(low <= high, F.transform(F.sequence(low, high), lambda at: join_graphemes(F.slice("g", at + 1, size))))
+    return pairs.select(v, "b", "n", "i", F.explode(F.array_distinct(found)).alias("segment"))
+
+
+def near_words(words1: DataFrame, words2: DataFrame, ratio: float) -> DataFrame:
+    """(v1, v2): every pair of words with fewer edits than ``ratio`` times the longer's bytes, and some more.
+
+    The word of more bytes allows k edits and is cut into k + 1 segments; the
+    other one has one of them, or both are far. Words meet on (shape, number of
+    the segment, segment). Words of more bytes than graphemes may have fewer
+    graphemes than segments: those meet every word of no more bytes, which then
+    are as similar. ASCII words are held against their edit distance at once.
+    """
+    one, two = (stored(described(w, v, ratio), "words") for w, v in ((words1, "v1"), (words2, "v2")))
+    keys = ["b", "n", "i", "segment"]
+
+    def shapes(words: DataFrame) -> DataFrame:
+        """A row a length of words."""
+        return words.where("n > k").select("b", "n", "k").distinct()
 
-    found = (
-        meet(one.where(long), two.where("ascii"), grams)
-        .union(meet(one.where(~long), two, letters))
-        .union(meet(one.where(long), two.where("not ascii"), letters))
-        .union(one.where("wide").crossJoin(two).select("v1", "v2"))
-        .union(one.crossJoin(two.where("wide")).select("v1", "v2"))
-    ).distinct()
     ascii_pair = (F.octet_length("v1") == F.length("v1")) & (F.octet_length("v2") == F.length("v2"))
-    size = F.nullif(F.greatest(F.octet_length("v1"), F.octet_length("v2")), F.lit(0))
-    return found.where(~ascii_pair | (1 - F.levenshtein("v1", "v2") / size > least - 1e-5))
+    size = F.greatest(F.octet_length("v1"), F.octet_length("v2"))
+    near = ~ascii_pair | (F.levenshtein("v1", "v2") < size * ratio + 1e-5)
+    found = (
+        segments(one, "v1").join(substrings(two, "v2", shapes(one), False), keys).select("v1", "v2")
+        .union(segments(two, "v2").join(substrings(one, "v1", shapes(two), True), keys).select("v1", "v2"))
+    )
+    wide1, wide2 = one.where("n <= k and b > 0"), two.where("n <= k and b > 0")
+    if not wide1.isEmpty() or not wide2.isEmpty():
+        x, y = wide1.select("v1", F.col("b").alias("b1")), two.select("v2", F.col("b").alias("b2"))
+        found = found.union(x.join(y, F.col("b2") <= F.col("b1")).select("v1", "v2"))
+        x, y = one.select("v1", F.col("b").alias("b1")), wide2.select("v2", F.col("b").alias("b2"))
+        found = found.union(x.join(y, F.col("b1") < F.col("b2")).select("v1", "v2"))
+    return found.where(near).distinct()
 
 
-def blocked_pairs(trackers: DataFrame, records: DataFrame, schema: RecordSchema, least: float) -> DataFrame:
-    """(tracker_id, record_idx) of all pairs with a feature whose edit similarity exceeds ``least``."""
+def blocked_pairs(trackers: DataFrame, records: DataFrame, schema: RecordSchema, ratio: float) -> DataFrame:
+    """(tracker_id, record_idx) of all pairs with words of a feature of fewer edits than ``ratio`` times the longer's bytes."""
     found = None
     for i, field in enumerate(schema.fields):
         cell = F.explode(field.name) if field.dtype is ElementType.MultiStrings else F.col(field.name)
         left = trackers.select("tracker_id", F.explode(F.flatten(memory_name(i))).alias("v1")).distinct()
         right = records.select("record_idx", cell.alias("v2")).where("v2 is not null").distinct()
-        near = near_words(left.select("v1").distinct(), right.select("v2").distinct(), least)
+        near = near_words(left.select("v1").distinct(), right.select("v2").distinct(), ratio)
         part = left.join(near, "v1").join(right, "v2").select("tracker_id", "record_idx")
         found = part if found is None else found.union(part)
     return found.distinct()
@@ -271,15 +339,15 @@ def score_pairs(
     """(tracker_id, record_idx, score, distances) of all pairs that score over ``threshold``.
 
     Few pairs, or a metric without a bound: all trackers meet all records. Many,
-    and a metric that plain edit distance bounds (``lv``, ``lv_opti``) with a
-    positive threshold: blocked. (A list's similarity is a mean of its words',
-    so one of them is as similar.)
+    and a metric that plain edit distance bounds (see edit_ratio) at the
+    threshold: blocked. (A list's similarity is a mean of its words', so one of
+    them is as similar.)
     """
     n, m = trackers.count(), records.count()
     least = least_similarity(scorer, threshold)
-    bounded = metric.metric in ("lv", "lv_opti") and not metric.use_sigmoid and least > 0
-    if n * m > all_pairs and bounded:
-        keys = blocked_pairs(trackers, records, schema, least)
+    ratio = edit_ratio(metric, least)
+    if n * m > all_pairs and ratio is not None:
+        keys = blocked_pairs(trackers, records, schema, ratio)
         found = pair_similarities(keys.join(trackers, "tracker_id").join(records, "record_idx"), schema, metric)
     elif m <= BROADCAST_RECORDS:
         found = nested_loop(trackers, records, schema, metric, scorer, threshold)

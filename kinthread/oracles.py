@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kinthread import oracle_parts as parts
 from kinthread.queries import CONVERSATIONS_SQL, EVENTS_SQL, FRAMES_SQL
 
 FRAMES = f"frames AS MATERIALIZED ({FRAMES_SQL})"
@@ -16,20 +17,7 @@ def _lv(a: str, b: str) -> str:
     return f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL ELSE CAST(1 AS FLOAT) - CAST(levenshtein({a}, {b}) AS FLOAT) / {size} END)"
 
 
-_TRIANGLE = """
-sized AS (SELECT w1, w2, CASE WHEN length(w1) < length(w2) THEN w2 ELSE w1 END AS a, CASE WHEN length(w1) < length(w2) THEN w1 ELSE w2 END AS b FROM pairs),
-dp(w1, w2, a, b, i, r, run, longest) AS (
-  SELECT w1, w2, a, b, 0, list_prepend(0, list_transform(range(length(b)), lambda j: 9999)), list_transform(range(length(b) + 1), lambda j: 0), 0 FROM sized
-  UNION ALL
-  SELECT w1, w2, a, b, i + 1,
-    list_reduce(list_prepend([i + 1], list_transform(range(1, length(b) + 1), lambda j: [CAST(j AS INTEGER)])), lambda acc, x: list_append(acc,
-      CASE WHEN x[1] > i + 1 THEN 9999 WHEN substr(a, i + 1, 1) = substr(b, x[1], 1) THEN r[x[1]]
-           ELSE 1 + least(r[x[1]], r[x[1] + 1], acc[x[1]]) END)),
-    list_prepend(0, list_transform(range(1, length(b) + 1), lambda j: CASE WHEN j <= i + 1 AND substr(a, i + 1, 1) = substr(b, CAST(j AS INTEGER), 1) THEN run[j] + 1 ELSE 0 END)),
-    greatest(longest, list_max(list_transform(range(1, length(b) + 1), lambda j: CASE WHEN j <= i + 1 AND substr(a, i + 1, 1) = substr(b, CAST(j AS INTEGER), 1) THEN run[j] + 1 ELSE 0 END)))
-  FROM dp WHERE i < length(a)),
-edits AS (SELECT w1, w2, r[length(b) + 1] AS e, longest, CAST(greatest(strlen(w1), strlen(w2)) AS FLOAT) AS size FROM dp WHERE i = length(a))
-"""
+_TRIANGLE = parts.TRIANGLE
 _SIM = "CAST(1 AS FLOAT) - CAST({} AS FLOAT) / size"
 
 
@@ -42,10 +30,11 @@ def _score(weights: tuple[float, ...] | None, power: int = 1) -> str:
     return f"({top}) / greatest({present}, {0.7 * sum(weights)})"
 
 
+TIE = parts.TIE
 SCORES = f"""{FRAMES}, scores AS MATERIALIZED (SELECT x.record_idx AS tracker_id, y.record_idx AS record_idx, round(CAST({_score(None)} AS DOUBLE), 5) AS score
   FROM frames x JOIN frames y ON x.frame_idx = 0 AND y.frame_idx = 1 WHERE {_score(None)} > 0.4137)"""
 BEST = f"""WITH RECURSIVE {SCORES},
-ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, tracker_id, record_idx) AS n FROM scores),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, {TIE} DESC, tracker_id, record_idx) AS n FROM scores),
 g(n, ts, rs, won) AS (
   SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), false
   UNION ALL
@@ -59,9 +48,9 @@ def _scored(weights, power: int = 1) -> str:
     return f"WITH {FRAMES} SELECT x.record_idx AS left_idx, y.record_idx AS right_idx, round(CAST({_score(weights, power)} AS DOUBLE), 4) AS score FROM frames x JOIN frames y ON x.frame_idx = 0 AND y.frame_idx = 1"
 
 
-_HISTORIES = "WITH {src}, h AS (SELECT * FROM {t} WHERE value IS NOT NULL), ids AS (SELECT DISTINCT tracker_id FROM {t})"
-_TEXT = " SELECT tracker_id, coalesce(string_agg(value, ',' ORDER BY value), '') AS memory FROM ids LEFT JOIN {m} USING (tracker_id) GROUP BY tracker_id"
-_MODE = "(SELECT tracker_id, value FROM (SELECT *, rank() OVER (PARTITION BY tracker_id ORDER BY n DESC) AS k FROM (SELECT tracker_id, value, count(*) AS n FROM {h} GROUP BY ALL)) WHERE k = 1)"
+_HISTORIES = "WITH {src}, h AS (SELECT *, frame_idx AS place FROM {t} WHERE value IS NOT NULL), ids AS (SELECT DISTINCT tracker_id FROM {t})"
+_TEXT = " SELECT tracker_id, coalesce(string_agg(value, ',' ORDER BY place), '') AS memory FROM ids LEFT JOIN {m} USING (tracker_id) GROUP BY tracker_id"
+_MODE = "(SELECT tracker_id, value, place FROM (SELECT *, rank() OVER (PARTITION BY tracker_id ORDER BY n DESC) AS k FROM (SELECT tracker_id, value, count(*) AS n, min(frame_idx) AS place FROM {h} GROUP BY tracker_id, value)) WHERE k = 1)"
 _EVENT_MEMORY = _HISTORIES.format(src=EVENTS, t="events_chains")
 
 
@@ -104,13 +93,14 @@ SELECT l AS left_idx, r AS right_idx, round(CAST(list_sum(v) / greatest(n, m) AS
     "memory_ls_bruteforce": _EVENT_MEMORY + _TEXT.format(m="h"),
     "memory_mostfrequent": _EVENT_MEMORY + ", m AS " + _MODE.format(h="h") + _TEXT.format(m="m"),
     "memory_ls_mostfrequent": _EVENT_MEMORY + """, k AS (SELECT *, row_number() OVER (PARTITION BY tracker_id ORDER BY frame_idx DESC) AS back FROM h),
-old AS (SELECT * FROM k WHERE back > 1), m AS (SELECT * FROM """ + _MODE.format(h="old") + " UNION ALL SELECT tracker_id, value FROM k WHERE back = 1)" + _TEXT.format(m="m"),
+old AS (SELECT tracker_id, frame_idx, value FROM k WHERE back > 1), m AS (SELECT * FROM """ + _MODE.format(h="old") + " UNION ALL SELECT tracker_id, value, frame_idx FROM k WHERE back = 1)" + _TEXT.format(m="m"),
     "memory_conversations": _HISTORIES.format(src=TALKS, t="talks") + ", m AS " + _MODE.format(h="h") + _TEXT.format(m="m"),
     "running_latest": f"WITH {EVENTS} SELECT tracker_id, frame_idx, last_value(value IGNORE NULLS) OVER (PARTITION BY tracker_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM events_chains",
     "fill_missing_clusters": f"""WITH {EVENTS} SELECT tracker_id, frame_idx, coalesce(
   last_value(value IGNORE NULLS) OVER (PARTITION BY tracker_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
   first_value(value IGNORE NULLS) OVER (PARTITION BY tracker_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM events_chains""",
-    "range_fill": f"WITH {EVENTS}, s AS (SELECT tracker_id, value, min(frame_idx) AS a, max(frame_idx) AS b FROM events_chains WHERE value IS NOT NULL GROUP BY ALL) SELECT tracker_id, value, CAST(unnest(range(a, b + 1)) AS INTEGER) AS frame_idx FROM s",
+    "range_fill": f"""WITH {EVENTS}, s AS (SELECT tracker_id, value, min(frame_idx) AS a, max(frame_idx) AS b FROM events_chains WHERE value IS NOT NULL GROUP BY ALL)
+SELECT e.tracker_id, e.frame_idx, s.value FROM events_chains e JOIN s ON s.tracker_id = e.tracker_id AND e.frame_idx BETWEEN s.a AND s.b""",
     "streaks": f"WITH {EVENTS} SELECT tracker_id, frame_idx, CAST(coalesce(frame_idx - lag(frame_idx) OVER (PARTITION BY tracker_id ORDER BY frame_idx) - 1, 0) AS INTEGER) AS missed FROM events_chains",
     "chain_edges": f"""WITH {TALKS}, e AS (SELECT tracker_id, frame_idx AS from_frame, record_idx AS from_record,
   lead(frame_idx) OVER w AS to_frame, lead(record_idx) OVER w AS to_record FROM talks WINDOW w AS (PARTITION BY tracker_id ORDER BY frame_idx))
@@ -154,10 +144,14 @@ ORACLES |= {
   ON h.tracker_id = e.tracker_id AND h.frame_idx < e.frame_idx AND h.value IS NOT NULL GROUP BY ALL),
 m AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY tracker_id, frame_idx ORDER BY n DESC) AS k FROM c) WHERE k = 1)
 SELECT tracker_id, frame_idx, coalesce(string_agg(m.value, ',' ORDER BY m.value), '') AS memory FROM events_chains e LEFT JOIN m USING (tracker_id, frame_idx) GROUP BY ALL""",
-    "edit_scripts": f"WITH {PAIRS} SELECT w1, w2, CAST(levenshtein(w1, w2) AS INTEGER) AS n_edits FROM pairs",
+    "edit_scripts": f"WITH RECURSIVE {PAIRS}, todo AS (SELECT w1 AS s, w2 AS t FROM pairs), {parts.scripts('p_', 'todo')} SELECT s AS w1, t AS w2, array_to_string(moves, ',') AS script FROM p_script",
     "sim_lv_native": ORACLES["sim_lv"],
-    "sim_lv_edit": ORACLES["sim_lv"],
+    "sim_lv_edit": f"""WITH RECURSIVE {PAIRS}, todo AS (SELECT w1 AS s, w2 AS t FROM pairs), {parts.scripts('p_', 'todo')},
+n AS (SELECT s, t, len(list_filter(moves, lambda m: m[1:3] = 'sub')) AS a, len(list_filter(moves, lambda m: m[1:3] = 'del')) AS b, len(list_filter(moves, lambda m: m[1:3] = 'add')) AS c FROM p_script)
+SELECT s AS w1, t AS w2, round(CAST(CAST(1 AS FLOAT) - CAST(0.5 * a + 1.0 * b + 1.5 * c AS FLOAT) / CAST(greatest(strlen(s), strlen(t)) AS FLOAT) AS DOUBLE), 5) AS similarity FROM n""",
     "blocked_scores": ORACLES["interest_filter"],
+    "blocked_scores_060": ORACLES["interest_filter"].replace("0.4137", "0.6037"),
+    "blocked_scores_079": ORACLES["interest_filter"].replace("0.4137", "0.7937"),
     "match_histograms": HISTOGRAMS + " SELECT * FROM h",
     "divergence_conflict": HISTOGRAMS + f" SELECT {_share('tracker')} AS divergence, {_share('record')} AS conflict FROM h",
     "histogram_merge": f"""WITH {EVENTS}, c AS (SELECT value AS t, n, count(*) AS m FROM (SELECT value, tracker_id, count(*) AS n FROM events_chains GROUP BY ALL) GROUP BY ALL),
@@ -171,7 +165,67 @@ SELECT CAST(v AS INTEGER) AS value, CAST(sum(coalesce(m, 0)) AS BIGINT) AS n FRO
     "results_in_box": _LENGTHS + " SELECT * FROM l WHERE length BETWEEN 3 AND 6 AND lifespan BETWEEN 3 AND 5",
     "group_results": _LENGTHS + " SELECT tracker_id % 4 AS key, CAST(count(*) AS INTEGER) AS n, max(length) AS longest FROM l WHERE length <= 5 GROUP BY 1",
     "column_distance_sum": f"WITH {FRAMES} SELECT frame_idx, round(sum(CAST({_lv('name', chr(39) + 'almond' + chr(39))} AS DOUBLE)), 3) AS total FROM frames GROUP BY frame_idx",
-    "product_distance_sum": f"WITH {FRAMES} SELECT x.frame_idx, round(sum(CAST({_lv('x.name', 'y.name')} AS DOUBLE)), 2) AS total FROM frames x JOIN frames y ON y.frame_idx = x.frame_idx + 1 GROUP BY x.frame_idx",
+    "product_distance_sum": f"""WITH {FRAMES}, p AS (SELECT x.frame_idx, x.name AS a, y.name AS b FROM frames x JOIN frames y ON y.frame_idx = x.frame_idx + 1),
+f AS (SELECT a, b, min(frame_idx) AS first FROM p GROUP BY a, b), c AS (SELECT first AS frame_idx, count(*) AS computations FROM f GROUP BY first)
+SELECT frame_idx, total, pairs, coalesce(computations, 0) AS computations FROM (
+  SELECT frame_idx, round(sum(CAST({_lv('a', 'b')} AS DOUBLE)), 2) AS total, count(*) AS pairs FROM p GROUP BY frame_idx) LEFT JOIN c USING (frame_idx)""",
     "chain_records": f"WITH {FRAMES} SELECT CAST(substr(code, 2) AS BIGINT) AS tracker_id, frame_idx, record_idx, name, origin FROM frames",
-    "sampled_chains": f"WITH {EVENTS} SELECT least(50, count(DISTINCT tracker_id)) AS chains, least(50, count(DISTINCT tracker_id)) AS ids FROM events_chains",
+    "sampled_chains": f"WITH {EVENTS} SELECT tracker_id FROM (SELECT DISTINCT tracker_id FROM events_chains) ORDER BY md5('3:' || tracker_id), tracker_id LIMIT 50",
+}
+
+# ------------------------------------------------------------------ medians, clusters, whole runs
+
+_BY_CODE = "named AS MATERIALIZED (SELECT code AS g, frame_idx * CAST(1000000000 AS BIGINT) + record_idx AS ord, name AS word, members FROM frames)"
+_IN_ORDER = "in_order AS MATERIALIZED (SELECT g, row_number() OVER (PARTITION BY g ORDER BY ord, i) AS ord, word FROM (SELECT g, ord, unnest(range(len(members))) AS i, unnest(members) AS word FROM named))"
+_MEDIANS = f"WITH RECURSIVE {FRAMES}, {_BY_CODE}, {parts.medians('m_', 'named')}"
+_RUN = f"WITH RECURSIVE {FRAMES}, {parts.tracking(5, 0.6137, 2)}"
+
+
+def _multi_word(strategy: str) -> str:
+    return f"WITH RECURSIVE {FRAMES}, {_BY_CODE}, {_IN_ORDER}, {parts.multi_word_memory('in_order', MOST_WORDS, strategy)} SELECT g AS code, memory FROM memory"
+
+
+def _dense(kind: str, over: str, other: str) -> str:
+    """Text of a histogram of how many ``other`` each of ``over`` has, by frame, from 0 up."""
+    return f"""{kind}_n AS (SELECT o.frame_idx, count(s.{other}) AS v FROM ({over}) o LEFT JOIN scores s ON s.frame_idx = o.frame_idx AND s.{kind} = o.id GROUP BY o.frame_idx, o.id),
+{kind}_h AS (SELECT frame_idx, string_agg(CAST(n AS VARCHAR), ',' ORDER BY v) AS h FROM (
+  SELECT d.frame_idx, d.v, count(x.v) AS n FROM (SELECT frame_idx, unnest(range(max(v) + 1)) AS v FROM {kind}_n GROUP BY frame_idx) d LEFT JOIN {kind}_n x ON x.frame_idx = d.frame_idx AND x.v = d.v GROUP BY ALL) GROUP BY frame_idx)"""
+
+
+#: Words of one code over the frames, at most, in the tables that the SQL is for.
+MOST_WORDS = 16
+ORACLES |= {
+    "sim_lv_multiword": f"""WITH RECURSIVE words AS (SELECT DISTINCT p_name FROM part), whole AS (SELECT a.p_name AS w1, b.p_name AS w2 FROM words a, words b),
+cut AS (SELECT w1, w2, list_filter(string_split(w1, ' '), lambda x: x <> '') AS a, list_filter(string_split(w2, ' '), lambda x: x <> '') AS b FROM whole),
+part_pairs AS (SELECT w1 AS p1, w2 AS p2, unnest(a) AS w1, unnest(b) AS w2 FROM cut WHERE len(a) = len(b) AND len(a) > 1),
+pairs AS (SELECT w1, w2 FROM whole UNION SELECT w1, w2 FROM part_pairs), {_TRIANGLE},
+each AS (SELECT p1, p2, CAST(sum(e) AS FLOAT) AS total, CAST(1 AS FLOAT) - CAST(count(*) FILTER (e = 0) AS FLOAT) / CAST(count(*) AS FLOAT) AS share FROM part_pairs p JOIN edits USING (w1, w2) GROUP BY p1, p2),
+done AS (SELECT w.w1, w.w2, CASE WHEN p1 IS NULL THEN CAST(e AS FLOAT) ELSE CAST(trunc(total * share) AS FLOAT) END AS e, size FROM whole w JOIN edits USING (w1, w2) LEFT JOIN each ON p1 = w.w1 AND p2 = w.w2)
+SELECT w1, w2, round(CAST(CAST(1 AS FLOAT) - e / size AS DOUBLE), 5) AS similarity FROM done""",
+    "memory_median": _MEDIANS + " SELECT g AS code, median AS memory FROM m_median",
+    "median_words": _MEDIANS + " SELECT g AS code, median FROM m_median",
+    "memory_mw_median": _multi_word("mw-median"),
+    "memory_mw_mostfrequent": _multi_word("mw-mostfrequent"),
+    "memory_ls_median": f"""WITH RECURSIVE {EVENTS}, k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tracker_id ORDER BY frame_idx DESC) AS back FROM events_chains WHERE value IS NOT NULL),
+old AS (SELECT tracker_id AS g, frame_idx AS ord, value AS word FROM k WHERE back > 1), {parts.medians('m_', 'old')}
+SELECT tracker_id, concat_ws(',', m_median.median, k.value) AS memory FROM (SELECT DISTINCT tracker_id FROM events_chains) e LEFT JOIN m_median ON g = e.tracker_id LEFT JOIN (SELECT * FROM k WHERE back = 1) k USING (tracker_id)""",
+    "running_median": f"""WITH RECURSIVE {EVENTS}, old AS (SELECT e.tracker_id * 1000 + e.frame_idx AS g, h.frame_idx AS ord, h.value AS word FROM events_chains e JOIN events_chains h
+  ON h.tracker_id = e.tracker_id AND h.frame_idx < e.frame_idx AND h.value IS NOT NULL), {parts.medians('m_', 'old')}
+SELECT tracker_id, frame_idx, coalesce(median, '') AS memory FROM events_chains LEFT JOIN m_median ON g = tracker_id * 1000 + frame_idx""",
+    "word_clusters": f"""WITH RECURSIVE {FRAMES}, listed AS MATERIALIZED (SELECT code AS g, row_number() OVER (PARTITION BY code ORDER BY name) AS ord, name AS word FROM frames),
+pairs AS (SELECT DISTINCT x.word AS w1, y.word AS w2 FROM listed x JOIN listed y USING (g)), {_TRIANGLE}, {parts.linkage('n_', 'listed', 'edits')}
+SELECT g AS code, CAST(cluster AS INTEGER) AS cluster, string_agg(word, ',' ORDER BY spot) AS members FROM n_cluster JOIN n_placed USING (g, spot) GROUP BY g, cluster""",
+    "tracking_end_to_end": _RUN + " SELECT * FROM chain",
+    "tracking_simple": f"WITH RECURSIVE {FRAMES}, {parts.tracking(5, 0.6137, 2, 'simple')} SELECT * FROM chain",
+    "tracking_diagnostics": _RUN + " SELECT tracker_id, frame_idx, record_idx, round(CAST(score AS DOUBLE), 5) AS score, CAST(4 AS INTEGER) AS n_features FROM scores",
+    "tracking_histograms": _RUN + ", " + _dense("record_idx", "SELECT frame_idx, record_idx AS id FROM frames WHERE frame_idx > 0", "tracker_id")
+    + ", " + _dense("tracker_id", "SELECT frame_idx, tracker_id AS id FROM live", "record_idx")
+    + " SELECT frame_idx, r.h AS histogram_record_matchs, t.h AS histogram_tracker_matchs FROM record_idx_h r JOIN tracker_id_h t USING (frame_idx)",
+    "memory_distances": _RUN + """, born AS (SELECT tracker_id, min(frame_idx) AS frame_idx FROM chain GROUP BY tracker_id),
+m AS (SELECT s.tracker_id, unnest(range(4)) AS feature, unnest(distances) AS distance FROM scores s JOIN chain USING (tracker_id, frame_idx, record_idx) WHERE (tracker_id, frame_idx) NOT IN (SELECT tracker_id, frame_idx FROM born))
+SELECT CAST(feature AS INTEGER) AS feature, round(avg(distance), 4) AS distance FROM (SELECT tracker_id, feature, coalesce(avg(CAST(distance AS DOUBLE)), 0) AS distance FROM m GROUP BY tracker_id, feature) GROUP BY feature""",
+    "materialize_chain": _RUN + """ SELECT l.tracker_id, l.frame_idx, c.record_idx, f.name, f.code, CASE WHEN v.tracker_id IS NULL THEN NULL ELSE CAST(4 AS INTEGER) END AS n_memories
+FROM (SELECT tracker_id, frame_idx FROM chain UNION SELECT tracker_id, frame_idx FROM live) l LEFT JOIN chain c USING (tracker_id, frame_idx)
+LEFT JOIN frames f ON f.frame_idx = l.frame_idx AND f.record_idx = c.record_idx LEFT JOIN live v ON v.tracker_id = l.tracker_id AND v.frame_idx = l.frame_idx""",
+    "normalize_end_to_end": _RUN + f", {parts.normalized()} SELECT * FROM done",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinthread.config import TrackingConfig
@@ -50,6 +50,11 @@ def with_memories(trackers: DataFrame, config: TrackingConfig, schema: RecordSch
     ))
 
 
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Tracking:
     """The state of a run; ``step`` takes the next frame's records.
 
@@ -70,6 +75,7 @@ class Tracking:
         self.records: list[DataFrame] = []
         self.memory: list[DataFrame] = []
         self.resolving: list[DataFrame] = []
+        self.saved: dict[str, int] = {}
 
     def step(self, records: DataFrame) -> None:
         """``records`` (record_idx, features) of the next frame."""
@@ -112,6 +118,27 @@ class Tracking:
         self.trackers = stored(state, "trackers")
         LOGGER.info("frame %d done", self.frame_idx)
 
+    PARTS = ("chain", "nodes", "records", "memory", "resolving")
+
+    def save(self, path: str) -> dict:
+        """Write what is new since the last save under ``path``; returns what ``restore`` needs beside it."""
+        for name in self.PARTS:
+            parts: list[DataFrame] = getattr(self, name)
+            for i in range(self.saved.get(name, 0), len(parts)):
+                parts[i] = _kept(parts[i], f"{path}/{name}/{i}")
+            self.saved[name] = len(parts)
+        if self.trackers is not None and self.saved.get("frame", -1) < self.frame_idx:
+            self.trackers = _kept(self.trackers, f"{path}/trackers/{self.frame_idx}")
+        self.saved["frame"] = self.frame_idx
+        return dict(self.saved)
+
+    def restore(self, spark: SparkSession, path: str, saved: dict) -> None:
+        """Take up a saved run."""
+        for name in self.PARTS:
+            setattr(self, name, [spark.read.parquet(f"{path}/{name}/{i}") for i in range(saved[name])])
+        self.saved, self.frame_idx = dict(saved), saved["frame"]
+        self.trackers = spark.read.parquet(f"{path}/trackers/{self.frame_idx}") if self.frame_idx >= 0 else None
+
     def graph(self) -> TrackingGraph:
         if self.trackers is None:
             raise ValueError("no frames")

@@ -247,12 +247,8 @@ def unmatched_trackers(spark, sf_dir):
 
 
 def dead_trackers(spark, sf_dir):
-    """Streak of misses after each matched frame up to the next, and who outlived a limit of one."""
-    chains = events_chains(spark, sf_dir)
-    ends = chains.groupBy("tracker_id").agg(F.max("frame_idx").alias("last"))
-    top = chains.agg(F.max("frame_idx").alias("top"))
-    state = ends.crossJoin(F.broadcast(top)).select("tracker_id", (F.col("top") - F.col("last")).cast("int").alias("streak"))
-    return state.select("tracker_id", "streak").withColumn("alive", F.col("streak") <= 1)
+    """Streak of misses after each chain's last match, and who outlived a limit of one."""
+    return resolution.final_streaks(events_chains(spark, sf_dir)).withColumn("alive", resolution.is_alive(1))
 
 
 def memory_bruteforce(spark, sf_dir):
@@ -260,13 +256,13 @@ def memory_bruteforce(spark, sf_dir):
 
 
 def _histories(spark, sf_dir, strategy: str, chains=events_chains) -> DataFrame:
-    """The memory of each chain's whole history, as sorted text."""
+    """The memory of each chain's whole history, as text in its order."""
     rows = chains(spark, sf_dir).groupBy("tracker_id").agg(
         F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("frame_idx", "value")))).alias("h")
     )
     history = F.transform("h", lambda x: F.array(x["value"]))
     memory = memories.memory_column(MemoryConfig(strategy), history)
-    return rows.select("tracker_id", F.array_join(F.array_sort(F.flatten(memory)), ",").alias("memory"))
+    return rows.select("tracker_id", F.array_join(F.flatten(memory), ",").alias("memory"))
 
 
 def _memory(strategy: str, chains=events_chains):
@@ -298,8 +294,13 @@ def _part_memory(spark, sf_dir, memory: MemoryConfig, column: str) -> DataFrame:
 
 def running_latest(spark, sf_dir):
     """The latest value before each node."""
-    before = Window.partitionBy("tracker_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return events_chains(spark, sf_dir).select("tracker_id", "frame_idx", F.last("value", ignorenulls=True).over(before).alias("latest"))
+    return memories.running_latest(events_chains(spark, sf_dir)).select("tracker_id", "frame_idx", "latest")
+
+
+def running_median(spark, sf_dir):
+    """The median word of the values before each node of every chain of events."""
+    found = memories.running_memory(events_chains(spark, sf_dir), MemoryConfig("median"))
+    return found.select("tracker_id", "frame_idx", F.array_join(F.flatten("memory"), ",").alias("memory"))
 
 
 def running_mostfrequent(spark, sf_dir):
@@ -309,9 +310,10 @@ def running_mostfrequent(spark, sf_dir):
 
 
 def edit_scripts(spark, sf_dir):
-    """Sizes of the edit scripts between all words."""
+    """The edit scripts between all words, edit by edit."""
     script = words.edit_script_udf()("w1", "w2")
-    return word_pairs(spark, sf_dir).select("w1", "w2", F.size(script).alias("n_edits"))
+    text = F.transform(script, lambda e: F.concat(e["kind"], e["at"].cast("string")))
+    return word_pairs(spark, sf_dir).select("w1", "w2", F.array_join(text, ",").alias("script"))
 
 
 def median_words(spark, sf_dir):
@@ -329,22 +331,17 @@ def word_clusters(spark, sf_dir):
 
 def fill_missing_clusters(spark, sf_dir):
     """Nulls take the last value to the left, or else the next to the right."""
-    order = Window.partitionBy("tracker_id").orderBy("frame_idx")
-    left = F.last("value", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first("value", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    return events_chains(spark, sf_dir).select("tracker_id", "frame_idx", F.coalesce(left, right).alias("filled"))
+    return clustering.fill_missing(events_chains(spark, sf_dir)).select("tracker_id", "frame_idx", F.col("value").alias("filled"))
 
 
 def range_fill(spark, sf_dir):
-    """Every value of a chain in all frames from its first to its last."""
-    spans = events_chains(spark, sf_dir).where("value is not null").groupBy("tracker_id", "value").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"))
-    return spans.select("tracker_id", "value", F.explode(F.sequence("a", "b")).alias("frame_idx"))
+    """Every value of a chain at all its nodes from the value's first to its last."""
+    return clustering.fill_spans(events_chains(spark, sf_dir)).select("tracker_id", "frame_idx", "value")
 
 
 def streaks(spark, sf_dir):
     """Frames missed before each match."""
-    before = F.lag("frame_idx").over(Window.partitionBy("tracker_id").orderBy("frame_idx"))
-    return events_chains(spark, sf_dir).select("tracker_id", "frame_idx", (F.coalesce(F.col("frame_idx") - before - 1, F.lit(0))).cast("int").alias("missed"))
+    return resolution.missed_before(events_chains(spark, sf_dir))
 
 
 def chain_edges(spark, sf_dir):
@@ -421,8 +418,7 @@ def histogram_mean_median(spark, sf_dir):
 
 def value_counts(spark, sf_dir):
     """Distinct values of each word feature, with counts."""
-    parts = [frames_table(spark, sf_dir).where(F.col(n).isNotNull()).groupBy(F.col(n).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("feature"), "value", "n") for n in STRINGS.names]
-    return parts[0].union(parts[1]).union(parts[2])
+    return E.value_counts(frames_table(spark, sf_dir), STRINGS.names)
 
 
 def chain_consistency(spark, sf_dir):
@@ -450,18 +446,14 @@ def group_results(spark, sf_dir):
 
 def column_distance_sum(spark, sf_dir):
     """Similarities of every name to one word, summed."""
-    names = frames_table(spark, sf_dir).select("frame_idx", "name")
-    value = similarity.native_levenshtein(F.col("name"), F.lit("almond"))
-    return names.groupBy("frame_idx").agg(F.round(F.sum(value.cast("double")), 3).alias("total"))
+    found = E.column_similarity_sum(frames_table(spark, sf_dir), "name", "almond", ["frame_idx"])
+    return found.select("frame_idx", F.round("total", 3).alias("total"))
 
 
 def product_distance_sum(spark, sf_dir):
-    """Similarities over all pairs of names of consecutive frames, summed; distinct pairs are computed once."""
-    records = frames_table(spark, sf_dir).groupBy("frame_idx", "name").agg(F.count(F.lit(1)).alias("n"))
-    left = records.select(F.col("frame_idx"), F.col("name").alias("a"), F.col("n").alias("na"))
-    right = records.select((F.col("frame_idx") - 1).alias("frame_idx"), F.col("name").alias("b"), F.col("n").alias("nb"))
-    value = similarity.native_levenshtein(F.col("a"), F.col("b"))
-    return left.join(right, "frame_idx").groupBy("frame_idx").agg(F.round(F.sum(value.cast("double") * F.col("na") * F.col("nb")), 2).alias("total"))
+    """Similarities over all pairs of names of consecutive frames, summed, and how many of them were computed."""
+    found = E.consecutive_similarity_sums(frames_table(spark, sf_dir), "name")
+    return found.select("frame_idx", F.round("total", 2).alias("total"), "pairs", "computations")
 
 
 def chain_records(spark, sf_dir):
@@ -475,11 +467,21 @@ def chain_records(spark, sf_dir):
 
 
 def _tracked(spark, sf_dir, **changes):
-    rules = config(SCHEMA, interest_threshold=0.6, limit_no_match_streak=2, **changes)
+    """A run over the five frames: names, origins and codes remember their median word, members all lists."""
+    rules = config(
+        SCHEMA, LV, memory_config=MemoryConfig("median"), multistring_memory_config=MemoryConfig("bruteforce"),
+        interest_threshold=0.6137, limit_no_match_streak=2, **changes,
+    )
     records = frames_table(spark, sf_dir)
     return tracking.track(rules, SCHEMA, records), records
 
 
+def tracking_defaults(spark, sf_dir):
+    """A run with the default metric and memories."""
+    rules = config(SCHEMA, interest_threshold=0.6, limit_no_match_streak=2)
+    return tracking.track(rules, SCHEMA, frames_table(spark, sf_dir)).chain_nodes
+
+
 def tracking_end_to_end(spark, sf_dir):
     return _tracked(spark, sf_dir)[0].chain_nodes
 
@@ -494,7 +496,8 @@ def tracking_diagnostics(spark, sf_dir):
 
 
 def tracking_histograms(spark, sf_dir):
-    return _tracked(spark, sf_dir)[0].diag_resolving
+    text = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("histogram_record_matchs", "histogram_tracker_matchs")}
+    return _tracked(spark, sf_dir)[0].diag_resolving.withColumns(text)
 
 
 def memory_distances(spark, sf_dir):
@@ -517,16 +520,19 @@ def normalize_end_to_end(spark, sf_dir):
 
 
 def sampled_chains(spark, sf_dir):
-    """As many chains as asked for; which ones the seed decides."""
-    return G.sample_ids(events_chains(spark, sf_dir), 50, seed=3).agg(F.count(F.lit(1)).alias("chains"), F.countDistinct("tracker_id").alias("ids"))
+    """Fifty chains that a seed picks."""
+    return G.sample_ids(events_chains(spark, sf_dir), 50, seed=3)
 
 
-def blocked_scores(spark, sf_dir):
-    """Scores by blocked candidates: the same pairs as all against all."""
-    records = frames_table(spark, sf_dir).drop("members")
-    found = scoring.score_pairs(_first_memories(records, STRINGS), _frame(records, 1), STRINGS, LV, RecordScorerConfig(), 0.4137, all_pairs=0)
-    found = found.withColumn("score", F.round(F.col("score").cast("double"), 5))
-    return _rounded(found.select("tracker_id", "record_idx", "score"), "score")
+def _blocked(threshold: float, metric: DistanceMetricConfig = LV):
+    def run(spark, sf_dir):
+        """Scores by blocked candidates: the same pairs as all against all."""
+        records = frames_table(spark, sf_dir).drop("members")
+        found = scoring.score_pairs(_first_memories(records, STRINGS), _frame(records, 1), STRINGS, metric, RecordScorerConfig(), threshold, all_pairs=0)
+        found = found.withColumn("score", F.round(F.col("score").cast("double"), 5))
+        return _rounded(found.select("tracker_id", "record_idx", "score"), "score")
+
+    return run
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -534,11 +540,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "list_columns": list_columns, "sim_lv": _similarity(LV), "sim_lv_native": sim_lv_native,
     "sim_lv_sigmoid": _similarity(DistanceMetricConfig("lv", use_sigmoid=True)), "sim_lv_opti": _similarity(OPTI),
     "sim_lv_substring": _similarity(DistanceMetricConfig("lv_substring", lv_substring_weight=0.6)),
-    "sim_lv_edit": _similarity(DistanceMetricConfig("lv_edit", lv_edit_weights=(1.0, 1.0, 1.0))),
+    "sim_lv_edit": _similarity(DistanceMetricConfig("lv_edit", lv_edit_weights=(0.5, 1.0, 1.5))),
     "sim_lv_multiword": _similarity(DistanceMetricConfig("lv_multiword", lv_multiword_separator=" ")),
     "multi_similarity": multi_similarity, "score_average": _scored(RecordScorerConfig()),
     "score_weighted": _scored(WEIGHTED), "score_quadratic": _scored(QUADRATIC), "interest_filter": interest_filter,
-    "blocked_scores": blocked_scores, "rank_records": rank_records, "rank_trackers": rank_trackers,
+    "blocked_scores": _blocked(0.4137), "blocked_scores_060": _blocked(0.6037), "blocked_scores_079": _blocked(0.7937),
+    "rank_records": rank_records, "rank_trackers": rank_trackers,
     "resolve_simple": resolve_simple, "resolve_best_match": resolve_best_match, "resolve_mutual_best": resolve_mutual_best,
     "new_trackers": new_trackers, "unmatched_trackers": unmatched_trackers, "dead_trackers": dead_trackers,
     "memory_bruteforce": memory_bruteforce, "memory_mostfrequent": _memory("mostfrequent"),
@@ -546,7 +553,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "memory_conversations": _memory("mostfrequent", conversation_chains),
     "memory_median": memory_median, "memory_ls_median": _memory("ls-median"), "memory_mw_median": memory_mw_median,
     "memory_mw_mostfrequent": memory_mw_mostfrequent, "running_latest": running_latest,
-    "running_mostfrequent": running_mostfrequent, "edit_scripts": edit_scripts, "median_words": median_words,
+    "running_mostfrequent": running_mostfrequent, "running_median": running_median, "edit_scripts": edit_scripts, "median_words": median_words,
     "word_clusters": word_clusters,
     "fill_missing_clusters": fill_missing_clusters, "range_fill": range_fill, "streaks": streaks,
     "chain_edges": chain_edges, "chain_positions": chain_positions, "chain_lengths": chain_lengths,
@@ -557,7 +564,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chain_consistency": chain_consistency, "chain_consistency_strict": chain_consistency_strict,
     "mean_consistency": mean_consistency, "results_in_box": results_in_box, "group_results": group_results,
     "column_distance_sum": column_distance_sum, "product_distance_sum": product_distance_sum,
-    "chain_records": chain_records, "sampled_chains": sampled_chains, "tracking_end_to_end": tracking_end_to_end,
+    "chain_records": chain_records, "sampled_chains": sampled_chains, "tracking_end_to_end": tracking_end_to_end, "tracking_defaults": tracking_defaults,
     "tracking_simple": tracking_simple, "tracking_diagnostics": tracking_diagnostics,
     "tracking_histograms": tracking_histograms, "memory_distances": memory_distances,
     "materialize_chain": materialize_chain, "normalize_end_to_end": normalize_end_to_end,

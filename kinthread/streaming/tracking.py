@@ -7,13 +7,16 @@ belong to; a frame is complete once a later one begins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kinthread.config import TrackingConfig
 from kinthread.operators.graph import TrackingGraph
-from kinthread.plans.tracking import Tracking
+from kinthread.plans.tracking import Tracking, _kept
 from kinthread.runtime import ship, stored
 from kinthread.schema import RecordSchema
 
@@ -21,16 +24,37 @@ from kinthread.schema import RecordSchema
 class StreamTracker:
     """Feeds a Tracking run from micro-batches of (frame_idx, record_idx, features).
 
-    The state's tables are stored in the shared folder, their handles live in
-    this object: lost executors don't matter, after a lost driver the stream
-    begins again with a fresh checkpoint. Rows of a frame that come after a
+    With ``state``, a folder that outlives the driver, the run is saved there
+    after every batch, and a new tracker with the same folder and stream
+    checkpoint goes on where the last one ended; a batch that was saved but not
+    committed comes again and is passed over. Without, the state's tables are in
+    the shared folder and end with the driver. Rows of a frame that come after a
     later frame has begun are late and dropped.
     """
 
-    def __init__(self, config: TrackingConfig, schema: RecordSchema):
-        self.run, self.schema = Tracking(config, schema), schema
+    def __init__(self, config: TrackingConfig, schema: RecordSchema, state: str | None = None):
+        self.run, self.schema, self.state = Tracking(config, schema), schema, state
         self.open: DataFrame | None = None
         self.seen = -1
+        spark = SparkSession.getActiveSession()
+        if state and spark:
+            self._resume(spark)
+
+    def _resume(self, spark: SparkSession) -> None:
+        try:
+            versions = [json.loads(r.value) for r in spark.read.text(f"{self.state}/versions/*").collect()]
+        except AnalysisException:  # nothing saved yet
+            return
+        last = max(versions, key=lambda v: v["seen"])
+        self.seen = last["seen"]
+        self.open = spark.read.parquet(f"{self.state}/open/{self.seen}")
+        self.run.restore(spark, self.state, last["run"])
+
+    def _save(self) -> None:
+        self.open = _kept(self.open, f"{self.state}/open/{self.seen}")
+        line = json.dumps({"seen": self.seen, "run": self.run.save(self.state)})
+        # written last: a version is whole or isn't there
+        self.open.sparkSession.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.state}/versions/{self.seen}")
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.seen:  # a batch that is delivered again
@@ -41,6 +65,8 @@ class StreamTracker:
         top = self.open.agg(F.max("frame_idx")).first()[0]
         while top is not None and self.run.frame_idx + 1 < top:
             self._close()
+        if self.state:
+            self._save()
 
     def _close(self) -> None:
         k = self.run.frame_idx + 1

@@ -11,6 +11,7 @@ from kinthread.functions.clustering import normalize_multi_words, normalize_word
 from kinthread.functions.memories import remember
 from kinthread.functions.similarity import similarities
 from kinthread.operators.graph import materialize
+from kinthread.operators.resolution import tie_of
 from kinthread.plans import normalization, tracking
 from kinthread.schema import ElementType
 
@@ -78,9 +79,9 @@ def slow_track(rules, schema, frames):
                     similarity(rules.distance_metric, m, c, kind is ElementType.MultiStrings) for m, c, kind in zip(memory, cells, kinds, strict=True)
                 ])
                 if not math.isnan(s) and np.float32(s) > np.float32(rules.tracker.interest_threshold):
-                    pairs.append((-np.float32(s), t, r))
+                    pairs.append((-np.float32(s), -tie_of(t, r), t, r))
         taken = {}
-        for _, t, r in sorted(pairs):
+        for *_, t, r in sorted(pairs):
             if t not in taken and r not in taken.values():
                 taken[t] = r
         for t in list(live):

@@ -1,5 +1,8 @@
+import json
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from kinthread.operators import frames as R
 from kinthread.operators import graph as G
 from kinthread.operators import resolution, scoring
 from kinthread.plans import normalization, sweep, tracking
+from kinthread.runtime import stored
 from kinthread.serialization import deserialize, serialize
 from kinthread.sources import tables
 from kinthread.streaming.tracking import StreamTracker
@@ -81,15 +85,84 @@ def test_memory_columns_equal_the_functions(spark):
         assert got == {i: [list(c) for c in memories.remember(rule, [tuple(c) for c in h])] for i, h in enumerate(histories)}
 
 
+METRICS = {
+    "lv": K.DistanceMetricConfig("lv"), "lv_opti": K.DistanceMetricConfig(), "sigmoid": K.DistanceMetricConfig("lv", use_sigmoid=True),
+    "lv_edit": K.DistanceMetricConfig("lv_edit", lv_edit_weights=(0.8, 1.0, 1.5)),
+}
+
+
 @pytest.mark.parametrize("least", [0.3, 0.6, 0.8])
 def test_blocking_loses_no_pair(spark, least):
-    words = ["", "a", "ab", "abc", "abcd", "abcdefgh", "abXdefgh", "abXdefgY", "zzzzzzzz", "école", "ecole", "éàü", "漢字仮名交", "漢字仮名文", "éa", "0123456789012345", "01234567x9012345"]
+    words = ["", "a", "ab", "abc", "abcd", "abcdefgh", "abXdefgh", "abXdefgY", "zzzzzzzz", "école", "ecole", "éàü", "漢字仮名交", "漢字仮名文", "漢", "éa", "0123456789012345", "01234567x9012345"]
+    rng = random.Random(5)
+    for _ in range(25):
+        base = [rng.choice("abcé") for _ in range(rng.randint(1, 14))]
+        for _ in range(4):
+            own = list(base)
+            for _ in range(rng.randint(0, 5)):
+                at = rng.randrange(len(own) + 1)
+                own[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "é"])
+            words.append("".join(own))
+    words = list(dict.fromkeys(words))
     df = spark.createDataFrame([(w,) for w in words], "v1 string")
-    found = {(r.v1, r.v2) for r in scoring.near_words(df, df.withColumnRenamed("v1", "v2"), least).collect()}
     every = [(a, b) for a in words for b in words]
-    for metric in (K.DistanceMetricConfig("lv"), K.DistanceMetricConfig()):
+    for metric in METRICS.values():
+        ratio = scoring.edit_ratio(metric, least)
+        if ratio is None:
+            continue
+        found = {(r.v1, r.v2) for r in scoring.near_words(df, df.withColumnRenamed("v1", "v2"), ratio).collect()}
         values = similarity.similarities(metric, [a for a, _ in every], [b for _, b in every])
         assert {p for p, v in zip(every, values.tolist(), strict=True) if v > least} <= found
+    assert scoring.edit_ratio(METRICS["lv"], 0.6) == pytest.approx(0.4) and scoring.edit_ratio(K.DistanceMetricConfig("lv_substring", lv_substring_weight=0.6), 0.6) is None
+
+
+def test_blocked_candidates_are_few(spark):
+    """Before the edit distance is looked at: under a twentieth of all pairs at the default threshold."""
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(6, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(w,) for w in words], "v1 string")
+    for ratio, most in ((0.4, 0.05), (0.21, 0.002)):
+        one, two = scoring.described(df, "v1", ratio), scoring.described(df.withColumnRenamed("v1", "v2"), "v2", ratio)
+        shapes = one.select("b", "n", "k").distinct()
+        met = scoring.segments(one, "v1").join(scoring.substrings(two, "v2", shapes, False), ["b", "n", "i", "segment"])
+        met = met.union(scoring.segments(two, "v2").join(scoring.substrings(one, "v1", two.select("b", "n", "k").distinct(), True), ["b", "n", "i", "segment"]).select(*met.columns))
+        assert met.count() < most * len(words) ** 2
+
+
+def test_pair_similarities_equal_the_word_by_word_form(spark):
+    memories_ = [[["abc"], ["abd", "x"]], [["a b"]], [], None, [["", "zz"]], [[]]]
+    cells = [["abc", "abd"], ["a c", ""], [], None]
+    words_ = ["abc", None, "", "école"]
+    rows = [(i * 10 + j, j, m, m and [e[:1] or ["q"] for e in m], c, w) for i, m in enumerate(memories_) for j, (c, w) in enumerate(zip(cells, words_, strict=True))]
+    df = spark.createDataFrame(rows, f"tracker_id long, record_idx long, m1 {memories.CELLS}, m0 {memories.CELLS}, kids array<string>, name string").repartition(3)
+    schema = K.RecordSchema([FIELD("name", TYPE.String), FIELD("kids", TYPE.MultiStrings)])
+    for metric in (K.DistanceMetricConfig(), METRICS["sigmoid"]):
+        def like(a, b, metric=metric):
+            return similarity.similarities(metric, [a], [b])[0]
+
+        def best(values):
+            numbers = [v for v in values if not np.isnan(v)]
+            return max(numbers) if numbers else (values[0] if values else None)
+
+        got = {r.tracker_id: r.distances for r in scoring.pair_similarities(df, schema, metric).collect()}
+        for key, _, multi, single, kids, name in rows:
+            expected = [best([like(e[0], name) for e in single]) if single and name is not None else None]
+            sums = [np.float32(sum((best([like(w, k) for k in kids]) if kids else np.float32(0) for w in e), np.float32(0)) / np.float32(max(len(e), len(kids)))) for e in multi if e] if multi and kids is not None else []
+            expected.append(best(sums))
+            assert [None if x is None else (x if math.isnan(x) else pytest.approx(float(x))) for x in expected] == [x if x is None or not math.isnan(x) else expected[i] for i, x in enumerate(got[key])]
+
+
+def test_ties_are_settled_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(resolution, "stored", lambda df, name: rounds.append(name) or stored(df, name))
+    n = 300
+    scores = spark.range(n).selectExpr("id AS tracker_id").crossJoin(spark.range(n).selectExpr("id AS record_idx")).selectExpr("*", "CAST(1.0 AS FLOAT) AS score")
+    found = {(r.tracker_id, r.record_idx) for r in resolution.mutual_best(scores).collect()}
+    assert rounds.count("won") < 20
+    assert found == {(t, r) for t, r, _ in resolution.greedy([(t, r, 1.0) for t in range(n) for r in range(n)])} and len(found) == n
+    mixed = [(t, r, float(np.float32((t * r) % 5) / 5)) for t in range(25) for r in range(20)]
+    got = resolution.mutual_best(spark.createDataFrame(mixed, "tracker_id long, record_idx long, score float")).collect()
+    assert {(r.tracker_id, r.record_idx) for r in got} == {(t, r) for t, r, _ in resolution.greedy(mixed)}
 
 
 def test_config_checks_and_round_trip():
@@ -214,9 +287,20 @@ def test_csv_and_lists(spark, register, tmp_path):
     assert back.count() == register.count() and back.where("frame_idx = 0 and record_idx = 0").first().children == "emma|paul"
     for year in (1835, 1837):
         (tmp_path / f"{year}.csv").write_text(f"name,kids\nx{year},a||b\ny,\n")
-    read = tables.read_yearly_csv(spark, str(tmp_path), [1835, 1837], ["name"])
-    assert [(r.frame_idx, r.name) for r in read.collect()] == [(0, "x1835"), (0, "y"), (1, "x1837"), (1, "y")]
+    read = tables.read_yearly_csv(spark, str(tmp_path), [1835, 1837]).orderBy("frame_idx", "line")
+    assert [(r.frame_idx, r.line, r.name) for r in read.collect()] == [(0, 0, "x1835"), (0, 1, "y"), (1, 0, "x1837"), (1, 1, "y")]
     assert read.select(tables.split_list(F.col("kids")).alias("k")).first().k == ["a", "b"]
+    # lines count on over the parts that a file is read in
+    names = [f"{i * 7919 % 3001:04d}" for i in range(3000)]
+    (tmp_path / "1840.csv").write_text("name\n" + "\n".join(names) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        parts = tables.read_yearly_csv(spark, str(tmp_path), [1840])
+        assert parts.select("name").rdd.getNumPartitions() >= 1
+        assert [(r.line, r.name) for r in parts.orderBy("line").collect()] == list(enumerate(names))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
 def test_stream_gives_the_batch_result(spark, register, graph, tmp_path):
@@ -230,6 +314,17 @@ def test_stream_gives_the_batch_result(spark, register, graph, tmp_path):
     assert chains(tracker.finish()) == chains(graph)
 
 
+def test_stream_goes_on_after_a_lost_driver(spark, register, graph, tmp_path):
+    rules, state = K.config(PEOPLE, interest_threshold=0.5, limit_no_match_streak=1), str(tmp_path / "state")
+    frames = register.agg(F.max("frame_idx")).first()[0] + 1
+    for k in range(frames):  # a tracker a batch
+        tracker = StreamTracker(rules, PEOPLE, state)
+        assert tracker.seen == k - 1
+        tracker.on_batch(register.where(F.col("frame_idx") == k), k)
+        tracker.on_batch(register.where(F.col("frame_idx") == k), k)  # delivered again
+    assert chains(StreamTracker(rules, PEOPLE, state).finish()) == chains(graph)
+
+
 def test_evaluation_of_nothing(spark):
     none = spark.createDataFrame([], "tracker_id long, frame_idx int, record_idx long")
     row = E.length_statistics(none).first()
@@ -246,7 +341,15 @@ def test_sweep_and_summary(spark, register, tmp_path):
     assert len(configs) == 2
     assert sweep.run_sweep(configs, PEOPLE, register, "name", str(tmp_path / "s"), batch=1) == 2
     rows = tables.load_json(spark, str(tmp_path / "s")).collect()
-    assert len(rows) == 2 and all(r.max >= 1 and r.consistency >= 0 for r in rows)
+    assert len(rows) == 2 and len({r.config for r in rows}) == 2
+    for r in rows:
+        one = configs[[f.tracker.interest_threshold for f in configs].index(json.loads(r.config)["tracker"]["interest_threshold"])]
+        run = tracking.track(one, PEOPLE, register)
+        lengths = [len(c) for c in chains(run).values()]
+        assert (r.max, r.min) == (max(lengths), min(lengths)) and r.average == pytest.approx(sum(lengths) / len(lengths), abs=1e-5)
+        assert r.histogram == [lengths.count(n) for n in range(max(lengths) + 1)]
+    # a sweep goes on where it broke off
+    assert sweep.run_sweep(configs, PEOPLE, register, "name", str(tmp_path / "s"), batch=1) == 0
 
 
 def test_registered_queries_have_rows(spark):
