@@ -42,31 +42,50 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session has none (tests in local mode) a temporary folder of
-    this machine becomes the checkpoint folder.
+    Only where the session has none and runs in local mode (tests) a temporary
+    folder of this machine becomes the checkpoint folder; on a cluster, whose
+    machines share no temporary folder, its lack is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="kinthread-checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Scratch paths not removed yet, with the session that made them.
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the session's Python ends."""
+    """A fresh path in the shared folder, removed by ``release`` or when the session's Python ends."""
     path = f"{shared_dir(spark)}/kinthread-{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
 
-    def remove():
+def release() -> int:
+    """Remove all scratch tables made so far; returns how many.
+
+    For long sessions, between queries: DataFrames made before and not yet
+    written or collected can't be read after.
+    """
+    count = 0
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            count += 1
         except Exception:  # the session may be gone already
             pass
+    return count
 
-    atexit.register(remove)
-    return path
+
+atexit.register(release)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
