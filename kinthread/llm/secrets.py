@@ -71,7 +71,9 @@ def candidates(text: Column) -> Column:
     the two words before it and the word's part up to the value.
     """
 
-    def of_words(w: Column) -> Column:
+    def of_text(s: Column) -> Column:
+        w, has_key, has_known = s["words"], s["key"], s["known"]
+
         def of_word(x: Column, i: Column) -> Column:
             def of_value(v: Column) -> Column:
                 lead = F.call_function("substring_index", x, v, F.lit(1))
@@ -81,24 +83,32 @@ def candidates(text: Column) -> Column:
                     F.lower(F.coalesce(F.get(w, i + 1), F.lit(""))).alias("after"),
                 )
 
-            def every(pattern: str) -> Column:
-                return F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
-
             none = F.array().cast("array<string>")
+
+            def every(test: Column, pattern: str) -> Column:
+                return F.when(test, F.regexp_extract_all(x, F.lit(pattern), F.lit(1))).otherwise(none)
+
+            def near(back: int, pattern: str) -> Column:
+                return F.coalesce(F.get(w, i - back).rlike(pattern), F.lit(False))
+
             runs = (F.octet_length(x) >= 12) & x.rlike("[0-9]")
-            beside = F.coalesce(F.get(w, i - 1).rlike(KEY_BEFORE), F.lit(False)) | F.coalesce(
-                F.get(w, i - 1).rlike(f"^(?:{LINKS})$") & F.get(w, i - 2).rlike(KEY_BEFORE), F.lit(False)
-            )
+            # a text without any key word, or known start, needs no look at its words
+            known, assigned = has_known & x.rlike(KNOWN), has_key & x.rlike(ASSIGNED)
+            beside = has_key & (near(1, KEY_BEFORE) | (near(1, f"^(?:{LINKS})$") & near(2, KEY_BEFORE)))
             values = F.array_distinct(F.concat(
-                F.when(runs, F.filter(every(CANDIDATE), lambda v: v.rlike("[0-9]"))).otherwise(none),
-                every(KNOWN), every(ASSIGNED), F.when(beside, every(BESIDE)).otherwise(none),
+                F.filter(every(runs, CANDIDATE), lambda v: v.rlike("[0-9]")),
+                every(known, KNOWN), every(assigned, ASSIGNED), every(beside, BESIDE),
             ))
             some = F.filter(values, lambda v: v.rlike(r"[\p{L}\p{N}]"))
-            return F.when(runs | x.rlike(KNOWN) | x.rlike(ASSIGNED) | beside, F.transform(some, of_value))
+            return F.when(runs | known | assigned | beside, F.transform(some, of_value))
 
         return F.flatten(F.filter(F.transform(w, of_word), lambda found: F.size(found) > 0))
 
-    return F.get(F.transform(F.array(words_of(text)), of_words), 0)
+    whole = F.coalesce(text, F.lit(""))
+    described = F.struct(
+        words_of(text).alias("words"), whole.rlike(f"(?i)(?:{KEY_WORDS})").alias("key"), whole.rlike(f"(?:{KNOWN_STARTS})").alias("known")
+    )
+    return F.get(F.transform(F.array(described), of_text), 0)
 
 
 def features(c: Column) -> Column:

@@ -1,4 +1,7 @@
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from kinthread.llm import secrets
 
@@ -45,3 +48,75 @@ def test_columns_of_any_name_stay_and_longer_words_too(spark):
     rows = [(1, None), (2, ""), (3, key), (3, key), (None, f"{key} {key}")]
     found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("is_secret").collect()
     assert sorted((str(r.doc_id), r.position) for r in found) == [("3", 0), ("3", 0), ("None", 0), ("None", 1)]
+
+
+def brute_candidates(text):
+    """(position, value, word, before, after) with Python's regular expressions."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+
+    def found(pattern, where):
+        return [m.group(1) for m in re.finditer(pattern, where, re.ASCII)]
+
+    def near(i, pattern):
+        return i >= 0 and re.search(pattern, words[i], re.ASCII) is not None
+
+    out = []
+    for i, x in enumerate(words):
+        values = []
+        if len(x.encode()) >= 12 and re.search("[0-9]", x):
+            values += [v for v in found(secrets.CANDIDATE, x) if re.search("[0-9]", v)]
+        values += found(secrets.KNOWN, x) + found(secrets.ASSIGNED, x)
+        if near(i - 1, secrets.KEY_BEFORE) or (i >= 2 and near(i - 1, f"^(?:{secrets.LINKS})$") and near(i - 2, secrets.KEY_BEFORE)):
+            values += found(secrets.BESIDE, x)
+        for v in dict.fromkeys(values):
+            if any(c.isalnum() for c in v):
+                lead = x.split(v, 1)[0]
+                before = " ".join([*words[max(0, i - 2) : i], lead]).lower()
+                out.append((i, v, x, before, words[i + 1].lower() if i + 1 < len(words) else ""))
+    return out
+
+
+def brute_features(c):
+    _, v, word, before, after = c
+    low, n = v.lower(), len(v)
+
+    def count(pattern, where=v):
+        return len(re.findall(pattern, where, re.ASCII))
+
+    def flag(pattern, where=v):
+        return float(re.search(pattern, where, re.ASCII) is not None)
+
+    left = low
+    left = re.sub("|".join(sorted(secrets.DICTIONARY, key=lambda x: (-len(x), x))), "", left)
+    changes = sum(
+        (a.isdigit() != b.isdigit()) or (a.islower() and b.isupper()) or (a.isupper() and b.islower())
+        for a, b in zip(v, v[1:], strict=False)
+    )
+    return [
+        float(n), count("[0-9]") / n, count("[A-Z]") / n, changes / n, flag("^(?:[0-9a-f]+|[0-9A-F]+)$"), flag("^[0-9_-]+$"), (n - len(left)) / n,
+        count("|".join(secrets.PAIRS), low) / n, float(word.count("/")), float(count("[-_]")),
+        flag("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"), flag(secrets.KEY_WORDS, f"{before} {after}"),
+        flag(secrets.PLAIN_WORDS, before), flag("[=:] ?[\"']?$|[\"'`]$", before), flag(f"^(?:{secrets.KNOWN_STARTS})"),
+        flag(r"@|://|\.(?:com|org|net|html?|png|jpe?g|pdf|py|js|css|txt)", word), count("[^A-Za-z0-9]") / n,
+    ]
+
+
+def test_candidates_and_features_equal_brute_force(spark):
+    texts = [t for _, t, _ in secrets.labelled_values(500, seed=12)]
+    texts += [f"then the report {x} of the page" for x in LOST] + [None, "", "  ", "token", "token=", 'a "password": "x1!y" b', "secret\tis\nzz9", "key api_key => 'q w'", "é=ü pwd:ñandú9", "AKIA1 AKIA2,AKIA3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.c for r in df.select("i", F.transform(secrets.candidates(F.col("text")), lambda c: F.struct(c.alias("c"), secrets.features(c).alias("f"))).alias("c")).collect()}
+    for i, text in enumerate(texts):
+        wanted = brute_candidates(text)
+        assert [tuple(x.c) for x in got[i]] == wanted, text
+        order = [FEATURE_ORDER.index(name) for name in secrets.FEATURES]
+        for x, c in zip(got[i], wanted, strict=True):
+            made = brute_features(c)
+            assert list(x.f) == pytest.approx([made[k] for k in order]), (text, c)
+
+
+#: The order in which brute_features tells them.
+FEATURE_ORDER = [
+    "length", "digits", "upper", "transitions", "hexadecimal", "only_digits", "dictionary", "pairs", "slashes", "dashes", "uuid",
+    "key_beside", "plain_beside", "assigned", "known", "address", "symbols",
+]
