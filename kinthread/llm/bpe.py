@@ -38,7 +38,7 @@ from kinthread.llm.common import stored
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Characters of text in a chunk, about.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 20 << 20
 #: Groups that words are dealt to, and word entries (a word of a chunk) that meet in one, about.
 GROUPS, GROUP_WORDS = 64, 250_000
 #: Longer texts are split match by match instead of into one list.
@@ -157,13 +157,13 @@ def _pack_words(words: list[bytes]) -> bytes:
 def _unpack_words(data: bytes) -> list[bytes]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     n = int.from_bytes(raw[:4], "little")
-    ends = np.cumsum(np.frombuffer(raw, dtype="<u4", count=n, offset=4), dtype=np.int64) + 4 + 4 * n
-    begins = np.concatenate([[4 + 4 * n], ends[:-1]])
-    return [raw[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+    lengths = np.frombuffer(raw, dtype="<u4", count=n, offset=4).astype(np.int64)
+    ends = np.cumsum(lengths) + 4 + 4 * n
+    return [raw[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (chunk, doc_ids, counts, n_words, words, positions) from (doc_id, text)."""
+    """Rows (chunk, doc_ids, counts, n_words, words, groups, positions) from (doc_id, text)."""
     first = TaskContext.get().partitionId() << 32
     made = 0
     numbers, ids, counts, parts, size = _Numbering(), [], [], [], 0
@@ -178,7 +178,7 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = [listed[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
         return pd.DataFrame({
             "chunk": [first + made], "doc_ids": [ids], "counts": [counts], "n_words": [len(words)],
-            "words": [_pack_words(words)], "positions": [_pack(rank[stream])],
+            "words": [_pack_words(words)], "groups": [_pack(_group_of(words))], "positions": [_pack(rank[stream])],
         })
 
     for batch in batches:
@@ -217,7 +217,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> D
     schema = T.StructType([
         T.StructField("chunk", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.StringType())),
         T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("n_words", T.LongType()),
-        T.StructField("words", T.BinaryType()), T.StructField("positions", T.BinaryType()),
+        T.StructField("words", T.BinaryType()), T.StructField("groups", T.BinaryType()), T.StructField("positions", T.BinaryType()),
     ])
     chunks = stored(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_chunks, schema), "chunks")
     total = chunks.agg(F.sum("n_words")).first()[0] or 0
@@ -225,9 +225,8 @@ def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> D
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for chunk, packed in zip(batch["chunk"], batch["words"], strict=True):
-                words = _unpack_words(packed)
-                group = _group_of(words)
+            for chunk, packed, groups in zip(batch["chunk"], batch["words"], batch["groups"], strict=True):
+                words, group = _unpack_words(packed), _unpack(groups)
                 order = np.argsort(group, kind="stable")
                 cuts = np.flatnonzero(np.diff(group[order])) + 1
                 dealt = np.split(order, cuts) if len(words) else []
@@ -257,7 +256,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> D
         })
 
     encoded = (
-        chunks.select("chunk", "words").mapInPandas(deal, "word_group int, chunk long, words binary")
+        chunks.select("chunk", "words", "groups").mapInPandas(deal, "word_group int, chunk long, words binary")
         .groupBy("word_group", F.pmod(F.xxhash64("chunk"), F.lit(parts)).alias("part"))
         .applyInPandas(encode_group, "word_group int, chunk long, lengths binary, ids binary")
     )
@@ -268,13 +267,12 @@ def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> D
         replies = list(zip(*(right[c].to_pylist() for c in ("word_group", "lengths", "ids")), strict=True))
         tables = []
         for row in left.to_pylist():
-            words = _unpack_words(row["words"])
-            group = _group_of(words)
-            lengths, begins, flat, base = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+            group = _unpack(row["groups"])
+            lengths, begins, flat, base = np.zeros(len(group), np.int32), np.zeros(len(group), np.int32), [], 0
             for number, packed_lengths, packed_ids in replies:
                 mine = np.flatnonzero(group == number)
-                n = _unpack(packed_lengths).astype(np.int64)
-                lengths[mine], begins[mine] = n, base + np.cumsum(n) - n
+                n = _unpack(packed_lengths).astype(np.int32)
+                lengths[mine], begins[mine] = n, base + np.cumsum(n, dtype=np.int32) - n
                 flat.append(_unpack(packed_ids))
                 base += len(flat[-1])
             ids = np.concatenate([*flat, np.zeros(0, np.uint32)]).astype(np.int32)
@@ -282,7 +280,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> D
             n = lengths[stream]
             ids = ids[_spans(begins[stream], n)]
             # where each document's ids end: the ids up to its last pre-token
-            ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *row["counts"]])]
+            ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[np.cumsum([0, *row["counts"]])]
             tables.append(pa.table({
                 "doc_id": pa.array(row["doc_ids"], pa.string()),
                 "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
@@ -290,7 +288,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> D
         return pa.concat_tables(tables) if tables else nothing
 
     rows = (
-        chunks.select("chunk", "doc_ids", "counts", "words", "positions").groupBy("chunk")
+        chunks.select("chunk", "doc_ids", "counts", "groups", "positions").groupBy("chunk")
         .cogroup(encoded.groupBy("chunk")).applyInArrow(reassemble, "doc_id string, ids array<int>")
     )
     rows = rows.withColumn("doc_id", F.col("doc_id").cast(kind))
@@ -299,7 +297,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> D
 
 def _spans(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices begins[i] .. begins[i] + lengths[i] - 1, one span after the other; a chunk has far below 2**31."""
-    ends = np.cumsum(lengths)
+    ends = np.cumsum(lengths, dtype=np.int64)
     out = np.repeat((begins - (ends - lengths)).astype(np.int32), lengths)
     out += np.arange(len(out), dtype=np.int32)
     return out

@@ -37,6 +37,21 @@ def test_byte_bpe_equals_the_library_and_round_trips(spark, docs, monkeypatch):
     assert {(r.doc_id, hashlib.sha256(bytes(r.decoded)).digest()) for r in got} == texts
 
 
+def test_byte_bpe_of_texts_without_a_word(spark):
+    rows = [(1, None), (2, ""), (2, ""), (None, None)]
+    got = bpe.decode(bpe.encode(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == ["1", "2", "2", "None"] and all(r.ids == [] and r.decoded == b"" for r in got)
+
+
+def test_splitting_equals_the_library_over_all_of_unicode():
+    rng = random.Random(11)
+    encoding, words = bpe.load_encoding(bpe.RANKS), bpe.load_word_encoding(bpe.RANKS)
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["\U0003f220\uba90", "\U00032b30\ub379", "\U0003dd80\ube6d", *("".join(map(chr, rng.choices(every, k=rng.randint(1, 12)))) for _ in range(5000))]
+    for text in texts:
+        assert [i for p in bpe.pretokens(text) for i in words.encode_ordinary(p)] == encoding.encode_ordinary(text)
+
+
 def test_byte_bpe_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], SCHEMA)).collect() == []
 
