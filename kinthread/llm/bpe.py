@@ -140,7 +140,7 @@ def pretokens(text: str):
 def _pack(values: np.ndarray) -> bytes:
     """uint32 numbers as compressed byte planes."""
     planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=9).compress(planes.tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -151,7 +151,7 @@ def _unpack(data: bytes) -> np.ndarray:
 def _pack_words(words: list[bytes]) -> bytes:
     lengths = np.fromiter(map(len, words), dtype="<u4", count=len(words))
     raw = len(words).to_bytes(4, "little") + lengths.tobytes() + b"".join(words)
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    return zstandard.ZstdCompressor(level=9).compress(raw)
 
 
 def _unpack_words(data: bytes) -> list[bytes]:
