@@ -98,6 +98,13 @@ def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.nd
     return found[: n - (OVER * n + UNDER - 1) // UNDER + 1]
 
 
+def among(found: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``found`` are in the sorted ``known``: by search, since a set is small and ``known`` is not."""
+    if not len(known):
+        return np.zeros(len(found), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
+
+
 def frequent_shingles(docs: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, counts) of shingles found in several texts of a sample by the texts' hashes."""
 
@@ -178,7 +185,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, known: n
                 first = prefix(found, frequent, counts)
                 at = np.arange(len(first))
                 if known is not None:
-                    mine = np.isin(first, known) if len(known) else np.zeros(len(first), dtype=bool)
+                    mine = among(first, known)
                     first, at = first[mine], at[mine]
                 if not len(first):
                     continue
@@ -193,6 +200,17 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, known: n
     return docs.select("text").mapInPandas(of_texts, "token long, mark int" if brief else "token long, node long, place long, fp long")
 
 
+def collected(tokens: DataFrame) -> np.ndarray:
+    """The ``tokens``, sorted, on the driver: sent as rows of many, since a row each is an object each there."""
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield pd.DataFrame({"tokens": [part["token"].to_numpy(np.int64).tobytes()]})
+
+    rows = tokens.select("token").mapInPandas(packed, "tokens binary").collect()
+    return np.sort(np.frombuffer(b"".join(row["tokens"] for row in rows), dtype=np.uint64))
+
+
 def entries(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
     """(token, node, place, fp, centre) of the tokens in the prefixes of several sets; centre is the smallest of them.
 
@@ -206,7 +224,7 @@ def entries(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFr
     )
     known = None
     if several.count() <= KNOWN:
-        known = np.sort(several.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+        known = collected(several)
     every = stored(prefixes(docs, frequent, counts, known), "prefixes")
     if known is None:
         every = every.join(several, "token")

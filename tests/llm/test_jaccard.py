@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
@@ -67,3 +69,31 @@ def test_shingles_are_counted_once_and_in_order():
     assert len(jaccard.shingles("a b c d e f a b c d e f")) == 6
     assert len(np.intersect1d(jaccard.shingles("a b c d e"), jaccard.shingles("e d c b a"))) == 0
     assert len(jaccard.shingles(" ")) == 0 and len(jaccard.shingles("a b")) == 1
+
+
+def test_a_set_is_looked_up_in_many_known_tokens_without_passing_over_them():
+    rng = np.random.default_rng(7)
+    known = np.unique(rng.integers(0, 2**64, size=jaccard.KNOWN, dtype=np.uint64))
+    sets = [np.concatenate([rng.choice(known, 20), rng.integers(0, 2**64, size=70, dtype=np.uint64)]) for _ in range(300)]
+    began = time.process_time()
+    got = [jaccard.among(found, known) for found in sets]
+    assert time.process_time() - began < 2  # np.isin, which sorts them each time, takes some 2 s a set
+    assert all((x[:20]).all() and not x[20:].any() for x in got)
+    assert jaccard.among(known[:3], known[:0]).tolist() == [False] * 3
+    assert jaccard.among(np.array([2**64 - 1], dtype=np.uint64), known[:5]).tolist() == [False]
+
+
+def test_known_tokens_come_to_the_driver_without_an_object_each(spark):
+    tokens = spark.range(-150_000, 150_000).selectExpr("id * 7 AS token")
+    arrow = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")  # as the sessions of a cluster may have it
+    tracemalloc.start()
+    try:
+        got = jaccard.collected(tokens)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", arrow)
+    assert (got == np.sort((np.arange(-150_000, 150_000) * 7).view(np.uint64))).all()
+    assert peak < 8 * 300_000 * 6  # bytes; rows of one token each take ten times that
+    assert len(jaccard.collected(tokens.where("false"))) == 0
