@@ -15,6 +15,7 @@ only decides how many pairs meet.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,10 @@ from kinthread.llm.simhash import links as anchored_links
 SHINGLE = 5
 #: Least similarity of near duplicates, as a fraction: exact in whole numbers.
 OVER, UNDER = 4, 5
-#: Sets, at most about so many, in which frequent shingles are looked for.
-SAMPLE = 20_000
-#: Frequent shingles told to the workers; more would only spare comparisons.
-FREQUENT = 100_000
+#: Buckets that the shingles of all texts are counted in, to know the frequent ones: more would only spare comparisons.
+FREQUENT = 1 << 22
+#: Buckets whose counts travel as one row.
+BLOCK = 1 << 14
 #: Texts to compare are picked by a broadcast of their hashes up to this number, counted first.
 BROADCAST_ROWS = 200_000
 #: Words whose hash a worker remembers; more would only spare hashing.
@@ -89,15 +90,18 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return UNDER * common >= OVER * (len(a) + len(b) - common)
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of a set by which others find it, in order: rare ones first."""
+def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a set by which others find it, in order: those of the least counted buckets first."""
     n = len(found)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-        found = found[np.lexsort((found, np.where(frequent[at] == found, counts[at], 0)))]
+    found = found[np.lexsort((found, counts[bucket_of(found, len(counts))]))]
     return found[: n - (OVER * n + UNDER - 1) // UNDER + 1]
 
 
+def bucket_of(found: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that each shingle is counted in."""
+    return (found % np.uint64(buckets)).astype(np.int64)
+
+
 def among(found: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which of ``found`` are in the sorted ``known``: by search, since a set is small and ``known`` is not."""
     if not len(known):
@@ -105,25 +109,48 @@ def among(found: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
 
 
-def frequent_shingles(docs: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of shingles found in several texts of a sample by the texts' hashes."""
+def bucket_counts(docs: DataFrame) -> np.ndarray:
+    """How many texts of ``docs``, all of them, have each of the FREQUENT buckets' shingles (one of several counts each).
+
+    A task's counts are arrays, compressed blocks of which are added up, so what
+    travels doesn't grow with the shingles of a task.
+    """
+    buckets = FREQUENT
 
     def of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(buckets, dtype=np.uint32)
         for part in batches:
-            # counted where they are read: what the batch has of a shingle is one row
-            found = [shingles(text) for text in part["text"]]
-            token, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pd.DataFrame({"token": token.view(np.int64), "n": n})
-
-    step = max(1, count // SAMPLE)
-    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
-    found = (
-        sample.mapInPandas(of_texts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-        .where("n > 2").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas().sort_values("token")
-    )
-    hashes = found["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], found["n"].to_numpy(np.int64)[order]
+            for text in part["text"]:
+                np.add.at(total, bucket_of(shingles(text), buckets), 1)
+        for at in range(0, buckets, BLOCK):
+            mine = total[at : at + BLOCK]
+            if mine.any():
+                yield _block(at, mine)
+
+    def added(part: pd.DataFrame) -> pd.DataFrame:
+        return _block(int(part["at"].iloc[0]), sum(map(_counts_of, part["counts"], part["width"])))
+
+    total = np.zeros(buckets, dtype=np.int64)
+    made = docs.select("text").mapInPandas(of_texts, "at long, width int, counts binary")
+    for row in made.groupBy("at").applyInPandas(added, "at long, width int, counts binary").collect():
+        mine = _counts_of(row["counts"], row["width"])
+        total[row["at"] : row["at"] + len(mine)] = mine
+    return _narrow(total)
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """``counts`` in as few bytes as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max())))
+
+
+def _block(at: int, counts: np.ndarray) -> pd.DataFrame:
+    """A row of counts from bucket ``at`` on."""
+    narrow = _narrow(counts)
+    return pd.DataFrame({"at": [at], "width": np.array([narrow.itemsize], dtype=np.int32), "counts": [zlib.compress(narrow.tobytes(), 1)]})
+
+
+def _counts_of(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=f"u{width}").astype(np.int64)
 
 
 def node_of(found: np.ndarray) -> int:
@@ -150,16 +177,16 @@ def sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("same"), of_text("text").alias("e")).select("doc_id", "same", "e.*")
 
 
-def prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None, brief: bool = False) -> DataFrame:
+def prefixes(docs: DataFrame, counts: np.ndarray, known: np.ndarray | None = None, brief: bool = False) -> DataFrame:
     """(token, node, place, fp): the prefix of every set, with its size and the position in one number, and its SimHash.
 
     ``known`` are the only tokens to give out, if not None. ``brief`` gives
     (token, mark) instead, mark being the last bits of node.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, counts, known))
+    shared = docs.sparkSession.sparkContext.broadcast((counts, known))
 
     def of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequent, counts, known = shared.value
+        counts, known = shared.value
         held, rows, seen = [], 0, set()
 
         def frame() -> pd.DataFrame:
@@ -182,7 +209,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, known: n
                     continue
                 if len(seen) < SEEN:
                     seen.add(node)
-                first = prefix(found, frequent, counts)
+                first = prefix(found, counts)
                 at = np.arange(len(first))
                 if known is not None:
                     mine = among(first, known)
@@ -211,21 +238,21 @@ def collected(tokens: DataFrame) -> np.ndarray:
     return np.sort(np.frombuffer(b"".join(row["tokens"] for row in rows), dtype=np.uint64))
 
 
-def entries(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
+def entries(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """(token, node, place, fp, centre) of the tokens in the prefixes of several sets; centre is the smallest of them.
 
     Most tokens are of one set. What tells which aren't is a brief row a token.
     Up to KNOWN of those, counted, are told to the workers, so that only their
     rows ever travel; of more all rows do, and the others are dropped then.
     """
-    marks = prefixes(docs, frequent, counts, brief=True)
+    marks = prefixes(docs, counts, brief=True)
     several = stored(
         marks.groupBy("token").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a <> b").select("token"), "tokens"
     )
     known = None
     if several.count() <= KNOWN:
         known = collected(several)
-    every = stored(prefixes(docs, frequent, counts, known), "prefixes")
+    every = stored(prefixes(docs, counts, known), "prefixes")
     if known is None:
         every = every.join(several, "token")
     centres = every.groupBy("token").agg(F.min("node").alias("centre"), F.max("node").alias("most")).where("centre <> most").select("token", "centre")
@@ -289,8 +316,7 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     near copies gives a tree, not its pairs.
     """
     found = verified(anchored(rows), docs, rows)
-    frequent, counts = frequent_shingles(docs, rows.count())
-    shared = entries(docs, frequent, counts)
+    shared = entries(docs, bucket_counts(docs))
     sizes = " AND ".join([
         f"(least(x.n, y.n) < {FEW} OR bit_count(x.fp ^ y.fp) <= {MOST_BITS})",
         f"least(x.n, y.n) * {UNDER}L >= greatest(x.n, y.n) * {OVER}L",

@@ -97,3 +97,20 @@ def test_known_tokens_come_to_the_driver_without_an_object_each(spark):
     assert (got == np.sort((np.arange(-150_000, 150_000) * 7).view(np.uint64))).all()
     assert peak < 8 * 300_000 * 6  # bytes; rows of one token each take ten times that
     assert len(jaccard.collected(tokens.where("false"))) == 0
+
+
+@pytest.mark.parametrize("buckets", [jaccard.FREQUENT, 20_000])
+def test_shingles_of_every_text_are_counted(spark, monkeypatch, buckets):
+    monkeypatch.setattr(jaccard, "FREQUENT", buckets)
+    rng = random.Random(9)
+    texts = [None, ""] + [" ".join(rng.choices("abcd", k=rng.randint(1, 60))) for _ in range(400)] + ["own words that no other has"]
+    texts += ["in more than two hundred of the texts"] * 300
+    texts += [f"text {i}" for i in range(2 * 20_000)]  # a sample of 20 000 was looked at before
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = np.zeros(buckets, dtype=np.int64)
+    for text in texts:
+        for shingle in jaccard.shingles(text).tolist():
+            want[shingle % buckets] += 1
+    got = jaccard.bucket_counts(docs)
+    assert (got == want).all() and got.max() >= 300
+    assert not jaccard.bucket_counts(docs.where("false")).any()
