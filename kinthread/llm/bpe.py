@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinthread.llm.common import stored
+from kinthread.llm.common import give_back, stored
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -43,6 +44,8 @@ CHUNK_BYTES = 20 << 20
 GROUPS, GROUP_WORDS = 64, 250_000
 #: Longer texts are split match by match instead of into one list.
 LONG_TEXT = 1 << 20
+#: Numbers of a chunk that are worked on at once.
+SLICE = 1 << 18
 
 
 @functools.lru_cache(maxsize=2)
@@ -138,9 +141,10 @@ def pretokens(text: str):
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """uint32 numbers as compressed byte planes."""
-    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=9).compress(planes.tobytes())
+    """uint32 numbers as compressed byte planes, one plane in memory at a time."""
+    raw = values.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)
+    out = zstandard.ZstdCompressor(level=9).compressobj(size=raw.size)
+    return b"".join([*(out.compress(raw[:, i].tobytes()) for i in range(4)), out.flush()])
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -148,6 +152,11 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1)
 
 
+def _slices(n: int) -> Iterator[slice]:
+    """numpy makes whole copies of 8 bytes of the numbers it looks up or counts: of a slice at a time."""
+    return (slice(a, a + SLICE) for a in range(0, n, SLICE))
+
+
 def _pack_words(words: list[bytes]) -> bytes:
     lengths = np.fromiter(map(len, words), dtype="<u4", count=len(words))
     raw = len(words).to_bytes(4, "little") + lengths.tobytes() + b"".join(words)
@@ -170,17 +179,28 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def row():
         stream = np.concatenate([*parts, np.zeros(0, dtype=np.uint32)])
+        parts.clear()
+        seen = np.zeros(len(numbers), dtype=np.int64)
+        for some in _slices(len(stream)):
+            seen += np.bincount(stream[some], minlength=len(numbers))
         # frequent words get small numbers: the high byte planes are then mostly zero
-        order = np.argsort(-np.bincount(stream, minlength=len(numbers)), kind="stable")
+        order = np.argsort(-seen, kind="stable")
         rank = np.empty(len(numbers), dtype=np.uint32)
         rank[order] = np.arange(len(numbers), dtype=np.uint32)
         listed = list(numbers)
+        numbers.clear()
         words = [listed[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
+        del listed
+        packed, groups = _pack_words(words), _pack(_group_of(words))
+        del words
+        for some in _slices(len(stream)):
+            stream[some] = rank[stream[some]]
         return pd.DataFrame({
-            "chunk": [first + made], "doc_ids": [ids], "counts": [counts], "n_words": [len(words)],
-            "words": [_pack_words(words)], "groups": [_pack(_group_of(words))], "positions": [_pack(rank[stream])],
+            "chunk": [first + made], "doc_ids": [ids], "counts": [counts], "n_words": [len(rank)],
+            "words": [packed], "groups": [groups], "positions": [_pack(stream)],
         })
 
+    give_back()  # what the worker's tasks before have left
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
             text = text if isinstance(text, str) else ""
@@ -193,8 +213,11 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield row()
                 made += 1
                 numbers, ids, counts, parts, size = _Numbering(), [], [], [], 0
+                give_back()
     if ids:
         yield row()
+    del numbers, ids, counts, parts
+    give_back()
 
 
 def _group_of(words: list[bytes]) -> np.ndarray:
@@ -237,23 +260,26 @@ def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> D
 
     def encode_group(part: pd.DataFrame) -> pd.DataFrame:
         merge = load_word_encoding(ranks).encode_ordinary
-        known: dict[bytes, tuple[int, int]] = {}
-        flat: list[int] = []
-        out = []
+        known: dict[bytes, int] = {}
+        flat, ends = array("I"), array("q", [0])  # the ids of word i end at ends[i + 1]
+        entries = []
         for packed in part["words"]:
             words = _unpack_words(packed)
             for word in words:
                 if word not in known:  # each distinct word once
-                    got = merge(word.decode("utf-8"))
-                    known[word] = (len(flat), len(got))
-                    flat.extend(got)
-            where = np.array([known[w] for w in words], dtype=np.int64).reshape(-1, 2)
-            out.append((where[:, 0], where[:, 1]))
-        ids = np.array(flat, dtype=np.uint32)
-        return pd.DataFrame({
-            "word_group": part["word_group"], "chunk": part["chunk"],
-            "lengths": [_pack(n) for _, n in out], "ids": [_pack(ids[_spans(b, n)]) for b, n in out],
-        })
+                    known[word] = len(known)
+                    flat.extend(merge(word.decode("utf-8")))
+                    ends.append(len(flat))
+            entries.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint32, count=len(words)))
+        del known
+        ids, upto, lengths, found = np.array(flat, dtype=np.uint32), np.array(ends, dtype=np.int64), [], []
+        for which in entries:
+            begins = upto[which]
+            n = upto[which.astype(np.int64) + 1] - begins
+            lengths.append(_pack(n.astype(np.uint32)))
+            found.append(_pack(ids[_spans(begins, n)]))
+        give_back()
+        return pd.DataFrame({"word_group": part["word_group"], "chunk": part["chunk"], "lengths": lengths, "ids": found})
 
     encoded = (
         chunks.select("chunk", "words", "groups").mapInPandas(deal, "word_group int, chunk long, words binary")
@@ -277,14 +303,21 @@ def encode(docs: DataFrame, ranks: str = RANKS, with_decoded: bool = False) -> D
                 base += len(flat[-1])
             ids = np.concatenate([*flat, np.zeros(0, np.uint32)]).astype(np.int32)
             stream = _unpack(row["positions"])
-            n = lengths[stream]
-            ids = ids[_spans(begins[stream], n)]
-            # where each document's ids end: the ids up to its last pre-token
-            ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[np.cumsum([0, *row["counts"]])]
-            tables.append(pa.table({
-                "doc_id": pa.array(row["doc_ids"], pa.string()),
-                "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
-            }))
+            upto = np.cumsum([0, *row["counts"]])
+            low = 0
+            while low < len(row["doc_ids"]):  # documents of about SLICE pre-tokens, one at least
+                high = min(max(low + 1, int(np.searchsorted(upto, upto[low] + SLICE))), len(row["doc_ids"]))
+                some = stream[upto[low] : upto[high]]
+                n = lengths[some]
+                # where each document's ids end: the ids up to its last pre-token
+                ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[upto[low : high + 1] - upto[low]]
+                tables.append(pa.table({
+                    "doc_id": pa.array(row["doc_ids"][low:high], pa.string()),
+                    "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[_spans(begins[some], n)])),
+                }))
+                low = high
+            del stream, ids, group, lengths, begins, flat
+        give_back()
         return pa.concat_tables(tables) if tables else nothing
 
     rows = (

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinthread.runtime import scratch_path, shared_dir, stored
 
-__all__ = ["SALTS", "SPACE", "WORD", "connected_components", "input_bytes", "row_hash", "scratch_path", "shared_dir", "spread_join", "stored"]
+__all__ = ["SALTS", "SPACE", "WORD", "connected_components", "give_back", "input_bytes", "row_hash", "scratch_path", "shared_dir", "spread_join", "stored"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,6 +19,19 @@ SPACE = r"[\x20\x09-\x0D]+"
 SALTS = 64
 
 
+def give_back() -> None:
+    """Freed memory of this worker goes back to the system.
+
+    A worker outlives its task, and the C library keeps what was freed: workers
+    that wait would hold it beside those that work.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
 def input_bytes(docs: DataFrame) -> int:
     """Bytes behind ``docs``: Catalyst's estimate (file sizes for scans), or else the texts' sum."""
     found = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -1,8 +1,11 @@
 import hashlib
 import random
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow.fs as pafs
 import pytest
 
@@ -43,6 +46,31 @@ def test_byte_bpe_of_texts_without_a_word(spark):
     assert sorted(map(str, (r.doc_id for r in got))) == ["1", "2", "2", "None"] and all(r.ids == [] and r.decoded == b"" for r in got)
 
 
+def test_chunks_take_few_bytes_a_pretoken(monkeypatch):
+    monkeypatch.setattr(bpe, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    words = [f" w{i}" for i in range(500)]
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(words, k=4000)) for _ in range(200)]
+    bpe.pretokens(texts[0])  # its classes are made once
+    given = pd.DataFrame({"doc_id": map(str, range(len(texts))), "text": texts})
+    tracemalloc.start()
+    try:
+        rows = list(bpe._chunks(iter([given])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    found = [(w, p) for row in rows for w, p in zip(map(bpe._unpack_words, row["words"]), map(bpe._unpack, row["positions"]), strict=True)]
+    assert [w[i].decode() for w, p in found for i in p.tolist()] == [m for text in texts for m in bpe.pretokens(text)]
+    assert peak < 14 * sum(len(p) for _, p in found)
+
+
+def test_byte_bpe_of_documents_past_a_slice(spark):
+    texts = ["some words " * 90_000, None, "other words " * 70_000, "", "last " * (bpe.SLICE + 5), "end", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    encoding = bpe.load_encoding(bpe.RANKS)
+    assert {r.doc_id: r.ids for r in bpe.encode(rows).collect()} == {i: encoding.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
 def test_splitting_equals_the_library_over_all_of_unicode():
     rng = random.Random(11)
     encoding, words = bpe.load_encoding(bpe.RANKS), bpe.load_word_encoding(bpe.RANKS)
