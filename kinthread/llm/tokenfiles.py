@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinthread.llm.common import input_bytes, scratch_path
+from kinthread.llm.common import give_back, input_bytes, scratch_path
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
@@ -277,6 +277,7 @@ def write_tables(docs: DataFrame, path: str | None = None, vocabulary: str = VOC
     shards = max(1, input_bytes(docs) // SHARD_BYTES)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()  # what the worker's tasks before have left
         pieces = encoder(vocabulary)
         width = 2 if pieces.tokenizer.get_vocab_size() <= 1 << 16 else 4
         files, folder = pafs.FileSystem.from_uri(path)
@@ -297,6 +298,8 @@ def write_tables(docs: DataFrame, path: str | None = None, vocabulary: str = VOC
         if table is not None:
             table.close()
             out.close()
+            del table, out, batch
+            give_back()
             yield pd.DataFrame({"shard": [shard], "file": [name], "documents": [rows], "ids": [total]})
 
     manifest = (

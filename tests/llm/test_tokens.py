@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow.fs as pafs
 import pytest
 
-from kinthread.llm import bpe, tokenfiles
+from kinthread.llm import bpe, common, tokenfiles
 
 SCHEMA = "doc_id long, text string, ids string, n_tokens string"
 
@@ -114,6 +114,32 @@ def test_token_tables_equal_the_library(spark, docs, monkeypatch):
     assert found == {d: [ids for e, _, ids in expected if e == d] for d in wanted}
 
 
+def test_token_writers_give_memory_back(spark, tmp_path, monkeypatch):
+    mark = str(tmp_path / "given")
+
+    def told():
+        with open(mark, "a") as out:
+            out.write("x")
+
+    monkeypatch.setattr(tokenfiles, "give_back", told)
+    tokenfiles.write_tables(spark.createDataFrame([(1, "a text", "x", "y")], SCHEMA))
+    with open(mark) as found:
+        assert len(found.read()) == 2  # before its rows and after
+
+
+def test_freed_memory_goes_back():
+    def held():
+        with open("/proc/self/smaps_rollup") as lines:
+            return sum(int(line.split()[1]) for line in lines if line.startswith("Pss_Anon:"))
+
+    blocks = [bytes([1]) * 60_000 for _ in range(2000)]
+    kept = blocks[::100]  # what is still in use keeps the C library from giving back the rest by itself
+    del blocks
+    before = held()
+    common.give_back()
+    assert len(kept) == 20 and before - held() > 60_000
+
+
 def test_token_tables_empty(spark):
     path = tokenfiles.write_tables(spark.createDataFrame([], SCHEMA))
     assert tokenfiles.read_tables(spark, path).collect() == []
