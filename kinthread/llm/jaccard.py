@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinthread.llm.common import SALTS, connected_components, spread_join, stored
-from kinthread.llm.simhash import SEED, _runs, bit_counts, keep_first, majority
+from kinthread.llm.simhash import SEED, Forest, _runs, bit_counts, keep_first, majority
 from kinthread.llm.simhash import links as anchored_links
 
 SHINGLE = 5
@@ -50,6 +50,14 @@ MOST_BITS = 26
 FEW = 16
 #: A position's bits beside a set's size in one number.
 PLACE = 32
+#: Longs of a set's parities: more would only spare comparisons of large sets.
+PARITIES = 8
+PARITY = [f"s{i}" for i in range(PARITIES)]
+#: A token's centre is picked by the share of a set that stands before the token, of so many bits, and by last bits of node.
+SHARE, NAME = 20, 42
+#: Sets of a token up to which all its pairs may meet at once. Of more only nearest ones meet first: of each set's first
+#: LOOKS such tokens, among CHUNK of its sets. More would only spare comparisons later.
+CROWD, LOOKS, CHUNK = 32, 5, 64
 
 
 class _Hashes(dict):
@@ -166,13 +174,24 @@ def fingerprint_of(found: np.ndarray) -> int:
     return majority(total, len(found))
 
 
+def parities_of(found: np.ndarray) -> np.ndarray:
+    """PARITIES longs: whether each of their bits' share of all hashes holds an odd number of the set's.
+
+    A hash that one of two sets has and the other hasn't turns one bit, so sets
+    differ in at least as many hashes as bits.
+    """
+    odd = np.bincount((found >> np.uint64(32)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, node, fp): one row per row; node names the text's set of shingles, fp is its SimHash."""
+    """(doc_id, same, node, fp, parities): one row per row; node names the text's set of shingles, fp is its SimHash."""
+    columns = ["node", "fp", *PARITY]
 
-    @F.pandas_udf("node long, fp long")
+    @F.pandas_udf(", ".join(f"{name} long" for name in columns))
     def of_text(text: pd.Series) -> pd.DataFrame:
-        made = np.array([(node_of(x), fingerprint_of(x)) for x in map(shingles, text)], dtype=np.uint64).reshape(-1, 2)
-        return pd.DataFrame({"node": made[:, 0].view(np.int64), "fp": np.ascontiguousarray(made[:, 1]).view(np.int64)})
+        made = [np.array([node_of(x), fingerprint_of(x), *parities_of(x).tolist()], dtype=np.uint64) for x in map(shingles, text)]
+        return pd.DataFrame(np.array(made, dtype=np.uint64).reshape(-1, len(columns)).view(np.int64), columns=columns)
 
     return docs.select("doc_id", F.xxhash64("text").alias("same"), of_text("text").alias("e")).select("doc_id", "same", "e.*")
 
@@ -239,7 +258,7 @@ def collected(tokens: DataFrame) -> np.ndarray:
 
 
 def entries(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(token, node, place, fp, centre) of the tokens in the prefixes of several sets; centre is the smallest of them.
+    """(token, node, place, fp) of the tokens in the prefixes of several sets.
 
     Most tokens are of one set. What tells which aren't is a brief row a token.
     Up to KNOWN of those, counted, are told to the workers, so that only their
@@ -255,8 +274,8 @@ def entries(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     every = stored(prefixes(docs, counts, known), "prefixes")
     if known is None:
         every = every.join(several, "token")
-    centres = every.groupBy("token").agg(F.min("node").alias("centre"), F.max("node").alias("most")).where("centre <> most").select("token", "centre")
-    return stored(every.join(centres, "token").distinct(), "shared")
+    shared = every.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token")
+    return stored(every.join(shared, "token").distinct(), "shared")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -302,6 +321,55 @@ def anchored(rows: DataFrame) -> DataFrame:
     return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
+def nearest(part: np.ndarray, n: np.ndarray, fp: np.ndarray, parities: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (positions) of sets that may be alike, spanning the parts that such pairs connect, the nearest first.
+
+    Never more pairs than sets.
+    """
+    differ = sum(np.bitwise_count(mine[:, None] ^ mine[None, :]).astype(np.int64) for mine in parities.T)
+    apart = np.bitwise_count(fp[:, None] ^ fp[None, :]).astype(np.int64)
+    least, most = np.minimum.outer(n, n), np.maximum.outer(n, n)
+    may = ((least < FEW) | (apart <= MOST_BITS)) & (least * UNDER >= most * OVER)
+    may &= differ * (OVER + UNDER) <= (least + most) * (UNDER - OVER)
+    far = np.iinfo(np.int64).max
+    bits = np.where(may, differ + apart, far)
+    forest, out = Forest(len(part)), []
+    _, first, label = np.unique(part, return_index=True, return_inverse=True)
+    for i, x in enumerate(first[label].tolist()):
+        forest.link(i, x)
+    while True:
+        label = np.array([forest.root(i) for i in range(len(part))])
+        bits[label[:, None] == label[None, :]] = far
+        other = bits.argmin(axis=1)
+        own = bits[np.arange(len(part)), other]
+        if (own == far).all():
+            return out
+        for i in np.argsort(own, kind="stable")[: (own < far).sum()].tolist():
+            if forest.link(i, int(other[i])):
+                out.append((i, int(other[i])))
+
+
+def crowds(rest: DataFrame) -> DataFrame:
+    """(u, v): near pairs of different parts among the sets of tokens that more than CROWD have; a few for each set.
+
+    It finds no pair that the last comparison wouldn't, and need not find all.
+    """
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        parities = np.column_stack([part[name].to_numpy(np.int64).view(np.uint64) for name in PARITY])
+        fp = part["fp"].to_numpy(np.int64).view(np.uint64)
+        found = nearest(part["part"].to_numpy(np.int64), part["n"].to_numpy(np.int64), fp, parities)
+        pairs = np.sort(part["node"].to_numpy(np.int64)[np.array(found, dtype=np.int64).reshape(-1, 2)], axis=1)
+        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    own = ["part", "n", "fp", *PARITY]
+    looks = F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("token").alias("turn"), "token", "many"))), 1, LOOKS)
+    sets = rest.where(F.col("many") > CROWD).groupBy("node").agg(looks.alias("looks"), *(F.min(name).alias(name) for name in own))
+    rows = sets.withColumn("look", F.explode("looks")).select("node", *own, "look.token", "look.many")
+    rows = rows.withColumn("chunk", F.expr(f"pmod(xxhash64(node, token), many div {CHUNK} + 1)")).drop("many")
+    return rows.groupBy("token", "chunk").applyInPandas(compare, "u long, v long")
+
+
 def parts_of(links: DataFrame) -> DataFrame:
     """(node, part): the groups that ``links`` make."""
     return connected_components(links).select("node", F.col("component").alias("part"))
@@ -310,33 +378,44 @@ def parts_of(links: DataFrame) -> DataFrame:
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(u, v) links between sets that span every group.
 
-    First the pairs that the covering links; then each set meets the smallest of
-    those that share a shingle of its prefix and aren't in its group; then only
-    sets that still are in different groups meet each other, so a large group of
-    near copies gives a tree, not its pairs.
+    First the pairs that the covering links. Then each set meets the centre of
+    those that share a shingle of its prefix, if that isn't in its group: the set
+    that has the least of itself before the shingle, which of changed copies is
+    the one with the fewest changes. Then, where many share a shingle, some of
+    the nearest ones of different groups meet. Last, all sets that still are in
+    different groups meet each other. So a large group of near copies gives
+    trees, not its pairs. Whatever meets must be near enough by sizes,
+    fingerprints and parities, and by positions where all meet.
     """
     found = verified(anchored(rows), docs, rows)
     shared = entries(docs, bucket_counts(docs))
-    sizes = " AND ".join([
+    parities = stored(rows.groupBy("node").agg(*(F.min(name).alias(name) for name in PARITY)), "parities")
+    differ = " + ".join(f"bit_count(x.{name} ^ y.{name})" for name in PARITY)
+    near = " AND ".join([
+        "x.token = y.token AND x.part <> y.part",
         f"(least(x.n, y.n) < {FEW} OR bit_count(x.fp ^ y.fp) <= {MOST_BITS})",
         f"least(x.n, y.n) * {UNDER}L >= greatest(x.n, y.n) * {OVER}L",
         f"least(x.n - x.at, y.n - y.at) * {OVER + UNDER}L >= (x.n + y.n) * {OVER}L",
+        f"({differ}) * {OVER + UNDER}L <= (x.n + y.n) * {UNDER - OVER}L",
     ])
 
     def parted(table: DataFrame) -> DataFrame:
-        """``table`` with n, at and the part of each set so far; only tokens of several parts."""
-        table = table.select("token", "node", "centre", "fp", F.expr(f"shiftright(place, {PLACE})").alias("n"), F.expr(f"place & {(1 << PLACE) - 1}L").alias("at"))
+        """``table`` with n, at, rank, parities and the part of each set so far, centre being a token's least rank and many its sets; only tokens of several parts."""
+        table = table.select("token", "node", "fp", F.expr(f"shiftright(place, {PLACE})").alias("n"), F.expr(f"place & {(1 << PLACE) - 1}L").alias("at"))
+        table = table.withColumn("rank", F.expr(f"shiftleft(at * {1 << SHARE}L div n, {NAME}) | (node & {(1 << NAME) - 1}L)"))
         table = table.join(parts_of(found), "node", "left").withColumn("part", F.coalesce("part", "node"))
-        several = table.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("token")
-        return stored(table.join(several, "token"), "parts")
+        several = table.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.min("rank").alias("centre"), F.count(F.lit(1)).alias("many")).where("a <> b").drop("a", "b")
+        return stored(table.join(several, "token").join(parities, "node"), "parts")
+
+    def met(x: DataFrame, y: DataFrame, such: str) -> DataFrame:
+        pairs = x.alias("x").join(y.alias("y"), F.expr(f"{such} AND {near}"))
+        return pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
 
     rest = parted(shared)
-    centres = rest.where("node = centre").alias("x")
-    star = centres.join(rest.alias("y"), F.expr(f"x.token = y.token AND x.node < y.node AND x.part <> y.part AND {sizes}"))
-    found = found.union(verified(star.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")), docs, rows))
+    found = found.union(verified(met(rest.where("rank = centre"), rest, "x.node <> y.node"), docs, rows))
+    found = found.union(verified(crowds(parted(shared)), docs, rows))
     rest = parted(shared)
-    pairs = rest.alias("x").join(rest.alias("y"), F.expr(f"x.token = y.token AND x.node < y.node AND x.part <> y.part AND {sizes}"))
-    return found.union(verified(pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")), docs, rows))
+    return found.union(verified(met(rest, rest, "x.node < y.node"), docs, rows))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -347,7 +426,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt")
     rows = stored(sets(docs).select("*", salt), "sets")
     groups = parts_of(stored(links(docs, rows), "links"))
-    return spread_join(rows, groups, "node", "left").select("doc_id", "same", "node", F.coalesce("part", "node").alias("component"))
+    return spread_join(rows.drop(*PARITY), groups, "node", "left").select("doc_id", "same", "node", F.coalesce("part", "node").alias("component"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

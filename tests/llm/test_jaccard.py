@@ -114,3 +114,62 @@ def test_shingles_of_every_text_are_counted(spark, monkeypatch, buckets):
     got = jaccard.bucket_counts(docs)
     assert (got == want).all() and got.max() >= 300
     assert not jaccard.bucket_counts(docs.where("false")).any()
+
+
+def near_copies(rng, kind, count):
+    """Distinct texts of one base: with up to 8 words changed ("hub"), or with some of 20 words as in another text ("none")."""
+    words = [f"v{i}" for i in range(3000)]
+    base, other, out = rng.sample(words, 150), rng.sample(words, 150), {}
+    while len(out) < count:
+        own = list(base)
+        if kind == "hub":
+            for i in rng.sample(range(150), rng.randint(0, 8)):
+                own[i] = rng.choice(words)
+        else:
+            for i in range(3, 143, 7):
+                own[i] = other[i] if rng.random() < 0.2 else own[i]
+        out[" ".join(own)] = None
+    return list(out)
+
+
+@pytest.mark.parametrize("kind", ["hub", "none"])
+def test_a_group_of_near_copies_is_not_compared_by_all_its_pairs(spark, monkeypatch, kind):
+    rows = list(enumerate(near_copies(random.Random(5), kind, 800)))
+    compared, verified = [], jaccard.verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.distinct().count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in jaccard.one_of_each(docs).collect())
+    assert got == brute_kept(rows)
+    assert sum(compared) < 4 * len(rows), compared
+
+
+def test_parities_differ_in_no_more_bits_than_sets_do():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        every = np.unique(rng.integers(0, 2**64, size=int(rng.integers(1, 900)), dtype=np.uint64))
+        a, b = (every[rng.random(len(every)) < 0.9] for _ in range(2))
+        bits = int(np.bitwise_count(jaccard.parities_of(a) ^ jaccard.parities_of(b)).sum())
+        assert bits <= len(np.setxor1d(a, b)) and (bits == 0 or len(np.setxor1d(a, b)) > 0)
+        if jaccard.alike(a, b):
+            assert bits * (jaccard.OVER + jaccard.UNDER) <= (len(a) + len(b)) * (jaccard.UNDER - jaccard.OVER)
+    assert len(jaccard.parities_of(every)) == jaccard.PARITIES and not jaccard.parities_of(every[:0]).any()
+
+
+def test_nearest_pairs_span_the_parts_that_may_be_alike():
+    made = [jaccard.shingles(t) for t in near_copies(random.Random(6), "none", 60)]
+    made += [jaccard.shingles(t) for t in near_copies(random.Random(7), "hub", 20)]
+    n, fp = np.array([len(x) for x in made]), np.array([jaccard.fingerprint_of(x) for x in made], dtype=np.uint64)
+    parities = np.array([jaccard.parities_of(x) for x in made])
+    part = np.arange(len(made)) // 3  # threes are one part already
+    found = jaccard.nearest(part, n, fp, parities)
+    assert 0 < len(found) < len(set(part.tolist()))
+    label = part.copy()
+    for i, j in found:
+        assert label[i] != label[j]
+        label[label == label[i]] = label[j]
+    assert all(label[i] == label[j] for i in range(len(made)) for j in range(i) if jaccard.alike(made[i], made[j]))
