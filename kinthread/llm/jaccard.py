@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinthread.llm.common import SALTS, connected_components, spread_join, stored
+from kinthread.llm.common import SALTS, connected_components, give_back, spread_join, stored
 from kinthread.llm.simhash import SEED, Forest, _runs, bit_counts, keep_first, majority
 from kinthread.llm.simhash import links as anchored_links
 
@@ -126,6 +126,7 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
     buckets = FREQUENT
 
     def of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         total = np.zeros(buckets, dtype=np.uint32)
         for part in batches:
             for text in part["text"]:
@@ -134,6 +135,8 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
             mine = total[at : at + BLOCK]
             if mine.any():
                 yield _block(at, mine)
+        del total, mine
+        give_back()
 
     def added(part: pd.DataFrame) -> pd.DataFrame:
         return _block(int(part["at"].iloc[0]), sum(map(_counts_of, part["counts"], part["width"])))
@@ -205,6 +208,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, known: np.ndarray | None = Non
     shared = docs.sparkSession.sparkContext.broadcast((counts, known))
 
     def of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         counts, known = shared.value
         held, rows, seen = [], 0, set()
 
@@ -242,6 +246,9 @@ def prefixes(docs: DataFrame, counts: np.ndarray, known: np.ndarray | None = Non
                     held, rows = [], 0
         if held:
             yield frame()
+        held.clear()
+        seen.clear()
+        give_back()
 
     return docs.select("text").mapInPandas(of_texts, "token long, mark int" if brief else "token long, node long, place long, fp long")
 
@@ -300,6 +307,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
                     last, own = u, shingles(a)
                 keep[i] = alike(own, shingles(b))
             yield part.loc[keep, ["u", "v"]]
+        give_back()
 
     both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
     both = both.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
@@ -413,8 +421,11 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     rest = parted(shared)
     found = found.union(verified(met(rest.where("rank = centre"), rest, "x.node <> y.node"), docs, rows))
-    found = found.union(verified(crowds(parted(shared)), docs, rows))
     rest = parted(shared)
+    more = verified(crowds(rest), docs, rows)
+    if not more.isEmpty():
+        found = found.union(more)
+        rest = parted(shared)
     return found.union(verified(met(rest, rest, "x.node < y.node"), docs, rows))
 
 
