@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinthread.llm import bpe, language, mixing, quality, secrets, simhash, tokenfiles, topk, toxicity, urls
+from kinthread.llm import bpe, collocation, decontamination, divergence, language, mixing, quality, secrets, simhash, tokenfiles, topk, toxicity, urls
 from kinthread.llm.common import stored
 
 
@@ -69,6 +69,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = decontamination.n_hit()
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_language": op2_language,
@@ -80,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_collocations": op11_collocations,
+    "op12_decontamination": op12_decontamination,
+    "op13_divergence": op13_divergence,
 }
 
 TOPK_SQL = """
@@ -126,8 +146,67 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT *, NOT base_failed AND 100 * n_removed <= 50 * n_words AS kept FROM b
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+COLLOCATION_SQL = rf"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM piece),
+gram AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3)) AS v(k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM gram GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND f >= 10),
+cut AS MATERIALIZED (SELECT lang, phrase, k, a, j, array_to_string(ws[1 : j], ' ') AS head, array_to_string(ws[j + 1 : k], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+led AS MATERIALIZED (SELECT cut.*, f.f AS l FROM cut JOIN f ON f.lang = cut.lang AND f.phrase = head),
+scored AS (SELECT led.*, f.f AS r, (1000000 * a * a) // (l * f.f) AS score FROM led JOIN f ON f.lang = led.lang AND f.phrase = tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+part AS (SELECT lang, array_to_string(ws[j : j + 1], ' ') AS phrase, max(a) AS longest FROM c, (VALUES (1), (2)) AS v(j) WHERE k = 3 GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN part USING (lang, phrase) WHERE k = 3 OR longest IS NULL OR 100 * longest < 50 * a)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+DECONTAMINATION_SQL = rf"""
+WITH item AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, least(10, len(ws)) AS m, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: array_to_string(ws[i : i + 9], ' '))) AS win
+  FROM item WHERE len(ws) > 0),
+doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+spot AS (SELECT r, m, ws, unnest(range(1, len(ws) - m + 2)) AS i FROM doc, (SELECT DISTINCT m FROM win)),
+hit AS (SELECT r, i, m, item FROM (SELECT r, m, i, array_to_string(ws[i : i + m - 1], ' ') AS win FROM spot) JOIN win USING (m, win)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + m)) AS p FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+DIVERGENCE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+o AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+size AS (SELECT lang, sum(n) AS total, CAST(count(*) AS HUGEINT) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+gs AS (SELECT lang, source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT gs.lang, gs.source, term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (gs.total + 2 * v) AS p
+  FROM gs JOIN kept USING (lang) JOIN size USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (p x JOIN p y ON x.lang = y.lang AND x.term = y.term) ON x.lang = a.lang AND x.source = a.source AND y.source = b.source GROUP BY ALL),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value
+  FROM (SELECT p.*, 1 + (1000000000 * (kept.n + 2)) // (size.total + 2 * v) AS q FROM p JOIN kept USING (lang, term) JOIN size USING (lang)) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT 'pair' AS part, * FROM pairs UNION ALL SELECT 'term' AS part, * FROM terms)) WHERE part = 'pair' OR rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op1_topk": TOPK_SQL,
     "op3_url_filters": URL_SQL,
     "op9_quality_rules": QUALITY_SQL,
+    "op11_collocations": COLLOCATION_SQL,
+    "op12_decontamination": DECONTAMINATION_SQL,
+    "op13_divergence": DIVERGENCE_SQL,
 }
