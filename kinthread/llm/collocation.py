@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinthread.llm.common import SALTS, give_back, stored
-from kinthread.llm.wordbytes import byte_table, slices, utf8
+from kinthread.llm.wordbytes import SLICE, byte_table, slices, utf8
 
 LEAST = 10
 TOP = 2000
@@ -79,7 +79,8 @@ class _Chunk:
         self.parts = [np.fromiter(map(self.numbers.__getitem__, carried), dtype=np.uint32, count=len(carried))]
         self.size = 0
 
-    def add(self, part: bytes, last: bool) -> None:
+    def add(self, part: bytes, last: bool) -> int:
+        """Take the words of a part of a text; returns how many numbers they are."""
         found: list[int] = []
         number = self.numbers.__getitem__
         for i, piece in enumerate(part.split(_BREAK)):
@@ -90,11 +91,12 @@ class _Chunk:
             found.append(0)
         self.parts.append(np.array(found, dtype=np.uint32))
         self.size += len(found)
+        return len(found)
 
     def tail(self) -> list[bytes]:
         """The last two words, that the next chunk of a text begins with."""
         words = list(self.numbers)
-        return [words[i] for i in np.concatenate(self.parts[-3:])[-2:].tolist()]
+        return [words[i] for i in np.concatenate(self.parts)[-2:].tolist()]
 
     def row(self, chunk: int, lang: str) -> pa.RecordBatch:
         stream = np.concatenate(self.parts)
@@ -113,81 +115,82 @@ class _Chunk:
         ], schema=_CHUNKS)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunk rows of (lang, text)."""
-    first, made, size = TaskContext.get().partitionId() << 32, 0, 0
-    open_: dict[str, _Chunk] = {}
+def _chunker(most_words: int, part_bytes: int):
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunk rows of (lang, text)."""
+        first, made, size = TaskContext.get().partitionId() << 32, 0, 0
+        held: dict[str, _Chunk] = {}
 
-    def rows():
-        nonlocal made
-        for lang, chunk in open_.items():
-            if chunk.size:
-                yield chunk.row(first + made, lang)
-                made += 1
-        open_.clear()
-        give_back()
+        def rows():
+            nonlocal made
+            for lang, chunk in held.items():
+                if chunk.size:
+                    yield chunk.row(first + made, lang)
+                    made += 1
+            held.clear()
+            give_back()
 
-    give_back()
-    for batch in batches:
-        for lang, text in zip(batch["lang"].to_pylist(), utf8(batch["text"]), strict=True):
-            before: bytes | None = None
-            for part in slices(text.translate(_FOLD)):
-                if before is not None:  # the text goes on
-                    size -= open_[lang].size
-                    open_[lang].add(before, last=False)
-                    size += open_[lang].size
-                    if size >= CHUNK_WORDS:
-                        tail = open_[lang].tail()
+        give_back()
+        for batch in batches:
+            for lang, text in zip(batch["lang"].to_pylist(), utf8(batch["text"]), strict=True):
+                parts = slices(text.translate(_FOLD), part_bytes)
+                part = next(parts)
+                while part is not None:
+                    following = next(parts, None)
+                    if lang not in held:
+                        held[lang] = _Chunk()
+                    size += held[lang].add(part, last=following is None)
+                    if size >= most_words:
+                        tail = held[lang].tail()
                         yield from rows()
-                        open_[lang], size = _Chunk(tail), 0
-                elif lang not in open_:
-                    open_[lang] = _Chunk()
-                before = part
-            size -= open_[lang].size
-            open_[lang].add(before, last=True)
-            size += open_[lang].size
-            if size >= CHUNK_WORDS:
-                yield from rows()
-                size = 0
-    yield from rows()
-
-
-def _chunk_grams(chunks: pa.Table, replies: pa.Table) -> pa.Table:
-    """The sorted keys and counts of one chunk's pairs and triples of frequent words."""
-    out = []
-    local, given = replies["local"].to_numpy().astype(np.int64), replies["id"].to_numpy()
-    for row in chunks.to_pylist():
-        ids = np.sort(given)
-        rank = np.zeros(max([int(local.max(initial=0)), 0]) + 2, dtype=np.uint64)
-        rank[local] = np.searchsorted(ids, given).astype(np.uint64) + 1  # in the order of ids
-        stream = _unpack(row["tokens"])[0]
-        a = np.zeros(len(stream), dtype=np.uint64)
-        inside = stream < len(rank)
-        a[inside] = rank[stream[inside]]
-        ids = np.concatenate([[0], ids]).astype(np.uint32)
-        both = (a[:-1] > 0) & (a[1:] > 0)
-        ending = np.arange(1, len(a)) >= row["carried"]
-        pairs = np.flatnonzero(both & ending)
-        triples = np.flatnonzero(both[:-1] & both[1:] & ending[1:])
-        at = np.uint64(21)
-        packed = np.concatenate([a[pairs] << (at + at) | a[pairs + 1] << at, a[triples] << (at + at) | a[triples + 1] << at | a[triples + 2]])
-        del both, ending, pairs, triples, stream, inside, a
-        packed.sort()
-        begins = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]])) if len(packed) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(begins, len(packed)))
-        packed = packed[begins]
-        mask = np.uint64((1 << 21) - 1)
-        phase = (row["chunk"] * 0x9E3779B1 >> 7) % SAMPLE
-        for low in range(0, len(packed), ROW_KEYS):
-            some = packed[low : low + ROW_KEYS]
-            x, y, z = ids[some >> (at + at)], ids[some >> at & mask], ids[some & mask]
-            seen = np.stack([x[phase::SAMPLE], y[phase::SAMPLE], z[phase::SAMPLE]], axis=1).astype(">u4").tobytes()
-            out.append({
-                "n": len(some), "keys": _pack_keys(x, y, z, counts[low : low + ROW_KEYS]),
-                "sample": [seen[i : i + 12] for i in range(0, len(seen), 12)],
-            })
-    give_back()
-    return pa.Table.from_pylist(out, _GRAMS)
+                        size = 0
+                        if following is not None:  # the text goes on
+                            held[lang] = _Chunk(tail)
+                    part = following
+        yield from rows()
+
+    return chunks
+
+
+def _grams_of(row_keys: int, sample: int):
+    def chunk_grams(chunks: pa.Table, replies: pa.Table) -> pa.Table:
+        """The sorted keys and counts of one chunk's pairs and triples of frequent words."""
+        out = []
+        local, given = replies["local"].to_numpy().astype(np.int64), replies["id"].to_numpy()
+        for row in chunks.to_pylist():
+            ids = np.sort(given)
+            rank = np.zeros(int(local.max(initial=0)) + 2, dtype=np.uint64)
+            rank[local] = np.searchsorted(ids, given).astype(np.uint64) + 1  # in the order of ids
+            stream = _unpack(row["tokens"])[0]
+            a = np.zeros(len(stream), dtype=np.uint64)
+            inside = stream < len(rank)
+            a[inside] = rank[stream[inside]]
+            ids = np.concatenate([[0], ids]).astype(np.uint32)
+            both = (a[:-1] > 0) & (a[1:] > 0)
+            ending = np.arange(1, len(a)) >= row["carried"]
+            pairs = np.flatnonzero(both & ending)
+            triples = np.flatnonzero(both[:-1] & both[1:] & ending[1:])
+            at = np.uint64(21)
+            packed = np.concatenate([a[pairs] << (at + at) | a[pairs + 1] << at, a[triples] << (at + at) | a[triples + 1] << at | a[triples + 2]])
+            del both, ending, pairs, triples, stream, inside, a
+            packed.sort()
+            begins = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]])) if len(packed) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(begins, len(packed)))
+            packed = packed[begins]
+            mask = np.uint64((1 << 21) - 1)
+            phase = (row["chunk"] * 0x9E3779B1 >> 7) % sample
+            for low in range(0, len(packed), row_keys):
+                some = packed[low : low + row_keys]
+                x, y, z = ids[some >> (at + at)], ids[some >> at & mask], ids[some & mask]
+                seen = np.stack([x[phase::sample], y[phase::sample], z[phase::sample]], axis=1).astype(">u4").tobytes()
+                out.append({
+                    "n": len(some), "keys": _pack_keys(x, y, z, counts[low : low + row_keys]),
+                    "sample": [seen[i : i + 12] for i in range(0, len(seen), 12)],
+                })
+        give_back()
+        return pa.Table.from_pylist(out, _GRAMS)
+
+    return chunk_grams
 
 
 def _bounds(samples: list[bytes], ranges: int) -> np.ndarray:
@@ -256,7 +259,7 @@ def _frequent(least: int):
 def word_chunks(docs: DataFrame) -> DataFrame:
     """Chunks (chunk, lang, carried, tokens, words, counts) of ``docs``, stored."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return stored(texts.mapInArrow(_chunks, "chunk long, lang string, carried int, tokens binary, words array<string>, counts array<long>"), "word-chunks")
+    return stored(texts.mapInArrow(_chunker(CHUNK_WORDS, SLICE), "chunk long, lang string, carried int, tokens binary, words array<string>, counts array<long>"), "word-chunks")
 
 
 def _with_dense_ids(words: DataFrame) -> DataFrame:
@@ -284,7 +287,7 @@ def phrases(chunks: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame
     replies = listed.select("chunk", "lang", "local", "word").join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("chunk").alias("of"), "local", "id")
     grams = stored(
         chunks.select("chunk", "carried", "tokens").groupBy("chunk").cogroup(replies.groupBy("of"))
-        .applyInArrow(_chunk_grams, "n long, keys binary, sample array<binary>"), "grams",
+        .applyInArrow(_grams_of(ROW_KEYS, SAMPLE), "n long, keys binary, sample array<binary>"), "grams",
     )
     total, samples = grams.agg(F.sum("n"), F.sum(F.size("sample"))).first()
     ranges, stride = -(-(total or 0) // RANGE_KEYS), max(1, -(-(samples or 0) // MOST_SAMPLES))

@@ -32,68 +32,74 @@ _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa
 _CELLS = pa.schema([(c, pa.int64()) for c in ("g1", "g2", "c1", "c2", "m")])
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, source, term, n, docs) of runs of (lang, source, text)."""
-    counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-    def rows():
-        for (lang, source), (n, docs) in counts.items():
-            terms = sorted(n)  # neighbours are alike, which packs well
-            for low in range(0, len(terms), 10_000):
-                some = terms[low : low + 10_000]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array(some, pa.binary()).cast(pa.string()),
-                    pa.array([n[t] for t in some], pa.int64()), pa.array([docs[t] for t in some], pa.int64()),
-                ], schema=_COUNTS)
-
-    for batch in batches:
-        for lang, source, text in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), utf8(batch["text"]), strict=True):
-            n, docs = counts.setdefault((lang, source), (Counter(), Counter()))
-            seen: set[bytes] = set()
-            for part in slices(text.translate(_FOLD)):
-                terms = part.split()
-                n.update(terms)
-                seen.update(terms)
-            docs.update(seen)
-        if sum(len(n) for n, _ in counts.values()) > ENTRIES:
-            yield from rows()
-            counts = {}
-    yield from rows()
-
-
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells (g1, g2, c1, c2, m), g1 < g2, of rows (gs, ns, other_gs, other_ns): counts of one term.
-
-    Without others, all pairs of a row's own counts; else each with each other.
-    """
-    for batch in batches:
-        g, n, begins, ends = _lists(batch["gs"], batch["ns"])
-        own = batch["other_gs"].is_null().to_numpy(zero_copy_only=False)
-        og, on, obegins, oends = _lists(batch["other_gs"], batch["other_ns"])
-        row = np.repeat(np.arange(len(begins)), ends - begins)
-        # the partners of element e of a row: those behind it, or all others
-        left = np.arange(len(g))
-        first = np.where(own[row], left + 1, obegins[row] + len(g))
-        many = np.where(own[row], ends[row] - left - 1, oends[row] - obegins[row])
-        g, n = np.concatenate([g, og]), np.concatenate([n, on])
-        upto = np.concatenate([[0], np.cumsum(many)])
-        low = 0
-        while low < len(left):
-            high = max(low + 1, int(np.searchsorted(upto, upto[low] + PAIRS, "right")) - 1)
-            times = many[low:high]
-            a = np.repeat(left[low:high], times)
-            b = np.arange(len(a)) - np.repeat(upto[low:high] - upto[low], times) + np.repeat(first[low:high], times)
-            low = high
-            if not len(a):
-                continue
-            turn = g[a] > g[b]
-            a, b = np.where(turn, b, a), np.where(turn, a, b)
-            columns = [g[a], g[b], n[a], n[b]]
-            order = np.lexsort(columns[::-1])
-            columns = [c[order] for c in columns]
-            new = np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
-            at = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in columns] + [pa.array(np.diff(np.append(at, len(a))))], schema=_CELLS)
+def _term_counter(entries: int):
+    def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (lang, source, term, n, docs) of runs of (lang, source, text)."""
+        counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def rows():
+            for (lang, source), (n, docs) in counts.items():
+                terms = sorted(n)  # neighbours are alike, which packs well
+                for low in range(0, len(terms), 10_000):
+                    some = terms[low : low + 10_000]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array(some, pa.binary()).cast(pa.string()),
+                        pa.array([n[t] for t in some], pa.int64()), pa.array([docs[t] for t in some], pa.int64()),
+                    ], schema=_COUNTS)
+
+        for batch in batches:
+            for lang, source, text in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), utf8(batch["text"]), strict=True):
+                n, docs = counts.setdefault((lang, source), (Counter(), Counter()))
+                seen: set[bytes] = set()
+                for part in slices(text.translate(_FOLD)):
+                    terms = part.split()
+                    n.update(terms)
+                    seen.update(terms)
+                docs.update(seen)
+            if sum(len(n) for n, _ in counts.values()) > entries:
+                yield from rows()
+                counts = {}
+        yield from rows()
+
+    return count_terms
+
+
+def _tallier(most_pairs: int):
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells (g1, g2, c1, c2, m), g1 < g2, of rows (gs, ns, other_gs, other_ns): counts of one term.
+
+        Without others, all pairs of a row's own counts; else each with each other.
+        """
+        for batch in batches:
+            g, n, begins, ends = _lists(batch["gs"], batch["ns"])
+            own = batch["other_gs"].is_null().to_numpy(zero_copy_only=False)
+            og, on, obegins, oends = _lists(batch["other_gs"], batch["other_ns"])
+            row = np.repeat(np.arange(len(begins)), ends - begins)
+            # the partners of element e of a row: those behind it, or all others
+            left = np.arange(len(g))
+            first = np.where(own[row], left + 1, obegins[row] + len(g))
+            many = np.where(own[row], ends[row] - left - 1, oends[row] - obegins[row])
+            g, n = np.concatenate([g, og]), np.concatenate([n, on])
+            upto = np.concatenate([[0], np.cumsum(many)])
+            low = 0
+            while low < len(left):
+                high = max(low + 1, int(np.searchsorted(upto, upto[low] + most_pairs, "right")) - 1)
+                times = many[low:high]
+                a = np.repeat(left[low:high], times)
+                b = np.arange(len(a)) - np.repeat(upto[low:high] - upto[low], times) + np.repeat(first[low:high], times)
+                low = high
+                if not len(a):
+                    continue
+                turn = g[a] > g[b]
+                a, b = np.where(turn, b, a), np.where(turn, a, b)
+                columns = [g[a], g[b], n[a], n[b]]
+                order = np.lexsort(columns[::-1])
+                columns = [c[order] for c in columns]
+                new = np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+                at = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in columns] + [pa.array(np.diff(np.append(at, len(a))))], schema=_CELLS)
+
+    return tally
 
 
 def _lists(gs: pa.Array, ns: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +155,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = TOP_TE
 
     one_term = Window.partitionBy("lang", "term")
     counted = (
-        texts.mapInArrow(_count_terms, "lang string, source string, term string, n long, docs long")
+        texts.mapInArrow(_term_counter(ENTRIES), "lang string, source string, term string, n long, docs long")
         .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
         # at most a row for each source of the language
         .select("lang", "source", "term", "n", F.sum("n").over(one_term).alias("all_n"), F.sum("docs").over(one_term).alias("docs"))
@@ -179,7 +185,7 @@ def _pairs(known: DataFrame, counts: DataFrame, tiles: int) -> DataFrame:
             rows.join(other, ["lang", "term"]).where("tile < other_tile").select(*met.columns)
         )
     joint = stored(
-        met.mapInArrow(_tally, "g1 long, g2 long, c1 long, c2 long, m long").groupBy("g1", "g2", "c1", "c2").agg(F.sum("m").alias("m")), "joint",
+        met.mapInArrow(_tallier(PAIRS), "g1 long, g2 long, c1 long, c2 long, m long").groupBy("g1", "g2", "c1", "c2").agg(F.sum("m").alias("m")), "joint",
     )
     alone = counts.groupBy("g", "n").agg(F.count(F.lit(1)).alias("m"))
     zero = F.lit(0).cast("long")
