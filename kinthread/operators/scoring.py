@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +13,7 @@ from pyspark.sql import functions as F
 from kinthread.config import DistanceMetricConfig, RecordScorerConfig
 from kinthread.functions.scorers import interesting, score
 from kinthread.functions.similarity import similarities, similarity_table
-from kinthread.functions.words import grapheme_array, join_graphemes
-from kinthread.runtime import stored
+from kinthread.operators.candidates import SAMPLE, candidates, memory_name
 from kinthread.schema import ElementType, RecordSchema
 
 #: Pairs up to which every tracker meets every record; beyond, pairs are blocked
@@ -27,10 +25,6 @@ BROADCAST_RECORDS = 200_000
 PAIRS = 8192
 
 
-def memory_name(i: int) -> str:
-    return f"m{i}"
-
-
 def pair_similarities(pairs: DataFrame, schema: RecordSchema, metric: DistanceMetricConfig) -> DataFrame:
     """(tracker_id, record_idx, distances array<float>) of pairs with memories m0.. and the record's features.
 
@@ -117,119 +111,6 @@ def _feature(memory: pa.Array, cells: pa.Array, multi: bool, metric: DistanceMet
     return _best_of(total[kept], counts, 0.0), counts > 0
 
 
-def least_similarity(scorer: RecordScorerConfig, threshold: float) -> float:
-    """Some feature is more similar than this in every pair whose score is over ``threshold``.
-
-    Scores are means, with divisors never below the weights present.
-    """
-    return max(threshold, 0.0) ** 0.5 if scorer.record_scorer == "weighted-quadratic" else threshold
-
-
-def edit_ratio(metric: DistanceMetricConfig, least: float) -> float | None:
-    """Words more similar than ``least`` have fewer edits than this share of the longer's bytes; None where no share below 1 is proven.
-
-    ``lv_opti`` never has fewer edits than ``lv``; ``lv_edit`` weighs an edit by
-    its smallest weight at least; the sigmoid is monotone, so its bound is that
-    of the similarity that it maps there.
-    """
-    if metric.use_sigmoid:
-        if not 0 < least < 1:
-            return None
-        least = (math.log(least / (1 - least)) + 4) / 8
-    ratio = 1 - least
-    if metric.metric == "lv_edit":
-        smallest = min(metric.lv_edit_weights)
-        ratio = ratio / smallest if smallest > 0 else 1.0
-    elif metric.metric not in ("lv", "lv_opti"):
-        return None
-    return ratio if 0 < ratio < 1 else None
-
-
-def described(words: DataFrame, v: str, ratio: float) -> DataFrame:
-    """(v, g, b, n, k): a word's graphemes, bytes, number of graphemes, and the edits that a pair of so many bytes may have."""
-    g = F.when(F.octet_length(v) == F.length(v), F.filter(F.split(v, ""), lambda c: c != "")).otherwise(grapheme_array(F.col(v)))
-    return words.select(
-        v, g.alias("g"), F.octet_length(v).alias("b"), F.size(g).alias("n"), F.floor(F.octet_length(v) * ratio + 1e-6).cast("int").alias("k")
-    )
-
-
-def segments(words: DataFrame, v: str) -> DataFrame:
-    """(v, b, n, i, segment): a word's graphemes cut into k + 1 even segments; words of fewer graphemes are left out."""
-    parts, i = F.col("k") + 1, F.col("i")
-    base, first_long = F.floor(F.col("n") / parts).cast("int"), parts - F.col("n") % parts
-    begin = i * base + F.greatest(i - first_long, F.lit(0))
-    size = base + F.when(i >= first_long, 1).otherwise(0)
-    each = words.where("n > k").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    return each.select(v, "b", "n", "i", join_graphemes(F.slice("g", begin + 1, size)).alias("segment"))
-
-
-def substrings(words: DataFrame, v: str, shapes: DataFrame, strict: bool) -> DataFrame:
-    """(v, b, n, i, segment): what of a word may be a segment of a word of each shape (b, n, k) that has at least its bytes.
-
-    If two words are at most k edits apart, some segment of the one stands in
-    the other, moved by no more than the edits left and right of it allow.
-    """
-    fits = (F.col("s.b") > F.col("w.b")) if strict else (F.col("s.b") >= F.col("w.b"))
-    pairs = words.alias("w").join(shapes.alias("s"), fits & (F.abs(F.col("s.n") - F.col("w.n")) <= F.col("s.k")))
-    pairs = pairs.select(
-        F.col(f"w.{v}").alias(v), "w.g", F.col("w.n").alias("own"), "s.b", "s.n", "s.k", F.explode(F.sequence(F.lit(0), F.col("s.k"))).alias("i"),
-    )
-    parts, i, k = F.col("k") + 1, F.col("i"), F.col("k")
-    base, first_long = F.floor(F.col("n") / parts).cast("int"), parts - F.col("n") % parts
-    begin = i * base + F.greatest(i - first_long, F.lit(0))
-    size = base + F.when(i >= first_long, 1).otherwise(0)
-    more = F.col("own") - F.col("n")
-    low = F.greatest(F.lit(0), begin - i, begin + more - (k - i))
-    high = F.least(F.col("own") - size, begin + i, begin + more + (k - i))
-    found = F.when(low <= high, F.transform(F.sequence(low, high), lambda at: join_graphemes(F.slice("g", at + 1, size))))
-    return pairs.select(v, "b", "n", "i", F.explode(F.array_distinct(found)).alias("segment"))
-
-
-def near_words(words1: DataFrame, words2: DataFrame, ratio: float) -> DataFrame:
-    """(v1, v2): every pair of words with fewer edits than ``ratio`` times the longer's bytes, and some more.
-
-    The word of more bytes allows k edits and is cut into k + 1 segments; the
-    other one has one of them, or both are far. Words meet on (shape, number of
-    the segment, segment). Words of more bytes than graphemes may have fewer
-    graphemes than segments: those meet every word of no more bytes, which then
-    are as similar. ASCII words are held against their edit distance at once.
-    """
-    one, two = (stored(described(w, v, ratio), "words") for w, v in ((words1, "v1"), (words2, "v2")))
-    keys = ["b", "n", "i", "segment"]
-
-    def shapes(words: DataFrame) -> DataFrame:
-        """A row a length of words."""
-        return words.where("n > k").select("b", "n", "k").distinct()
-
-    ascii_pair = (F.octet_length("v1") == F.length("v1")) & (F.octet_length("v2") == F.length("v2"))
-    size = F.greatest(F.octet_length("v1"), F.octet_length("v2"))
-    near = ~ascii_pair | (F.levenshtein("v1", "v2") < size * ratio + 1e-5)
-    found = (
-        segments(one, "v1").join(substrings(two, "v2", shapes(one), False), keys).select("v1", "v2")
-        .union(segments(two, "v2").join(substrings(one, "v1", shapes(two), True), keys).select("v1", "v2"))
-    )
-    wide1, wide2 = one.where("n <= k and b > 0"), two.where("n <= k and b > 0")
-    if not wide1.isEmpty() or not wide2.isEmpty():
-        x, y = wide1.select("v1", F.col("b").alias("b1")), two.select("v2", F.col("b").alias("b2"))
-        found = found.union(x.join(y, F.col("b2") <= F.col("b1")).select("v1", "v2"))
-        x, y = one.select("v1", F.col("b").alias("b1")), wide2.select("v2", F.col("b").alias("b2"))
-        found = found.union(x.join(y, F.col("b1") < F.col("b2")).select("v1", "v2"))
-    return found.where(near).distinct()
-
-
-def blocked_pairs(trackers: DataFrame, records: DataFrame, schema: RecordSchema, ratio: float) -> DataFrame:
-    """(tracker_id, record_idx) of all pairs with words of a feature of fewer edits than ``ratio`` times the longer's bytes."""
-    found = None
-    for i, field in enumerate(schema.fields):
-        cell = F.explode(field.name) if field.dtype is ElementType.MultiStrings else F.col(field.name)
-        left = trackers.select("tracker_id", F.explode(F.flatten(memory_name(i))).alias("v1")).distinct()
-        right = records.select("record_idx", cell.alias("v2")).where("v2 is not null").distinct()
-        near = near_words(left.select("v1").distinct(), right.select("v2").distinct(), ratio)
-        part = left.join(near, "v1").join(right, "v2").select("tracker_id", "record_idx")
-        found = part if found is None else found.union(part)
-    return found.distinct()
-
-
 class RecordSide:
     """A frame's records for numpy: per feature its distinct words and which of them a record has."""
 
@@ -293,6 +174,19 @@ def _may_score(scorer: RecordScorerConfig, sims: list[np.ndarray], present: list
         return top / under > threshold - 1e-4
 
 
+def lacking(
+    trackers: DataFrame, records: DataFrame, schema: RecordSchema, metric: DistanceMetricConfig, scorer: RecordScorerConfig,
+) -> list[np.ndarray]:
+    """What each feature lacks in the pairs of SAMPLE trackers and records, picked by hash; absent ones lack 2."""
+    names = schema.names
+    left = trackers.orderBy(F.xxhash64("tracker_id"), "tracker_id").limit(SAMPLE).select(*(memory_name(i) for i in range(len(names)))).collect()
+    right = records.orderBy(F.xxhash64("record_idx"), "record_idx").limit(SAMPLE).select(*names).collect()
+    side = RecordSide([[r[n] for r in right] for n in names], [f.dtype is ElementType.MultiStrings for f in schema.fields])
+    power = 2 if scorer.record_scorer == "weighted-quadratic" else 1
+    found = [side.similarity(i, [r[memory_name(i)] for r in left], metric) for i in range(len(names))]
+    return [np.where(present, 1 - values.astype(np.float64) ** power, 2.0) for values, present in found]
+
+
 def nested_loop(
     trackers: DataFrame, records: DataFrame, schema: RecordSchema, metric: DistanceMetricConfig, scorer: RecordScorerConfig, threshold: float,
 ) -> DataFrame:
@@ -300,7 +194,7 @@ def nested_loop(
 
     ``records``, few enough (counted before), go to every task; a batch of
     trackers computes its distinct words against the frame's once and gives out
-    only the pairs that count.
+    only the pairs that count. For more records see ``score_pairs``.
     """
     names = schema.names
     rows = records.select("record_idx", *names).orderBy("record_idx").collect()
@@ -338,21 +232,23 @@ def score_pairs(
 ) -> DataFrame:
     """(tracker_id, record_idx, score, distances) of all pairs that score over ``threshold``.
 
-    Few pairs, or a metric without a bound: all trackers meet all records. Many,
-    and a metric that plain edit distance bounds (see edit_ratio) at the
-    threshold: blocked. (A list's similarity is a mean of its words', so one of
-    them is as similar.)
+    Few pairs: all trackers meet all records. Many: the candidates that the
+    threshold leaves (see ``candidates``). Where it leaves all, as one of 0
+    does, all trackers meet the records in blocks of BROADCAST_RECORDS.
     """
     n, m = trackers.count(), records.count()
-    least = least_similarity(scorer, threshold)
-    ratio = edit_ratio(metric, least)
-    if n * m > all_pairs and ratio is not None:
-        keys = blocked_pairs(trackers, records, schema, ratio)
-        found = pair_similarities(keys.join(trackers, "tracker_id").join(records, "record_idx"), schema, metric)
-    elif m <= BROADCAST_RECORDS:
-        found = nested_loop(trackers, records, schema, metric, scorer, threshold)
+    pairs = None
+    if n * m > all_pairs:
+        pairs = candidates(trackers, records, schema, metric, scorer, threshold, lacking(trackers, records, schema, metric, scorer))
+    if pairs is not None:
+        found = pair_similarities(pairs, schema, metric)
     else:
-        found = pair_similarities(trackers.crossJoin(records), schema, metric)
+        blocks = max(1, -(-m // BROADCAST_RECORDS))
+        part = F.pmod(F.xxhash64("record_idx"), F.lit(blocks))
+        found = None
+        for i in range(blocks):
+            some = nested_loop(trackers, records.where(part == i), schema, metric, scorer, threshold)
+            found = some if found is None else found.union(some)
     by_feature = [F.get("distances", i) for i in range(len(schema.fields))]
     return (
         found.withColumn("score", score(scorer, by_feature)).where(interesting(F.col("score"), threshold))

@@ -194,13 +194,28 @@ def _dense(kind: str, over: str, other: str) -> str:
 
 #: Words of one code over the frames, at most, in the tables that the SQL is for.
 MOST_WORDS = 16
-ORACLES |= {
-    "sim_lv_multiword": f"""WITH RECURSIVE words AS (SELECT DISTINCT p_name FROM part), whole AS (SELECT a.p_name AS w1, b.p_name AS w2 FROM words a, words b),
-cut AS (SELECT w1, w2, list_filter(string_split(w1, ' '), lambda x: x <> '') AS a, list_filter(string_split(w2, ' '), lambda x: x <> '') AS b FROM whole),
+
+
+def _blocked(ctes: str, edits: str, threshold: float = 0.6037) -> str:
+    """Scores of all pairs of the first two frames by a similarity of ``edits``, from ``pairs`` (w1, w2) of their words."""
+    words = " UNION ".join(f"SELECT x.{n} AS w1, y.{n} AS w2 FROM x, y WHERE x.{n} IS NOT NULL AND y.{n} IS NOT NULL" for n in ("name", "origin", "code"))
+    joins = " ".join(f"LEFT JOIN sims {n}_sim ON {n}_sim.w1 = x.{n} AND {n}_sim.w2 = y.{n}" for n in ("name", "origin", "code"))
+    total = " + ".join(f"coalesce({n}_sim.sim, 0)" for n in ("name", "origin", "code"))
+    return f"""WITH RECURSIVE {FRAMES}, x AS (SELECT * FROM frames WHERE frame_idx = 0), y AS (SELECT * FROM frames WHERE frame_idx = 1),
+whole AS MATERIALIZED ({words}), {ctes}, sims AS MATERIALIZED (SELECT w1, w2, CAST(CAST(1 AS FLOAT) - CAST({edits} AS FLOAT) / size AS FLOAT) AS sim FROM done),
+s AS (SELECT x.record_idx AS tracker_id, y.record_idx AS record_idx, CAST(({total}) / 3.0 AS DOUBLE) AS score FROM x CROSS JOIN y {joins})
+SELECT tracker_id, record_idx, round(score, 5) AS score FROM s WHERE score > {threshold}"""
+
+
+_BY_PARTS = f"""cut AS (SELECT w1, w2, list_filter(string_split(w1, ' '), lambda x: x <> '') AS a, list_filter(string_split(w2, ' '), lambda x: x <> '') AS b FROM whole),
 part_pairs AS (SELECT w1 AS p1, w2 AS p2, unnest(a) AS w1, unnest(b) AS w2 FROM cut WHERE len(a) = len(b) AND len(a) > 1),
 pairs AS (SELECT w1, w2 FROM whole UNION SELECT w1, w2 FROM part_pairs), {_TRIANGLE},
 each AS (SELECT p1, p2, CAST(sum(e) AS FLOAT) AS total, CAST(1 AS FLOAT) - CAST(count(*) FILTER (e = 0) AS FLOAT) / CAST(count(*) AS FLOAT) AS share FROM part_pairs p JOIN edits USING (w1, w2) GROUP BY p1, p2),
-done AS (SELECT w.w1, w.w2, CASE WHEN p1 IS NULL THEN CAST(e AS FLOAT) ELSE CAST(trunc(total * share) AS FLOAT) END AS e, size FROM whole w JOIN edits USING (w1, w2) LEFT JOIN each ON p1 = w.w1 AND p2 = w.w2)
+done AS (SELECT w.w1, w.w2, CASE WHEN p1 IS NULL THEN CAST(e AS FLOAT) ELSE CAST(trunc(total * share) AS FLOAT) END AS e, size FROM whole w JOIN edits USING (w1, w2) LEFT JOIN each ON p1 = w.w1 AND p2 = w.w2)"""
+ORACLES |= {
+    "blocked_substring": _blocked(f"pairs AS (SELECT * FROM whole), {_TRIANGLE}, done AS (SELECT * FROM edits)", "greatest(e - 0.6 * longest, 0)"),
+    "blocked_multiword": _blocked(_BY_PARTS, "e"),
+    "sim_lv_multiword": f"""WITH RECURSIVE words AS (SELECT DISTINCT p_name FROM part), whole AS (SELECT a.p_name AS w1, b.p_name AS w2 FROM words a, words b), {_BY_PARTS}
 SELECT w1, w2, round(CAST(CAST(1 AS FLOAT) - e / size AS DOUBLE), 5) AS similarity FROM done""",
     "memory_median": _MEDIANS + " SELECT g AS code, median AS memory FROM m_median",
     "median_words": _MEDIANS + " SELECT g AS code, median FROM m_median",

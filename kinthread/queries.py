@@ -545,6 +545,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "multi_similarity": multi_similarity, "score_average": _scored(RecordScorerConfig()),
     "score_weighted": _scored(WEIGHTED), "score_quadratic": _scored(QUADRATIC), "interest_filter": interest_filter,
     "blocked_scores": _blocked(0.4137), "blocked_scores_060": _blocked(0.6037), "blocked_scores_079": _blocked(0.7937),
+    "blocked_substring": _blocked(0.6037, DistanceMetricConfig("lv_substring", lv_substring_weight=0.6)),
+    "blocked_multiword": _blocked(0.6037, DistanceMetricConfig("lv_multiword", lv_multiword_separator=" ")),
     "rank_records": rank_records, "rank_trackers": rank_trackers,
     "resolve_simple": resolve_simple, "resolve_best_match": resolve_best_match, "resolve_mutual_best": resolve_mutual_best,
     "new_trackers": new_trackers, "unmatched_trackers": unmatched_trackers, "dead_trackers": dead_trackers,

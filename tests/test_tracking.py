@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import kinthread as K
 from kinthread import queries as Q
 from kinthread.functions import memories, scorers, similarity
+from kinthread.operators import candidates
 from kinthread.operators import evaluation as E
 from kinthread.operators import frames as R
 from kinthread.operators import graph as G
@@ -108,13 +109,117 @@ def test_blocking_loses_no_pair(spark, least):
     every = [(a, b) for a in words for b in words]
     found_at = {}
     for metric in METRICS.values():
-        ratio = scoring.edit_ratio(metric, least)
+        ratio = candidates.edit_ratio(metric, least)
         if ratio not in found_at:
-            found_at[ratio] = {(r.v1, r.v2) for r in scoring.near_words(df, df.withColumnRenamed("v1", "v2"), ratio).collect()}
+            found_at[ratio] = {(r.v1, r.v2) for r in candidates.near_words(df, df.withColumnRenamed("v1", "v2"), ratio).collect()}
         found = found_at[ratio]
         values = similarity.similarities(metric, [a for a, _ in every], [b for _, b in every])
         assert {p for p, v in zip(every, values.tolist(), strict=True) if v > least} <= found
-    assert scoring.edit_ratio(METRICS["lv"], 0.6) == pytest.approx(0.4) and scoring.edit_ratio(K.DistanceMetricConfig("lv_substring", lv_substring_weight=0.6), 0.6) is None
+    assert candidates.edit_ratio(METRICS["lv"], 0.6) == pytest.approx(0.4)
+    bounds = [candidates.bounded(m, least) for m in (*METRICS.values(), *LIST_METRICS.values())]
+    assert all(bounds) or least < 0.5
+
+
+LIST_METRICS = {
+    "lv_substring": K.DistanceMetricConfig("lv_substring", lv_substring_weight=0.6),
+    "no runs": K.DistanceMetricConfig("lv_substring", lv_substring_weight=0.0, use_sigmoid=True),
+    "lv_multiword": K.DistanceMetricConfig("lv_multiword", lv_multiword_separator=" "),
+}
+
+
+@pytest.mark.parametrize("least", [0.4, 0.8])
+def test_runs_and_parts_lose_no_pair(spark, least):
+    """Words with long common runs, lists with equal parts in place, doubled separators, graphemes of several code points."""
+    rng = random.Random(7)
+    words = ["", " ", "a", "ab", "a b", "a  b", " a b", "a b ", "b a", "abcdefgh", "zzabcdefzz", "xabcdey", "école e\u0301t", "e\u0301t", "👩‍👩‍👧 x", "👩‍👩‍👧 xy", "漢字 仮名", "漢字 名"]
+    names = ["jean", "jeanne", "anna", "ana", "marc", "du", "de", "e\u0301lie", "x"]
+    for _ in range(60):
+        words.append(rng.choice([" ", " ", "  "]).join(rng.choice(names) + rng.choice(["", "", "s"]) for _ in range(rng.randint(1, 4))))
+        words.append("".join(rng.choices("abc", k=rng.randint(0, 5))) + "longrun" * rng.randint(0, 1) + "".join(rng.choices("abc ", k=rng.randint(0, 6))))
+    words = list(dict.fromkeys(words))
+    df = spark.createDataFrame([(w,) for w in words], "v1 string")
+    every = [(a, b) for a in words for b in words]
+    for name, metric in LIST_METRICS.items():
+        if not candidates.bounded(metric, least):
+            continue
+        found = {(r.v1, r.v2) for r in candidates.similar_words(df, df.withColumnRenamed("v1", "v2"), metric, least).collect()}
+        values = similarity.similarities(metric, [a for a, _ in every], [b for _, b in every])
+        assert {p for p, v in zip(every, values.tolist(), strict=True) if v > least} <= found, name
+
+
+SCORERS = {
+    "average": K.RecordScorerConfig(),
+    "weighted": K.RecordScorerConfig("weighted-average", weights=(3.0, 0.5, 2.0, 1.0), min_weight_ratio=0.4),
+    "quadratic": K.RecordScorerConfig("weighted-quadratic", weights=(1.0, 1.0, 2.0, 0.0), min_weight_ratio=0.0),
+}
+
+
+def sparse_sides(spark, seed=11, n=60):
+    """(trackers, records, schema): four features, one of few values, one a list; cells and memories are often absent."""
+    rng = random.Random(seed)
+    schema = K.RecordSchema([FIELD("name", TYPE.String), FIELD("place", TYPE.String), FIELD("code", TYPE.String), FIELD("kids", TYPE.MultiStrings)])
+    people = [("".join(rng.choices("abehilno", k=8)), rng.choice(["north", "south"]), str(rng.randint(10**5, 10**6)), ["".join(rng.choices("xyz", k=5)) for _ in range(2)]) for _ in range(n)]
+
+    def noisy(word):
+        at = rng.randrange(len(word))
+        return word[:at] + rng.choice(["", "a", "é"]) + word[at + 1 :] if rng.random() < 0.6 else word
+
+    def absent(value):
+        return None if rng.random() < 0.25 else value
+
+    records = [(i, absent(noisy(a)), absent(b), absent(noisy(c)), absent([noisy(k) for k in d])) for i, (a, b, c, d) in enumerate(people)]
+    memories_ = []
+    for i, (a, b, c, d) in enumerate(people):
+        cells = [absent([[noisy(a)], [noisy(a)]]), absent([[b]]), absent([[noisy(c)]]), absent([[noisy(k) for k in d]])]
+        memories_.append((i, *(rng.choice([None, []]) if m is None else m for m in cells)))
+    return (
+        spark.createDataFrame(memories_, "tracker_id long, " + ", ".join(f"m{i} {memories.CELLS}" for i in range(4))),
+        spark.createDataFrame(records, "record_idx long, name string, place string, code string, kids array<string>"), schema,
+    )
+
+
+@pytest.mark.parametrize(("name", "threshold", "metrics"), [("average", 0.6, ["lv", "lv_multiword"]), ("weighted", 0.7, ["lv"]), ("quadratic", 0.5, ["lv_edit"])])
+def test_threshold_sums_lose_no_pair(spark, name, threshold, metrics):
+    trackers, records, schema = sparse_sides(spark)
+    for metric in ((METRICS | LIST_METRICS)[m] for m in metrics):
+        want, got = (
+            {(r.tracker_id, r.record_idx): (r.score, r.distances) for r in scoring.score_pairs(trackers, records, schema, metric, SCORERS[name], threshold, all_pairs=n).collect()}
+            for n in (10**9, 0)
+        )
+        assert want == got and len(want) >= 20
+
+
+def test_budget_goes_to_features_that_let_few_pairs_through(spark):
+    trackers, records, schema = sparse_sides(spark, n=200)
+    lacks = scoring.lacking(trackers, records, schema, METRICS["lv"], SCORERS["average"])
+    shares = candidates.Budget(SCORERS["average"], 4, 0.6).shares(lacks, METRICS["lv"])
+    assert shares[1] == 0 and sum(shares) == pytest.approx(0.4 * 4)
+    assert candidates.Budget(SCORERS["average"], 4, 0.0).shares(lacks, METRICS["lv"]) is None
+
+
+def test_candidates_of_the_frames_are_few(spark):
+    """Under a twentieth of all pairs at the default threshold, before and after the whole budget is looked at."""
+    records = Q.frames_table(spark, "/root/testdata/sf0.1").drop("members")
+    trackers, frame = Q._first_memories(records, Q.STRINGS), Q._frame(records, 1)
+    scorer, lv = K.RecordScorerConfig(), METRICS["lv"]
+    every = trackers.count() * frame.count()
+    lacks = scoring.lacking(trackers, frame, Q.STRINGS, lv, scorer)
+    for threshold, most, kept in ((0.6, 0.05, 0.005), (0.7937, 0.01, 0.001)):
+        budget = candidates.Budget(scorer, 3, threshold)
+        shares = budget.shares(lacks, lv)
+        met = candidates._reached(trackers, frame, Q.STRINGS, lv, [budget.least(s) if s else None for s in shares]).distinct().count()
+        left = candidates.candidates(trackers, frame, Q.STRINGS, lv, scorer, threshold, lacks).count()
+        print(f"threshold {threshold}: shares {shares}, met {met / every:.4f}, kept {left / every:.5f} of all pairs")
+        assert met < 2 * most * every and left < kept * every
+
+
+def test_many_records_meet_in_blocks(spark, monkeypatch):
+    trackers, records, schema = sparse_sides(spark)
+    want, got = None, None
+    for most in (10**6, 13):
+        monkeypatch.setattr(scoring, "BROADCAST_RECORDS", most)
+        want, got = got, {(r.tracker_id, r.record_idx, r.score) for r in scoring.score_pairs(trackers, records, schema, METRICS["lv"], SCORERS["average"], -1.0).collect()}
+    assert want == got and len(got) == trackers.count() * records.count()
 
 
 def test_blocked_candidates_are_few(spark):
@@ -123,10 +228,10 @@ def test_blocked_candidates_are_few(spark):
     words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(6, 12))) for _ in range(3000)]
     df = spark.createDataFrame([(w,) for w in words], "v1 string")
     for ratio, most in ((0.4, 0.05), (0.21, 0.002)):
-        one, two = scoring.described(df, "v1", ratio), scoring.described(df.withColumnRenamed("v1", "v2"), "v2", ratio)
+        one, two = candidates.described(df, "v1", ratio), candidates.described(df.withColumnRenamed("v1", "v2"), "v2", ratio)
         shapes = one.select("b", "n", "k").distinct()
-        met = scoring.segments(one, "v1").join(scoring.substrings(two, "v2", shapes, False), ["b", "n", "i", "segment"])
-        met = met.union(scoring.segments(two, "v2").join(scoring.substrings(one, "v1", two.select("b", "n", "k").distinct(), True), ["b", "n", "i", "segment"]).select(*met.columns))
+        met = candidates.segments(one, "v1").join(candidates.substrings(two, "v2", shapes, False), ["b", "n", "i", "segment"])
+        met = met.union(candidates.segments(two, "v2").join(candidates.substrings(one, "v1", two.select("b", "n", "k").distinct(), True), ["b", "n", "i", "segment"]).select(*met.columns))
         assert met.count() < most * len(words) ** 2
 
 
