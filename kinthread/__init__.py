@@ -15,11 +15,11 @@ from kinthread.config import (
     TrackingConfig,
     config,
 )
-from kinthread.exceptions import InvalidConfigError, InvalidStoreError, KinthreadError
+from kinthread.exceptions import InvalidConfigError, InvalidSchemaError, InvalidStoreError, KinthreadError
 from kinthread.schema import ElementType, FieldSchema, RecordSchema
 
 __all__ = [
-    "DistanceMetricConfig", "ElementType", "FieldSchema", "InvalidConfigError", "InvalidStoreError",
+    "DistanceMetricConfig", "ElementType", "FieldSchema", "InvalidConfigError", "InvalidSchemaError", "InvalidStoreError",
     "KinthreadError", "MemoryConfig", "NormalizationConfig", "RecordSchema", "RecordScorerConfig",
     "ResolverConfig", "TrackerConfig", "TrackingConfig", "config",
 ]

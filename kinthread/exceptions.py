@@ -11,3 +11,7 @@ class InvalidConfigError(KinthreadError, ValueError):
 
 class InvalidStoreError(KinthreadError):
     """A stored graph is absent or unreadable."""
+
+
+class InvalidSchemaError(KinthreadError, ValueError):
+    """A table lacks a column, or names one twice."""

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinthread.operators.components import components
 from kinthread.operators.scoring import rank_records
 from kinthread.runtime import stored
 
 #: Interesting pairs up to which the greedy matching runs on the driver.
 DRIVER_PAIRS = 200_000
+#: Pairs of components that a task settles as a whole.
+TOGETHER = 500_000
+#: A round that settles or drops a smaller share of the pairs is followed by one over components.
+LEAST_SETTLED = 0.1
 
 
 def simple(scores: DataFrame) -> DataFrame:
@@ -34,28 +41,90 @@ def tie_of(tracker_id: int, record_idx: int) -> int:
     return int(hashlib.md5(f"{tracker_id}:{record_idx}".encode()).hexdigest()[:12], 16)
 
 
-def mutual_best(scores: DataFrame) -> DataFrame:
-    """A greedy matching in rounds: pairs that are best for both sides are settled, the rest go on.
+def mutual_best(scores: DataFrame, together: int | None = None) -> DataFrame:
+    """A greedy matching of any number of pairs: ``greedy`` in the order (score, ``tie``, tracker, record).
 
-    Equal scores are ordered by a seeded hash of the pair, then by ids: in a
-    block of n equal scores, where an order by ids would settle one pair a
-    round, some O(log n) rounds are expected. A round is two aggregates over the
-    pairs left and two anti-joins, stored so that lineage stays short. The result
-    is ``greedy`` in the order (score, ``tie``, tracker, record).
+    A round settles the pairs that are best for both sides; their trackers and
+    records go. Equal scores are ordered by a seeded hash of the pair, so that a
+    block of them takes few rounds. Where a round settles few, as on a path of
+    rising scores, what is left is cut into connected components: those of up to
+    ``together`` pairs (TOGETHER) are settled as a whole, many in a task; of
+    larger ones the better half of the pairs comes first, by itself, which is
+    what the order does anyway. Rounds are stored, so lineage stays short.
     """
-    left = stored(scores.select("tracker_id", "record_idx", "score").withColumn("tie", tie(F.col("tracker_id"), F.col("record_idx"))), "pairs")
+    together = TOGETHER if together is None else together
+    left = scores.select("tracker_id", "record_idx", "score").withColumn("tie", tie(F.col("tracker_id"), F.col("record_idx")))
+    return _matched(stored(left, "pairs"), together)
+
+
+def _matched(left: DataFrame, together: int) -> DataFrame:
     place = F.struct("score", "tie", (-F.col("tracker_id")).alias("t"), (-F.col("record_idx")).alias("r"))
-    done = None
-    while not left.isEmpty():
+    done = left.limit(0).drop("tie")
+    count = left.count()
+    while count:
         by_tracker = left.groupBy("tracker_id").agg(F.max(place).alias("best")).select(F.struct("tracker_id", (-F.col("best.r")).alias("record_idx")).alias("pair"), "best.score")
         by_record = left.groupBy("record_idx").agg(F.max(place).alias("best")).select(F.struct((-F.col("best.t")).alias("tracker_id"), "record_idx").alias("pair"))
         won = stored(by_tracker.join(by_record, "pair", "left_semi").select("pair.tracker_id", "pair.record_idx", "score"), "won")
-        done = won if done is None else done.union(won)
-        left = stored(
-            left.join(won.select("tracker_id"), "tracker_id", "left_anti").join(won.select("record_idx"), "record_idx", "left_anti")
-            .select("tracker_id", "record_idx", "score", "tie"), "pairs",
-        )
-    return left.drop("tie") if done is None else done
+        done = done.union(won)
+        left = stored(_without(left, won), "pairs")
+        before, count = count, left.count()
+        if count and count > before * (1 - LEAST_SETTLED):
+            won, left = _by_components(left, together)
+            done = done.union(won)
+            count = left.count()
+    return done
+
+
+def _without(pairs: DataFrame, won: DataFrame) -> DataFrame:
+    """``pairs`` whose tracker and record are both still free."""
+    return pairs.join(won.select("tracker_id"), "tracker_id", "left_anti").join(won.select("record_idx"), "record_idx", "left_anti").select(*pairs.columns)
+
+
+def _by_components(left: DataFrame, together: int) -> tuple[DataFrame, DataFrame]:
+    """(matches, pairs still open): small components settled, and the better half of the pairs of large ones."""
+    # two nodes of one hash would only make one component of two
+    node = F.xxhash64(F.lit("tracker"), "tracker_id")
+    nodes = stored(components(left.select(node.alias("u"), F.xxhash64(F.lit("record"), "record_idx").alias("v"))), "components")
+    placed = stored(left.withColumn("node", node).join(nodes, "node").drop("node"), "placed")
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    large = stored(sizes.where(F.col("n") > together).select("component"), "large")
+    small = placed.join(large, "component", "left_anti")
+    buckets = max(1, -(-left.count() // together))
+    won = stored(
+        small.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)))
+        .groupBy("bucket").applyInArrow(_settled, "tracker_id long, record_idx long, score float"), "won",
+    )
+    rest = stored(placed.join(large, "component").select(*left.columns), "pairs")
+    better = _better_half(rest)
+    if better is None:
+        return won, rest
+    first = stored(_matched(stored(better, "better"), together), "won")
+    return won.union(first), stored(_without(rest, first), "pairs")
+
+
+def _better_half(pairs: DataFrame) -> DataFrame | None:
+    """About half of the pairs, none worse than any of the others; None if they can't be told apart."""
+    for column in ("score", "tie"):
+        low, middle, high = pairs.agg(F.min(column), F.percentile_approx(column, 0.5), F.max(column)).first()
+        if low is None:
+            return None
+        if low < high:
+            # only pairs of one score are told apart by their ties
+            return pairs.where(F.col(column) > middle if middle < high else F.col(column) >= middle)
+    return None
+
+
+def _settled(table: pa.Table) -> pa.Table:
+    """The greedy matching of whole components."""
+    columns = {c: table[c].to_numpy() for c in ("tracker_id", "record_idx", "score", "tie")}
+    order = np.lexsort((columns["record_idx"], columns["tracker_id"], -columns["tie"], -columns["score"]))
+    trackers, records, kept = set(), set(), []
+    for i, t, r in zip(order.tolist(), columns["tracker_id"][order].tolist(), columns["record_idx"][order].tolist(), strict=True):
+        if t not in trackers and r not in records:
+            trackers.add(t)
+            records.add(r)
+            kept.append(i)
+    return table.select(["tracker_id", "record_idx", "score"]).take(pa.array(kept, pa.int64()))
 
 
 def tie(tracker_id: Column, record_idx: Column) -> Column:
@@ -66,8 +135,8 @@ def tie(tracker_id: Column, record_idx: Column) -> Column:
 def best_match(scores: DataFrame, driver_pairs: int = DRIVER_PAIRS) -> DataFrame:
     """(tracker_id, record_idx, score): the stable one-to-one matching.
 
-    Few pairs, checked first, are matched on the driver in one sort; more in
-    mutual-best rounds. Both give the greedy matching in the order (score
+    Few pairs, checked first, are matched on the driver in one sort; more by
+    ``mutual_best``. Both give the greedy matching in the order (score
     descending, tie descending, tracker, record).
     """
     pairs = scores.select("tracker_id", "record_idx", "score")

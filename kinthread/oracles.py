@@ -213,6 +213,7 @@ pairs AS (SELECT w1, w2 FROM whole UNION SELECT w1, w2 FROM part_pairs), {_TRIAN
 each AS (SELECT p1, p2, CAST(sum(e) AS FLOAT) AS total, CAST(1 AS FLOAT) - CAST(count(*) FILTER (e = 0) AS FLOAT) / CAST(count(*) AS FLOAT) AS share FROM part_pairs p JOIN edits USING (w1, w2) GROUP BY p1, p2),
 done AS (SELECT w.w1, w.w2, CASE WHEN p1 IS NULL THEN CAST(e AS FLOAT) ELSE CAST(trunc(total * share) AS FLOAT) END AS e, size FROM whole w JOIN edits USING (w1, w2) LEFT JOIN each ON p1 = w.w1 AND p2 = w.w2)"""
 ORACLES |= {
+    "yearly_csv": f"WITH {FRAMES} SELECT frame_idx, record_idx AS line, name, CASE WHEN frame_idx <> 2 THEN origin END AS origin, code FROM frames",
     "blocked_substring": _blocked(f"pairs AS (SELECT * FROM whole), {_TRIANGLE}, done AS (SELECT * FROM edits)", "greatest(e - 0.6 * longest, 0)"),
     "blocked_multiword": _blocked(_BY_PARTS, "e"),
     "sim_lv_multiword": f"""WITH RECURSIVE words AS (SELECT DISTINCT p_name FROM part), whole AS (SELECT a.p_name AS w1, b.p_name AS w2 FROM words a, words b), {_BY_PARTS}

@@ -22,6 +22,7 @@ from kinthread.operators import frames as R
 from kinthread.operators import graph as G
 from kinthread.operators import resolution, scoring
 from kinthread.plans import normalization, tracking
+from kinthread.runtime import scratch_path
 from kinthread.schema import ElementType, FieldSchema, RecordSchema
 from kinthread.sources import tables
 
@@ -524,6 +525,17 @@ def sampled_chains(spark, sf_dir):
     return G.sample_ids(events_chains(spark, sf_dir), 50, seed=3)
 
 
+def yearly_csv(spark, sf_dir):
+    """The frames as yearly CSV, each with another order of columns and one without origin, read by name."""
+    records = frames_table(spark, sf_dir).drop("members")
+    path = scratch_path(spark, "yearly")
+    for k in range(5):
+        columns = STRINGS.names[k % 3 :] + STRINGS.names[: k % 3]
+        rows = _frame(records, k).repartitionByRange(4, "record_idx").sortWithinPartitions("record_idx")
+        rows.select(*(c for c in columns if k != 2 or c != "origin")).write.option("header", True).csv(f"{path}/{1835 + k}.csv")
+    return tables.read_yearly_csv(spark, path, range(1835, 1840)).select("frame_idx", "line", *STRINGS.names)
+
+
 def _blocked(threshold: float, metric: DistanceMetricConfig = LV):
     def run(spark, sf_dir):
         """Scores by blocked candidates: the same pairs as all against all."""
@@ -537,7 +549,7 @@ def _blocked(threshold: float, metric: DistanceMetricConfig = LV):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "frames_scan": frames_scan, "frames_schema_prune": frames_schema_prune, "frames_write_back": frames_write_back,
-    "list_columns": list_columns, "sim_lv": _similarity(LV), "sim_lv_native": sim_lv_native,
+    "list_columns": list_columns, "yearly_csv": yearly_csv, "sim_lv": _similarity(LV), "sim_lv_native": sim_lv_native,
     "sim_lv_sigmoid": _similarity(DistanceMetricConfig("lv", use_sigmoid=True)), "sim_lv_opti": _similarity(OPTI),
     "sim_lv_substring": _similarity(DistanceMetricConfig("lv_substring", lv_substring_weight=0.6)),
     "sim_lv_edit": _similarity(DistanceMetricConfig("lv_edit", lv_edit_weights=(0.5, 1.0, 1.5))),

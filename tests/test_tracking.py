@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import kinthread as K
 from kinthread import queries as Q
 from kinthread.functions import memories, scorers, similarity
-from kinthread.operators import candidates
+from kinthread.operators import candidates, components
 from kinthread.operators import evaluation as E
 from kinthread.operators import frames as R
 from kinthread.operators import graph as G
@@ -271,6 +271,39 @@ def test_ties_are_settled_in_few_rounds(spark, monkeypatch):
     assert {(r.tracker_id, r.record_idx) for r in got} == {(t, r) for t, r, _ in resolution.greedy(mixed)}
 
 
+def rising_path(n):
+    """Pairs of a path, each better than the one before: settled one by one from its end."""
+    return [((i + 1) // 2, i // 2, float(np.float32(0.5 + i / (2 * n)))) for i in range(n)]
+
+
+def test_long_paths_and_stars_take_few_rounds(spark, monkeypatch):
+    tables_ = []
+    monkeypatch.setattr(resolution, "stored", lambda df, name: tables_.append(name) or stored(df, name))
+    n = 100_000
+    path = rising_path(n)
+    star = [(10**6, 10**6 + i, float(np.float32((i * 7919) % n / n))) for i in range(n)]
+    pairs = spark.createDataFrame(path + star, "tracker_id long, record_idx long, score float")
+    got = {(r.tracker_id, r.record_idx) for r in resolution.mutual_best(pairs).collect()}
+    assert got == {(t, r) for t, r, _ in resolution.greedy(path + star)}
+    assert tables_.count("won") < 20
+
+
+@pytest.mark.parametrize("together", [25])
+def test_large_components_are_settled_from_their_better_half(spark, together):
+    rng = random.Random(3)
+    mixed = [(t, r, float(np.float32(rng.choice([0.5, 0.5, rng.random()])))) for t in range(12) for r in range(12) if rng.random() < 0.5]
+    for given in (rising_path(90), mixed):
+        got = resolution.mutual_best(spark.createDataFrame(given, "tracker_id long, record_idx long, score float"), together).collect()
+        assert sorted((r.tracker_id, r.record_idx) for r in got) == sorted((t, r) for t, r, _ in resolution.greedy(given))
+    assert resolution.mutual_best(spark.createDataFrame([], "tracker_id long, record_idx long, score float")).collect() == []
+
+
+def test_components_of_pairs(spark):
+    edges = [(1, 2), (2, 3), (10, 11), (11, 10), (5, 5), (7, 1), (20, 21), (22, 21), (None, 3)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 1, 10: 10, 11: 10, 20: 20, 21: 20, 22: 20}
+
+
 def test_config_checks_and_round_trip():
     schema = K.RecordSchema([FIELD("a", TYPE.String), FIELD("b", TYPE.MultiStrings)])
     made = K.config(schema, record_scorer_config=K.RecordScorerConfig("weighted-average", [1, 2], 0.7))
@@ -409,6 +442,27 @@ def test_csv_and_lists(spark, register, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
+def test_years_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "1835.csv").write_text("name,street\nAnna,Rue A\n\"Eve, 2\",Rue Z\n")
+    (tmp_path / "1836.csv").write_text("street,name\nRue B,Bert\n")
+    (tmp_path / "1837.csv").write_text("name,\"odd `col\",street\nCarl,x,Rue C\n")
+    (tmp_path / "1838.csv").write_text("name\nDora\n")
+    (tmp_path / "1839.csv").write_text("name,name\nx,y\n")
+    (tmp_path / "1841.csv").write_text("")
+    years = [1835, 1836, 1837, 1838]
+    table = tables.read_yearly_csv(spark, str(tmp_path), years)
+    assert table.columns == ["name", "street", "odd `col", "frame_idx", "line"]
+    assert [tuple(r) for r in table.orderBy("frame_idx", "line").collect()] == [
+        ("Anna", "Rue A", None, 0, 0), ("Eve, 2", "Rue Z", None, 0, 1), ("Bert", "Rue B", None, 1, 0), ("Carl", "Rue C", "x", 2, 0), ("Dora", None, None, 3, 0),
+    ]
+    with pytest.raises(K.InvalidSchemaError, match="1838"):
+        tables.read_yearly_csv(spark, str(tmp_path), [1835, 1838], missing="error")
+    assert tables.read_yearly_csv(spark, str(tmp_path), [1836, 1835], missing="error").where("name = 'Bert'").first().frame_idx == 0
+    for bad in (1839, 1841):
+        with pytest.raises(K.InvalidSchemaError):
+            tables.read_yearly_csv(spark, str(tmp_path), [1835, bad])
+
+
 def test_stream_gives_the_batch_result(spark, register, graph, tmp_path):
     source = str(tmp_path / "in")
     register.where("frame_idx <= 1").coalesce(1).write.parquet(source)
