@@ -2,21 +2,30 @@
 
 A memory is a pure function of the ordered history of non-null cells. A cell is
 array<string>; a String cell has one element. The result is an array of such
-elements. Counting memories are Catalyst expressions; medians and multi-word
-memories fold the history in an Arrow UDF.
+elements.
+
+A tracker doesn't keep its history but a *state* that takes cell after cell: the
+distinct values with their numbers and first and last places (a tally), or one
+tally for each sub-memory. That is all that modes and medians look at: of the
+values of the highest count, the one that reached it first is the one whose
+last place is earliest. Only ``bruteforce`` is the history itself. Counting
+states are Catalyst expressions; medians and multi-word ones are Arrow UDFs
+over tallies. ``memory_column`` takes a whole history at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinthread.config import DistanceMetricConfig, MemoryConfig
 from kinthread.functions.similarity import similarities
-from kinthread.functions.words import median_word
+from kinthread.functions.words import align, graphemes, median_word
 from kinthread.schema import ElementType
 
 CELLS = "array<array<string>>"
@@ -107,21 +116,225 @@ def memory_column(memory: MemoryConfig, history: Column, dtype: ElementType = El
 
 def native_most_frequent(history: Column) -> Column:
     """Values of an array tied at the highest count, first seen first."""
+    tally = F.aggregate(history, F.array().cast(TALLY), lambda acc, v: _counted(acc, v, F.lit(0)))
+    return _most_counted(tally)
+
+
+TALLY = "array<struct<value:array<string>,n:int,first:int,last:int>>"
+STATE = f"struct<cells:{CELLS},tally:{TALLY},last:{CELLS},seen:int,subs:array<{TALLY}>>"
+#: value, number, first and last place
+Entry = tuple[Cell, int, int, int]
+_TALLY_ARROW = pa.list_(pa.struct([("value", pa.list_(pa.string())), ("n", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]))
+
+
+def empty_state() -> Column:
+    """The state before any cell."""
+    return F.struct(
+        F.array().cast(CELLS).alias("cells"), F.array().cast(TALLY).alias("tally"), F.array().cast(CELLS).alias("last"),
+        F.lit(0).alias("seen"), F.array().cast(f"array<{TALLY}>").alias("subs"),
+    )
+
+
+def _counted(tally: Column, value: Column, place: Column) -> Column:
+    """``tally`` with one more ``value``."""
+    place = place.cast("int")
+    new = F.struct(value.alias("value"), F.lit(1).alias("n"), place.alias("first"), place.alias("last"))
+    more = F.transform(tally, lambda t: F.when(
+        t["value"].eqNullSafe(value), F.struct(t["value"].alias("value"), (t["n"] + 1).alias("n"), t["first"].alias("first"), place.alias("last")),
+    ).otherwise(t))
+    return F.when(F.exists(tally, lambda t: t["value"].eqNullSafe(value)), more).otherwise(F.concat(tally, F.array(new))).cast(TALLY)
+
+
+def _most_counted(tally: Column) -> Column:
+    """The values of the highest number; a tally is in the order in which they were first seen."""
+    return F.transform(F.filter(tally, lambda t: t["n"] == F.array_max(F.transform(tally, lambda u: u["n"]))), lambda t: t["value"])
+
+
+def with_cell(memory: MemoryConfig, state: Column, cell: Column) -> Column:
+    """``state`` after one more cell."""
+    strategy = memory.memory_strategy
+    parts = {name: state[name] for name in ("cells", "tally", "last", "subs")}
+    if strategy in ("bruteforce", "ls-bruteforce"):
+        parts["cells"] = F.concat(state["cells"], F.array(cell))
+    elif strategy.startswith("ls-"):
+        parts["tally"] = F.when(F.size(state["last"]) > 0, _counted(state["tally"], F.get(state["last"], 0), state["seen"])).otherwise(state["tally"])
+        parts["last"] = F.array(cell)
+    elif strategy.startswith("mw-"):
+        parts["subs"] = _sub_memories_udf(memory)(state["subs"], cell)
+    else:
+        parts["tally"] = _counted(state["tally"], cell, state["seen"])
+    return F.struct(
+        parts["cells"].alias("cells"), parts["tally"].alias("tally"), parts["last"].alias("last"), (state["seen"] + 1).alias("seen"), parts["subs"].alias("subs"),
+    ).cast(STATE)
+
+
+def elements(memory: MemoryConfig, state: Column, dtype: ElementType = ElementType.String) -> Column:
+    """array<array<string>> memory of a state column: ``memory_column`` of the cells that it took."""
+    strategy = memory.memory_strategy
+    if strategy in ("bruteforce", "ls-bruteforce"):
+        return state["cells"]
+    if strategy.startswith("mw-"):
+        return _sub_words_udf(memory)(state["subs"])
+    if strategy.endswith("mostfrequent"):
+        found = _most_counted(state["tally"])
+    elif dtype is ElementType.String:
+        found = _median_udf()(state["tally"])
+    else:
+        found = F.array().cast(CELLS)
+    return F.concat(found, state["last"]) if strategy.startswith("ls-") else found
+
+
+def _entries(tally: list[dict]) -> list[Entry]:
+    return [(tuple(t["value"]), t["n"], t["first"], t["last"]) for t in tally]
+
+
+def _written(tally: Sequence[Entry]) -> list[dict]:
+    return [{"value": list(v), "n": n, "first": a, "last": b} for v, n, a, b in tally]
+
+
+def median_of(tally: Sequence[Entry]) -> str | None:
+    """``median_word`` of the words that a tally of one-word cells counts."""
+    if not tally:
+        return None
+    split = [(graphemes(v[0]), n, first, last) for v, n, first, last in tally]
+    lengths: dict[int, list[int]] = {}
+    for g, n, _, last in split:
+        count = lengths.setdefault(len(g), [0, -1])
+        count[0], count[1] = count[0] + n, max(count[1], last)
+    length = min(lengths, key=lambda k: (-lengths[k][0], lengths[k][1]))
+    target = list(min((x for x in split if len(x[0]) == length), key=lambda x: x[2])[0])
+    counts: list[dict[str, list]] = [{} for _ in range(length)]
+    for g, n, _, last in split:
+        other = len(g) != length  # those come behind the words of that length
+        row = align(g, target) if other else g
+        for i in range(length):
+            if row[i] is not None:
+                seen = counts[i].setdefault(row[i], [0, (False, -1)])
+                seen[0], seen[1] = seen[0] + n, max(seen[1], (other, last))
+    return "".join(min(c, key=lambda k, c=c: (-c[k][0], c[k][1])) for c in counts)
 
-    def pick(distinct: Column) -> Column:
-        counts = F.transform(distinct, lambda v: F.size(F.filter(history, lambda x: x == v)))
-        return F.transform(
-            F.filter(F.arrays_zip(counts.alias("n"), distinct.alias("v")), lambda p: p["n"] == F.array_max(counts)), lambda p: p["v"]
-        )
 
-    return pick(F.array_distinct(history))
+def _stands_for(strategy: str, tally: Sequence[Entry]) -> str:
+    """The word of a sub-memory."""
+    if strategy == "mw-mostfrequent":
+        most = max(n for _, n, _, _ in tally)
+        return min((first, v[0]) for v, n, first, _ in tally if n == most)[1]
+    return median_of(tally)
+
+
+def add_words(memory: MemoryConfig, subs: list[list[Entry]], cell: Cell) -> list[list[Entry]]:
+    """The sub-memories after one more cell; see ``multi_word``."""
+    subs = [list(s) for s in subs]
+    words = [_stands_for(memory.memory_strategy, s) for s in subs]
+    for word in cell:
+        best, at = 0.0, 0
+        for i, value in enumerate(similarities(memory.multiword_distance_metric, [word] * len(words), words).tolist()):
+            if value > best:
+                best, at = value, i
+        if subs and best >= memory.multiword_threshold_match:
+            at = 0 if memory.compat_first_memory else at
+        else:
+            at = len(subs)
+            subs.append([])
+            words.append(word)
+        subs[at] = add_entry(subs[at], (word,), sum(n for _, n, _, _ in subs[at]))
+        words[at] = _stands_for(memory.memory_strategy, subs[at])
+    return subs
+
+
+def add_entry(tally: Sequence[Entry], value: Cell, place: int) -> list[Entry]:
+    out = [(v, n + 1, first, place) if v == value else (v, n, first, last) for v, n, first, last in tally]
+    return out if any(v == value for v, *_ in tally) else [*out, (value, 1, place, place)]
+
+
+def _sub_memories_udf(memory: MemoryConfig):
+    @F.arrow_udf(f"array<{TALLY}>")
+    def more(subs: pa.Array, cells: pa.Array) -> pa.Array:
+        return pa.array([
+            None if s is None or c is None else [_written(t) for t in add_words(memory, [_entries(t) for t in s], tuple(c))]
+            for s, c in zip(subs.to_pylist(), cells.to_pylist(), strict=True)
+        ], pa.list_(_TALLY_ARROW))
+
+    return more
+
+
+def _sub_words_udf(memory: MemoryConfig):
+    @F.arrow_udf(CELLS)
+    def found(subs: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else [[_stands_for(memory.memory_strategy, _entries(t)) for t in s]] if s else [] for s in subs.to_pylist()], pa.list_(pa.list_(pa.string())))
+
+    return found
+
+
+def _median_udf():
+    @F.arrow_udf(CELLS)
+    def found(tallies: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else [[median_of(_entries(t))]] if t else [] for t in tallies.to_pylist()], pa.list_(pa.list_(pa.string())))
+
+    return found
+
+
+class Running:
+    """The memory of cell after cell, in Python."""
+
+    def __init__(self, memory: MemoryConfig):
+        self.memory, self.strategy = memory, memory.memory_strategy
+        self.base = self.strategy.removeprefix("ls-")
+        self.cells: list[Cell] = []
+        self.tally: dict[Cell, list[int]] = {}
+        self.last: list[Cell] = []
+        self.seen = 0
+        self.subs: list[list[Entry]] = []
+
+    def add(self, cell: Cell) -> None:
+        if self.strategy.startswith("mw-"):
+            self.subs = add_words(self.memory, self.subs, cell)
+        elif self.base == "bruteforce":
+            self.cells.append(cell)
+        else:
+            for value in self.last if self.strategy.startswith("ls-") else [cell]:
+                count = self.tally.setdefault(value, [0, self.seen, 0])
+                count[0], count[2] = count[0] + 1, self.seen
+            self.last = [cell] if self.strategy.startswith("ls-") else []
+        self.seen += 1
+
+    def elements(self) -> list[Cell]:
+        if self.strategy.startswith("mw-"):
+            return [tuple(_stands_for(self.strategy, s) for s in self.subs)] if self.subs else []
+        if self.base == "bruteforce":
+            return list(self.cells)
+        if self.base == "mostfrequent":
+            most = max((n for n, _, _ in self.tally.values()), default=0)
+            return [v for v, (n, _, _) in self.tally.items() if n == most] + self.last
+        found = median_of([(v, *count) for v, count in self.tally.items()])
+        return ([] if found is None else [(found,)]) + self.last
 
 
 def running_memory(chains: DataFrame, memory: MemoryConfig, column: str = "value") -> DataFrame:
-    """``chains`` (tracker_id, frame_idx, ...) with ``memory``: that of the non-null values before each row."""
-    before = Window.partitionBy("tracker_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)
-    history = F.collect_list(F.when(F.col(column).isNotNull(), F.array(column))).over(before)
-    return chains.withColumn("history", history).select(*chains.columns, memory_column(memory, F.col("history")).alias("memory"))
+    """``chains`` (tracker_id, frame_idx, ...) with ``memory``: that of the non-null values before each row.
+
+    A task reads its chains in order and holds the state of one, so a chain's
+    cost is its length times its distinct values, and no chain is held whole.
+    Columns of any names stay; rows of one frame are in no order. ``memory``
+    replaces a column of that name.
+    """
+    names = [c for c in chains.columns if c != "memory"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, current = None, None
+        for batch in batches:
+            out = []
+            for tracker, value in zip(batch["tracker_id"].to_pylist(), batch[column].to_pylist(), strict=True):
+                if state is None or tracker != current:
+                    state, current = Running(memory), tracker
+                out.append(state.elements())
+                if value is not None:
+                    state.add((value,))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(out, pa.list_(pa.list_(pa.string())))], [*names, "memory"])
+
+    ordered = chains.select(*names).repartition("tracker_id").sortWithinPartitions("tracker_id", "frame_idx")
+    fields = [*(chains.schema[c] for c in names), T.StructField("memory", T.ArrayType(T.ArrayType(T.StringType())))]
+    return ordered.mapInArrow(run, T.StructType(fields))
 
 
 def running_latest(chains: DataFrame, column: str = "value") -> DataFrame:

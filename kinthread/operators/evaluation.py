@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,12 +88,16 @@ def start_end_frames(chain_nodes: DataFrame, frames: int) -> DataFrame:
     return every.join(starts, "frame_idx", "left").join(stops, "frame_idx", "left").fillna(0)
 
 
-def match_histograms(scores: DataFrame, trackers: DataFrame, records: DataFrame) -> DataFrame:
-    """(kind, value, n): how many records (trackers) have so many interested trackers (interesting records), 0 too."""
-    by_record = records.select("record_idx").join(scores.groupBy("record_idx").agg(F.count(F.lit(1)).alias("value")), "record_idx", "left")
-    by_tracker = trackers.select("tracker_id").join(scores.groupBy("tracker_id").agg(F.count(F.lit(1)).alias("value")), "tracker_id", "left")
-    both = by_record.select(F.lit("record").alias("kind"), "value").union(by_tracker.select(F.lit("tracker").alias("kind"), "value"))
-    return both.select("kind", F.coalesce("value", F.lit(0).cast("long")).alias("value")).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+def match_histograms(scores: DataFrame, trackers: DataFrame, records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, kind, value, n): how many records (trackers) have so many interested trackers (interesting records), 0 too.
+
+    ``by`` are columns of all three tables whose values are looked at each by itself.
+    """
+    sides = []
+    for kind, key, table in (("record", "record_idx", records), ("tracker", "tracker_id", trackers)):
+        counts = scores.groupBy(*by, key).agg(F.count(F.lit(1)).alias("value"))
+        sides.append(table.select(*by, key).join(counts, [*by, key], "left").select(*by, F.lit(kind).alias("kind"), F.coalesce("value", F.lit(0).cast("long")).alias("value")))
+    return sides[0].union(sides[1]).groupBy(*by, "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dense_histogram(counts: DataFrame, value: str = "value", n: str = "n") -> DataFrame:

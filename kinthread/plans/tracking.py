@@ -4,23 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kinthread.config import TrackingConfig
-from kinthread.functions.memories import CELLS, memory_column
+from kinthread.config import MemoryConfig, TrackingConfig
+from kinthread.functions.memories import CELLS, elements, empty_state, with_cell
 from kinthread.log import LOGGER, setup_logger
 from kinthread.operators.evaluation import match_histograms
 from kinthread.operators.frames import records_of
 from kinthread.operators.graph import TrackingGraph
 from kinthread.operators.resolution import alive, resolve, unmatched_records
 from kinthread.operators.scoring import memory_name, score_pairs
-from kinthread.runtime import ship, stored
+from kinthread.runtime import scratch_path, ship
 from kinthread.schema import ElementType, RecordSchema
 
 
-def history_name(i: int) -> str:
-    return f"h{i}"
+def state_name(i: int) -> str:
+    return f"s{i}"
 
 
 def tracker_id(frame_idx, record_idx):
@@ -35,134 +36,119 @@ def cells(schema: RecordSchema, i: int):
     return F.when(F.col(field.name).isNull(), F.array().cast(CELLS)).otherwise(F.array(value).cast(CELLS))
 
 
-def births(records: DataFrame, schema: RecordSchema, frame_idx: int) -> DataFrame:
+def _taken(memory: MemoryConfig, state: Column, cell: Column) -> Column:
+    """``state`` after an array of no or one cell."""
+    return F.when(F.size(cell) > 0, with_cell(memory, state, F.get(cell, 0))).otherwise(state)
+
+
+def births(records: DataFrame, config: TrackingConfig, schema: RecordSchema, frame_idx: int) -> DataFrame:
     """A tracker for every record."""
-    return records.select(
-        tracker_id(F.lit(frame_idx), F.col("record_idx")).alias("tracker_id"), F.lit(frame_idx).alias("birth_frame"),
-        F.lit(0).alias("streak"), *(cells(schema, i).alias(history_name(i)) for i in range(len(schema.fields))),
+    named = records.select("record_idx", *(cells(schema, i).alias(f"c{i}") for i in range(len(schema.fields))))
+    named = named.withColumns({state_name(i): empty_state() for i in range(len(schema.fields))})
+    return named.select(
+        tracker_id(F.lit(frame_idx), F.col("record_idx")).alias("tracker_id"), F.lit(frame_idx).alias("birth_frame"), F.lit(0).alias("streak"),
+        *(_taken(m, F.col(state_name(i)), F.col(f"c{i}")).alias(state_name(i)) for i, m in enumerate(config.tracker.memories)),
     )
 
 
 def with_memories(trackers: DataFrame, config: TrackingConfig, schema: RecordSchema) -> DataFrame:
     return trackers.select("*", *(
-        memory_column(m, F.col(history_name(i)), schema.fields[i].dtype).alias(memory_name(i))
-        for i, m in enumerate(config.tracker.memories)
+        elements(m, F.col(state_name(i)), schema.fields[i].dtype).alias(memory_name(i)) for i, m in enumerate(config.tracker.memories)
     ))
 
 
-def _kept(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Tracking:
-    """The state of a run; ``step`` takes the next frame's records.
-
-    State is a table of live trackers: id, streak and the history of matched
-    cells a feature, of which memories are pure functions. It is stored each
-    frame, so lineage doesn't grow with the frames, and nothing is kept on the
-    driver but the tables' handles.
+    """A run; ``step`` takes the next frame's records.
+
+    The state is a table of live trackers: id, streak and a feature's memory
+    state (see ``functions.memories``), whose size goes with the distinct values
+    that a tracker has met, not with the frames. Tables of the run's history
+    (frames, memories, scores, matches) lie in ``folder``, a partition a frame,
+    so lineage and plans don't grow with the frames, and nothing is kept on the
+    driver but the number of the frame. A frame that is stepped again, after a
+    driver was lost, writes its partitions anew.
     """
 
-    def __init__(self, config: TrackingConfig, schema: RecordSchema):
+    def __init__(self, config: TrackingConfig, schema: RecordSchema, folder: str | None = None):
         if len(config.tracker.memories) != len(schema.fields):
             raise ValueError("one memory a feature is needed")
         config.tracker.record_scorer.check(len(schema.fields))
         self.config, self.schema, self.frame_idx = config, schema, -1
+        self.folder = folder.rstrip("/") if folder else None
         self.trackers: DataFrame | None = None
-        self.chain: list[DataFrame] = []
-        self.nodes: list[DataFrame] = []
-        self.records: list[DataFrame] = []
-        self.memory: list[DataFrame] = []
-        self.resolving: list[DataFrame] = []
-        self.saved: dict[str, int] = {}
+
+    def _put(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` as this frame's part of a table."""
+        path = f"{self.folder}/{name}/frame_idx={self.frame_idx}"
+        df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def _table(self, name: str) -> DataFrame:
+        """A table of all frames up to this one; with another schema only if nothing was written."""
+        spark, path = self.trackers.sparkSession, f"{self.folder}/{name}"
+        first = spark.read.parquet(f"{path}/frame_idx={self.frame_idx}").schema
+        return spark.read.schema(T.StructType([*first, T.StructField("frame_idx", T.IntegerType())])).parquet(path).where(F.col("frame_idx") <= self.frame_idx)
 
     def step(self, records: DataFrame) -> None:
         """``records`` (record_idx, features) of the next frame."""
         self.frame_idx += 1
-        frame, schema, tracker = F.lit(self.frame_idx), self.schema, self.config.tracker
-        records = stored(records.select("record_idx", *schema.names), "frame")
-        self.nodes.append(records.select(frame.alias("frame_idx"), "record_idx"))
+        if self.folder is None:
+            self.folder = scratch_path(records.sparkSession, "run")
+        schema, tracker, rules = self.schema, self.config.tracker, self.config
+        records = self._put("frames", records.select("record_idx", *schema.names))
         if self.trackers is None:
-            self.trackers = stored(births(records, schema, self.frame_idx), "trackers")
-            self.chain.append(self.trackers.select("tracker_id", frame.alias("frame_idx"), F.col("tracker_id").bitwiseAND(0xFFFFFFFF).alias("record_idx")))
+            self.trackers = self._put("trackers", births(records, rules, schema, self.frame_idx))
             return
-        known = stored(with_memories(self.trackers, self.config, schema), "memories")
-        scores = stored(
-            score_pairs(known, records, schema, self.config.distance_metric, tracker.record_scorer, tracker.interest_threshold), "scores"
-        )
-        self.records.append(scores.select("tracker_id", frame.alias("frame_idx"), "record_idx", "score", "distances"))
-        self.memory.append(known.select(
-            "tracker_id", frame.alias("frame_idx"),
-            F.array(*(F.flatten(memory_name(i)) for i in range(len(schema.fields)))).alias("memory"),
-        ))
-        self.resolving.append(match_histograms(scores, known, records).select(frame.alias("frame_idx"), "kind", "value", "n"))
-        matches = stored(resolve(scores, self.config.resolver.resolving_strategy), "matches")
-        self.chain.append(matches.select("tracker_id", frame.alias("frame_idx"), "record_idx"))
-        taken = matches.select("tracker_id", "record_idx").join(records, "record_idx")
-        new_cells = taken.select("tracker_id", F.lit(True).alias("matched"), *(cells(schema, i).alias(f"c{i}") for i in range(len(schema.fields))))
+        columns = ["tracker_id", *(memory_name(i) for i in range(len(schema.fields)))]
+        known = self._put("memories", with_memories(self.trackers, rules, schema).select(*columns))
+        scores = self._put("scores", score_pairs(known, records, schema, rules.distance_metric, tracker.record_scorer, tracker.interest_threshold))
+        matches = self._put("matches", resolve(scores, rules.resolver.resolving_strategy).select("tracker_id", "record_idx"))
+        new_cells = matches.join(records, "record_idx").select("tracker_id", F.lit(True).alias("matched"), *(cells(schema, i).alias(f"c{i}") for i in range(len(schema.fields))))
         updated = self.trackers.join(new_cells, "tracker_id", "left").select(
             "tracker_id", "birth_frame", F.when(F.col("matched"), 0).otherwise(F.col("streak") + 1).alias("streak"),
-            *(
-                F.when(F.col("matched"), F.concat(history_name(i), f"c{i}")).otherwise(F.col(history_name(i))).alias(history_name(i))
-                for i in range(len(schema.fields))
-            ),
+            *(_taken(m, F.col(state_name(i)), F.col(f"c{i}")).alias(state_name(i)) for i, m in enumerate(tracker.memories)),
         )
         state = alive(updated, tracker.limit_no_match_streak)
-        if self.config.resolver.resolving_strategy == "best-match":
-            born = births(unmatched_records(records, matches), schema, self.frame_idx)
-            state = state.union(born)
-            self.chain.append(stored(born.select("tracker_id"), "born").select(
-                "tracker_id", frame.alias("frame_idx"), F.col("tracker_id").bitwiseAND(0xFFFFFFFF).alias("record_idx")
-            ))
-        self.trackers = stored(state, "trackers")
+        if rules.resolver.resolving_strategy == "best-match":
+            state = state.union(births(unmatched_records(records, matches), rules, schema, self.frame_idx))
+        self.trackers = self._put("trackers", state)
         LOGGER.info("frame %d done", self.frame_idx)
 
-    PARTS = ("chain", "nodes", "records", "memory", "resolving")
-
-    def save(self, path: str) -> dict:
-        """Write what is new since the last save under ``path``; returns what ``restore`` needs beside it."""
-        for name in self.PARTS:
-            parts: list[DataFrame] = getattr(self, name)
-            for i in range(self.saved.get(name, 0), len(parts)):
-                parts[i] = _kept(parts[i], f"{path}/{name}/{i}")
-            self.saved[name] = len(parts)
-        if self.trackers is not None and self.saved.get("frame", -1) < self.frame_idx:
-            self.trackers = _kept(self.trackers, f"{path}/trackers/{self.frame_idx}")
-        self.saved["frame"] = self.frame_idx
-        return dict(self.saved)
-
-    def restore(self, spark: SparkSession, path: str, saved: dict) -> None:
-        """Take up a saved run."""
-        for name in self.PARTS:
-            setattr(self, name, [spark.read.parquet(f"{path}/{name}/{i}") for i in range(saved[name])])
-        self.saved, self.frame_idx = dict(saved), saved["frame"]
-        self.trackers = spark.read.parquet(f"{path}/trackers/{self.frame_idx}") if self.frame_idx >= 0 else None
+    def restore(self, spark: SparkSession, frame_idx: int) -> None:
+        """Take up the run that lies in the folder, as it was after ``frame_idx``."""
+        self.frame_idx = frame_idx
+        self.trackers = spark.read.parquet(f"{self.folder}/trackers/frame_idx={frame_idx}") if frame_idx >= 0 else None
 
     def graph(self) -> TrackingGraph:
+        """The run so far; its plans are as large for a thousand frames as for two."""
         if self.trackers is None:
             raise ValueError("no frames")
+        nodes = self._table("frames").select("frame_idx", "record_idx")
+        begun = nodes.where("frame_idx = 0")
+        if not self.frame_idx:
+            born = begun.select(tracker_id(F.col("frame_idx"), F.col("record_idx")).alias("tracker_id"), "frame_idx", "record_idx")
+            return TrackingGraph(born, nodes)
+        matches, scores, known = (self._table(name) for name in ("matches", "scores", "memories"))
+        if self.config.resolver.resolving_strategy == "best-match":
+            begun = nodes.join(matches.select("frame_idx", "record_idx"), ["frame_idx", "record_idx"], "left_anti")
+        born = begun.select(tracker_id(F.col("frame_idx"), F.col("record_idx")).alias("tracker_id"), "frame_idx", "record_idx")
+        memory = known.select(
+            "tracker_id", "frame_idx", F.array(*(F.flatten(memory_name(i)) for i in range(len(self.schema.fields)))).alias("memory"),
+        )
+        counts = match_histograms(scores, known, nodes.where("frame_idx > 0"), ["frame_idx"])
+        dense = counts.groupBy("frame_idx").pivot("kind", ["record", "tracker"]).agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))))
 
-        def every(parts: list[DataFrame]) -> DataFrame | None:
-            out = None
-            for part in parts:
-                out = part if out is None else out.union(part)
-            return out
-
-        resolving = every(self.resolving)
-        if resolving is not None:
-            dense = resolving.groupBy("frame_idx").pivot("kind", ["record", "tracker"]).agg(
-                F.map_from_entries(F.collect_list(F.struct("value", "n")))
-            )
-
-            def histogram(kind: str):
-                m = F.coalesce(F.col(kind), F.expr("map_from_arrays(array(0L), array(0L))"))
-                return F.transform(F.sequence(F.lit(0).cast("long"), F.array_max(F.map_keys(m))), lambda i: F.coalesce(m[i], F.lit(0).cast("long")))
-
-            resolving = dense.select(
-                "frame_idx", histogram("record").alias("histogram_record_matchs"), histogram("tracker").alias("histogram_tracker_matchs")
-            )
-        return TrackingGraph(every(self.chain), every(self.nodes), every(self.records), every(self.memory), resolving)
+        def histogram(kind: str):
+            m = F.coalesce(F.col(kind), F.expr("map_from_arrays(array(0L), array(0L))"))
+            return F.transform(F.sequence(F.lit(0).cast("long"), F.array_max(F.map_keys(m))), lambda i: F.coalesce(m[i], F.lit(0).cast("long")))
+
+        resolving = dense.select(
+            "frame_idx", histogram("record").alias("histogram_record_matchs"), histogram("tracker").alias("histogram_tracker_matchs")
+        )
+        return TrackingGraph(
+            matches.select("tracker_id", "frame_idx", "record_idx").union(born), nodes,
+            scores.select("tracker_id", "frame_idx", "record_idx", "score", "distances"), memory, resolving,
+        )
 
 
 def track(config: TrackingConfig, schema: RecordSchema, records: DataFrame) -> TrackingGraph:

@@ -128,8 +128,7 @@ def _frame(records: DataFrame, k: int) -> DataFrame:
 
 def _first_memories(records: DataFrame, schema: RecordSchema) -> DataFrame:
     """Trackers of frame 0 with their records as memories."""
-    born = tracking.births(_frame(records, 0), schema, 0)
-    return born.select("tracker_id", *(F.col(tracking.history_name(i)).alias(scoring.memory_name(i)) for i in range(len(schema.fields))))
+    return _frame(records, 0).select(F.col("record_idx").alias("tracker_id"), *(tracking.cells(schema, i).alias(scoring.memory_name(i)) for i in range(len(schema.fields))))
 
 
 def _scores(spark: SparkSession, sf_dir: str, threshold: float = 0.4137, scorer: RecordScorerConfig = RecordScorerConfig()) -> DataFrame:

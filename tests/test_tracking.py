@@ -485,6 +485,71 @@ def test_stream_goes_on_after_a_lost_driver(spark, register, graph, tmp_path):
     assert chains(StreamTracker(rules, PEOPLE, state).finish()) == chains(graph)
 
 
+def test_stream_keeps_late_rows_aside(spark, register, graph, tmp_path):
+    """Frames in several batches, a record twice, rows of complete frames and of none: the batch run, and the late rows."""
+    rules = K.config(PEOPLE, interest_threshold=0.5, limit_no_match_streak=1)
+    top = register.agg(F.max("frame_idx")).first()[0]
+    frame = {k: register.where(F.col("frame_idx") == k) for k in range(top + 1)}
+    late = frame[0].withColumn("name", F.lit("too late")).limit(2)
+    nowhere = frame[1].limit(1).withColumn("frame_idx", F.lit(None).cast("int"))
+    even, odd = (frame[1].where(F.col("record_idx") % 2 == i) for i in (0, 1))
+    batches = [frame[0], even, odd.union(frame[2].limit(1)).union(even.limit(1)), frame[2], *(frame[k] for k in range(3, top + 1)), late.union(nowhere)]
+    for delay in (0, 1):
+        # with no delay frame 1 is complete when frame 2 begins; its rows are there by then
+        tracker = StreamTracker(rules, PEOPLE, str(tmp_path / f"late{delay}"), delay)
+        for i, batch in enumerate(batches):
+            tracker.on_batch(batch, i)
+        assert chains(tracker.finish()) == chains(graph)
+        assert sorted((r.frame_idx is None, r.frame_idx, r.batch) for r in tracker.late().collect()) == [(False, 0, len(batches) - 1)] * 2 + [(True, None, len(batches) - 1)]
+        assert {r.frame_idx: r.n for r in tracker.late_counts().collect()} == {0: 2, None: 1}
+
+
+def test_plans_do_not_grow_with_the_frames(spark, register):
+    run, sizes = tracking.Tracking(K.config(PEOPLE, interest_threshold=0.5), PEOPLE), []
+    for k in range(5):
+        run.step(register.where(F.col("frame_idx") == k % 3))
+        found = run.graph()
+        sizes.append([len(str(getattr(found, n)._jdf.queryExecution().logical())) for n in ("chain_nodes", "nodes", "diag_records", "diag_resolving") if getattr(found, n) is not None])
+    assert max(map(max, zip(*sizes[2:], strict=True))) <= 1.02 * max(sizes[2]) and all(abs(a - b) < 50 for a, b in zip(sizes[2], sizes[4], strict=True))
+
+
+MEMORY_RULES = [
+    K.MemoryConfig("bruteforce"), K.MemoryConfig("mostfrequent"), K.MemoryConfig("median"), K.MemoryConfig("ls-bruteforce"), K.MemoryConfig("ls-mostfrequent"), K.MemoryConfig("ls-median"),
+    K.MemoryConfig("mw-median", 0.6, K.DistanceMetricConfig()), K.MemoryConfig("mw-mostfrequent", 0.5, K.DistanceMetricConfig(), True),
+]
+
+
+def odd_histories(seed=2, n=25):
+    rng = random.Random(seed)
+    return [["".join(rng.choices(["a", "b", "é", "c", "e\u0301"], k=rng.randint(0, 4))) for _ in range(rng.randint(0, 7))] for _ in range(n)]
+
+
+@pytest.mark.parametrize("rule", MEMORY_RULES, ids=lambda r: r.memory_strategy)
+def test_states_equal_whole_histories(spark, rule):
+    """Cell after cell, in Catalyst, in Python and over sorted chains, as the functions of whole histories."""
+    histories = odd_histories()
+    for h in histories:
+        run = memories.Running(rule)
+        for w in h:
+            run.add((w,))
+        assert run.elements() == memories.remember(rule, [(w,) for w in h])
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(histories)], "id long, h array<string>")
+    df = df.withColumn("state", memories.empty_state())
+    for k in range(3):
+        cell = F.array(F.get("h", k))
+        df = df.withColumn("state", F.when(F.size("h") > k, memories.with_cell(rule, F.col("state"), cell)).otherwise(F.col("state")))
+    got = {r.id: [tuple(e) for e in r.m] for r in df.select("id", memories.elements(rule, F.col("state")).alias("m")).collect()}
+    assert got == {i: memories.remember(rule, [(w,) for w in h[:3]]) for i, h in enumerate(histories)}
+    rows = [(i, k, w if (i + k) % 5 else None, "m") for i, h in enumerate(histories) for k, w in enumerate(h)]
+    chains_ = spark.createDataFrame(rows, "tracker_id long, frame_idx int, value string, memory string").repartition(3)
+    want = {}
+    for i, k, _, _ in rows:
+        want[i, k] = memories.remember(rule, [(w,) for j, q, w, _ in rows if j == i and q < k and w is not None])
+    found = memories.running_memory(chains_, rule)
+    assert found.columns == ["tracker_id", "frame_idx", "value", "memory"]
+    assert {(r.tracker_id, r.frame_idx): [tuple(e) for e in r.memory] for r in found.collect()} == want
+
+
 def test_evaluation_of_nothing(spark):
     none = spark.createDataFrame([], "tracker_id long, frame_idx int, record_idx long")
     row = E.length_statistics(none).first()
