@@ -251,7 +251,8 @@ def _sub_memories_udf(memory: MemoryConfig):
     @F.arrow_udf(f"array<{TALLY}>")
     def more(subs: pa.Array, cells: pa.Array) -> pa.Array:
         return pa.array([
-            None if s is None or c is None else [_written(t) for t in add_words(memory, [_entries(t) for t in s], tuple(c))]
+            # computed for rows without a cell too, whose state stays
+            None if s is None or c is None or None in c else [_written(t) for t in add_words(memory, [_entries(t) for t in s], tuple(c))]
             for s, c in zip(subs.to_pylist(), cells.to_pylist(), strict=True)
         ], pa.list_(_TALLY_ARROW))
 
