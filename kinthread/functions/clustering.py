@@ -19,37 +19,61 @@ def average_linkage(matrix: np.ndarray, threshold: float) -> list[list[int]]:
 
     Similarities to a merged cluster are means weighted by size; float32; the
     first pair in row order wins ties; the last cluster takes the place of the
-    one merged away.
+    one merged away. Every row keeps its best partner, so a merge looks at two
+    rows and at those whose best it changes, not at the whole matrix.
     """
     sim = np.array(matrix, dtype=np.float32)
     np.fill_diagonal(sim, 0)
-    parts = [[i] for i in range(len(sim))]
-    while len(parts) > 1:
-        i, j = np.unravel_index(np.argmax(np.nan_to_num(sim, nan=-np.inf)), sim.shape)
+    size = len(sim)
+    parts = [[i] for i in range(size)]
+
+    def best_of(rows: np.ndarray) -> None:
+        some = np.where(np.isnan(sim[rows, :size]), -np.inf, sim[rows, :size])
+        partner[rows] = np.argmax(some, axis=1)
+        best[rows] = some[np.arange(len(rows)), partner[rows]]
+
+    best, partner = np.full(size, -np.inf, dtype=np.float32), np.zeros(size, dtype=np.int64)
+    for low in range(0, size, 1024):
+        best_of(np.arange(low, min(size, low + 1024)))
+    while size > 1:
+        i = int(np.argmax(best[:size]))
+        j = int(partner[i])
         if not sim[i, j] > threshold:
             break
-        i, j = (int(i), int(j)) if i < j else (int(j), int(i))
+        i, j = min(i, j), max(i, j)
         a, b = np.float32(len(parts[i])), np.float32(len(parts[j]))
-        row = (sim[i] * a + sim[j] * b) / (a + b)
-        column = (sim[:, i] * a + sim[:, j] * b) / (a + b)
-        sim[i], sim[:, i] = row, column
+        row = (sim[i, :size] * a + sim[j, :size] * b) / (a + b)
+        column = (sim[:size, i] * a + sim[:size, j] * b) / (a + b)
+        sim[i, :size], sim[:size, i] = row, column
         sim[i, i] = 0
         parts[i] = sorted(parts[i] + parts[j])
-        last = len(parts) - 1
+        last = size - 1
+        stale = (partner[:size] == i) | (partner[:size] == j)
         if j != last:
-            sim[j], sim[:, j] = sim[last].copy(), sim[:, last].copy()
+            sim[j, :size], sim[:size, j] = sim[last, :size].copy(), sim[:size, last].copy()
             sim[j, j] = 0
             parts[j] = parts[last]
+            stale[j] = True
+            best[j], partner[j] = best[last], partner[last]
+        stale[i] = True
         parts.pop()
-        sim = sim[:last, :last]
+        size = last
+        stale = stale[:size]
+        # a best partner that has moved, to a place before others as good
+        moved = np.flatnonzero(~stale & ((partner[:size] == last) | ((sim[:size, j] == best[:size]) & (j < partner[:size])))) if j < size else np.zeros(0, np.int64)
+        partner[moved] = np.where(partner[moved] == last, j, np.minimum(partner[moved], j))
+        stale[moved] = True  # others as good may stand before it
+        better = np.flatnonzero(~stale & ((sim[:size, i] > best[:size]) | ((sim[:size, i] == best[:size]) & (i < partner[:size]))))
+        best[better], partner[better] = sim[better, i], i
+        best_of(np.flatnonzero(stale))
     return parts
 
 
 def similarity_matrix(words: Sequence[str], metric: DistanceMetricConfig) -> np.ndarray:
     """All ordered pairs; each distinct pair is computed once."""
-    distinct = list(dict.fromkeys(words))
-    values = similarity_table(metric, distinct, distinct)
-    at = [distinct.index(w) for w in words]
+    place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    values = similarity_table(metric, list(place), list(place))
+    at = [place[w] for w in words]
     return values[np.ix_(at, at)]
 
 

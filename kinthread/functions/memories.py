@@ -116,8 +116,14 @@ def memory_column(memory: MemoryConfig, history: Column, dtype: ElementType = El
 
 def native_most_frequent(history: Column) -> Column:
     """Values of an array tied at the highest count, first seen first."""
-    tally = F.aggregate(history, F.array().cast(TALLY), lambda acc, v: _counted(acc, v, F.lit(0)))
-    return _most_counted(tally)
+
+    def counted(tally: Column, value: Column) -> Column:
+        more = F.transform(tally, lambda t: F.when(t["value"].eqNullSafe(value), F.struct(t["value"].alias("value"), (t["n"] + 1).alias("n"))).otherwise(t))
+        new = F.concat(tally, F.array(F.struct(value.alias("value"), F.lit(1).alias("n"))))
+        return F.when(F.exists(tally, lambda t: t["value"].eqNullSafe(value)), more).otherwise(new).cast("array<struct<value:array<string>,n:int>>")
+
+    tally = F.aggregate(history, F.array().cast("array<struct<value:array<string>,n:int>>"), counted)
+    return F.transform(F.filter(tally, lambda t: t["n"] == F.array_max(F.transform(tally, lambda u: u["n"]))), lambda t: t["value"])
 
 
 TALLY = "array<struct<value:array<string>,n:int,first:int,last:int>>"
@@ -129,59 +135,50 @@ _TALLY_ARROW = pa.list_(pa.struct([("value", pa.list_(pa.string())), ("n", pa.in
 
 def empty_state() -> Column:
     """The state before any cell."""
-    return F.struct(
-        F.array().cast(CELLS).alias("cells"), F.array().cast(TALLY).alias("tally"), F.array().cast(CELLS).alias("last"),
-        F.lit(0).alias("seen"), F.array().cast(f"array<{TALLY}>").alias("subs"),
-    )
+    return F.expr(f"cast(named_struct('cells', array(), 'tally', array(), 'last', array(), 'seen', 0, 'subs', array()) as {STATE})")
 
 
-def _counted(tally: Column, value: Column, place: Column) -> Column:
-    """``tally`` with one more ``value``."""
-    place = place.cast("int")
-    new = F.struct(value.alias("value"), F.lit(1).alias("n"), place.alias("first"), place.alias("last"))
-    more = F.transform(tally, lambda t: F.when(
-        t["value"].eqNullSafe(value), F.struct(t["value"].alias("value"), (t["n"] + 1).alias("n"), t["first"].alias("first"), place.alias("last")),
-    ).otherwise(t))
-    return F.when(F.exists(tally, lambda t: t["value"].eqNullSafe(value)), more).otherwise(F.concat(tally, F.array(new))).cast(TALLY)
+def _counted(tally: str, value: str, place: str) -> str:
+    """SQL: ``tally`` with one more ``value``."""
+    more = f"transform({tally}, e -> if(e.value <=> {value}, named_struct('value', e.value, 'n', e.n + 1, 'first', e.first, 'last', {place}), e))"
+    new = f"concat({tally}, array(named_struct('value', {value}, 'n', 1, 'first', {place}, 'last', {place})))"
+    return f"if(exists({tally}, e -> e.value <=> {value}), {more}, {new})"
 
 
-def _most_counted(tally: Column) -> Column:
-    """The values of the highest number; a tally is in the order in which they were first seen."""
-    return F.transform(F.filter(tally, lambda t: t["n"] == F.array_max(F.transform(tally, lambda u: u["n"]))), lambda t: t["value"])
-
-
-def with_cell(memory: MemoryConfig, state: Column, cell: Column) -> Column:
-    """``state`` after one more cell."""
+def with_cell(memory: MemoryConfig, state: str, cell: str) -> Column:
+    """The state after one more cell; ``state`` and ``cell`` are SQL."""
     strategy = memory.memory_strategy
-    parts = {name: state[name] for name in ("cells", "tally", "last", "subs")}
+    parts = {name: f"{state}.{name}" for name in ("cells", "tally", "last", "subs")}
+    if strategy.startswith("mw-"):
+        subs = _sub_memories_udf(memory)(F.expr(parts["subs"]), F.expr(cell))
+        same = [F.expr(parts[name]).alias(name) for name in ("cells", "tally", "last")]
+        return F.struct(*same, F.expr(f"{state}.seen + 1").alias("seen"), subs.alias("subs")).cast(STATE)
     if strategy in ("bruteforce", "ls-bruteforce"):
-        parts["cells"] = F.concat(state["cells"], F.array(cell))
+        parts["cells"] = f"concat({parts['cells']}, array({cell}))"
     elif strategy.startswith("ls-"):
-        parts["tally"] = F.when(F.size(state["last"]) > 0, _counted(state["tally"], F.get(state["last"], 0), state["seen"])).otherwise(state["tally"])
-        parts["last"] = F.array(cell)
-    elif strategy.startswith("mw-"):
-        parts["subs"] = _sub_memories_udf(memory)(state["subs"], cell)
+        parts["tally"] = f"if(size({state}.last) > 0, {_counted(parts['tally'], f'{state}.last[0]', f'{state}.seen')}, {parts['tally']})"
+        parts["last"] = f"array({cell})"
     else:
-        parts["tally"] = _counted(state["tally"], cell, state["seen"])
-    return F.struct(
-        parts["cells"].alias("cells"), parts["tally"].alias("tally"), parts["last"].alias("last"), (state["seen"] + 1).alias("seen"), parts["subs"].alias("subs"),
-    ).cast(STATE)
+        parts["tally"] = _counted(parts["tally"], cell, f"{state}.seen")
+    fields = ", ".join(f"'{name}', {parts.get(name, f'{state}.seen + 1')}" for name in ("cells", "tally", "last", "seen", "subs"))
+    return F.expr(f"cast(named_struct({fields}) as {STATE})")
 
 
-def elements(memory: MemoryConfig, state: Column, dtype: ElementType = ElementType.String) -> Column:
-    """array<array<string>> memory of a state column: ``memory_column`` of the cells that it took."""
+def elements(memory: MemoryConfig, state: str, dtype: ElementType = ElementType.String) -> Column:
+    """array<array<string>> memory of a state (SQL): ``memory_column`` of the cells that it took."""
     strategy = memory.memory_strategy
     if strategy in ("bruteforce", "ls-bruteforce"):
-        return state["cells"]
+        return F.expr(f"{state}.cells")
     if strategy.startswith("mw-"):
-        return _sub_words_udf(memory)(state["subs"])
+        return _sub_words_udf(memory)(F.expr(f"{state}.subs"))
     if strategy.endswith("mostfrequent"):
-        found = _most_counted(state["tally"])
+        # a tally is in the order in which its values were first seen
+        found = F.expr(f"transform(filter({state}.tally, e -> e.n = array_max(transform({state}.tally, u -> u.n))), e -> e.value)")
     elif dtype is ElementType.String:
-        found = _median_udf()(state["tally"])
+        found = _median_udf()(F.expr(f"{state}.tally"))
     else:
-        found = F.array().cast(CELLS)
-    return F.concat(found, state["last"]) if strategy.startswith("ls-") else found
+        found = F.expr(f"cast(array() as {CELLS})")
+    return F.concat(found, F.expr(f"{state}.last")) if strategy.startswith("ls-") else found
 
 
 def _entries(tally: list[dict]) -> list[Entry]:

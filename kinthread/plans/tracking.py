@@ -36,24 +36,25 @@ def cells(schema: RecordSchema, i: int):
     return F.when(F.col(field.name).isNull(), F.array().cast(CELLS)).otherwise(F.array(value).cast(CELLS))
 
 
-def _taken(memory: MemoryConfig, state: Column, cell: Column) -> Column:
-    """``state`` after an array of no or one cell."""
-    return F.when(F.size(cell) > 0, with_cell(memory, state, F.get(cell, 0))).otherwise(state)
+def _taken(memory: MemoryConfig, state: str, cell: str) -> Column:
+    """The state after an array of no or one cell."""
+    return F.when(F.expr(f"size({cell}) > 0"), with_cell(memory, state, f"get({cell}, 0)")).otherwise(F.col(state))
 
 
 def births(records: DataFrame, config: TrackingConfig, schema: RecordSchema, frame_idx: int) -> DataFrame:
     """A tracker for every record."""
-    named = records.select("record_idx", *(cells(schema, i).alias(f"c{i}") for i in range(len(schema.fields))))
-    named = named.withColumns({state_name(i): empty_state() for i in range(len(schema.fields))})
+    named = records.select(
+        "record_idx", *(cells(schema, i).alias(f"c{i}") for i in range(len(schema.fields))), *(empty_state().alias(state_name(i)) for i in range(len(schema.fields))),
+    )
     return named.select(
         tracker_id(F.lit(frame_idx), F.col("record_idx")).alias("tracker_id"), F.lit(frame_idx).alias("birth_frame"), F.lit(0).alias("streak"),
-        *(_taken(m, F.col(state_name(i)), F.col(f"c{i}")).alias(state_name(i)) for i, m in enumerate(config.tracker.memories)),
+        *(_taken(m, state_name(i), f"c{i}").alias(state_name(i)) for i, m in enumerate(config.tracker.memories)),
     )
 
 
 def with_memories(trackers: DataFrame, config: TrackingConfig, schema: RecordSchema) -> DataFrame:
     return trackers.select("*", *(
-        elements(m, F.col(state_name(i)), schema.fields[i].dtype).alias(memory_name(i)) for i, m in enumerate(config.tracker.memories)
+        elements(m, state_name(i), schema.fields[i].dtype).alias(memory_name(i)) for i, m in enumerate(config.tracker.memories)
     ))
 
 
@@ -106,7 +107,7 @@ class Tracking:
         new_cells = matches.join(records, "record_idx").select("tracker_id", F.lit(True).alias("matched"), *(cells(schema, i).alias(f"c{i}") for i in range(len(schema.fields))))
         updated = self.trackers.join(new_cells, "tracker_id", "left").select(
             "tracker_id", "birth_frame", F.when(F.col("matched"), 0).otherwise(F.col("streak") + 1).alias("streak"),
-            *(_taken(m, F.col(state_name(i)), F.col(f"c{i}")).alias(state_name(i)) for i, m in enumerate(tracker.memories)),
+            *(_taken(m, state_name(i), f"c{i}").alias(state_name(i)) for i, m in enumerate(tracker.memories)),
         )
         state = alive(updated, tracker.limit_no_match_streak)
         if rules.resolver.resolving_strategy == "best-match":

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -144,3 +145,50 @@ def test_multi_word_memory_and_its_compatible_form():
     compat = MemoryConfig("mw-mostfrequent", 0.6, LV, compat_first_memory=True)
     assert memories.remember(compat, [("emma", "edouard"), ("edouart",), ("edouart",)])[0][0] in ("emma", "edouart")
     assert memories.remember(rules, []) == []
+
+
+def slow_linkage(matrix, threshold):
+    """Every merge looks at the whole matrix."""
+    sim = np.array(matrix, dtype=np.float32)
+    np.fill_diagonal(sim, 0)
+    parts = [[i] for i in range(len(sim))]
+    while len(parts) > 1:
+        pairs = [(-sim[i, j], i, j) for i in range(len(parts)) for j in range(len(parts)) if not np.isnan(sim[i, j])]
+        best, i, j = min(pairs)
+        if not -best > threshold:
+            break
+        i, j = min(i, j), max(i, j)
+        a, b = np.float32(len(parts[i])), np.float32(len(parts[j]))
+        row, column = (sim[i] * a + sim[j] * b) / (a + b), (sim[:, i] * a + sim[:, j] * b) / (a + b)
+        sim[i], sim[:, i] = row, column
+        sim[i, i] = 0
+        parts[i] = sorted(parts[i] + parts[j])
+        last = len(parts) - 1
+        if j != last:
+            sim[j], sim[:, j] = sim[last].copy(), sim[:, last].copy()
+            sim[j, j] = 0
+            parts[j] = parts[last]
+        parts.pop()
+        sim = sim[:last, :last]
+    return parts
+
+
+def test_linkage_equals_a_search_of_the_whole_matrix():
+    rng = np.random.default_rng(5)
+    for n in [1, 2, 3, *rng.integers(2, 16, 250)]:
+        matrix = rng.integers(0, rng.choice([4, 10, 1000]), (n, n)).astype(np.float32) / 1000 * rng.choice([1, 100])
+        if rng.random() < 0.5:
+            matrix = np.maximum(matrix, matrix.T)
+        if rng.random() < 0.3:
+            matrix[rng.random((n, n)) < 0.2] = np.nan
+        threshold = float(rng.choice([0.0, 0.002, 0.3]))
+        assert clustering.average_linkage(matrix, threshold) == slow_linkage(matrix, threshold)
+
+
+def test_linkage_of_many_words_takes_seconds():
+    rng = np.random.default_rng(6)
+    points = rng.random((3000, 2), dtype=np.float32)
+    matrix = 1 - np.abs(points[:, None] - points[None]).sum(axis=2)
+    began = time.time()
+    found = clustering.average_linkage(matrix, 0.9)
+    assert sorted(i for part in found for i in part) == list(range(3000)) and len(found) < 1500 and time.time() - began < 60

@@ -536,9 +536,8 @@ def test_states_equal_whole_histories(spark, rule):
     df = spark.createDataFrame([(i, h) for i, h in enumerate(histories)], "id long, h array<string>")
     df = df.withColumn("state", memories.empty_state())
     for k in range(3):
-        cell = F.array(F.get("h", k))
-        df = df.withColumn("state", F.when(F.size("h") > k, memories.with_cell(rule, F.col("state"), cell)).otherwise(F.col("state")))
-    got = {r.id: [tuple(e) for e in r.m] for r in df.select("id", memories.elements(rule, F.col("state")).alias("m")).collect()}
+        df = df.withColumn("state", F.when(F.size("h") > k, memories.with_cell(rule, "state", f"array(get(h, {k}))")).otherwise(F.col("state")))
+    got = {r.id: [tuple(e) for e in r.m] for r in df.select("id", memories.elements(rule, "state").alias("m")).collect()}
     assert got == {i: memories.remember(rule, [(w,) for w in h[:3]]) for i, h in enumerate(histories)}
     rows = [(i, k, w if (i + k) % 5 else None, "m") for i, h in enumerate(histories) for k, w in enumerate(h)]
     chains_ = spark.createDataFrame(rows, "tracker_id long, frame_idx int, value string, memory string").repartition(3)
