@@ -213,6 +213,9 @@ pairs AS (SELECT w1, w2 FROM whole UNION SELECT w1, w2 FROM part_pairs), {_TRIAN
 each AS (SELECT p1, p2, CAST(sum(e) AS FLOAT) AS total, CAST(1 AS FLOAT) - CAST(count(*) FILTER (e = 0) AS FLOAT) / CAST(count(*) AS FLOAT) AS share FROM part_pairs p JOIN edits USING (w1, w2) GROUP BY p1, p2),
 done AS (SELECT w.w1, w.w2, CASE WHEN p1 IS NULL THEN CAST(e AS FLOAT) ELSE CAST(trunc(total * share) AS FLOAT) END AS e, size FROM whole w JOIN edits USING (w1, w2) LEFT JOIN each ON p1 = w.w1 AND p2 = w.w2)"""
 ORACLES |= {
+    "sim_graphemes": f"WITH RECURSIVE words AS (SELECT DISTINCT replace(replace(p_name, 'e', 'e\u0301'), 'o', '\U0001f469\u200d\U0001f467') AS w FROM part), "
+    f"pairs AS (SELECT a.w AS w1, b.w AS w2 FROM words a, words b), {_TRIANGLE.replace('substr(', 'substring_grapheme(').replace(' length(', ' length_grapheme(').replace('(length(', '(length_grapheme(').replace('[length(', '[length_grapheme(')} "
+    "SELECT w1, w2, round(CAST(CAST(1 AS FLOAT) - CAST(e AS FLOAT) / size AS DOUBLE), 5) AS similarity FROM edits",
     "yearly_csv": f"WITH {FRAMES} SELECT frame_idx, record_idx AS line, name, CASE WHEN frame_idx <> 2 THEN origin END AS origin, code FROM frames",
     "blocked_substring": _blocked(f"pairs AS (SELECT * FROM whole), {_TRIANGLE}, done AS (SELECT * FROM edits)", "greatest(e - 0.6 * longest, 0)"),
     "blocked_multiword": _blocked(_BY_PARTS, "e"),
@@ -233,6 +236,17 @@ pairs AS (SELECT DISTINCT x.word AS w1, y.word AS w2 FROM listed x JOIN listed y
 SELECT g AS code, CAST(cluster AS INTEGER) AS cluster, string_agg(word, ',' ORDER BY spot) AS members FROM n_cluster JOIN n_placed USING (g, spot) GROUP BY g, cluster""",
     "tracking_end_to_end": _RUN + " SELECT * FROM chain",
     "tracking_simple": f"WITH RECURSIVE {FRAMES}, {parts.tracking(5, 0.6137, 2, 'simple')} SELECT * FROM chain",
+    "tracking_distances": _RUN + " SELECT tracker_id, frame_idx, record_idx, " + ", ".join(f"round(CAST(distances[{i + 1}] AS DOUBLE), 4) AS d{i}" for i in range(4)) + " FROM scores",
+    "tracking_memories": _RUN + " " + " UNION ALL ".join(
+        f"SELECT a.tracker_id, CAST({k} AS INTEGER) AS frame_idx, " + ", ".join(f"coalesce(m{i}.median, '') AS {n}" for i, n in enumerate(parts.STRINGS)) + f" FROM alive{k - 1} a "
+        + " ".join(f"LEFT JOIN t{k}_median m{i} ON m{i}.g = a.tracker_id * 3 + {i}" for i in range(3)) for k in range(1, 5)
+    ),
+    "conflict_ratios": f"""WITH RECURSIVE {FRAMES}, {parts.tracking(5, 0.6137, 2, 'simple')},
+e AS (SELECT frame_idx, record_idx, lag(frame_idx) OVER (PARTITION BY tracker_id ORDER BY frame_idx) AS before FROM chain),
+i AS (SELECT frame_idx, record_idx, count(before) AS n FROM e GROUP BY ALL)
+SELECT f.frame_idx, round(CAST(CAST(CAST(count(*) FILTER (n >= 1) AS DOUBLE) / count(*) AS FLOAT) AS DOUBLE), 4) AS records_match_ratio,
+  round(CAST(CAST(CAST(count(*) FILTER (n >= 2) AS DOUBLE) / count(*) AS FLOAT) AS DOUBLE), 4) AS conflict_ratio
+FROM frames f LEFT JOIN i USING (frame_idx, record_idx) GROUP BY f.frame_idx""",
     "tracking_diagnostics": _RUN + " SELECT tracker_id, frame_idx, record_idx, round(CAST(score AS DOUBLE), 5) AS score, CAST(4 AS INTEGER) AS n_features FROM scores",
     "tracking_histograms": _RUN + ", " + _dense("record_idx", "SELECT frame_idx, record_idx AS id FROM frames WHERE frame_idx > 0", "tracker_id")
     + ", " + _dense("tracker_id", "SELECT frame_idx, tracker_id AS id FROM live", "record_idx")

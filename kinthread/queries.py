@@ -122,6 +122,14 @@ def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select(F.col("p_name").alias("w1")).crossJoin(names.select(F.col("p_name").alias("w2")))
 
 
+def sim_graphemes(spark, sf_dir):
+    """Similarities of words whose letters are several code points: accents that combine, joined emoji."""
+    pairs = word_pairs(spark, sf_dir)
+    odd = {w: F.replace(F.replace(F.col(w), F.lit("e"), F.lit("e\u0301")), F.lit("o"), F.lit("\U0001f469\u200d\U0001f467")) for w in ("w1", "w2")}
+    pairs = pairs.withColumns(odd)
+    return pairs.withColumn("similarity", F.round(similarity.similarity_udf(OPTI)("w1", "w2").cast("double"), 5))
+
+
 def _frame(records: DataFrame, k: int) -> DataFrame:
     return records.where(F.col("frame_idx") == k)
 
@@ -495,6 +503,25 @@ def tracking_diagnostics(spark, sf_dir):
     return found.select("tracker_id", "frame_idx", "record_idx", F.round(F.col("score").cast("double"), 5).alias("score"), F.size("distances").alias("n_features"))
 
 
+def tracking_distances(spark, sf_dir):
+    """Similarities of every feature of every interesting pair of a run."""
+    found = _tracked(spark, sf_dir)[0].diag_records
+    return found.select("tracker_id", "frame_idx", "record_idx", *(F.round(F.get("distances", i).cast("double"), 4).alias(f"d{i}") for i in range(4)))
+
+
+def tracking_memories(spark, sf_dir):
+    """What the trackers of a run remember of their strings when they meet each frame."""
+    words = [F.array_join(F.get("memory", i), ",").alias(n) for i, n in enumerate(STRINGS.names)]
+    return _tracked(spark, sf_dir)[0].diag_memory.select("tracker_id", "frame_idx", *words)
+
+
+def conflict_ratios(spark, sf_dir):
+    """Ratios of a run whose trackers may share records."""
+    graph = _tracked(spark, sf_dir, resolver_config=ResolverConfig("simple"))[0]
+    found = E.graph_properties(graph.chain_nodes, graph.nodes)
+    return found.select("frame_idx", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in ("records_match_ratio", "conflict_ratio")))
+
+
 def tracking_histograms(spark, sf_dir):
     text = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("histogram_record_matchs", "histogram_tracker_matchs")}
     return _tracked(spark, sf_dir)[0].diag_resolving.withColumns(text)
@@ -553,7 +580,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sim_lv_substring": _similarity(DistanceMetricConfig("lv_substring", lv_substring_weight=0.6)),
     "sim_lv_edit": _similarity(DistanceMetricConfig("lv_edit", lv_edit_weights=(0.5, 1.0, 1.5))),
     "sim_lv_multiword": _similarity(DistanceMetricConfig("lv_multiword", lv_multiword_separator=" ")),
-    "multi_similarity": multi_similarity, "score_average": _scored(RecordScorerConfig()),
+    "sim_graphemes": sim_graphemes, "multi_similarity": multi_similarity, "score_average": _scored(RecordScorerConfig()),
     "score_weighted": _scored(WEIGHTED), "score_quadratic": _scored(QUADRATIC), "interest_filter": interest_filter,
     "blocked_scores": _blocked(0.4137), "blocked_scores_060": _blocked(0.6037), "blocked_scores_079": _blocked(0.7937),
     "blocked_substring": _blocked(0.6037, DistanceMetricConfig("lv_substring", lv_substring_weight=0.6)),
@@ -578,6 +605,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mean_consistency": mean_consistency, "results_in_box": results_in_box, "group_results": group_results,
     "column_distance_sum": column_distance_sum, "product_distance_sum": product_distance_sum,
     "chain_records": chain_records, "sampled_chains": sampled_chains, "tracking_end_to_end": tracking_end_to_end, "tracking_defaults": tracking_defaults,
+    "tracking_distances": tracking_distances, "tracking_memories": tracking_memories, "conflict_ratios": conflict_ratios,
     "tracking_simple": tracking_simple, "tracking_diagnostics": tracking_diagnostics,
     "tracking_histograms": tracking_histograms, "memory_distances": memory_distances,
     "materialize_chain": materialize_chain, "normalize_end_to_end": normalize_end_to_end,

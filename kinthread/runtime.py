@@ -67,6 +67,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any store that Spark writes."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release() -> int:
     """Remove all scratch tables made so far; returns how many.
 
@@ -75,10 +81,8 @@ def release() -> int:
     """
     count = 0
     while _SCRATCH:
-        spark, path = _SCRATCH.pop()
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            remove(*_SCRATCH.pop())
             count += 1
         except Exception:  # the session may be gone already
             pass

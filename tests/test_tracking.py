@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import math
 import random
@@ -420,6 +421,23 @@ def test_stored_graph(graph, tmp_path, spark):
         holder.take_graph()
 
 
+def test_a_broken_save_leaves_the_version_before(graph, tmp_path, spark, monkeypatch):
+    path = str(tmp_path / "graph")
+    tables.save_graph(graph, path)
+    kept = tables.read_graph(spark, path)
+    broken = dataclasses.replace(graph, nodes=graph.nodes.withColumn("record_idx", F.raise_error(F.lit("lost")).cast("long")))
+    with pytest.raises(Exception, match="lost"):
+        tables.save_graph(broken, path)
+    assert chains(tables.read_graph(spark, path)) == chains(graph) and tables.read_graph(spark, path).nodes.count() == graph.nodes.count()
+    # a graph read from a store may be saved there again
+    fewer = dataclasses.replace(kept, chain_nodes=kept.chain_nodes.where("frame_idx = 0"))
+    tables.save_graph(fewer, path)
+    assert tables.read_graph(spark, path).chain_nodes.count() == graph.chain_nodes.where("frame_idx = 0").count()
+    assert tables.prune_graph(spark, path) == 1 and tables.prune_graph(spark, path) == 0
+    assert tables.read_graph(spark, path).diag_records.count() == graph.diag_records.count()
+    assert not (tmp_path / "none").exists()
+
+
 def test_csv_and_lists(spark, register, tmp_path):
     tables.write_yearly_csv(register, str(tmp_path / "out"))
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
