@@ -42,9 +42,10 @@ def test_pipeline_drops_texts_of_similarity_four_fifths(spark):
     assert not {177, 145} & set(got)  # copies of 1 and 6 with J 0.83, 11 and 7 bits of their fingerprints apart
 
 
-@pytest.mark.parametrize("frequent", [jaccard.FREQUENT, 1])
-def test_every_pair_is_found_at_the_border_and_in_dense_groups(spark, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "known"), [(jaccard.FREQUENT, jaccard.KNOWN), (1, jaccard.KNOWN), (jaccard.FREQUENT, 0)])
+def test_every_pair_is_found_at_the_border_and_in_dense_groups(spark, monkeypatch, frequent, known):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "KNOWN", known)  # with 0 all prefixes travel
     rng = random.Random(4)
     words = [f"w{i}" for i in range(400)]
     rows = [(0, None), (1, ""), (2, " \n"), (3, "One"), (4, "one two"), (5, "ONE  two")]
