@@ -441,5 +441,12 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their group of near duplicates, unchanged; see simhash.keep_first."""
+    """The rows of ``docs`` that stand for their group of near duplicates, unchanged; see simhash.keep_first.
+
+    A group is what links of a Jaccard similarity of 0.8 or more reach, over
+    sets of five-word shingles of whole texts (fewer words: all of them). Null
+    texts, empty ones and those without a word are one group. A group keeps its
+    smallest doc_id, null last; of rows that share it, one by their hash. Columns
+    of any names and types stay; no rows give none.
+    """
     return keep_first(docs, grouped(docs))

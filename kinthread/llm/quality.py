@@ -185,7 +185,11 @@ def clean(
 ) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, without the lines that it removes, other lines in order.
 
-    n_chars, if there, is recounted; other columns, of any names, stay as they are.
+    n_chars, if there, is recounted; other columns, of any names, stay as they
+    are. Null and empty texts have no words, fail the base rules and go.
+    Repeated rows are judged alike, each by itself; a line that they share is
+    of one document (one doc_id). Texts are whole however long, lines without a
+    word stay. A null source is a host of its own. No rows give none.
     """
     columns = docs.columns
     held = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*columns).alias("held")), "documents")

@@ -352,7 +352,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_harmless(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the model doesn't call toxic, unchanged."""
+    """The rows of ``docs`` that the model scores under 0.5, unchanged.
+
+    Every row is judged by its whole text, however long: repeated rows alike,
+    null and empty texts as a text without a word. Only text is read; columns
+    of any names stay. No rows give none.
+    """
 
     @F.pandas_udf("boolean")
     def harmless(text: pd.Series) -> pd.Series:

@@ -230,3 +230,23 @@ def test_repeat_words_of_many_repeats(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.n for r in df.select("i", quality.repeat_words(quality.words_of(df["t"])).alias("n")).collect()}
     assert got == {i: slow_base(t)[4] for i, t in enumerate(texts)}
+
+
+def test_clean_takes_odd_rows_and_none(spark):
+    def body(k):
+        return "\n".join(" ".join(f"w{k}x{i}x{j}" for j in range(12)) for i in range(6))
+
+    schema = "doc_id long, text string, source string, n_chars int, row string, held string, gone string, salt string, lines string, kept string"
+    extra = ("r", "h", "g", "s", "l", "k")
+    rows = [(i, f"{body(i)}\nthe same footer\n\n", None if i % 2 else "s", 1, *extra) for i in range(30)]
+    rows += [rows[3], rows[3], (100, None, "s", 1, *extra), (101, "", None, 1, *extra), (None, body(200), "t", 1, *extra), (102, body(201) + "\n" + "long " + "y z q " * 40_000, "u", 1, *extra)]
+    docs = spark.createDataFrame(rows, schema)
+    got = quality.clean(docs, line_docs=14).collect()
+    assert quality.clean(docs).columns == docs.columns and quality.clean(docs.where("false")).collect() == []
+    assert {r.doc_id for r in got} <= {*range(30), None} and all(tuple(r)[4:] == extra for r in got)
+    judged = {(r.doc_id, r.kept) for r in quality.judge(docs, line_docs=14).collect()}
+    assert {r.doc_id for r in got} == {i for i, kept in judged if kept} and (100, False) in judged and (101, False) in judged
+    assert len(got) == 33 and {*range(30), None} == {r.doc_id for r in got}  # 102 repeats itself
+    for r in got:
+        want = body(200) if r.doc_id is None else body(r.doc_id) + "\n\n"
+        assert r.text == want and r.n_chars == (1 if r.doc_id is None else len(want))
