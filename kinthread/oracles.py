@@ -241,7 +241,7 @@ SELECT g AS code, CAST(cluster AS INTEGER) AS cluster, string_agg(word, ',' ORDE
         f"SELECT a.tracker_id, CAST({k} AS INTEGER) AS frame_idx, " + ", ".join(f"coalesce(m{i}.median, '') AS {n}" for i, n in enumerate(parts.STRINGS)) + f" FROM alive{k - 1} a "
         + " ".join(f"LEFT JOIN t{k}_median m{i} ON m{i}.g = a.tracker_id * 3 + {i}" for i in range(3)) for k in range(1, 5)
     ),
-    "conflict_ratios": f"""WITH RECURSIVE {FRAMES}, {parts.tracking(5, 0.6137, 2, 'simple')},
+    "conflict_ratios": f"""WITH RECURSIVE {FRAMES}, {parts.tracking(5, 0.3137, 2, 'simple')},
 e AS (SELECT frame_idx, record_idx, lag(frame_idx) OVER (PARTITION BY tracker_id ORDER BY frame_idx) AS before FROM chain),
 i AS (SELECT frame_idx, record_idx, count(before) AS n FROM e GROUP BY ALL)
 SELECT f.frame_idx, round(CAST(CAST(CAST(count(*) FILTER (n >= 1) AS DOUBLE) / count(*) AS FLOAT) AS DOUBLE), 4) AS records_match_ratio,

@@ -474,11 +474,11 @@ def chain_records(spark, sf_dir):
 # -------------------------------------------------------------- whole processes
 
 
-def _tracked(spark, sf_dir, **changes):
+def _tracked(spark, sf_dir, threshold: float = 0.6137, **changes):
     """A run over the five frames: names, origins and codes remember their median word, members all lists."""
     rules = config(
         SCHEMA, LV, memory_config=MemoryConfig("median"), multistring_memory_config=MemoryConfig("bruteforce"),
-        interest_threshold=0.6137, limit_no_match_streak=2, **changes,
+        interest_threshold=threshold, limit_no_match_streak=2, **changes,
     )
     records = frames_table(spark, sf_dir)
     return tracking.track(rules, SCHEMA, records), records
@@ -516,8 +516,8 @@ def tracking_memories(spark, sf_dir):
 
 
 def conflict_ratios(spark, sf_dir):
-    """Ratios of a run whose trackers may share records."""
-    graph = _tracked(spark, sf_dir, resolver_config=ResolverConfig("simple"))[0]
+    """Ratios of a run of a low threshold whose trackers may share records, as some do."""
+    graph = _tracked(spark, sf_dir, 0.3137, resolver_config=ResolverConfig("simple"))[0]
     found = E.graph_properties(graph.chain_nodes, graph.nodes)
     return found.select("frame_idx", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in ("records_match_ratio", "conflict_ratio")))
 
