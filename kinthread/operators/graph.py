@@ -22,7 +22,8 @@ class TrackingGraph:
     chain_nodes (tracker_id, frame_idx, record_idx); nodes (frame_idx,
     record_idx), matched or not; diag_records (tracker_id, frame_idx,
     record_idx, score, distances); diag_memory (tracker_id, frame_idx, memory);
-    diag_resolving (frame_idx, histogram_record_matchs, histogram_tracker_matchs).
+    diag_resolving (frame_idx, histogram_record_matchs, histogram_tracker_matchs);
+    diag_pairs (possible, met, kept, new_words, frame_idx).
     """
 
     chain_nodes: DataFrame
@@ -30,6 +31,7 @@ class TrackingGraph:
     diag_records: DataFrame | None = None
     diag_memory: DataFrame | None = None
     diag_resolving: DataFrame | None = None
+    diag_pairs: DataFrame | None = None
 
     @property
     def trackers_ids(self) -> DataFrame:

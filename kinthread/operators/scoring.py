@@ -14,6 +14,8 @@ from kinthread.config import DistanceMetricConfig, RecordScorerConfig
 from kinthread.functions.scorers import interesting, score
 from kinthread.functions.similarity import similarities, similarity_table
 from kinthread.operators.candidates import SAMPLE, candidates, memory_name
+from kinthread.operators.word_pairs import WordPairs, joined_similarities
+from kinthread.runtime import stored
 from kinthread.schema import ElementType, RecordSchema
 
 #: Pairs up to which every tracker meets every record; beyond, pairs are blocked
@@ -228,19 +230,31 @@ def nested_loop(
 
 def score_pairs(
     trackers: DataFrame, records: DataFrame, schema: RecordSchema, metric: DistanceMetricConfig,
-    scorer: RecordScorerConfig, threshold: float, all_pairs: int = ALL_PAIRS,
+    scorer: RecordScorerConfig, threshold: float, all_pairs: int = ALL_PAIRS, words: WordPairs | None = None, counts: dict[str, int] | None = None,
 ) -> DataFrame:
     """(tracker_id, record_idx, score, distances) of all pairs that score over ``threshold``.
 
     Few pairs: all trackers meet all records. Many: the candidates that the
     threshold leaves (see ``candidates``). Where it leaves all, as one of 0
     does, all trackers meet the records in blocks of BROADCAST_RECORDS.
+
+    With ``words`` (of ``metric``) pairs of any number are candidates, if the
+    threshold bounds them, and their similarities are joined from that table.
+    ``counts`` takes the pairs that could meet, those that met, and the word
+    pairs that were new (0 without a table); they are counts of stored rows, so
+    a task that was run again adds nothing.
     """
     n, m = trackers.count(), records.count()
     pairs = None
-    if n * m > all_pairs:
+    if words is not None or n * m > all_pairs:
         pairs = candidates(trackers, records, schema, metric, scorer, threshold, lacking(trackers, records, schema, metric, scorer))
-    if pairs is not None:
+    met, new = n * m, 0
+    if pairs is not None and (words is not None or counts is not None):
+        pairs = stored(pairs.select("tracker_id", "record_idx", *(memory_name(i) for i in range(len(schema.fields))), *schema.names), "candidates")
+        met = pairs.count()
+    if pairs is not None and words is not None:
+        found, new = joined_similarities(pairs, schema, words)
+    elif pairs is not None:
         found = pair_similarities(pairs, schema, metric)
     else:
         blocks = max(1, -(-m // BROADCAST_RECORDS))
@@ -249,6 +263,8 @@ def score_pairs(
         for i in range(blocks):
             some = nested_loop(trackers, records.where(part == i), schema, metric, scorer, threshold)
             found = some if found is None else found.union(some)
+    if counts is not None:
+        counts.update(possible=n * m, met=met, new_words=new)
     by_feature = [F.get("distances", i) for i in range(len(schema.fields))]
     return (
         found.withColumn("score", score(scorer, by_feature)).where(interesting(F.col("score"), threshold))

@@ -16,10 +16,15 @@ from kinthread.operators.frames import records_of
 from kinthread.operators.graph import TrackingGraph
 from kinthread.operators.resolution import alive, resolve, unmatched_records
 from kinthread.operators.scoring import memory_name, score_pairs
+from kinthread.operators.word_pairs import WordPairs
 from kinthread.runtime import scratch_path, ship
 from kinthread.schema import ElementType, RecordSchema
 
 
+#: What a frame's scoring met.
+PAIR_COUNTS = "possible long, met long, kept long, new_words long"
+
+
 def state_name(i: int) -> str:
     return f"s{i}"
 
@@ -67,14 +72,18 @@ class Tracking:
     (frames, memories, scores, matches) lie in ``folder``, a partition a frame,
     so lineage and plans don't grow with the frames, and nothing is kept on the
     driver but the number of the frame. A frame that is stepped again, after a
-    driver was lost, writes its partitions anew.
+    driver was lost, writes its partitions anew. With ``words`` (of the
+    configuration's metric) similarities come from that table of word pairs,
+    which may outlive the run.
     """
 
-    def __init__(self, config: TrackingConfig, schema: RecordSchema, folder: str | None = None):
+    def __init__(self, config: TrackingConfig, schema: RecordSchema, folder: str | None = None, words: WordPairs | None = None):
         if len(config.tracker.memories) != len(schema.fields):
             raise ValueError("one memory a feature is needed")
         config.tracker.record_scorer.check(len(schema.fields))
-        self.config, self.schema, self.frame_idx = config, schema, -1
+        if words is not None and words.metric != config.distance_metric:
+            raise ValueError("the word pairs are of another metric")
+        self.config, self.schema, self.words, self.frame_idx = config, schema, words, -1
         self.folder = folder.rstrip("/") if folder else None
         self.trackers: DataFrame | None = None
 
@@ -102,7 +111,11 @@ class Tracking:
             return
         columns = ["tracker_id", *(memory_name(i) for i in range(len(schema.fields)))]
         known = self._put("memories", with_memories(self.trackers, rules, schema).select(*columns))
-        scores = self._put("scores", score_pairs(known, records, schema, rules.distance_metric, tracker.record_scorer, tracker.interest_threshold))
+        counts: dict[str, int] = {}
+        scores = self._put("scores", score_pairs(
+            known, records, schema, rules.distance_metric, tracker.record_scorer, tracker.interest_threshold, words=self.words, counts=counts,
+        ))
+        self._put("pairs", known.sparkSession.createDataFrame([(counts["possible"], counts["met"], scores.count(), counts["new_words"])], PAIR_COUNTS))
         matches = self._put("matches", resolve(scores, rules.resolver.resolving_strategy).select("tracker_id", "record_idx"))
         new_cells = matches.join(records, "record_idx").select("tracker_id", F.lit(True).alias("matched"), *(cells(schema, i).alias(f"c{i}") for i in range(len(schema.fields))))
         updated = self.trackers.join(new_cells, "tracker_id", "left").select(
@@ -129,7 +142,7 @@ class Tracking:
         if not self.frame_idx:
             born = begun.select(tracker_id(F.col("frame_idx"), F.col("record_idx")).alias("tracker_id"), "frame_idx", "record_idx")
             return TrackingGraph(born, nodes)
-        matches, scores, known = (self._table(name) for name in ("matches", "scores", "memories"))
+        matches, scores, known, met = (self._table(name) for name in ("matches", "scores", "memories", "pairs"))
         if self.config.resolver.resolving_strategy == "best-match":
             begun = nodes.join(matches.select("frame_idx", "record_idx"), ["frame_idx", "record_idx"], "left_anti")
         born = begun.select(tracker_id(F.col("frame_idx"), F.col("record_idx")).alias("tracker_id"), "frame_idx", "record_idx")
@@ -148,17 +161,17 @@ class Tracking:
         )
         return TrackingGraph(
             matches.select("tracker_id", "frame_idx", "record_idx").union(born), nodes,
-            scores.select("tracker_id", "frame_idx", "record_idx", "score", "distances"), memory, resolving,
+            scores.select("tracker_id", "frame_idx", "record_idx", "score", "distances"), memory, resolving, met,
         )
 
 
-def track(config: TrackingConfig, schema: RecordSchema, records: DataFrame) -> TrackingGraph:
+def track(config: TrackingConfig, schema: RecordSchema, records: DataFrame, words: WordPairs | None = None) -> TrackingGraph:
     """The graph of a records table (frame_idx, record_idx, features)."""
     ship(records.sparkSession)
     top = records.agg(F.max("frame_idx")).first()[0]
     if top is None:
         raise ValueError("no frames")
-    run = Tracking(config, schema)
+    run = Tracking(config, schema, words=words)
     for k in range(top + 1):
         run.step(records.where(F.col("frame_idx") == k))
     return run.graph()

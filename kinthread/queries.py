@@ -21,6 +21,7 @@ from kinthread.operators import evaluation as E
 from kinthread.operators import frames as R
 from kinthread.operators import graph as G
 from kinthread.operators import resolution, scoring
+from kinthread.operators.word_pairs import WordPairs
 from kinthread.plans import normalization, tracking
 from kinthread.runtime import scratch_path
 from kinthread.schema import ElementType, FieldSchema, RecordSchema
@@ -474,14 +475,14 @@ def chain_records(spark, sf_dir):
 # -------------------------------------------------------------- whole processes
 
 
-def _tracked(spark, sf_dir, threshold: float = 0.6137, **changes):
+def _tracked(spark, sf_dir, threshold: float = 0.6137, words: WordPairs | None = None, **changes):
     """A run over the five frames: names, origins and codes remember their median word, members all lists."""
     rules = config(
         SCHEMA, LV, memory_config=MemoryConfig("median"), multistring_memory_config=MemoryConfig("bruteforce"),
         interest_threshold=threshold, limit_no_match_streak=2, **changes,
     )
     records = frames_table(spark, sf_dir)
-    return tracking.track(rules, SCHEMA, records), records
+    return tracking.track(rules, SCHEMA, records, words), records
 
 
 def tracking_defaults(spark, sf_dir):
@@ -494,6 +495,19 @@ def tracking_end_to_end(spark, sf_dir):
     return _tracked(spark, sf_dir)[0].chain_nodes
 
 
+def tracking_word_pairs(spark, sf_dir):
+    """A run whose similarities come from a table of word pairs."""
+    return _tracked(spark, sf_dir, words=WordPairs(spark, LV))[0].diag_records.select(
+        "tracker_id", "frame_idx", "record_idx", F.round(F.col("score").cast("double"), 5).alias("score"),
+        *(F.round(F.get("distances", i).cast("double"), 4).alias(f"d{i}") for i in range(4)),
+    )
+
+
+def tracking_pairs(spark, sf_dir):
+    """Pairs that a run's frames could meet, and those over the threshold."""
+    return _tracked(spark, sf_dir)[0].diag_pairs.select("frame_idx", "possible", "kept")
+
+
 def tracking_simple(spark, sf_dir):
     return _tracked(spark, sf_dir, resolver_config=ResolverConfig("simple"))[0].chain_nodes
 
@@ -606,7 +620,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "column_distance_sum": column_distance_sum, "product_distance_sum": product_distance_sum,
     "chain_records": chain_records, "sampled_chains": sampled_chains, "tracking_end_to_end": tracking_end_to_end, "tracking_defaults": tracking_defaults,
     "tracking_distances": tracking_distances, "tracking_memories": tracking_memories, "conflict_ratios": conflict_ratios,
-    "tracking_simple": tracking_simple, "tracking_diagnostics": tracking_diagnostics,
+    "tracking_word_pairs": tracking_word_pairs, "tracking_pairs": tracking_pairs, "tracking_simple": tracking_simple, "tracking_diagnostics": tracking_diagnostics,
     "tracking_histograms": tracking_histograms, "memory_distances": memory_distances,
     "materialize_chain": materialize_chain, "normalize_end_to_end": normalize_end_to_end,
 }

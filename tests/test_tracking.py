@@ -14,7 +14,7 @@ from kinthread.operators import candidates, components
 from kinthread.operators import evaluation as E
 from kinthread.operators import frames as R
 from kinthread.operators import graph as G
-from kinthread.operators import resolution, scoring
+from kinthread.operators import resolution, scoring, word_pairs
 from kinthread.plans import normalization, sweep, tracking
 from kinthread.runtime import stored
 from kinthread.serialization import deserialize, serialize
@@ -179,6 +179,42 @@ def sparse_sides(spark, seed=11, n=60):
     )
 
 
+@pytest.mark.parametrize("metric", ["lv", "lv_multiword"])
+def test_word_pairs_give_the_same_scores_once(spark, metric):
+    trackers, records, schema = sparse_sides(spark)
+    rule = (METRICS | LIST_METRICS)[metric]
+    table = word_pairs.WordPairs(spark, rule)
+
+    def run(some, counts):
+        found = scoring.score_pairs(trackers, some, schema, rule, SCORERS["average"], 0.6, words=table, counts=counts)
+        return {(r.tracker_id, r.record_idx): (r.score, r.distances) for r in found.collect()}
+
+    whole = scoring.score_pairs(trackers, records, schema, rule, SCORERS["average"], 0.6, all_pairs=10**9)
+    want, counts = {(r.tracker_id, r.record_idx): (r.score, r.distances) for r in whole.collect()}, [{}, {}, {}]
+    half = records.where("record_idx % 2 = 0")
+    assert run(half, counts[0]) == {k: v for k, v in want.items() if k[1] % 2 == 0} and run(records, counts[1]) == want and len(want) >= 20
+    # nothing is new the third time, and no pair was computed twice
+    assert run(records, counts[2]) == want and counts[2]["new_words"] == 0 < counts[0]["new_words"]
+    stored = table.table()
+    assert stored.count() == stored.select("left_word", "right_word").distinct().count() == counts[0]["new_words"] + counts[1]["new_words"]
+    assert counts[2]["possible"] == trackers.count() * records.count() > counts[2]["met"] >= len(want)
+
+
+def test_joined_similarities_of_odd_cells(spark):
+    """Null and empty memories, cells and words; NaN of two empty words; fields named like the columns used inside."""
+    schema = K.RecordSchema([K.FieldSchema("w", K.ElementType.String), K.FieldSchema("part", K.ElementType.MultiStrings)])
+    memories_ = [None, [], [[""]], [["ab"], [""]], [["abc"], ["abd"]]]
+    lists = [None, [], [[]], [["ab", "cd"], []], [["", "x"]], [["a", "b", "ab"], ["b"]]]
+    left = spark.createDataFrame([(i * 10 + j, m, n) for i, m in enumerate(memories_) for j, n in enumerate(lists)], f"tracker_id long, m0 {memories.CELLS}, m1 {memories.CELLS}")
+    cells, others = [None, "", "ab", "é"], [None, [], [""], ["ab", "b", "b"]]
+    right = spark.createDataFrame([(i * 10 + j, c, d) for i, c in enumerate(cells) for j, d in enumerate(others)], "record_idx long, w string, part array<string>")
+    pairs = left.join(right, F.col("tracker_id") >= 0)
+    want = scoring.pair_similarities(pairs, schema, K.DistanceMetricConfig("lv"))
+    got, _ = word_pairs.joined_similarities(pairs, schema, word_pairs.WordPairs(spark, K.DistanceMetricConfig("lv")))
+    a, b = ({(r.tracker_id, r.record_idx): str(r.distances) for r in d.collect()} for d in (want, got))
+    assert a == b and len(a) == 480
+
+
 @pytest.mark.parametrize(("name", "threshold", "metrics"), [("average", 0.6, ["lv", "lv_multiword"]), ("weighted", 0.7, ["lv"]), ("quadratic", 0.5, ["lv_edit"])])
 def test_threshold_sums_lose_no_pair(spark, name, threshold, metrics):
     trackers, records, schema = sparse_sides(spark)
