@@ -50,10 +50,11 @@ def mutual_best(scores: DataFrame, together: int | None = None) -> DataFrame:
     rising scores, what is left is cut into connected components: those of up to
     ``together`` pairs (TOGETHER) are settled as a whole, many in a task; of
     larger ones the better half of the pairs comes first, by itself, which is
-    what the order does anyway. Rounds are stored, so lineage stays short.
+    what the order does anyway. Rounds are stored, so lineage stays short. A
+    column ``tie`` of ``scores`` is taken instead of the hash.
     """
     together = TOGETHER if together is None else together
-    left = scores.select("tracker_id", "record_idx", "score").withColumn("tie", tie(F.col("tracker_id"), F.col("record_idx")))
+    left = scores.select("tracker_id", "record_idx", "score", F.col("tie") if "tie" in scores.columns else tie(F.col("tracker_id"), F.col("record_idx")).alias("tie"))
     return _matched(stored(left, "pairs"), together)
 
 

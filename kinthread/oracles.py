@@ -240,6 +240,10 @@ SELECT g AS code, CAST(cluster AS INTEGER) AS cluster, string_agg(word, ',' ORDE
     "tracking_word_pairs": _RUN + " SELECT tracker_id, frame_idx, record_idx, round(CAST(score AS DOUBLE), 5) AS score, " + ", ".join(f"round(CAST(distances[{i + 1}] AS DOUBLE), 4) AS d{i}" for i in range(4)) + " FROM scores",
     "tracking_pairs": _RUN + """ SELECT l.frame_idx, t * r AS possible, coalesce(kept, 0) AS kept FROM (SELECT frame_idx, count(*) AS t FROM live GROUP BY frame_idx) l
 JOIN (SELECT frame_idx, count(*) AS r FROM frames GROUP BY frame_idx) f USING (frame_idx) LEFT JOIN (SELECT frame_idx, count(*) AS kept FROM scores GROUP BY frame_idx) s USING (frame_idx)""",
+    "sweep_chains": " UNION ALL ".join(
+        f"SELECT CAST({n} AS INTEGER) AS config, * FROM (WITH RECURSIVE {FRAMES}, {parts.tracking(5, threshold, limit, strategy)} SELECT * FROM chain)"
+        for n, (threshold, limit, strategy) in enumerate(((0.6137, 2, "best-match"), (0.6137, 2, "simple"), (0.4137, 1, "simple"), (0.7137, 1, "best-match")))
+    ),
     "tracking_memories": _RUN + " " + " UNION ALL ".join(
         f"SELECT a.tracker_id, CAST({k} AS INTEGER) AS frame_idx, " + ", ".join(f"coalesce(m{i}.median, '') AS {n}" for i, n in enumerate(parts.STRINGS)) + f" FROM alive{k - 1} a "
         + " ".join(f"LEFT JOIN t{k}_median m{i} ON m{i}.g = a.tracker_id * 3 + {i}" for i in range(3)) for k in range(1, 5)

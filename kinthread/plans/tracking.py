@@ -41,7 +41,7 @@ def cells(schema: RecordSchema, i: int):
     return F.when(F.col(field.name).isNull(), F.array().cast(CELLS)).otherwise(F.array(value).cast(CELLS))
 
 
-def _taken(memory: MemoryConfig, state: str, cell: str) -> Column:
+def taken(memory: MemoryConfig, state: str, cell: str) -> Column:
     """The state after an array of no or one cell."""
     return F.when(F.expr(f"size({cell}) > 0"), with_cell(memory, state, f"get({cell}, 0)")).otherwise(F.col(state))
 
@@ -53,7 +53,7 @@ def births(records: DataFrame, config: TrackingConfig, schema: RecordSchema, fra
     )
     return named.select(
         tracker_id(F.lit(frame_idx), F.col("record_idx")).alias("tracker_id"), F.lit(frame_idx).alias("birth_frame"), F.lit(0).alias("streak"),
-        *(_taken(m, state_name(i), f"c{i}").alias(state_name(i)) for i, m in enumerate(config.tracker.memories)),
+        *(taken(m, state_name(i), f"c{i}").alias(state_name(i)) for i, m in enumerate(config.tracker.memories)),
     )
 
 
@@ -99,6 +99,10 @@ class Tracking:
         first = spark.read.parquet(f"{path}/frame_idx={self.frame_idx}").schema
         return spark.read.schema(T.StructType([*first, T.StructField("frame_idx", T.IntegerType())])).parquet(path).where(F.col("frame_idx") <= self.frame_idx)
 
+    def _pairs(self) -> DataFrame | None:
+        """(possible, met, kept, new_words, frame_idx)."""
+        return self._table("pairs")
+
     def step(self, records: DataFrame) -> None:
         """``records`` (record_idx, features) of the next frame."""
         self.frame_idx += 1
@@ -120,7 +124,7 @@ class Tracking:
         new_cells = matches.join(records, "record_idx").select("tracker_id", F.lit(True).alias("matched"), *(cells(schema, i).alias(f"c{i}") for i in range(len(schema.fields))))
         updated = self.trackers.join(new_cells, "tracker_id", "left").select(
             "tracker_id", "birth_frame", F.when(F.col("matched"), 0).otherwise(F.col("streak") + 1).alias("streak"),
-            *(_taken(m, state_name(i), f"c{i}").alias(state_name(i)) for i, m in enumerate(tracker.memories)),
+            *(taken(m, state_name(i), f"c{i}").alias(state_name(i)) for i, m in enumerate(tracker.memories)),
         )
         state = alive(updated, tracker.limit_no_match_streak)
         if rules.resolver.resolving_strategy == "best-match":
@@ -142,7 +146,7 @@ class Tracking:
         if not self.frame_idx:
             born = begun.select(tracker_id(F.col("frame_idx"), F.col("record_idx")).alias("tracker_id"), "frame_idx", "record_idx")
             return TrackingGraph(born, nodes)
-        matches, scores, known, met = (self._table(name) for name in ("matches", "scores", "memories", "pairs"))
+        matches, scores, known = (self._table(name) for name in ("matches", "scores", "memories"))
         if self.config.resolver.resolving_strategy == "best-match":
             begun = nodes.join(matches.select("frame_idx", "record_idx"), ["frame_idx", "record_idx"], "left_anti")
         born = begun.select(tracker_id(F.col("frame_idx"), F.col("record_idx")).alias("tracker_id"), "frame_idx", "record_idx")
@@ -161,7 +165,7 @@ class Tracking:
         )
         return TrackingGraph(
             matches.select("tracker_id", "frame_idx", "record_idx").union(born), nodes,
-            scores.select("tracker_id", "frame_idx", "record_idx", "score", "distances"), memory, resolving, met,
+            scores.select("tracker_id", "frame_idx", "record_idx", "score", "distances"), memory, resolving, self._pairs(),
         )
 
 

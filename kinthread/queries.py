@@ -22,7 +22,7 @@ from kinthread.operators import frames as R
 from kinthread.operators import graph as G
 from kinthread.operators import resolution, scoring
 from kinthread.operators.word_pairs import WordPairs
-from kinthread.plans import normalization, tracking
+from kinthread.plans import normalization, sweep, tracking
 from kinthread.runtime import scratch_path
 from kinthread.schema import ElementType, FieldSchema, RecordSchema
 from kinthread.sources import tables
@@ -503,6 +503,19 @@ def tracking_word_pairs(spark, sf_dir):
     )
 
 
+#: (threshold, frames a tracker may miss, strategy) of the runs of ``sweep_chains``.
+SWEPT = [(0.6137, 2, "best-match"), (0.6137, 2, "simple"), (0.4137, 1, "simple"), (0.7137, 1, "best-match")]
+
+
+def sweep_chains(spark, sf_dir):
+    """The chains of several configurations that run side by side."""
+    rules = [
+        config(SCHEMA, LV, None, ResolverConfig(strategy), MemoryConfig("median"), MemoryConfig("bruteforce"), threshold, limit)
+        for threshold, limit, strategy in SWEPT
+    ]
+    return sweep.track_all(rules, SCHEMA, frames_table(spark, sf_dir)).chains()
+
+
 def tracking_pairs(spark, sf_dir):
     """Pairs that a run's frames could meet, and those over the threshold."""
     return _tracked(spark, sf_dir)[0].diag_pairs.select("frame_idx", "possible", "kept")
@@ -620,7 +633,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "column_distance_sum": column_distance_sum, "product_distance_sum": product_distance_sum,
     "chain_records": chain_records, "sampled_chains": sampled_chains, "tracking_end_to_end": tracking_end_to_end, "tracking_defaults": tracking_defaults,
     "tracking_distances": tracking_distances, "tracking_memories": tracking_memories, "conflict_ratios": conflict_ratios,
-    "tracking_word_pairs": tracking_word_pairs, "tracking_pairs": tracking_pairs, "tracking_simple": tracking_simple, "tracking_diagnostics": tracking_diagnostics,
+    "tracking_word_pairs": tracking_word_pairs, "tracking_pairs": tracking_pairs, "sweep_chains": sweep_chains,
+    "tracking_simple": tracking_simple, "tracking_diagnostics": tracking_diagnostics,
     "tracking_histograms": tracking_histograms, "memory_distances": memory_distances,
     "materialize_chain": materialize_chain, "normalize_end_to_end": normalize_end_to_end,
 }
