@@ -630,6 +630,33 @@ def test_sweep_and_summary(spark, register, tmp_path):
     assert sweep.run_sweep(configs, PEOPLE, register, "name", str(tmp_path / "s"), batch=1) == 0
 
 
+def test_runs_side_by_side_are_those_alone(spark, register):
+    """Metrics, memories (sub-memories too), thresholds, limits and strategies that differ; chains and diagnostics are those of each run alone."""
+    lv, opti = K.DistanceMetricConfig("lv"), K.DistanceMetricConfig("lv_opti")
+    mw = K.MemoryConfig("mw-median", 0.5, lv)
+    rules = [
+        K.config(PEOPLE, lv, None, K.ResolverConfig("simple"), K.MemoryConfig("median"), K.MemoryConfig("bruteforce"), 0.5, 1),
+        K.config(PEOPLE, lv, None, K.ResolverConfig("best-match"), K.MemoryConfig("bruteforce"), mw, 0.4, 2),
+        K.config(PEOPLE, opti, None, K.ResolverConfig("best-match"), K.MemoryConfig("ls-mostfrequent"), mw, 0.6, 1),
+    ]
+    runs = sweep.track_all(rules, PEOPLE, register)
+    found = {}
+    for r in runs.chains().collect():
+        found.setdefault(r.config, set()).add((r.tracker_id, r.frame_idx, r.record_idx))
+    for n, rule in enumerate(rules):
+        alone, beside = tracking.track(rule, PEOPLE, register), runs.graph_of(n)
+        assert found[n] == {tuple(r) for r in beside.chain_nodes.collect()} == {(r.tracker_id, r.frame_idx, r.record_idx) for r in alone.chain_nodes.collect()}
+        for name in ("nodes", "diag_records", "diag_memory", "diag_resolving"):
+            columns = sorted(getattr(alone, name).columns)
+            a, b = (sorted(str(tuple(r)) for r in getattr(g, name).select(*columns).collect()) for g in (alone, beside))
+            assert a == b, name
+    with pytest.raises(ValueError):
+        sweep.track_all([], PEOPLE, register)
+    # another sweep finds the word pairs of the first one
+    pairs = runs.tables[lv].table()
+    assert pairs.count() == pairs.select("left_word", "right_word").distinct().count() > 0
+
+
 def test_registered_queries_have_rows(spark):
     for name in ("frames_scan", "resolve_best_match", "chain_stats", "start_end_frames", "tracking_end_to_end"):
         assert Q.QUERIES[name](spark, SF).count() > 0
