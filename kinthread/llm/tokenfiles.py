@@ -16,6 +16,7 @@ binary search in the sparse index, then one block.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import uuid
@@ -182,6 +183,32 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+# The settings of a tokenizer file for which pieces between white space can be encoded one by one.
+PIECEWISE = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+}
+
+
+@functools.lru_cache(maxsize=4)
+def is_piecewise(path: str) -> bool:
+    """Whether ``PieceEncoder`` gives the ids of the tokenizer file; of others whole texts are encoded."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    special = all(t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) for t in found.get("added_tokens") or [])
+    model = found["model"]
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    return special and plain and all(found.get(k) == v for k, v in PIECEWISE.items())
+
+
 @functools.lru_cache(maxsize=1)
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -195,6 +222,16 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+class WholeEncoder:
+    """Encodes whole texts by the library: for any tokenizer file."""
+
+    def __init__(self, path: str):
+        self.tokenizer = load_tokenizer(path)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+
 class PieceEncoder:
     """Encodes texts piece by piece (runs without ASCII white space), each new piece once.
 
@@ -270,15 +307,19 @@ def write_tables(docs: DataFrame, path: str | None = None, vocabulary: str = VOC
     rows of one doc_id in text order. Null texts are empty; ``end_id`` ends each
     document. Only files named in the manifest count: what a lost or repeated
     task has left is not. Only doc_id and text are read. No rows: no shards.
-    ``path`` is a folder that driver and executors share.
+    ``path`` is a folder that driver and executors share; ``vocabulary`` a
+    tokenizer file that they all have. Its settings are looked at once: where
+    pieces between white space can't be encoded one by one (``PIECEWISE``), whole
+    texts are, by the library itself and slower. Very long texts are encoded
+    1 Mi characters at a time in the first case, at once in the second.
     """
-    spark = docs.sparkSession
+    spark, by_pieces = docs.sparkSession, is_piecewise(vocabulary)
     path = path or scratch_path(spark, "tokens")
     shards = max(1, input_bytes(docs) // SHARD_BYTES)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         give_back()  # what the worker's tasks before have left
-        pieces = encoder(vocabulary)
+        pieces = encoder(vocabulary) if by_pieces else WholeEncoder(vocabulary)
         width = 2 if pieces.tokenizer.get_vocab_size() <= 1 << 16 else 4
         files, folder = pafs.FileSystem.from_uri(path)
         files.create_dir(folder, recursive=True)

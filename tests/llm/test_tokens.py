@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import tracemalloc
 import types
@@ -8,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
 import pytest
+from tokenizers import Tokenizer
 
 from kinthread.llm import bpe, common, tokenfiles
 
@@ -114,6 +116,29 @@ def test_token_tables_equal_the_library(spark, docs, monkeypatch):
     assert found == {d: [ids for e, _, ids in expected if e == d] for d in wanted}
 
 
+@pytest.mark.parametrize("change", ["normalizer", "pre_tokenizer", "added_tokens"])
+def test_other_tokenizer_files_are_encoded_as_the_library_does(spark, tmp_path, change):
+    with open(tokenfiles.VOCABULARY, encoding="utf-8") as file:
+        other = json.load(file)
+    if change == "normalizer":
+        other["normalizer"] = {"type": "NFC"}
+    elif change == "pre_tokenizer":
+        other["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    else:
+        other["added_tokens"].append({"id": 49_900, "content": "two words", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False})
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(other, file)
+    assert tokenfiles.is_piecewise(tokenfiles.VOCABULARY) and not tokenfiles.is_piecewise(path)
+    texts = ["These are TWO words, two words  of\nsome Text", "", None, "École 12'345 don't\t stop"]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.ids for r in tokenfiles.read_tables(spark, tokenfiles.write_tables(docs, vocabulary=path)).collect()}
+    library = Tokenizer.from_file(path)
+    assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, tokenfiles.END_ID] for i, t in enumerate(texts)}
+    # by pieces these ids would be others
+    assert any(tokenfiles.PieceEncoder(tokenfiles.VOCABULARY).encode(t or "").tolist() != got[i][:-1] for i, t in enumerate(texts))
+
+
 def test_token_writers_give_memory_back(spark, tmp_path, monkeypatch):
     mark = str(tmp_path / "given")
 
