@@ -166,11 +166,12 @@ class TableReader:
 # --------------------------------------------------------------------- encoding
 
 
-_SPACES = re.compile("[\t\n\r\x0b\x0c]")
+_SPACES = "\t\n\r\x0b\x0c"
 _CUT = re.compile("[ \t\n\r\x0b\x0c]")
 #: A full stop or comma between a Latin letter and white space is a pre-token of its own
 #: (but not after the one letter whose lower case ends in a combining mark).
-_STOPS = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([.,])(?=\s)")
+#: The stop stands first, so that a search skips to one.
+_STOPS = re.compile(r"[.,](?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f].)(?=\s)")
 #: What keeps a text from being lower-cased here: beyond Latin letters, whose
 #: lower case is one composed letter whatever stands beside it.
 _OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
@@ -249,7 +250,8 @@ class PieceEncoder:
     def _plain(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.merges(piece)], dtype="<u4").tobytes()
+        ids = [t.id for t in self.merges(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces, many in one call; a token belongs to the piece that it begins in."""
@@ -274,7 +276,9 @@ class PieceEncoder:
     def encode(self, text: str) -> np.ndarray:
         out = []
         for part in segments(text):
-            part = _SPACES.sub(" ", _STOPS.sub(r" \1", part))
+            part = _STOPS.sub(r" \g<0>", part)
+            for space in _SPACES:
+                part = part.replace(space, " ")
             if "<|" not in part and not _OTHER.search(part):  # special tokens are told by case
                 part = part.lower()
             pieces = part.split(" ")
