@@ -100,33 +100,45 @@ def linkage(p: str, words: str, edits: str, threshold: float = 0.6) -> str:
   WHERE NOT (len(m) > 1 AND list_max(flatten(m)) > CAST({threshold} AS FLOAT))))"""
 
 
-def multi_word_memory(words: str, steps: int, strategy: str, threshold: float = 0.6) -> str:
-    """CTE ``memory`` (g, memory) of the CTE ``words`` (g, ord from 1, word): sub-memories' words joined by commas.
+def _no_words(like: str) -> str:
+    """CTEs ``s0`` and ``stand0``: sub-memories without a word, of groups typed as in the CTE ``like`` (g)."""
+    return f"""s0 AS (SELECT g, CAST(0 AS BIGINT) AS ord, CAST('' AS VARCHAR) AS word, CAST(0 AS BIGINT) AS sub FROM {like} WHERE false),
+stand0 AS (SELECT g, sub, word FROM s0)"""
 
-    Word after word goes to the most similar sub-memory, or begins one.
+
+def sub_memory_step(k: int, words: str, strategy: str, threshold: float) -> list[str]:
+    """CTEs ``s{k}`` (g, ord, word, sub) and ``stand{k}`` (g, sub, word) after the k-th word (g, word) of the query ``words``: at most one a group.
+
+    The word goes to the most similar sub-memory of its group, or begins one.
     """
-    parts = ["s0 AS (SELECT g, CAST(0 AS BIGINT) AS ord, CAST('' AS VARCHAR) AS word, CAST(0 AS BIGINT) AS sub FROM " + words + " WHERE false)",
-             "stand0 AS (SELECT g, sub, word FROM s0)"]
-    for k in range(1, steps + 1):
-        parts += [
-            f"in{k} AS MATERIALIZED (SELECT g, word FROM {words} WHERE ord = {k})",
-            f"pairs{k} AS (SELECT DISTINCT i.word AS w1, t.word AS w2 FROM in{k} i JOIN stand{k - 1} t USING (g))",
-            triangle(f"near{k}", f"pairs{k}"),
-            f"""best{k} AS (SELECT g, sub, v FROM (SELECT i.g, t.sub, CAST(CAST(1 AS FLOAT) - CAST(e AS FLOAT) / size AS FLOAT) AS v,
+    parts = [
+        f"in{k} AS MATERIALIZED ({words})",
+        f"pairs{k} AS (SELECT DISTINCT i.word AS w1, t.word AS w2 FROM in{k} i JOIN stand{k - 1} t USING (g))",
+        triangle(f"near{k}", f"pairs{k}"),
+        f"""best{k} AS (SELECT g, sub, v FROM (SELECT i.g, t.sub, CAST(CAST(1 AS FLOAT) - CAST(e AS FLOAT) / size AS FLOAT) AS v,
   row_number() OVER (PARTITION BY i.g ORDER BY CAST(1 AS FLOAT) - CAST(e AS FLOAT) / size DESC, t.sub) AS place
   FROM in{k} i JOIN stand{k - 1} t USING (g) JOIN near{k} d ON d.w1 = i.word AND d.w2 = t.word) WHERE place = 1)""",
-            f"""s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT i.g, CAST({k} AS BIGINT), i.word,
+        f"""s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT i.g, CAST({k} AS BIGINT), i.word,
   CASE WHEN v >= CAST({threshold} AS FLOAT) THEN b.sub ELSE coalesce(c.n, 0) END
   FROM in{k} i LEFT JOIN best{k} b USING (g) LEFT JOIN (SELECT g, count(DISTINCT sub) AS n FROM s{k - 1} GROUP BY g) c USING (g))""",
+    ]
+    if strategy == "mw-median":
+        return parts + [
+            f"all{k} AS (SELECT {{'g': g, 'sub': sub}} AS g, ord, word FROM s{k})", medians(f"m{k}_", f"all{k}"),
+            f"stand{k} AS MATERIALIZED (SELECT g.g AS g, g.sub AS sub, median AS word FROM m{k}_median)",
         ]
-        if strategy == "mw-median":
-            parts += [
-                f"all{k} AS (SELECT {{'g': g, 'sub': sub}} AS g, ord, word FROM s{k})", medians(f"m{k}_", f"all{k}"),
-                f"stand{k} AS MATERIALIZED (SELECT g.g AS g, g.sub AS sub, median AS word FROM m{k}_median)",
-            ]
-        else:
-            parts += [f"""stand{k} AS MATERIALIZED (SELECT g, sub, word FROM (SELECT g, sub, word, row_number() OVER (PARTITION BY g, sub ORDER BY n DESC, first) AS place
+    return parts + [f"""stand{k} AS MATERIALIZED (SELECT g, sub, word FROM (SELECT g, sub, word, row_number() OVER (PARTITION BY g, sub ORDER BY n DESC, first) AS place
   FROM (SELECT g, sub, word, count(*) AS n, min(ord) AS first FROM s{k} GROUP BY g, sub, word)) WHERE place = 1)"""]
+
+
+def multi_word_memory(words: str, steps: int, strategy: str, threshold: float = 0.6) -> str:
+    """CTE ``memory`` (g, memory) of the CTE ``words`` (g, ord from 1, word): sub-memories' words joined by commas.
+
+    Word after word goes to the most similar sub-memory, or begins one.
+    """
+    parts = [_no_words(words)]
+    for k in range(1, steps + 1):
+        parts += sub_memory_step(k, f"SELECT g, word FROM {words} WHERE ord = {k}", strategy, threshold)
     return ",\n".join(parts) + f",\nmemory AS (SELECT g, string_agg(word, ',' ORDER BY sub) AS memory FROM stand{steps} GROUP BY g)"
 
 
@@ -137,18 +149,53 @@ def _lv(a: str, b: str) -> str:
     return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN NULL ELSE CAST(1 AS FLOAT) - CAST(levenshtein({a}, {b}) AS FLOAT) / CAST(greatest(strlen({a}), strlen({b})) AS FLOAT) END"
 
 
-def tracking(frames: int, threshold: float, limit: int, strategy: str = "best-match") -> str:
+#: Words of a list of ``frames``, at most.
+LIST_WORDS = 2
+
+
+def _list_words(k: int) -> list[str]:
+    """The words of the lists that the k-th frame gives to chains, one after the other, as steps of sub-memories."""
+    out = []
+    for i in range(1, LIST_WORDS + 1):
+        words = f"SELECT tracker_id AS g, members[{i}] AS word FROM chain{k} c JOIN frames f USING (frame_idx, record_idx) WHERE c.frame_idx = {k} AND len(members) >= {i}"
+        out += sub_memory_step(k * LIST_WORDS + i, words, "mw-median", 0.6)
+    return out
+
+
+def _by_defaults(k: int) -> list[str]:
+    """``pairs_of{k}`` (tracker_id, record_idx, d0, d1, d2) and ``lists{k}`` (d3): lists remember the medians of sub-memories; similarity is that of the lower triangle."""
+    met = " UNION ".join(f"SELECT m.median AS w1, r.{f} AS w2 FROM t{k}_median m JOIN frames r ON r.frame_idx = {k} AND r.{f} IS NOT NULL AND m.g % 3 = {i}" for i, f in enumerate(STRINGS))
+    sims = ", ".join(f"d{i}.sim AS d{i}" for i in range(3))
+    joins = " ".join(
+        f"LEFT JOIN t{k}_median m{i} ON m{i}.g = a.tracker_id * 3 + {i} LEFT JOIN like{k} d{i} ON d{i}.w1 = m{i}.median AND d{i}.w2 = r.{f}" for i, f in enumerate(STRINGS)
+    )
+    return [
+        f"kept{k} AS MATERIALIZED (SELECT g AS tracker_id, sub, word, count(*) OVER (PARTITION BY g) AS n FROM stand{k * LIST_WORDS} JOIN alive{k - 1} ON tracker_id = g)",
+        f"members{k} AS (SELECT record_idx, len(members) AS n, unnest(members) AS word FROM frames WHERE frame_idx = {k})",
+        f"met{k} AS ({met} UNION SELECT t.word, r.word FROM kept{k} t, members{k} r)", triangle(f"far{k}", f"met{k}"),
+        f"like{k} AS MATERIALIZED (SELECT w1, w2, CAST(CAST(1 AS FLOAT) - CAST(e AS FLOAT) / size AS FLOAT) AS sim FROM far{k})",
+        f"""lists{k} AS MATERIALIZED (SELECT tracker_id, record_idx, CAST(list_reduce(list(best ORDER BY sub), lambda x, y: CAST(x + y AS FLOAT)) / CAST(greatest(any_value(n), any_value(m)) AS FLOAT) AS FLOAT) AS d3
+  FROM (SELECT t.tracker_id, r.record_idx, t.sub, t.n, r.n AS m, max(sim) AS best FROM kept{k} t CROSS JOIN members{k} r JOIN like{k} d ON d.w1 = t.word AND d.w2 = r.word GROUP BY ALL) GROUP BY tracker_id, record_idx)""",
+        f"pairs_of{k} AS (SELECT a.tracker_id, r.record_idx, {sims} FROM alive{k - 1} a JOIN frames r ON r.frame_idx = {k} {joins})",
+    ]
+
+
+def tracking(frames: int, threshold: float, limit: int, strategy: str = "best-match", defaults: bool = False) -> str:
     """CTEs of a whole run over ``frames`` (frame_idx, record_idx, name, origin, code, members).
 
     ``chain`` (tracker_id, frame_idx, record_idx), ``scores`` (tracker_id,
     frame_idx, record_idx, score, distances) and ``live`` (tracker_id,
     frame_idx): the trackers that meet each frame. Strings remember their
-    median word, members all lists; similarity is plain edit distance.
+    median word, members all lists; similarity is plain edit distance. With
+    ``defaults`` both are as ``_by_defaults`` says.
     """
     parts = [
         "chain0 AS (SELECT record_idx AS tracker_id, frame_idx, record_idx FROM frames WHERE frame_idx = 0)",
         "alive0 AS (SELECT tracker_id, 0 AS streak FROM chain0)",
     ]
+    if defaults:
+        parts = [*parts, _no_words("(SELECT tracker_id AS g FROM chain0)"), *_list_words(0)]
+        threshold = f"CAST({threshold} AS FLOAT)"
     for k in range(1, frames):
         words = " UNION ALL ".join(
             f"SELECT tracker_id * 3 + {i} AS g, frame_idx AS ord, {f} AS word FROM cells{k} WHERE {f} IS NOT NULL" for i, f in enumerate(STRINGS)
@@ -162,11 +209,13 @@ def tracking(frames: int, threshold: float, limit: int, strategy: str = "best-ma
         parts += [
             f"cells{k} AS MATERIALIZED (SELECT c.tracker_id, f.* FROM chain{k - 1} c JOIN alive{k - 1} USING (tracker_id) JOIN frames f ON f.frame_idx = c.frame_idx AND f.record_idx = c.record_idx)",
             f"words{k} AS ({words})", medians(f"t{k}_", f"words{k}"),
-            f"""lists{k} AS MATERIALIZED (SELECT c.tracker_id, r.record_idx, max(CAST(list_sum(list_transform(c.members, lambda x: {best})) AS FLOAT) / CAST(greatest(len(c.members), len(r.members)) AS FLOAT)) AS d3
+            *(_by_defaults(k) if defaults else [
+                f"""lists{k} AS MATERIALIZED (SELECT c.tracker_id, r.record_idx, max(CAST(list_sum(list_transform(c.members, lambda x: {best})) AS FLOAT) / CAST(greatest(len(c.members), len(r.members)) AS FLOAT)) AS d3
   FROM cells{k} c JOIN frames r ON r.frame_idx = {k} GROUP BY ALL)""",
-            f"""pairs{k} AS (SELECT a.tracker_id, r.record_idx, {sims} FROM alive{k - 1} a JOIN frames r ON r.frame_idx = {k} {joins}),
-scores{k} AS MATERIALIZED (SELECT tracker_id, CAST({k} AS INTEGER) AS frame_idx, record_idx, score, [d0, d1, d2, d3] AS distances FROM (
-  SELECT *, CAST({total} / CAST(4 AS FLOAT) AS FLOAT) AS score FROM pairs{k} JOIN lists{k} USING (tracker_id, record_idx)) WHERE score > {threshold})""",
+                f"pairs_of{k} AS (SELECT a.tracker_id, r.record_idx, {sims} FROM alive{k - 1} a JOIN frames r ON r.frame_idx = {k} {joins})",
+            ]),
+            f"""scores{k} AS MATERIALIZED (SELECT tracker_id, CAST({k} AS INTEGER) AS frame_idx, record_idx, score, [d0, d1, d2, d3] AS distances FROM (
+  SELECT *, CAST({total} / CAST(4 AS FLOAT) AS FLOAT) AS score FROM pairs_of{k} JOIN lists{k} USING (tracker_id, record_idx)) WHERE score > {threshold})""",
         ]
         if strategy == "simple":
             parts.append(f"matches{k} AS MATERIALIZED (SELECT tracker_id, record_idx FROM (SELECT *, row_number() OVER (PARTITION BY tracker_id ORDER BY score DESC, record_idx) AS place FROM scores{k}) WHERE place = 1)")
@@ -186,6 +235,8 @@ matches{k} AS MATERIALIZED (SELECT tracker_id, record_idx FROM greedy{k} JOIN or
 alive{k} AS MATERIALIZED (SELECT * FROM (SELECT tracker_id, CASE WHEN m.record_idx IS NULL THEN streak + 1 ELSE 0 END AS streak FROM alive{k - 1} LEFT JOIN matches{k} m USING (tracker_id)) WHERE streak <= {limit}
   UNION ALL SELECT tracker_id, 0 FROM born{k})""",
         ]
+        if defaults and k < frames - 1:
+            parts += _list_words(k)
     steps = range(1, frames)
     parts += [
         f"chain AS (SELECT * FROM chain{frames - 1})", "scores AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM scores{k}" for k in steps) + ")",

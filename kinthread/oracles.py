@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from kinthread import oracle_parts as parts
-from kinthread.queries import CONVERSATIONS_SQL, EVENTS_SQL, FRAMES_SQL
+from kinthread.queries import CONVERSATIONS_SQL, EVENTS_SQL, FRAMES_SQL, SUMMED
 
 FRAMES = f"frames AS MATERIALIZED ({FRAMES_SQL})"
 EVENTS = f"events_chains AS MATERIALIZED ({EVENTS_SQL})"
@@ -212,6 +212,37 @@ part_pairs AS (SELECT w1 AS p1, w2 AS p2, unnest(a) AS w1, unnest(b) AS w2 FROM
 pairs AS (SELECT w1, w2 FROM whole UNION SELECT w1, w2 FROM part_pairs), {_TRIANGLE},
 each AS (SELECT p1, p2, CAST(sum(e) AS FLOAT) AS total, CAST(1 AS FLOAT) - CAST(count(*) FILTER (e = 0) AS FLOAT) / CAST(count(*) AS FLOAT) AS share FROM part_pairs p JOIN edits USING (w1, w2) GROUP BY p1, p2),
 done AS (SELECT w.w1, w.w2, CASE WHEN p1 IS NULL THEN CAST(e AS FLOAT) ELSE CAST(trunc(total * share) AS FLOAT) END AS e, size FROM whole w JOIN edits USING (w1, w2) LEFT JOIN each ON p1 = w.w1 AND p2 = w.w2)"""
+
+
+def _summary(threshold: float, limit: int, strategy: str) -> str:
+    """The summary of a run of five frames, chains of two nodes or more for the consistency of names."""
+    records = "SELECT frame_idx, record_idx AS id FROM frames WHERE frame_idx > 0"
+    merged = "(SELECT string_agg(CAST(n AS VARCHAR), ',' ORDER BY v) FROM (SELECT d.v, count(x.v) AS n FROM (SELECT unnest(range(max(v) + 1)) AS v FROM {0}_n) d LEFT JOIN {0}_n x ON x.v = d.v GROUP BY d.v)) AS {1}"
+    return f"""WITH RECURSIVE {FRAMES}, {parts.tracking(5, threshold, limit, strategy)},
+l AS MATERIALIZED (SELECT tracker_id, count(*) AS n, min(frame_idx) AS s, max(frame_idx) AS e FROM chain GROUP BY tracker_id),
+node AS MATERIALIZED (SELECT *, lag(frame_idx) OVER w AS before, lead(frame_idx) OVER w AS after FROM chain WINDOW w AS (PARTITION BY tracker_id ORDER BY frame_idx)),
+matched AS (SELECT f.frame_idx, CAST(CAST(count(*) FILTER (n >= 1) AS DOUBLE) / count(*) AS FLOAT) AS r
+  FROM frames f LEFT JOIN (SELECT frame_idx, record_idx, count(before) AS n FROM node GROUP BY ALL) USING (frame_idx, record_idx) GROUP BY f.frame_idx),
+passed AS (SELECT frame_idx, CAST(CAST(count(before) FILTER (after IS NOT NULL) AS DOUBLE) / count(after) AS FLOAT) AS t FROM node GROUP BY frame_idx),
+{_dense("record_idx", records, "tracker_id")}, {_dense("tracker_id", "SELECT frame_idx, tracker_id AS id FROM live", "record_idx")},
+d AS (SELECT feature, avg(distance) AS distance FROM (SELECT tracker_id, feature, coalesce(avg(CAST(distance AS DOUBLE)), 0) AS distance FROM (
+  SELECT tracker_id, unnest(range(4)) AS feature, unnest(distances) AS distance FROM scores JOIN node USING (tracker_id, frame_idx, record_idx) WHERE before IS NOT NULL) GROUP BY ALL) GROUP BY feature),
+chosen AS (SELECT tracker_id FROM l WHERE n >= 2 ORDER BY md5('0:' || tracker_id), tracker_id LIMIT 100),
+v AS (SELECT tracker_id, name AS v, lag(name) OVER (PARTITION BY tracker_id ORDER BY frame_idx) AS b FROM chain JOIN chosen USING (tracker_id) JOIN frames USING (frame_idx, record_idx)),
+same AS (SELECT avg(s) AS consistency FROM (SELECT coalesce(avg({_LIKE}), 0) AS s FROM v GROUP BY tracker_id))
+SELECT CAST({threshold} AS DOUBLE) AS threshold, '{strategy}' AS strategy, CAST(floor(quantile_cont(n, 0.5)) AS BIGINT) AS median, max(n) AS max, min(n) AS min,
+  round(CAST(CAST(avg(n) AS FLOAT) AS DOUBLE), 4) AS average, (SELECT round(avg(CAST(r AS DOUBLE)), 4) FROM matched WHERE frame_idx > 0) AS avg_records_match_ratio,
+  (SELECT round(avg(CAST(t AS DOUBLE)), 4) FROM passed WHERE frame_idx BETWEEN 1 AND 3) AS avg_trackers_match_ratio, (SELECT round(consistency, 4) FROM same) AS consistency,
+  (SELECT string_agg(CAST(c AS VARCHAR), ',' ORDER BY x) FROM (SELECT x, count(n) AS c FROM (SELECT unnest(range(max(n) + 1)) AS x FROM l) LEFT JOIN l ON n = x GROUP BY x)) AS histogram,
+  {merged.format("record_idx", "histogram_record_matchs")}, {merged.format("tracker_id", "histogram_tracker_matchs")},
+  (SELECT string_agg(k || ':' || a || ':' || b, ',' ORDER BY k) FROM (SELECT k, (SELECT count(*) FROM l WHERE s = k) AS a, (SELECT count(*) FROM l WHERE e = k) AS b FROM (SELECT unnest(range(5)) AS k))) AS start_end,
+  {", ".join(f"(SELECT round(distance, 4) FROM d WHERE feature = {i}) AS d{i}" for i in range(4))} FROM l"""
+
+
+_REMEMBERED = " UNION ALL ".join(
+    f"SELECT a.tracker_id, CAST({k} AS INTEGER) AS frame_idx, " + ", ".join(f"coalesce(m{i}.median, '') AS {n}" for i, n in enumerate(parts.STRINGS)) + f" FROM alive{k - 1} a "
+    + " ".join(f"LEFT JOIN t{k}_median m{i} ON m{i}.g = a.tracker_id * 3 + {i}" for i in range(3)) for k in range(1, 5)
+)
 ORACLES |= {
     "sim_graphemes": f"WITH RECURSIVE words AS (SELECT DISTINCT replace(replace(p_name, 'e', 'e\u0301'), 'o', '\U0001f469\u200d\U0001f467') AS w FROM part), "
     f"pairs AS (SELECT a.w AS w1, b.w AS w2 FROM words a, words b), {_TRIANGLE.replace('substr(', 'substring_grapheme(').replace(' length(', ' length_grapheme(').replace('(length(', '(length_grapheme(').replace('[length(', '[length_grapheme(')} "
@@ -235,6 +266,7 @@ SELECT tracker_id, frame_idx, coalesce(median, '') AS memory FROM events_chains
 pairs AS (SELECT DISTINCT x.word AS w1, y.word AS w2 FROM listed x JOIN listed y USING (g)), {_TRIANGLE}, {parts.linkage('n_', 'listed', 'edits')}
 SELECT g AS code, CAST(cluster AS INTEGER) AS cluster, string_agg(word, ',' ORDER BY spot) AS members FROM n_cluster JOIN n_placed USING (g, spot) GROUP BY g, cluster""",
     "tracking_end_to_end": _RUN + " SELECT * FROM chain",
+    "tracking_defaults": f"WITH RECURSIVE {FRAMES}, {parts.tracking(5, 0.6, 2, defaults=True)} SELECT * FROM chain",
     "tracking_simple": f"WITH RECURSIVE {FRAMES}, {parts.tracking(5, 0.6137, 2, 'simple')} SELECT * FROM chain",
     "tracking_distances": _RUN + " SELECT tracker_id, frame_idx, record_idx, " + ", ".join(f"round(CAST(distances[{i + 1}] AS DOUBLE), 4) AS d{i}" for i in range(4)) + " FROM scores",
     "tracking_word_pairs": _RUN + " SELECT tracker_id, frame_idx, record_idx, round(CAST(score AS DOUBLE), 5) AS score, " + ", ".join(f"round(CAST(distances[{i + 1}] AS DOUBLE), 4) AS d{i}" for i in range(4)) + " FROM scores",
@@ -244,10 +276,16 @@ JOIN (SELECT frame_idx, count(*) AS r FROM frames GROUP BY frame_idx) f USING (f
         f"SELECT CAST({n} AS INTEGER) AS config, * FROM (WITH RECURSIVE {FRAMES}, {parts.tracking(5, threshold, limit, strategy)} SELECT * FROM chain)"
         for n, (threshold, limit, strategy) in enumerate(((0.6137, 2, "best-match"), (0.6137, 2, "simple"), (0.4137, 1, "simple"), (0.7137, 1, "best-match")))
     ),
-    "tracking_memories": _RUN + " " + " UNION ALL ".join(
-        f"SELECT a.tracker_id, CAST({k} AS INTEGER) AS frame_idx, " + ", ".join(f"coalesce(m{i}.median, '') AS {n}" for i, n in enumerate(parts.STRINGS)) + f" FROM alive{k - 1} a "
-        + " ".join(f"LEFT JOIN t{k}_median m{i} ON m{i}.g = a.tracker_id * 3 + {i}" for i in range(3)) for k in range(1, 5)
-    ),
+    "tracking_memories": _RUN + " " + _REMEMBERED,
+    "materialize_memories": _RUN + f", remembered AS ({_REMEMBERED}) SELECT tracker_id, frame_idx, record_idx, name, origin, code FROM chain FULL JOIN remembered USING (tracker_id, frame_idx)",
+    "sweep_summaries": " UNION ALL ".join(f"SELECT * FROM ({_summary(*one)})" for one in SUMMED),
+    "tracking_stream": _RUN + """ SELECT 'chain' AS kind, tracker_id, frame_idx, record_idx FROM chain
+UNION ALL SELECT 'late', NULL, CAST(0 AS INTEGER), record_idx FROM frames WHERE frame_idx = 0 AND record_idx % 10 = 0""",
+    "stored_graph": _RUN + " SELECT c.*, round(CAST(s.score AS DOUBLE), 5) AS score FROM chain c LEFT JOIN scores s USING (tracker_id, frame_idx, record_idx)",
+    "one_chain": _RUN + """ SELECT tracker_id, frame_idx, record_idx, name, origin, code, array_to_string(members, '|') AS members,
+  CAST(count(*) OVER () AS INTEGER) AS length, CAST(max(frame_idx) OVER () - min(frame_idx) OVER () + 1 AS INTEGER) AS lifespan
+FROM chain JOIN frames USING (frame_idx, record_idx) WHERE tracker_id = (SELECT min(tracker_id) FROM chain)""",
+    "written_csv": f"WITH {FRAMES} SELECT frame_idx, record_idx, name, origin, code, array_to_string(members, '|') AS members FROM frames",
     "conflict_ratios": f"""WITH RECURSIVE {FRAMES}, {parts.tracking(5, 0.3137, 2, 'simple')},
 e AS (SELECT frame_idx, record_idx, lag(frame_idx) OVER (PARTITION BY tracker_id ORDER BY frame_idx) AS before FROM chain),
 i AS (SELECT frame_idx, record_idx, count(before) AS n FROM e GROUP BY ALL)

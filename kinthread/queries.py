@@ -23,9 +23,10 @@ from kinthread.operators import graph as G
 from kinthread.operators import resolution, scoring
 from kinthread.operators.word_pairs import WordPairs
 from kinthread.plans import normalization, sweep, tracking
-from kinthread.runtime import scratch_path
+from kinthread.runtime import scratch_path, stored
 from kinthread.schema import ElementType, FieldSchema, RecordSchema
 from kinthread.sources import tables
+from kinthread.streaming.tracking import StreamTracker
 
 SCHEMA = RecordSchema([
     FieldSchema("name", ElementType.String), FieldSchema("origin", ElementType.String),
@@ -475,14 +476,17 @@ def chain_records(spark, sf_dir):
 # -------------------------------------------------------------- whole processes
 
 
-def _tracked(spark, sf_dir, threshold: float = 0.6137, words: WordPairs | None = None, **changes):
-    """A run over the five frames: names, origins and codes remember their median word, members all lists."""
-    rules = config(
+def _rules(threshold: float = 0.6137, limit: int = 2, **changes):
+    return config(
         SCHEMA, LV, memory_config=MemoryConfig("median"), multistring_memory_config=MemoryConfig("bruteforce"),
-        interest_threshold=threshold, limit_no_match_streak=2, **changes,
+        interest_threshold=threshold, limit_no_match_streak=limit, **changes,
     )
+
+
+def _tracked(spark, sf_dir, threshold: float = 0.6137, words: WordPairs | None = None, **changes):
+    """A run over the five frames: names, origins and codes remember their median word, members all lists."""
     records = frames_table(spark, sf_dir)
-    return tracking.track(rules, SCHEMA, records, words), records
+    return tracking.track(_rules(threshold, **changes), SCHEMA, records, words), records
 
 
 def tracking_defaults(spark, sf_dir):
@@ -507,15 +511,78 @@ def tracking_word_pairs(spark, sf_dir):
 SWEPT = [(0.6137, 2, "best-match"), (0.6137, 2, "simple"), (0.4137, 1, "simple"), (0.7137, 1, "best-match")]
 
 
+#: Those of ``sweep_summaries``.
+SUMMED = SWEPT[1:]
+
+
 def sweep_chains(spark, sf_dir):
     """The chains of several configurations that run side by side."""
-    rules = [
-        config(SCHEMA, LV, None, ResolverConfig(strategy), MemoryConfig("median"), MemoryConfig("bruteforce"), threshold, limit)
-        for threshold, limit, strategy in SWEPT
-    ]
+    rules = [_rules(threshold, limit, resolver_config=ResolverConfig(strategy)) for threshold, limit, strategy in SWEPT]
     return sweep.track_all(rules, SCHEMA, frames_table(spark, sf_dir)).chains()
 
 
+def sweep_summaries(spark, sf_dir):
+    """What a stored sweep says of its configurations, read back from JSON: the first two of ``SUMMED`` first, then the rest, as a sweep that goes on."""
+    records, path = stored(frames_table(spark, sf_dir), "frames"), scratch_path(spark, "summaries")
+    rules = [_rules(threshold, limit, resolver_config=ResolverConfig(strategy)) for threshold, limit, strategy in SUMMED]
+    for some in (rules[:2], rules):
+        sweep.run_sweep(some, SCHEMA, records, "name", path)
+    found = tables.load_json(spark, path)
+    numbers = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    frame = lambda x: F.concat_ws(":", x["frame_idx"], x["starts"], x["ends"])
+    ratios = ("average", "avg_records_match_ratio", "avg_trackers_match_ratio", "consistency")
+    return found.select(
+        F.get_json_object("config", "$.tracker.interest_threshold").cast("double").alias("threshold"),
+        F.get_json_object("config", "$.resolver.resolving_strategy").alias("strategy"), "median", "max", "min",
+        *(F.round(F.col(c).cast("double"), 4).alias(c) for c in ratios),
+        *(numbers(c).alias(c) for c in ("histogram", "histogram_record_matchs", "histogram_tracker_matchs")),
+        F.array_join(F.transform("start_end", frame), ",").alias("start_end"),
+        *(F.round(F.get("distances", i)["distance"], 4).alias(f"d{i}") for i in range(4)),
+    )
+
+
+def tracking_stream(spark, sf_dir):
+    """The frames as a stream, each in two deliveries among others' rows, then a tenth of the first once more: the batch run's chains, and the rows that came too late."""
+    records, folder = stored(frames_table(spark, sf_dir), "frames"), scratch_path(spark, "arrivals")
+    checkpoint, state = scratch_path(spark, "offsets"), scratch_path(spark, "stream")
+    frame, half = F.col("frame_idx"), F.col("record_idx") % 2
+    arrivals = [((frame == k) & (half == 0)) | ((frame == k - 1) & (half == 1)) for k in range(6)]
+    for rows in [*arrivals, (frame == 0) & (F.col("record_idx") % 10 == 0)]:
+        records.where(rows).write.mode("append").parquet(folder)
+        tracker = StreamTracker(_rules(), SCHEMA, state, delay=1)  # a driver of its own each time
+        tracker.start(spark.readStream.schema(records.schema).parquet(folder), checkpoint).awaitTermination()
+    chains = tracker.finish().chain_nodes.select(F.lit("chain").alias("kind"), "tracker_id", "frame_idx", "record_idx")
+    return chains.union(tracker.late().select(F.lit("late"), F.lit(None).cast("long"), "frame_idx", "record_idx"))
+
+
+def stored_graph(spark, sf_dir):
+    """A run that is stored, stored again as it was read, and read after the first version has gone: its chains, with the scores of their matches."""
+    path = scratch_path(spark, "graph")
+    tables.save_graph(_tracked(spark, sf_dir)[0], path)
+    tables.save_graph(tables.read_graph(spark, path), path)
+    tables.prune_graph(spark, path)
+    store = tables.GraphStore()
+    store.set_graph(tables.read_graph(spark, path))
+    scores = store.take_diagnostics()[0].select("tracker_id", "frame_idx", "record_idx", F.round(F.col("score").cast("double"), 5).alias("score"))
+    return store.take_graph().chain_nodes.join(scores, ["tracker_id", "frame_idx", "record_idx"], "left")
+
+
+def one_chain(spark, sf_dir):
+    """The first chain of a run of the default frames: its matched records, how many they are and how many frames they span."""
+    graph, records = _tracked(spark, sf_dir)
+    chain = graph.materialize_tracking_chain(graph.trackers_ids.first()[0], records, SCHEMA)
+    nodes = G.chain_of(graph.chain_nodes, graph.trackers_ids.first()[0])
+    rows = chain.as_dataframe().withColumns({"members": tables.join_list(F.col("members")), "length": F.lit(chain.length), "lifespan": F.lit(chain.lifespan)})
+    return rows.join(nodes, "frame_idx")
+
+
+def materialize_memories(spark, sf_dir):
+    """What the trackers remember of their strings at every frame of their lives, nothing at their births."""
+    graph, records = _tracked(spark, sf_dir)
+    words = [F.array_join(F.get("memory", i), ",").alias(n) for i, n in enumerate(STRINGS.names)]
+    return G.materialize(graph, records, SCHEMA).select("tracker_id", "frame_idx", "record_idx", *words)
+
+
 def tracking_pairs(spark, sf_dir):
     """Pairs that a run's frames could meet, and those over the threshold."""
     return _tracked(spark, sf_dir)[0].diag_pairs.select("frame_idx", "possible", "kept")
@@ -589,6 +656,14 @@ def yearly_csv(spark, sf_dir):
     return tables.read_yearly_csv(spark, path, range(1835, 1840)).select("frame_idx", "line", *STRINGS.names)
 
 
+def written_csv(spark, sf_dir):
+    """The frames written as yearly CSV and read back: lists are joined, nulls stay null."""
+    path = scratch_path(spark, "written")
+    tables.write_yearly_csv(frames_table(spark, sf_dir), path)
+    found = spark.read.option("header", True).csv(path)
+    return found.select("frame_idx", F.col("record_idx").cast("long").alias("record_idx"), *SCHEMA.names)
+
+
 def _blocked(threshold: float, metric: DistanceMetricConfig = LV):
     def run(spark, sf_dir):
         """Scores by blocked candidates: the same pairs as all against all."""
@@ -634,6 +709,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chain_records": chain_records, "sampled_chains": sampled_chains, "tracking_end_to_end": tracking_end_to_end, "tracking_defaults": tracking_defaults,
     "tracking_distances": tracking_distances, "tracking_memories": tracking_memories, "conflict_ratios": conflict_ratios,
     "tracking_word_pairs": tracking_word_pairs, "tracking_pairs": tracking_pairs, "sweep_chains": sweep_chains,
+    "sweep_summaries": sweep_summaries, "tracking_stream": tracking_stream, "stored_graph": stored_graph, "one_chain": one_chain,
+    "materialize_memories": materialize_memories, "written_csv": written_csv,
     "tracking_simple": tracking_simple, "tracking_diagnostics": tracking_diagnostics,
     "tracking_histograms": tracking_histograms, "memory_distances": memory_distances,
     "materialize_chain": materialize_chain, "normalize_end_to_end": normalize_end_to_end,
