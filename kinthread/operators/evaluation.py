@@ -1,4 +1,8 @@
-"""Evaluation of chains: lengths, ratios, histograms, consistency."""
+"""Evaluation of chains: lengths, ratios, histograms, consistency.
+
+Where a function takes ``by``, these are columns of its tables that tell runs
+apart: each run is evaluated by itself, in the same plan.
+"""
 
 from __future__ import annotations
 
@@ -9,32 +13,37 @@ from pyspark.sql import functions as F
 
 from kinthread.functions.similarity import native_levenshtein
 
-from kinthread.operators.graph import edges, with_positions
+from kinthread.operators.graph import with_positions
+
+
+def _beside(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``left`` with the one row of ``right`` for its run."""
+    return left.join(F.broadcast(right), list(by), "left") if by else left.crossJoin(F.broadcast(right))
 
 
-def chain_lengths(chain_nodes: DataFrame) -> DataFrame:
-    """(tracker_id, length, lifespan)."""
-    return chain_nodes.groupBy("tracker_id").agg(
+def chain_lengths(chain_nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, tracker_id, length, lifespan)."""
+    return chain_nodes.groupBy(*by, "tracker_id").agg(
         F.count(F.lit(1)).alias("length"), (F.max("frame_idx") - F.min("frame_idx") + 1).alias("lifespan")
     )
 
 
-def length_statistics(chain_nodes: DataFrame) -> DataFrame:
-    """One row (average, median, max, min, histogram of lengths 0..max); zeros and [] for no chain.
+def length_statistics(chain_nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (by, average, median, max, min, histogram of lengths 0..max) a run; without ``by`` zeros and [] for no chain.
 
     The median of an even number of chains is the whole part of the middle two's mean.
     """
-    lengths = chain_lengths(chain_nodes)
-    by_length = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    one = by_length.agg(
+    lengths = chain_lengths(chain_nodes, by)
+    by_length = lengths.groupBy(*by, "length").agg(F.count(F.lit(1)).alias("n"))
+    one = by_length.groupBy(*by).agg(
         F.sum(F.col("length") * F.col("n")).alias("total"), F.sum("n").alias("chains"),
         F.max("length").alias("max"), F.min("length").alias("min"),
         F.map_from_entries(F.collect_list(F.struct("length", "n"))).alias("counts"),
     )
-    middle = lengths.agg(F.percentile("length", 0.5).alias("middle"))
+    middle = lengths.groupBy(*by).agg(F.percentile("length", 0.5).alias("middle"))
     dense = F.transform(F.sequence(F.lit(0).cast("long"), "max"), lambda i: F.coalesce(F.col("counts")[i], F.lit(0).cast("long")))
-    return one.crossJoin(F.broadcast(middle)).select(
-        F.coalesce(F.col("total") / F.col("chains"), F.lit(0.0)).cast("float").alias("average"),
+    return _beside(one, middle, by).select(
+        *by, F.coalesce(F.col("total") / F.col("chains"), F.lit(0.0)).cast("float").alias("average"),
         F.coalesce(F.floor("middle"), F.lit(0)).cast("long").alias("median"),
         F.coalesce("max", F.lit(0)).cast("long").alias("max"), F.coalesce("min", F.lit(0)).cast("long").alias("min"),
         F.coalesce(F.when(F.col("max").isNotNull(), dense), F.array().cast("array<bigint>")).alias("histogram"),
@@ -46,46 +55,48 @@ def _ratio(part, whole):
     return F.when(whole == 0, F.lit(float("nan"))).otherwise(part / whole).cast("float")
 
 
-def graph_properties(chain_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(frame_idx, records_match_ratio, trackers_match_ratio, conflict_ratio) per frame.
+def graph_properties(chain_nodes: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, frame_idx, records_match_ratio, trackers_match_ratio, conflict_ratio) per frame.
 
     Nodes with an edge in over all nodes; trackers that come in and go out of
     frame's nodes over those that go out (NaN in the last frame); nodes with
     several edges in over all nodes.
     """
-    into = edges(chain_nodes).groupBy(F.col("to_frame").alias("frame_idx"), F.col("to_record").alias("record_idx")).agg(F.count(F.lit(1)).alias("n"))
-    per_node = nodes.join(into, ["frame_idx", "record_idx"], "left").groupBy("frame_idx").agg(
+    frame, placed = [*by, "frame_idx"], with_positions(chain_nodes, by)
+    into = placed.where("comes_in").groupBy(*frame, "record_idx").agg(F.count(F.lit(1)).alias("n"))
+    per_node = nodes.join(into, [*frame, "record_idx"], "left").groupBy(*frame).agg(
         F.count(F.lit(1)).alias("nodes"), F.count("n").alias("matched"), F.count(F.when(F.col("n") > 1, 1)).alias("conflicts")
     )
-    per_chain = with_positions(chain_nodes).groupBy("frame_idx").agg(
-        F.count_if("goes_out").alias("out"), F.count_if(F.col("goes_out") & F.col("comes_in")).alias("both")
-    )
-    joined = per_node.join(per_chain, "frame_idx", "left").fillna(0, ["out", "both"])
+    per_chain = placed.groupBy(*frame).agg(F.count_if("goes_out").alias("out"), F.count_if(F.col("goes_out") & F.col("comes_in")).alias("both"))
+    joined = per_node.join(per_chain, frame, "left").fillna(0, ["out", "both"])
     return joined.select(
-        "frame_idx", _ratio(F.col("matched"), F.col("nodes")).alias("records_match_ratio"),
+        *frame, _ratio(F.col("matched"), F.col("nodes")).alias("records_match_ratio"),
         _ratio(F.col("both"), F.col("out")).alias("trackers_match_ratio"),
         _ratio(F.col("conflicts"), F.col("nodes")).alias("conflict_ratio"),
     )
 
 
-def average_match_ratios(properties: DataFrame) -> DataFrame:
-    """One row: mean record ratio without the first frame, mean tracker ratio without first and last."""
+def average_match_ratios(properties: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row a run: mean record ratio without the first frame, mean tracker ratio without first and last."""
     low, high = F.min("frame_idx"), F.max("frame_idx")
-    ends = properties.agg(low.alias("low"), high.alias("high"))
-    inner = properties.crossJoin(F.broadcast(ends)).where(F.col("frame_idx") > F.col("low"))
-    return inner.agg(
+    ends = properties.groupBy(*by).agg(low.alias("low"), high.alias("high"))
+    inner = _beside(properties, ends, by).where(F.col("frame_idx") > F.col("low"))
+    return inner.groupBy(*by).agg(
         F.avg(F.col("records_match_ratio").cast("double")).alias("records_match_ratio"),
         F.avg(F.when(F.col("frame_idx") < F.col("high"), F.col("trackers_match_ratio").cast("double"))).alias("trackers_match_ratio"),
     )
 
 
-def start_end_frames(chain_nodes: DataFrame, frames: int) -> DataFrame:
-    """(frame_idx, starts, ends) for all ``frames``."""
-    ends = chain_nodes.groupBy("tracker_id").agg(F.min("frame_idx").alias("s"), F.max("frame_idx").alias("e"))
-    starts = ends.groupBy(F.col("s").alias("frame_idx")).agg(F.count(F.lit(1)).alias("starts"))
-    stops = ends.groupBy(F.col("e").alias("frame_idx")).agg(F.count(F.lit(1)).alias("ends"))
+def start_end_frames(chain_nodes: DataFrame, frames: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, frame_idx, starts, ends) for all ``frames``."""
+    ends = chain_nodes.groupBy(*by, "tracker_id").agg(F.min("frame_idx").alias("s"), F.max("frame_idx").alias("e"))
+    starts = ends.groupBy(*by, F.col("s").alias("frame_idx")).agg(F.count(F.lit(1)).alias("starts"))
+    stops = ends.groupBy(*by, F.col("e").alias("frame_idx")).agg(F.count(F.lit(1)).alias("ends"))
     every = chain_nodes.sparkSession.range(frames).select(F.col("id").cast("int").alias("frame_idx"))
-    return every.join(starts, "frame_idx", "left").join(stops, "frame_idx", "left").fillna(0)
+    if by:
+        every = chain_nodes.select(*by).distinct().crossJoin(F.broadcast(every))  # a row a run and frame, as in the result
+    key = [*by, "frame_idx"]
+    return every.join(starts, key, "left").join(stops, key, "left").fillna(0, ["starts", "ends"])
 
 
 def match_histograms(scores: DataFrame, trackers: DataFrame, records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -100,11 +111,11 @@ def match_histograms(scores: DataFrame, trackers: DataFrame, records: DataFrame,
     return sides[0].union(sides[1]).groupBy(*by, "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dense_histogram(counts: DataFrame, value: str = "value", n: str = "n") -> DataFrame:
-    """One row (histogram array<bigint>) of (value, n) rows, index 0..max."""
-    one = counts.agg(F.map_from_entries(F.collect_list(F.struct(value, n))).alias("m"), F.max(value).alias("top"))
+def dense_histogram(counts: DataFrame, value: str = "value", n: str = "n", by: Sequence[str] = ()) -> DataFrame:
+    """One row (by, histogram array<bigint>) a run of (by, value, n) rows, index 0..max."""
+    one = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(value, n))).alias("m"), F.max(value).alias("top"))
     dense = F.transform(F.sequence(F.lit(0).cast("long"), F.col("top").cast("long")), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long")))
-    return one.select(F.coalesce(F.when(F.col("top").isNotNull(), dense), F.array().cast("array<bigint>")).alias("histogram"))
+    return one.select(*by, F.coalesce(F.when(F.col("top").isNotNull(), dense), F.array().cast("array<bigint>")).alias("histogram"))
 
 
 def merge_histograms(histograms: DataFrame, column: str = "histogram") -> DataFrame:
@@ -140,8 +151,8 @@ def tail_counts(chain_nodes: DataFrame, tails: tuple[int, ...] = (2, 5, 10, 20))
     return lengths.agg(*(F.count_if(F.col("length") >= t).alias(f"at_least_{t}") for t in tails))
 
 
-def consistency(values: DataFrame, column: str = "value", strict: bool = False) -> DataFrame:
-    """(tracker_id, consistency): mean similarity of successive values of a chain, 0 for none.
+def consistency(values: DataFrame, column: str = "value", strict: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """(by, tracker_id, consistency): mean similarity of successive values of a chain, 0 for none.
 
     1 - edit distance over the longer's characters; null is "", two empty
     values don't count. ``strict`` takes values as they are and divides by the
@@ -151,26 +162,28 @@ def consistency(values: DataFrame, column: str = "value", strict: bool = False)
     value = F.col(column) if strict else F.coalesce(F.col(column), F.lit(""))
     size = F.greatest(F.length(here), F.length(before))
     like = F.when(size == 0, F.lit(float("nan")) if strict else None).otherwise(1 - F.levenshtein(before, here) / size)
-    pairs = values.select("tracker_id", "frame_idx", value.alias("here")).withColumn("before", F.lag("here").over(Window.partitionBy("tracker_id").orderBy("frame_idx")))
-    first = F.row_number().over(Window.partitionBy("tracker_id").orderBy("frame_idx")) == 1
+    order = Window.partitionBy(*by, "tracker_id").orderBy("frame_idx")
+    pairs = values.select(*by, "tracker_id", "frame_idx", value.alias("here")).withColumn("before", F.lag("here").over(order))
+    first = F.row_number().over(order) == 1
     marked = pairs.withColumn("first", first).withColumn("like", F.when(~F.col("first"), like))
-    return marked.groupBy("tracker_id").agg(F.coalesce(F.avg("like"), F.lit(0.0)).alias("consistency"))
+    return marked.groupBy(*by, "tracker_id").agg(F.coalesce(F.avg("like"), F.lit(0.0)).alias("consistency"))
 
 
-def memory_distances(diag_records: DataFrame, chain_nodes: DataFrame) -> DataFrame:
-    """(tracker_id, feature, distance): mean similarity to the matched record per feature, without the birth.
+def memory_distances(diag_records: DataFrame, chain_nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, tracker_id, feature, distance): mean similarity to the matched record per feature, without the birth.
 
     Null distances don't count; a feature that has none is 0. Trackers with
     their birth only have no row.
     """
-    matched = diag_records.join(with_positions(chain_nodes).where("pos > 0").select("tracker_id", "frame_idx", "record_idx"), ["tracker_id", "frame_idx", "record_idx"])
-    each = matched.select("tracker_id", F.posexplode("distances").alias("feature", "distance"))
-    return each.groupBy("tracker_id", "feature").agg(F.coalesce(F.avg(F.col("distance").cast("double")), F.lit(0.0)).alias("distance"))
+    key = [*by, "tracker_id", "frame_idx", "record_idx"]
+    matched = diag_records.join(with_positions(chain_nodes, by).where("pos > 0").select(*key), key)
+    each = matched.select(*by, "tracker_id", F.posexplode("distances").alias("feature", "distance"))
+    return each.groupBy(*by, "tracker_id", "feature").agg(F.coalesce(F.avg(F.col("distance").cast("double")), F.lit(0.0)).alias("distance"))
 
 
-def mean_memory_distances(diag_records: DataFrame, chain_nodes: DataFrame) -> DataFrame:
-    """(feature, distance): the mean of memory_distances over trackers."""
-    return memory_distances(diag_records, chain_nodes).groupBy("feature").agg(F.avg("distance").alias("distance"))
+def mean_memory_distances(diag_records: DataFrame, chain_nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, feature, distance): the mean of memory_distances over trackers."""
+    return memory_distances(diag_records, chain_nodes, by).groupBy(*by, "feature").agg(F.avg("distance").alias("distance"))
 
 
 def in_box(df: DataFrame, x: str, y: str, x_range: tuple[float, float], y_range: tuple[float, float]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,9 +11,8 @@ from pyspark.sql import functions as F
 from kinthread.schema import RecordSchema
 
 
-def _chain():
-    return Window.partitionBy("tracker_id").orderBy("frame_idx")
-
+def _chain(by: Sequence[str] = ()):
+    return Window.partitionBy(*by, "tracker_id").orderBy("frame_idx")
 
 
 @dataclasses.dataclass
@@ -111,12 +111,12 @@ def edges(chain_nodes: DataFrame) -> DataFrame:
     )
 
 
-def with_positions(chain_nodes: DataFrame) -> DataFrame:
-    """chain_nodes with pos (from 0) and whether the node comes in and goes out."""
+def with_positions(chain_nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """chain_nodes with pos (from 0) and whether the node comes in and goes out; ``by`` are columns that tell runs apart."""
     return chain_nodes.select(
-        "*", (F.row_number().over(_chain()) - 1).alias("pos"),
-        F.lag("frame_idx").over(_chain()).isNotNull().alias("comes_in"),
-        F.lead("frame_idx").over(_chain()).isNotNull().alias("goes_out"),
+        "*", (F.row_number().over(_chain(by)) - 1).alias("pos"),
+        F.lag("frame_idx").over(_chain(by)).isNotNull().alias("comes_in"),
+        F.lead("frame_idx").over(_chain(by)).isNotNull().alias("goes_out"),
     )
 
 
@@ -137,7 +137,11 @@ def chains_at_least(chain_nodes: DataFrame, length: int, start: int | None = Non
     return found.where(F.col("tracker_id") >= start).orderBy("tracker_id").limit(1)
 
 
-def sample_ids(chain_nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(tracker_id) of n chains, all if fewer: those of the smallest seeded MD5."""
-    ids = chain_nodes.select("tracker_id").distinct()
-    return ids.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tracker_id").cast("string"))), "tracker_id").limit(n)
+def sample_ids(chain_nodes: DataFrame, n: int, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """(by, tracker_id) of n chains of each run, all if fewer: those of the smallest seeded MD5."""
+    ids = chain_nodes.select(*by, "tracker_id").distinct()
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tracker_id").cast("string"))), F.col("tracker_id")
+    if not by:
+        return ids.orderBy(*order).limit(n)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))  # cut to n a task before the shuffle
+    return ids.withColumn("place", place).where(F.col("place") <= n).drop("place")

@@ -522,11 +522,10 @@ def sweep_chains(spark, sf_dir):
 
 
 def sweep_summaries(spark, sf_dir):
-    """What a stored sweep says of its configurations, read back from JSON: the first two of ``SUMMED`` first, then the rest, as a sweep that goes on."""
+    """What a stored sweep says of its configurations, read back from JSON."""
     records, path = stored(frames_table(spark, sf_dir), "frames"), scratch_path(spark, "summaries")
     rules = [_rules(threshold, limit, resolver_config=ResolverConfig(strategy)) for threshold, limit, strategy in SUMMED]
-    for some in (rules[:2], rules):
-        sweep.run_sweep(some, SCHEMA, records, "name", path)
+    sweep.run_sweep(rules, SCHEMA, records, "name", path)
     found = tables.load_json(spark, path)
     numbers = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     frame = lambda x: F.concat_ws(":", x["frame_idx"], x["starts"], x["ends"])

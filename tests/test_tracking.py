@@ -657,6 +657,35 @@ def test_runs_side_by_side_are_those_alone(spark, register):
     assert pairs.count() == pairs.select("left_word", "right_word").distinct().count() > 0
 
 
+def test_summaries_side_by_side_are_those_alone(spark, register):
+    """All columns, of both strategies; one frame only has neither distances nor histograms."""
+    lv = K.DistanceMetricConfig("lv")
+    rules = [
+        K.config(PEOPLE, lv, None, K.ResolverConfig(strategy), K.MemoryConfig("median"), K.MemoryConfig("bruteforce"), threshold, 1)
+        for strategy, threshold in (("simple", 0.5), ("best-match", 0.4), ("best-match", 0.99))
+    ]
+    frames = register.agg(F.max("frame_idx")).first()[0] + 1
+    runs = sweep.track_all(rules, PEOPLE, register)
+    found = {r.config: r.asDict(True) for r in sweep.summaries(runs, register, "name", sample=3).collect()}
+    assert sorted(found) == [0, 1, 2]
+
+    def plain(value):
+        if isinstance(value, dict):
+            return {k: plain(v) for k, v in value.items()}
+        if isinstance(value, list):
+            return [plain(v) for v in value]
+        return round(value, 6) if isinstance(value, float) else value
+
+    for n in found:
+        alone = sweep.summary(runs.graph_of(n), register, PEOPLE, frames, "name", sample=3).first().asDict(True)
+        assert plain({k: v for k, v in found[n].items() if k != "config"}) == plain(alone)
+    assert found[0]["distances"] and found[0]["histogram_record_matchs"]
+    one = register.where("frame_idx = 0")
+    rows = sweep.summaries(sweep.track_all(rules[:2], PEOPLE, one), one, "name").collect()
+    # a run of the simple strategy takes all records of the first frame too
+    assert [(r.max, r.distances, r.histogram_record_matchs, r.histogram) for r in rows] == [(1, [], [], [0, one.count()])] * 2
+
+
 def test_registered_queries_have_rows(spark):
     for name in ("frames_scan", "resolve_best_match", "chain_stats", "start_end_frames", "tracking_end_to_end"):
         assert Q.QUERIES[name](spark, SF).count() > 0
