@@ -674,7 +674,7 @@ def test_summaries_side_by_side_are_those_alone(spark, register):
             return {k: plain(v) for k, v in value.items()}
         if isinstance(value, list):
             return [plain(v) for v in value]
-        return round(value, 6) if isinstance(value, float) else value
+        return repr(round(value, 6)) if isinstance(value, float) else value  # NaN, of 0 / 0, equals itself as text
 
     for n in found:
         alone = sweep.summary(runs.graph_of(n), register, PEOPLE, frames, "name", sample=3).first().asDict(True)
