@@ -47,3 +47,16 @@ def test_best_of_a_scan_is_one_pair_a_tracker_and_block(spark, blocks):
     found = scoring.score_pairs(*args, best=True).cache()
     assert found.count() <= first.count() * -(-twice.count() // 40)
     assert rows(resolution.simple(found)) == rows(resolution.simple(scoring.score_pairs(*args)))
+
+
+def test_mutual_best_goes_by_steps(spark, blocks, monkeypatch):
+    asked = []
+    by_steps = resolution.best_match_by_steps
+
+    def watched(trackers, records, over, **how):
+        return by_steps(trackers, records, lambda t, r, step: asked.append(step) or over(t, r, step), **how)
+
+    monkeypatch.setattr(resolution, "best_match_by_steps", watched)
+    found = rows(Q.resolve_mutual_best(spark, SMALL))
+    assert asked == [*resolution.STEPS, None]
+    assert found == rows(Q._rounded(resolution.mutual_best(Q._scores(spark, SMALL)), "score"))
