@@ -49,6 +49,16 @@ def test_best_of_a_scan_is_one_pair_a_tracker_and_block(spark, blocks):
     assert rows(resolution.simple(found)) == rows(resolution.simple(scoring.score_pairs(*args)))
 
 
+def test_ranks_are_made_where_scores_are(spark, blocks):
+    for query, rank, by in ((Q.rank_records, scoring.rank_records, "record_rank"), (Q.rank_trackers, scoring.rank_trackers, "tracker_rank")):
+        found = query(spark, SF)
+        expected = Q._rounded(rank(Q._scores(spark, SF)).select("tracker_id", "record_idx", "score", by), "score")
+        assert found.dtypes == expected.dtypes
+        assert rows(found) == rows(expected)
+        plan = found._jdf.queryExecution().toString()
+        assert "windowspecdefinition(tracker_id" not in plan and "windowspecdefinition(record_idx" not in plan
+
+
 def test_mutual_best_goes_by_steps(spark, blocks, monkeypatch):
     asked = []
     by_steps = resolution.best_match_by_steps
